@@ -1,3 +1,4 @@
 """Import every catalogue module so its queries register."""
 
 from loghawk.plans import catalog_log  # noqa: F401
+from loghawk.plans import catalog_classify  # noqa: F401
