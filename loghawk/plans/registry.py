@@ -16,6 +16,11 @@ from pyspark.sql import types as T
 
 from loghawk.sources.tables import API_LOG_SQL
 
+# Inputs have two decimals, so sums and means often sit exactly halfway
+# between two 6-digit values, where summation-order noise decides the
+# rounding.  Both engines scale by the same 1 + 1e-12 first: ties break alike.
+TIE_NUDGE = 1.000000000001
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -36,7 +41,7 @@ def finish(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6)
+            c = F.round(c.cast("double") * F.lit(TIE_NUDGE), 6)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         out.append(c.alias(f.name))
@@ -45,7 +50,7 @@ def finish(df: DataFrame) -> DataFrame:
 
 def sql_finish(inner: str, doubles: list[str] = (), times: list[str] = (), others: list[str] = ()) -> str:
     """Wrap an oracle SELECT the same way ``finish`` wraps the Spark result."""
-    cols = ([f'"{c}"' for c in others] + [f'ROUND(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in doubles]
+    cols = ([f'"{c}"' for c in others] + [f'ROUND(CAST("{c}" AS DOUBLE) * {TIE_NUDGE!r}, 6) AS "{c}"' for c in doubles]
             + [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S') AS \"{c}\"" for c in times])
     return f"SELECT {', '.join(cols)} FROM ({inner}) AS q"
 
