@@ -3,3 +3,4 @@
 from loghawk.plans import catalog_log  # noqa: F401
 from loghawk.plans import catalog_classify  # noqa: F401
 from loghawk.plans import catalog_graph  # noqa: F401
+from loghawk.plans import catalog_model  # noqa: F401
