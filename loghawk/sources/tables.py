@@ -30,7 +30,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def api_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The API access log used by every log operator: a narrow projection of
     ``events`` (no shuffle), one log row per event."""
-    ev = read_table(spark, sf_dir, "events")
+    return events_to_api_log(read_table(spark, sf_dir, "events"))
+
+
+def events_to_api_log(ev: DataFrame) -> DataFrame:
+    """The projection behind ``api_log``; works on a batch or a streaming ``events``."""
     uid = F.col("user_id")
     ua = F.lit(None).cast("string")
     for i in reversed(range(len(API_LOG_USER_AGENTS))):
