@@ -41,7 +41,13 @@ def q_sliding(spark, sf):
     return finish(spark.read.parquet(path))
 
 
-@register("stream_session_counts")
+@register("stream_session_counts", sql_finish(
+    f"WITH l AS (SELECT {_ip()} AS ip_address, ts, lag(ts) OVER (PARTITION BY {_ip()} ORDER BY ts) AS prev FROM events ev)"
+    ", n AS (SELECT *, CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM l)"
+    ", s AS (SELECT *, sum(new) OVER (PARTITION BY ip_address ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM n)"
+    " SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, ip_address, count(*) AS requests"
+    f" FROM s GROUP BY ip_address, sid HAVING session_end <= {_WM}",
+    times=["session_start", "session_end"], others=["ip_address", "requests"]))
 def q_sessions(spark, sf):
     path, _ = ST.run_to_table(ST.session_counts(_stream(spark, sf)), "sessions")
     return finish(spark.read.parquet(path))
