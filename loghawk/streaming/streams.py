@@ -94,35 +94,12 @@ def latest_per_key(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(latest, keys + ["batch_id"]).drop("batch_id")
 
 
-def score_stream(df: DataFrame, model, spec, id_col: str = "log_id") -> DataFrame:
-    """ST6: stateless scoring of each micro-batch with a stored model,
-    feature contract and scaler (no re-fitting on the stream).  The per-IP
-    count feature is computed within the micro-batch."""
-    from loghawk.operators import autoencoder as AE
-    from loghawk.operators import detect as DT
-    from loghawk.operators import features as FE
-    from loghawk.operators.scaling import Scaler, apply_scaler, to_vector
-
-    out = FE.time_features(df, "request_time")
-    out = FE.ip_octets(out, "ip_address")
-    out = FE.ua_flags(out, "user_agent")
-    for c, vocab in spec.endpoint_vocab.items():
-        out, _ = FE.one_hot(out, c, vocab)
-    out = FE.status_class(out, "status_code")
-    for n in spec.names:
-        if n not in out.columns:
-            out = out.withColumn(n, F.lit(0))
-    out = FE.fill_missing(out, spec.names)
-    z = apply_scaler(out, Scaler(list(model.scaler), params=dict(model.scaler)))
-    vec = z.select(id_col, "ip_address", "request_time", F.array(*[F.col(f"`{n}`").cast("double") for n in spec.names]).alias("features"))
-    err = DT.reconstruction_error(AE.reconstruct(vec, model)).drop("features", "reconstruction")
-    return DT.flag_and_score(err, model.threshold)
-
-
 def score_batches(df: DataFrame, model, spec, name: str = "scored") -> str:
-    """ST6 sink: ``foreachBatch`` computes the per-IP counts of the
-    micro-batch (an aggregate + join inside the batch, not stream state) and
-    appends the scored rows; returns the output path."""
+    """ST6: score each micro-batch with a stored model, feature contract and
+    scaler (no re-fitting on the stream).  ``foreachBatch`` runs the batch
+    detection plan on the micro-batch, so the per-IP counts are those of the
+    batch (an aggregate + join, not stream state), and appends the scored
+    rows; returns the output path."""
     from loghawk.plans.detection import score_log
     spark = df.sparkSession
     base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")

@@ -42,3 +42,13 @@ def test_oracle_keys_are_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert not any(k.startswith("op") or k == "pipeline" for k in q)
+
+
+def test_stream_scoring_equals_batch(spark):
+    from loghawk.plans.detection import score_log, train_detector
+    model, spec = train_detector(api_log(spark, SF001), epochs=2, hidden=(8, 4))
+    path = ST.score_batches(ST.log_stream(spark, SF001), model, spec)
+    got = {r.log_id: (round(r.reconstruction_error, 9), r.is_anomaly) for r in spark.read.parquet(path).collect()}
+    exp = {r.log_id: (round(r.reconstruction_error, 9), r.is_anomaly)
+           for r in score_log(api_log(spark, SF001), model, spec).collect()}
+    assert got == exp and len(got) == 1000
