@@ -119,22 +119,35 @@ def _sum_positions(col: str, d: int, prefix: str) -> list[Column]:
     return [F.sum(F.col(col)[i]).alias(f"{prefix}{i}") for i in range(d)]
 
 
+def compact_edges(edges: DataFrame) -> DataFrame:
+    """Repeated edges become one ``(src, dst, weight)`` row (partial aggregate):
+    a log repeats each (IP, endpoint) pair many times, so message passing
+    over the compacted table moves far fewer rows and the same sums."""
+    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "features",
                checkpoint_each: bool = True) -> DataFrame:
     """Mean of in-neighbour features, ``k`` times (repeated edges weigh more);
-    a node without in-edges gets zeros.  Each round: edges JOIN nodes on src,
-    aggregate by dst (partial sums per position), reliable checkpoint."""
-    d = _dim(nodes, features)
+    a node without in-edges gets zeros.  Edges are compacted to weights and
+    checkpointed once; each round joins them with the current features on
+    src, aggregates by dst (partial weighted sums per position) and is
+    checkpointed (reliably) to cut the lineage."""
     cur = nodes.select("node_id", features)
+    w_edges = compact_edges(edges)
+    if checkpoint_each:
+        cur, w_edges = cut_lineage(cur), cut_lineage(w_edges)
+    d = _dim(cur, features)
+    ids = cur.select("node_id")
+    zeros = F.array(*[F.lit(0.0) for _ in range(d)])
     for _ in range(k):
         feats, _b = broadcast_if_small(cur.withColumnRenamed("node_id", "src"))
-        msgs = edges.select("src", "dst").join(feats, "src")
-        agg = msgs.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("__deg"),
-                                                               *_sum_positions(features, d, "__s"))
+        msgs = w_edges.join(feats, "src")
+        agg = msgs.groupBy(F.col("dst").alias("node_id")).agg(
+            F.sum("weight").alias("__deg"),
+            *[F.sum(F.col("weight") * F.col(features)[i]).alias(f"__s{i}") for i in range(d)])
         mean = agg.select("node_id", F.array(*[F.col(f"__s{i}") / F.col("__deg") for i in range(d)]).alias(features))
-        zeros = F.array(*[F.lit(0.0) for _ in range(d)])
-        cur = (nodes.select("node_id").join(mean, "node_id", "left")
-               .select("node_id", F.coalesce(F.col(features), zeros).alias(features)))
+        cur = ids.join(mean, "node_id", "left").select("node_id", F.coalesce(F.col(features), zeros).alias(features))
         if checkpoint_each:
             cur = cut_lineage(cur)
     return cur
@@ -194,15 +207,17 @@ def attend(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], s
     if self_loops:
         e = e.where(F.col("src") != F.col("dst")).unionByName(nodes.select(F.col("node_id").alias("src"),
                                                                           F.col("node_id").alias("dst")))
+    e = compact_edges(e)      # a repeated edge is one message counted ``weight`` times
     src_side, _ = broadcast_if_small(proj.select(F.col("node_id").alias("src"), "proj", "a_src"))
     dst_side, _ = broadcast_if_small(proj.select(F.col("node_id").alias("dst"), "a_dst"))
     ee = e.join(src_side, "src").join(dst_side, "dst")
     score = F.zip_with("a_src", "a_dst", lambda s, t: F.when(s + t > 0, s + t).otherwise((s + t) * negative_slope))
-    ee = ee.select("dst", "proj", score.alias("e"))
+    ee = ee.select("dst", "weight", "proj", score.alias("e"))
     mx = ee.groupBy("dst").agg(*[F.max(F.col("e")[h]).alias(f"__m{h}") for h in range(H)])
     mx = mx.select("dst", F.array(*[F.col(f"__m{h}") for h in range(H)]).alias("m"))
     mx_side, _ = broadcast_if_small(mx)
-    w = ee.join(mx_side, "dst").select("dst", "proj", F.zip_with("e", "m", lambda a, b: F.exp(a - b)).alias("w"))
+    w = ee.join(mx_side, "dst").select(
+        "dst", "proj", F.transform(F.zip_with("e", "m", lambda a, b: F.exp(a - b)), lambda x: x * F.col("weight")).alias("w"))
     num = [F.sum(F.col("w")[h] * F.col("proj")[h * D + j]).alias(f"__n{h * D + j}") for h in range(H) for j in range(D)]
     den = [F.sum(F.col("w")[h]).alias(f"__d{h}") for h in range(H)]
     agg = w.groupBy(F.col("dst").alias("node_id")).agg(*den, *num)

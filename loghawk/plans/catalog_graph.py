@@ -155,15 +155,21 @@ def q_graph_error(spark, sf):
     return GR.graph_error(_scaled_feats(feats), edges)
 
 
-@register("graph_labelled_tables")
+@register("graph_labelled_tables", sql_finish(with_log(
+    _G_SQL + ", bad AS (SELECT ip_address AS key, CAST(max(CASE WHEN status_code >= 500 THEN 1 ELSE 0 END) AS INTEGER)"
+    " AS label FROM api_log GROUP BY 1)"
+    " SELECT CAST(n.node_id AS BIGINT) AS node_id, n.kind, n.key, COALESCE(bad.label, -1) AS label, nf.f0, nf.f1, nf.f2 FROM nodes n"
+    " JOIN nf ON n.node_id = nf.node_id LEFT JOIN bad ON n.key = bad.key"),
+    doubles=_F, others=["node_id", "kind", "key", "label"]))
 def q_graph_tables(spark, sf):
-    """Nodes labelled 1 when any of their requests was a server error."""
+    """IP nodes labelled 1 when any of their requests was a server error
+    (else 0); endpoint nodes carry no label (shown as -1)."""
     log, nodes, edges, feats = _graph(spark, sf)
     bad = (log.groupBy("ip_address").agg(F.max((F.col("status_code") >= 500).cast("int")).alias("label"))
            .withColumnRenamed("ip_address", "key"))
     labels = nodes.join(bad, "key").select("node_id", "label")
     n, _ = GR.graph_tables(feats, edges, labels)
-    return _flat(n)
+    return finish(_flat(n).withColumn("label", F.coalesce("label", F.lit(-1))))   # -1: unlabelled node
 
 
 @register("graph_combined_score", sql_finish(with_log(

@@ -150,13 +150,24 @@ def q_top_ua(spark, sf):
 
 
 # ------------------------------------------------------------------ schema ----
-@register("schema_roles")
+# The roles of the api_log columns (same in both modes).
+_ROLE_ROWS = [("time", "request_time"), ("ip", "ip_address"), ("ua", "user_agent"), ("endpoint", "endpoint"),
+              ("status", "status_code")]
+
+
+@register("schema_roles", with_log(" " + " UNION ALL ".join(
+    f"SELECT '{m}' AS mode, '{r}' AS role, '{c}' AS column, count({c}) AS non_null FROM api_log"
+    for m in ("typed", "keyword") for r, c in _ROLE_ROWS)))
 def q_roles(spark, sf):
-    """Roles of the api_log columns in both detection modes (schema metadata)."""
+    """Roles found in the api_log schema in both detection modes, with the
+    non-NULL values each role column offers (one aggregate over the log)."""
     log = _log(spark, sf)
-    rows = [(mode, role, c) for mode in ("typed", "keyword")
-            for role, cols in detect_roles(log.schema, mode).items() for c in cols]
-    return spark.createDataFrame(rows, "mode string, role string, column string")
+    found = [(mode, role, c) for mode in ("typed", "keyword")
+             for role, cols in detect_roles(log.schema, mode).items() for c in cols]
+    cols = sorted({c for _, _, c in found})
+    counts = log.agg(*[F.count(F.col(c)).alias(c) for c in cols])
+    rows = ", ".join(f"'{m}', '{r}', '{c}', `{c}`" for m, r, c in found)
+    return counts.selectExpr(f"stack({len(found)}, {rows}) AS (mode, role, column, non_null)")
 
 
 @register("schema_missing_columns")

@@ -1,6 +1,7 @@
 """Every query with oracle SQL: Spark result equals DuckDB's at sf0.01."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -18,6 +19,8 @@ def _norm(df: pd.DataFrame):
     for r in df.itertuples(index=False):
         row = []
         for v in r:
+            if isinstance(v, np.generic):
+                v = v.item()
             if isinstance(v, float):
                 v = None if pd.isna(v) else round(v, 6)
             elif hasattr(v, "tolist"):
