@@ -49,14 +49,13 @@ def sequential_edges(df: DataFrame, order: list[str] = ("request_time", "log_id"
 
 def bipartite_nodes(df: DataFrame, ip: str = "ip_address", endpoint: str = "endpoint") -> DataFrame:
     """``(node_id, kind, key)``: IPs get ids 0..n-1 in sorted order, endpoints
-    n.. after them.  Ids come from a distributed global index, never from a
-    collected dictionary."""
-    ips = with_global_index(df.select(F.col(ip).alias("key")).where(F.col("key").isNotNull()).distinct(), ["key"], "node_id")
-    n_ip = ips.count()
-    eps = with_global_index(df.select(F.col(endpoint).alias("key")).where(F.col("key").isNotNull()).distinct(),
-                            ["key"], "node_id")
-    return (ips.select("node_id", F.lit("ip").alias("kind"), "key")
-            .unionByName(eps.select((F.col("node_id") + n_ip).alias("node_id"), F.lit("endpoint").alias("kind"), "key")))
+    n.. after them -- one distributed global index over the distinct keys
+    ordered by (kind, key), never a collected dictionary."""
+    keys = (df.select(F.lit(0).alias("__k"), F.col(ip).alias("key"))
+            .unionByName(df.select(F.lit(1).alias("__k"), F.col(endpoint).alias("key")))
+            .where(F.col("key").isNotNull()).distinct())
+    idx = with_global_index(keys, ["__k", "key"], "node_id")
+    return idx.select("node_id", F.when(F.col("__k") == 0, "ip").otherwise("endpoint").alias("kind"), "key")
 
 
 def bipartite_edges(df: DataFrame, nodes: DataFrame, ip: str = "ip_address", endpoint: str = "endpoint",
