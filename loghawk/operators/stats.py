@@ -19,36 +19,43 @@ from pyspark.sql import functions as F
 
 def kth_smallest(df: DataFrame, col: str, ks: list[int], bins: int = 4096,
                  max_collect: int = 50_000) -> dict[int, float]:
-    """Exact 0-based order statistics of a non-null numeric column."""
+    """Exact 0-based order statistics of a non-null numeric column.
+
+    Ranks that fall in the same bin (e.g. the two neighbours of an
+    interpolated percentile, usually) share every narrowing pass; each round
+    keeps only bins holding a wanted rank, so every range strictly shrinks."""
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        stats = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        total = stats["n"]
+        want = sorted(set(ks))
+        if want and not (0 <= want[0] and want[-1] < total):
+            raise IndexError(f"ranks {want[0]}..{want[-1]} outside 0..{total - 1}")
         out: dict[int, float] = {}
-        for k in sorted(set(ks)):
-            sub, offset = vals, 0
-            stats = sub.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-            n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-            if not 0 <= k < n:
-                raise IndexError(f"rank {k} outside 0..{n - 1}")
-            while True:
-                if lo == hi:
-                    out[k] = float(lo)
-                    break
-                if n <= max_collect:
-                    got = [r[0] for r in sub.orderBy("v").collect()]
-                    out[k] = float(got[k - offset])
+        # (filtered frame, rows before it, rows in it, min, max, ranks it must answer)
+        todo = [(vals, 0, total, stats["lo"], stats["hi"], want)] if want else []
+        while todo:
+            sub, offset, n, lo, hi, ranks = todo.pop()
+            if lo == hi:
+                out.update({k: float(lo) for k in ranks})
+                continue
+            if n <= max_collect:
+                got = [r[0] for r in sub.orderBy("v").collect()]
+                out.update({k: float(got[k - offset]) for k in ranks})
+                continue
+            width = (hi - lo) / bins
+            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+            hist = (sub.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                                 F.max("v").alias("hi")).orderBy("b").collect())
+            seen = offset
+            for r in hist:              # ranks grouped by the bin holding them
+                holds = [k for k in ranks if seen <= k < seen + r["n"]]
+                if holds:
+                    todo.append((sub.where(b == r["b"]), seen, r["n"], r["lo"], r["hi"], holds))
+                seen += r["n"]
+                if ranks[-1] < seen:
                     break
-                width = (hi - lo) / bins
-                b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-                hist = (sub.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                                     F.max("v").alias("hi")).orderBy("b").collect())
-                seen = offset
-                for r in hist:
-                    if seen + r["n"] > k:
-                        sub = sub.where(b == r["b"])
-                        offset, n, lo, hi = seen, r["n"], r["lo"], r["hi"]
-                        break
-                    seen += r["n"]
         return out
     finally:
         vals.unpersist()
