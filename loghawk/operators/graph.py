@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loghawk.plans.joins import broadcast_if_small, lookup_join
-from loghawk.plans.ordered import with_global_index
+from loghawk.plans.ordered import with_global_index, with_successor
 from loghawk.session import cut_lineage
 
 
@@ -31,19 +31,18 @@ def sequential_edges(df: DataFrame, order: list[str] = ("request_time", "log_id"
                      id_col: str = "log_id") -> DataFrame:
     """Consecutive rows linked both ways.  File order has no meaning in Spark,
     so rows are ordered by ``order`` (must end with a unique id), optionally
-    within ``partition`` groups (e.g. per IP).  A global index over a
-    range-partitioned sort (hot groups are split over tasks) and a self
-    equi-join on index + 1 replace a per-group ``lead`` window."""
+    within ``partition`` groups (e.g. per IP).  The successor of each row
+    comes from a range-partitioned sort (hot groups are split over tasks)
+    instead of a per-group ``lead`` window, which would put a hot IP's rows
+    in one task."""
     partition = list(partition or [])
     keys = partition + list(order)
-    idx = with_global_index(df.select(*dict.fromkeys(keys + [id_col])), keys, "__i")
-    a = idx.select(F.col("__i").alias("__ia"), F.col(id_col).alias("__a"), *[F.col(p).alias(f"__pa{j}") for j, p in enumerate(partition)])
-    b = idx.select((F.col("__i") - 1).alias("__ia"), F.col(id_col).alias("__b"), *[F.col(p).alias(f"__pb{j}") for j, p in enumerate(partition)])
-    pairs = a.join(b, "__ia")
-    for j in range(len(partition)):
-        pairs = pairs.where(F.col(f"__pa{j}").eqNullSafe(F.col(f"__pb{j}")))
-    both = F.explode(F.array(F.struct(F.col("__a").alias("src"), F.col("__b").alias("dst")),
-                             F.struct(F.col("__b").alias("src"), F.col("__a").alias("dst"))))
+    succ = with_successor(df.select(*dict.fromkeys(keys + [id_col])), keys, [id_col] + partition)
+    pairs = succ.where(F.col("next_" + id_col).isNotNull())
+    for p in partition:
+        pairs = pairs.where(F.col(p).eqNullSafe(F.col("next_" + p)))
+    a, b = F.col(id_col), F.col("next_" + id_col)
+    both = F.explode(F.array(F.struct(a.alias("src"), b.alias("dst")), F.struct(b.alias("src"), a.alias("dst"))))
     return pairs.select(both.alias("e")).select("e.src", "e.dst")
 
 

@@ -72,3 +72,63 @@ def with_global_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     ones = df.withColumn("__one", F.lit(1))
     out = with_prefix_sums(ones, order_cols, {name: "__one"}, num_partitions)
     return out.drop("__one").withColumn(name, (F.col(name) - 1).cast("long"))
+
+
+def with_successor(df: DataFrame, order_cols: list[str], carry_cols: list[str], prefix: str = "next_",
+                   num_partitions: int | None = None) -> DataFrame:
+    """Add ``{prefix}{c}``: the values of the following row in global
+    ``order_cols`` order (NULL after the last row); the order must be total.
+
+    Rows are range-partitioned and sorted; inside a partition the successor
+    is a shift over the Arrow batches.  Only the last row of each partition
+    needs the next non-empty partition's first row, which comes from a table
+    with one row per partition (broadcast) -- no self-join of the data."""
+    n = _num_partitions(df, num_partitions)
+    carry = list(dict.fromkeys(carry_cols))
+    cols = list(dict.fromkeys(list(order_cols) + carry))
+    sorted_df = df.select(*cols).repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    types = {f.name: f.dataType for f in sorted_df.schema.fields}
+    schema = T.StructType(sorted_df.schema.fields
+                          + [T.StructField("__pid", T.IntegerType()), T.StructField("__first", T.BooleanType()),
+                             T.StructField("__last", T.BooleanType())]
+                          + [T.StructField(prefix + c, types[c]) for c in carry])
+    int_cols = {c for c in carry if isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType, T.LongType))}
+
+    def shift(batches):
+        from pyspark import TaskContext
+        pid = TaskContext.get().partitionId()
+        held = None                       # last row so far: its successor is in the next batch
+        first = True
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.reset_index(drop=True)
+            for c in int_cols:
+                pdf[c] = pdf[c].astype("Int64")
+            if held is not None:
+                for c in carry:
+                    held[prefix + c] = pdf[c].iloc[0]
+                yield held
+            for c in carry:
+                pdf[prefix + c] = pdf[c].shift(-1)
+            pdf["__pid"] = pid
+            pdf["__first"] = False
+            pdf["__last"] = False
+            if first:
+                pdf.loc[0, "__first"] = True
+                first = False
+            held = pdf.iloc[[-1]].copy()
+            if len(pdf) > 1:
+                yield pdf.iloc[:-1]
+        if held is not None:
+            held["__last"] = True
+            yield held
+
+    local = cut_lineage(sorted_df.mapInPandas(shift, schema))
+    firsts = local.where("__first").select("__pid", *[F.col(c).alias(f"__f_{c}") for c in carry])
+    w = Window.orderBy("__pid")           # one row per partition
+    following = firsts.select("__pid", *[F.lead(f"__f_{c}").over(w).alias(f"__f_{c}") for c in carry])
+    joined = local.join(F.broadcast(following), "__pid", "left")
+    return joined.select(*df.columns if set(df.columns) <= set(cols) else cols,
+                         *[F.when(F.col("__last"), F.col(f"__f_{c}")).otherwise(F.col(prefix + c)).alias(prefix + c)
+                           for c in carry])

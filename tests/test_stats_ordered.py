@@ -49,3 +49,21 @@ def test_roc_auc_with_ties(spark):
     # pairs: pos scores .35,.8,.4 vs neg .1,.4,.4
     # .35 > .1 (1); .8 > all (3); .4 > .1, ties .4 .4 (1 + 0.5 + 0.5)
     assert abs(roc_auc(df).first()[0] - 6.0 / 9.0) < 1e-12
+
+
+def test_successor_across_batches_and_partitions(spark):
+    from loghawk.plans.ordered import with_successor
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [("hot" if i % 5 else f"g{i % 3}", i, i * 2) for i in range(500)]
+        df = spark.createDataFrame(rows, "g string, t long, id long")
+        out = with_successor(df, ["g", "t"], ["id", "g"], num_partitions=13).toPandas()
+        exp = sorted(rows)
+        nxt = {exp[i][2]: (exp[i + 1][2], exp[i + 1][0]) for i in range(len(exp) - 1)}
+        got = {r.id: (None if r.next_id is None or r.next_id != r.next_id else int(r.next_id), r.next_g)
+               for r in out.itertuples()}
+        assert got[exp[-1][2]][0] is None
+        for k, v in nxt.items():
+            assert got[k] == v
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
