@@ -37,19 +37,22 @@ def requests_per_ip_window(df: DataFrame, ip: str = "ip_address", ts: str = "req
 
 
 def with_requests_per_ip(df: DataFrame, ip: str = "ip_address", name: str = "requests_per_ip",
-                         max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Every row gains its IP's count (NULL for a NULL IP, as the pandas merge)."""
-    return lookup_join(df, requests_per_ip(df, ip, name), ip, "left", max_broadcast_rows)
+                         max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+                         salt_buckets: int | None = None, id_col: str | None = None) -> DataFrame:
+    """Every row gains its IP's count (NULL for a NULL IP, as the pandas merge).
+    ``salt_buckets`` salts the shuffle join used beyond the broadcast limit."""
+    return lookup_join(df, requests_per_ip(df, ip, name), ip, "left", max_broadcast_rows, salt_buckets, id_col)
 
 
 def with_requests_per_ip_window(df: DataFrame, ip: str = "ip_address", ts: str = "request_time",
                                 minutes: int = 5, name: str = "requests_per_ip_5min",
                                 bucket: str = "time_interval",
-                                max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                                max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
+                                salt_buckets: int | None = None, id_col: str | None = None) -> DataFrame:
     """Adds ``time_interval`` and the per-(IP, interval) count."""
     counts = requests_per_ip_window(df, ip, ts, minutes, name, bucket)
     return lookup_join(time_interval(df, ts, minutes, bucket), counts, [ip, bucket], "left",
-                       max_broadcast_rows)
+                       max_broadcast_rows, salt_buckets, id_col)
 
 
 def with_request_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request_time", minutes: int = 5,

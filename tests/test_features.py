@@ -125,3 +125,14 @@ def test_split_and_sample_repeatable(spark):
     s1 = [r.log_id for r in sample_n(df.repartition(5), 10, 3).collect()]
     s2 = [r.log_id for r in sample_n(df, 10, 3).collect()]
     assert s1 == s2 and len(s1) == 10
+
+
+def test_salted_join_equals_plain(spark):
+    from loghawk.plans.joins import lookup_join
+    rows = [(i, "hot" if i % 3 else f"ip{i % 11}") for i in range(3000)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "log_id long, ip_address string")
+    counts = AG.requests_per_ip(df)
+    plain = {r.log_id: r.requests_per_ip for r in lookup_join(df, counts, "ip_address", max_broadcast_rows=None).collect()}
+    salted = {r.log_id: r.requests_per_ip for r in lookup_join(df, counts, "ip_address", max_broadcast_rows=0,
+                                                                  salt_buckets=8, salt_source="log_id").collect()}
+    assert plain == salted and plain[1] == 2000 and plain[5000] is None
