@@ -38,6 +38,11 @@ def has_ipv4(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.coalesce(F.bool_or(F.col(col).rlike(IPV4_PATTERN)), F.lit(False)).alias("has_ipv4"))
 
 
+def any_ipv4(df: DataFrame, col: str) -> bool:
+    """Driver-side test for the batch plan: stops at the first matching row."""
+    return df.select(col).where(F.col(col).rlike(IPV4_PATTERN)).limit(1).count() > 0
+
+
 def ip_octets(df: DataFrame, col: str) -> DataFrame:
     return df.withColumns({f"{col}_{name}": ip_octet(col, name) for name in OCTET_PATTERNS})
 

@@ -41,7 +41,8 @@ class FeatureSpec:
 
 def derive_features(df: DataFrame, mode: str = "batch", role_mode: str = "typed", rule: str | None = None,
                     bucket_minutes: int = 5, endpoint_vocab: dict[str, list[str]] | None = None,
-                    max_endpoints: int = 256, id_col: str = "log_id") -> tuple[DataFrame, FeatureSpec]:
+                    max_endpoints: int = 256, id_col: str = "log_id",
+                    check_ipv4: bool = True) -> tuple[DataFrame, FeatureSpec]:
     """Raw log -> numeric features (NULL/NaN/inf filled with 0), unscaled.
 
     ``mode='batch'``: time parts, IP octets, agent flags, endpoint one-hot,
@@ -57,7 +58,9 @@ def derive_features(df: DataFrame, mode: str = "batch", role_mode: str = "typed"
     for c in roles["time"]:
         out = FE.time_features(FE.parse_time(out, c), c)
     for c in roles["ip"]:
-        if dict(out.dtypes)[c] == "string":
+        # octets only for a column holding a dotted quad somewhere (a limit-1
+        # probe that stops at the first match, not a full pass)
+        if dict(out.dtypes)[c] == "string" and (not check_ipv4 or FE.any_ipv4(df, c)):
             out = FE.ip_octets(out, c)
     for c in roles["ua"]:
         if dict(out.dtypes)[c] == "string":
