@@ -59,15 +59,19 @@ def duplicate_pct(df: DataFrame) -> DataFrame:
 
 
 def type_counts(df: DataFrame) -> DataFrame:
-    """Rows ``(data_type, columns)`` plus the numeric/string split, from the schema only."""
-    spark = df.sparkSession
-    counts: dict[str, int] = {}
+    """Rows ``(data_type, columns, non_null_cells)`` per data type plus the
+    'group:numeric' and 'group:string' rows: the grouping comes from the schema, the
+    cell counts from one aggregate over the table."""
+    groups: dict[str, list[str]] = {}
     for f in df.schema.fields:
-        counts[f.dataType.simpleString()] = counts.get(f.dataType.simpleString(), 0) + 1
-    numeric = sum(1 for f in df.schema.fields if is_numeric(f.dataType))
-    string = sum(1 for f in df.schema.fields if isinstance(f.dataType, T.StringType))
-    rows = sorted(counts.items()) + [("numeric", numeric), ("string", string)]
-    return spark.createDataFrame(rows, "data_type string, columns long")
+        groups.setdefault(f.dataType.simpleString(), []).append(f.name)
+    numeric = [f.name for f in df.schema.fields if is_numeric(f.dataType)]
+    string = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    named = sorted(groups.items()) + [("group:numeric", numeric), ("group:string", string)]
+    aggs = [sum((F.count(F.col(_q(c))) for c in cols), F.lit(0)).cast("long").alias(f"g{i}")
+            for i, (_, cols) in enumerate(named)]
+    rows = ", ".join(f"'{t}', CAST({len(cols)} AS BIGINT), g{i}" for i, (t, cols) in enumerate(named))
+    return df.agg(*aggs).selectExpr(f"stack({len(named)}, {rows}) AS (data_type, columns, non_null_cells)")
 
 
 def null_map(df: DataFrame, cols: list[str], buckets: int = 20, id_col: str = "log_id") -> DataFrame:

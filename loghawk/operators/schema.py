@@ -57,6 +57,21 @@ def missing_columns(schema: T.StructType, required: list[str] = REQUIRED_COLUMNS
     return [r for r in required if not any(e.startswith(r.replace("_", "")) for e in existing)]
 
 
+def required_columns_report(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> DataFrame:
+    """Rows ``(required, matched_column, non_null)``: the first column meeting
+    the prefix rule (NULL when the name is missing) and how many non-NULL
+    values it offers (0 when missing), from one aggregate over the table."""
+    def match(r: str) -> str | None:
+        key = r.replace("_", "")
+        return next((n for n in df.columns if n.lower().replace("_", "").startswith(key)), None)
+    found = [(r, match(r)) for r in required]
+    cols = sorted({m for _, m in found if m})
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]) if cols else df.agg(F.count(F.lit(1)).alias("__n"))
+    rows = ", ".join(f"'{r}', " + (f"'{m}', `{m}`" if m else "CAST(NULL AS STRING), CAST(0 AS BIGINT)")
+                     for r, m in found)
+    return counts.selectExpr(f"stack({len(found)}, {rows}) AS (required, matched_column, non_null)")
+
+
 def map_columns(df: DataFrame, mapping: dict[str, str | None]) -> DataFrame:
     """Add each required name as a copy of the chosen column; originals are kept."""
     cols = {req: F.col(src) for req, src in mapping.items() if src}

@@ -10,7 +10,7 @@ from loghawk.operators import detect as DT
 from loghawk.operators import features as FE
 from loghawk.operators import profile as PR
 from loghawk.operators.scaling import fit_scaler, apply_scaler, sample_n, scaler_stats, split, to_vector
-from loghawk.operators.schema import detect_roles, map_columns, missing_columns
+from loghawk.operators.schema import detect_roles, map_columns, required_columns_report
 from loghawk.plans.preprocess import ZSCORE_FEATURES, derive_features, zscore_scored
 from loghawk.plans.registry import (IPV4, SQL_BUCKET5, SQL_FEATURE_EXPRS, SQL_FEATURES_CTE, finish, register,
                                     sql_finish, sql_zscore_ctes, with_log)
@@ -75,7 +75,15 @@ def q_duplicates(spark, sf):
     return finish(PR.duplicate_pct(_log(spark, sf).select(*_RAW)))
 
 
-@register("profile_type_counts")
+_TYPE_GROUPS = [("bigint", ["log_id"]), ("double", ["response_ms"]), ("int", ["status_code"]),
+                 ("string", ["ip_address", "user_agent", "endpoint", "method", "parameters"]),
+                 ("timestamp_ntz", ["request_time"]), ("group:numeric", ["log_id", "status_code", "response_ms"]),
+                 ("group:string", ["ip_address", "user_agent", "endpoint", "method", "parameters"])]
+
+
+@register("profile_type_counts", with_log(" " + " UNION ALL ".join(
+    f"SELECT '{t}' AS data_type, CAST({len(cs)} AS BIGINT) AS columns, CAST("
+    + " + ".join(f"count({c})" for c in cs) + " AS BIGINT) AS non_null_cells FROM api_log" for t, cs in _TYPE_GROUPS)))
 def q_type_counts(spark, sf):
     return PR.type_counts(_log(spark, sf))
 
@@ -170,10 +178,20 @@ def q_roles(spark, sf):
     return counts.selectExpr(f"stack({len(found)}, {rows}) AS (mode, role, column, non_null)")
 
 
-@register("schema_missing_columns")
+# How the required names meet the api_log columns (prefix rule).
+_REQUIRED_MATCH = [("ip_address", "ip_address"), ("timestamp", None), ("user_agent", "user_agent"),
+                   ("endpoint", "endpoint"), ("parameters", "parameters"), ("status_code", "status_code"),
+                   ("response_time", None)]
+
+
+@register("schema_missing_columns", with_log(" " + " UNION ALL ".join(
+    f"SELECT '{r}' AS required, " + (f"'{m}' AS matched_column, count({m}) AS non_null FROM api_log" if m else
+                                     "CAST(NULL AS VARCHAR) AS matched_column, CAST(0 AS BIGINT) AS non_null")
+    for r, m in _REQUIRED_MATCH)))
 def q_missing_cols(spark, sf):
-    log = _log(spark, sf)
-    return spark.createDataFrame([(c,) for c in missing_columns(log.schema)], "required string")
+    """Required columns: which api_log column meets each (none for the missing
+    'timestamp' and 'response_time') and how many values it offers."""
+    return required_columns_report(_log(spark, sf))
 
 
 @register("schema_map_columns", sql_finish(with_log(
