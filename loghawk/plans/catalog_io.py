@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loghawk.operators import detect as DT
 from loghawk.plans.preprocess import zscore_scored
 from loghawk.plans.catalog_log import ZS
-from loghawk.plans.registry import SQL_FEATURES_CTE, finish, register, sql_finish, with_log
+from loghawk.plans.registry import SQL_FEATURES_CTE, TIE_NUDGE, finish, register, sql_finish, with_log
 from loghawk.session import scratch_path
 from loghawk.sources.logs import RAW_LOG_SCHEMA, read_logs, write_feedback, write_logs, write_report
 from loghawk.sources.tables import api_log
@@ -63,7 +63,12 @@ def q_csv_inferred(spark, sf):
     return _csv_summary(df)
 
 
-@register("io_report_sink")
+@register("io_report_sink", with_log(
+    SQL_FEATURES_CTE + ZS + " SELECT CAST(log_id AS VARCHAR) AS log_id, ip_address,"
+    " strftime(request_time, '%Y-%m-%d %H:%M:%S') AS request_time, CAST(status_code AS VARCHAR) AS status_code,"
+    f" CAST(ROUND(reconstruction_error * {TIE_NUDGE!r}, 6) AS VARCHAR) AS reconstruction_error,"
+    " CAST(is_anomaly AS VARCHAR) AS is_anomaly,"
+    f" CAST(ROUND(anomaly_score * {TIE_NUDGE!r}, 6) AS VARCHAR) AS anomaly_score FROM scored WHERE is_anomaly"))
 def q_report(spark, sf):
     """Flagged rows written as a CSV report and read back."""
     scored = zscore_scored(api_log(spark, sf))

@@ -271,13 +271,23 @@ def q_one_hot_totals(spark, sf):
     return FE.one_hot_totals(_log(spark, sf), "endpoint")
 
 
-@register("features_url_one_hot_capped")
+_HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)"
+
+
+@register("features_url_one_hot_capped", with_log(
+    f" , h AS (SELECT page_id, regexp_extract(url, '{_HOST_RE}', 1) AS host FROM pages)"
+    ", top AS (SELECT host, row_number() OVER (ORDER BY count(*) DESC, host) AS r FROM h GROUP BY host)"
+    " SELECT h.page_id, CASE WHEN top.r <= 32 THEN 'host_endpoint_' || h.host ELSE 'host_endpoint_other' END"
+    " AS hot_column FROM h JOIN top ON h.host = top.host"))
 def q_url_one_hot(spark, sf):
-    """Many-valued one-hot: page URL hosts, vocabulary capped at 32 with an 'other' column."""
+    """Many-valued one-hot: page URL hosts, vocabulary capped at 32 (most
+    frequent) with an 'other' column; reported as the column set per page."""
     from loghawk.sources.tables import read_table
     pages = read_table(spark, sf, "pages").select("page_id", F.parse_url(F.col("url"), F.lit("HOST")).alias("host"))
     out, vocab = FE.one_hot(pages, "host", max_values=32)
-    return out.drop("host")
+    cols = [c for c in out.columns if c.startswith("host_endpoint_")]
+    hot = F.coalesce(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in cols])
+    return out.select("page_id", hot.alias("hot_column"))
 
 
 _ST = ["status_code_is_success", "status_code_is_redirect", "status_code_is_client_error",
