@@ -94,12 +94,16 @@ def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dro
 def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int, ...] = (128, 64, 32),
                     lr: float = 1e-3, epochs: int = 50, dropout: float = 0.2, seed: int = 42,
                     final: str = "relu", id_col: str = "log_id", split_col: str | None = "split",
-                    feature_names: list[str] | None = None) -> AutoencoderModel:
+                    feature_names: list[str] | None = None, num_partitions: int | None = None) -> AutoencoderModel:
     """Full-batch Adam on the MSE of the 'train' rows; the 'test' rows give
     the evaluation loss after every step (history).  ``df`` holds an
     ``array<double>`` feature column, a unique id and an optional split tag."""
     d = len(df.select(features).first()[0])
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # Round-robin once to the cluster's parallelism before caching: every epoch's
+    # numpy work is spread evenly (no input layout or key skew survives it) and
+    # the number of gradient partials per epoch stays bounded.
+    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    data = df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
     theta = mlp.flatten(mlp.init_params(d, hidden, seed))
     opt = mlp.Adam(theta.size, lr)
     history = []
