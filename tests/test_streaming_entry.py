@@ -52,3 +52,33 @@ def test_stream_scoring_equals_batch(spark):
     exp = {r.log_id: (round(r.reconstruction_error, 9), r.is_anomaly)
            for r in score_log(api_log(spark, SF001), model, spec).collect()}
     assert got == exp and len(got) == 1000
+
+
+def test_watermark_drops_late_rows(spark, tmp_path):
+    """Rows arriving after the watermark passed their window are not counted."""
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    cut = ev.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    src = str(tmp_path / "src")
+    ev.where(F.col("ts") >= F.lit(cut)).write.parquet(src + "/a")       # on time
+    # the stream reads folder "live"; part a lands first, the late part b later
+    import os
+    os.makedirs(src + "/live")
+    for f in os.listdir(src + "/a"):
+        if f.endswith(".parquet"):
+            os.link(os.path.join(src, "a", f), os.path.join(src, "live", "a-" + f))
+    schema_src = ST.log_stream(spark, src + "/live", "*.parquet")
+    q_df = ST.tumbling_counts(ST.with_watermark(schema_src))
+    base = str(tmp_path / "out")
+    w = (q_df.writeStream.option("checkpointLocation", base + "/ck").outputMode("append")
+         .format("parquet").option("path", base + "/rows").trigger(availableNow=True))
+    w.start().awaitTermination()
+    first = spark.read.parquet(base + "/rows").count()
+    ev.where(F.col("ts") < F.lit(cut)).write.parquet(src + "/b")         # late: hours behind the watermark
+    for f in os.listdir(src + "/b"):
+        if f.endswith(".parquet"):
+            os.link(os.path.join(src, "b", f), os.path.join(src, "live", "b-" + f))
+    w.start().awaitTermination()
+    after = spark.read.parquet(base + "/rows")
+    assert after.count() == first > 0
+    assert after.agg(F.min("window_start")).first()[0].replace(tzinfo=None) >= cut.replace(second=0, microsecond=0) \
+        - __import__("datetime").timedelta(minutes=5)
