@@ -230,6 +230,42 @@ def attend(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], s
     return agg.select("node_id", F.array(*outs).alias(features))
 
 
+def batch_norm(nodes: DataFrame, features: str = "features", eps: float = 1e-5) -> DataFrame:
+    """Per position: (x - mean) / sqrt(var + eps) with population statistics
+    over all nodes (training-mode normalisation, unit scale, zero shift);
+    one aggregate whose one-row result is applied by scalar subqueries."""
+    d = _dim(nodes, features)
+    stats = nodes.agg(*[F.avg(F.col(features)[i]).alias(f"m{i}") for i in range(d)],
+                      *[F.var_pop(F.col(features)[i]).alias(f"v{i}") for i in range(d)])
+    m = [stats.select(f"m{i}").scalar() for i in range(d)]
+    v = [stats.select(f"v{i}").scalar() for i in range(d)]
+    return nodes.withColumn(features, F.array(*[(F.col(features)[i] - m[i]) / F.sqrt(v[i] + F.lit(eps))
+                                                for i in range(d)]))
+
+
+def attention_stack(nodes: DataFrame, edges: DataFrame, layers: list[dict[str, np.ndarray]],
+                    residual: bool = False, use_batch_norm: bool = False, features: str = "features") -> DataFrame:
+    """Stacked attention layers: layer -> (batch norm) -> ELU; a residual
+    connection from the previous representation is added for layers after
+    the first when the widths match.  Every layer's output is written to the
+    checkpoint folder (lineage cut per layer)."""
+    cur = cut_lineage(nodes.select("node_id", features))
+    prev = cur
+    for i, w in enumerate(layers):
+        out = attend(cur, edges, w, activation=None if use_batch_norm else "elu", features=features)
+        if use_batch_norm:
+            out = batch_norm(out, features)
+            out = out.withColumn(features, F.transform(features, lambda v: F.when(v > 0, v).otherwise(F.exp(v) - 1)))
+        w_out = w["W"].shape[0] * w["W"].shape[2]
+        w_prev = _dim(prev, features)
+        if residual and i > 0 and w_out == w_prev:
+            out = (out.join(prev.withColumnRenamed(features, "__prev"), "node_id")
+                   .select("node_id", F.zip_with(features, "__prev", lambda a, b: a + b).alias(features)))
+        cur = cut_lineage(out.select("node_id", features))
+        prev = cur
+    return cur
+
+
 def attention_weights(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], self_loops: bool = True,
                       negative_slope: float = 0.2, features: str = "features") -> DataFrame:
     """Per edge (src, dst) the softmax attention per head (for inspection and tests)."""

@@ -149,6 +149,17 @@ def q_attention(spark, sf):
     return GR.attend(nodes, edges, w)
 
 
+@register("graph_attention_stack_pooled")
+def q_attention_stack(spark, sf):
+    """Two attention layers (4 heads x 8, then 1 head x 8) with batch norm and
+    residual, then mean pooling per node kind."""
+    _, _, edges, feats = _graph(spark, sf)
+    nodes = _scaled_feats(feats)
+    layers = [GR.init_attention(len(_GCOLS), 8, 4, seed=11), GR.init_attention(32, 8, 1, seed=12)]
+    out = GR.attention_stack(nodes, edges, layers, residual=True, use_batch_norm=True)
+    return GR.pool(out.join(nodes.select("node_id", F.col("kind").alias("graph_id")), "node_id"), "mean")
+
+
 @register("graph_reconstruction_error")
 def q_graph_error(spark, sf):
     _, _, edges, feats = _graph(spark, sf)

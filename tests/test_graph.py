@@ -80,3 +80,21 @@ def test_graph_error_fits_linear_relation(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "src long, dst long")
     err = {r.node_id: r.graph_error for r in GR.graph_error(nodes, edges, ridge=1e-9).collect()}
     assert all(err[i] < 1e-6 for i in (1, 2, 3))
+
+
+def test_attention_stack_residual_and_norm(spark):
+    nodes = _nodes(spark, [[1, 0], [0, 1], [1, 1], [2, -1]])
+    edges = spark.createDataFrame([(0, 1), (2, 1), (3, 1), (1, 0), (1, 2), (1, 3)], "src long, dst long")
+    layers = [GR.init_attention(2, 2, 2, seed=1), GR.init_attention(4, 4, 1, seed=2)]
+    out = GR.attention_stack(nodes, edges, layers, residual=True, use_batch_norm=True)
+    rows = {r.node_id: np.array(r.features) for r in out.collect()}
+    assert len(rows) == 4 and all(v.shape == (4,) for v in rows.values())
+    # residual: the second layer adds the first layer's output (widths match)
+    one = {r.node_id: np.array(r.features) for r in GR.attention_stack(nodes, edges, layers[:1], use_batch_norm=True).collect()}
+    bn = GR.batch_norm(GR.attend(GR.attend(nodes, edges, layers[0], activation=None).transform(GR.batch_norm)
+                                 .withColumn("features", F.transform("features", lambda v: F.when(v > 0, v).otherwise(F.exp(v) - 1))),
+                                 edges, layers[1], activation=None))
+    second = {r.node_id: np.array(r.features) for r in bn.collect()}
+    for i in rows:
+        elu = np.where(second[i] > 0, second[i], np.exp(second[i]) - 1)
+        assert np.allclose(rows[i], elu + one[i], atol=1e-9)
