@@ -2,10 +2,10 @@
 Arrow-batched scoring.
 
 Epoch job: ``mapInPandas`` walks each partition's Arrow batches and emits
-its partial gradient sum in chunks of ``CHUNK`` numbers; a hash aggregate
-keyed by chunk adds them with one ``sum`` per position (partial aggregation
-in every task), so the driver receives only the summed gradient (a few tens
-of thousands of numbers) however large the log is.  The same pass also sums
+its partial gradient sum, which ``plans.vector_sum.partition_sums`` adds
+across partitions with chunked per-position ``sum`` aggregates, so the
+driver receives only the summed gradient (a few tens of thousands of
+numbers) however large the log is.  The same pass also sums
 the evaluation loss of the held-out rows under the current weights.
 """
 
@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loghawk.operators import mlp
-
-CHUNK = 16
+from loghawk.plans.vector_sum import partition_sums
 
 
 @dataclass
@@ -43,11 +42,10 @@ class AutoencoderModel:
 
 def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dropout: float, seed: int, epoch: int,
                features: str, id_col: str, split_col: str | None, train_grad: bool):
+    """One pass: summed gradient of the 'train' rows and the loss sums of
+    both parts (train in training mode, test in evaluation mode)."""
     n_par = vec.size
-    n_chunks = (n_par + CHUNK - 1) // CHUNK
     bvec = data.sparkSession.sparkContext.broadcast(vec)
-    out_schema = T.StructType([T.StructField("chunk", T.IntegerType()),
-                               T.StructField("v", T.ArrayType(T.DoubleType()))])
 
     def partial(batches):
         params = mlp.unflatten(bvec.value, d, hidden)
@@ -68,27 +66,12 @@ def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dro
                 Y = mlp.forward(X[~is_train], params, final)
                 te_loss += float(((Y - X[~is_train]) ** 2).sum() / d)
                 te_n += (~is_train).sum()
-        padded = np.zeros(n_chunks * CHUNK)
-        padded[:n_par] = g
-        rows = [(c, padded[c * CHUNK:(c + 1) * CHUNK].tolist()) for c in range(n_chunks)] if train_grad else []
-        rows.append((-1, [tr_loss, float(tr_n), te_loss, float(te_n)] + [0.0] * (CHUNK - 4)))
-        yield pd.DataFrame(rows, columns=["chunk", "v"])
+        return np.concatenate([g, [tr_loss, tr_n, te_loss, te_n]])
 
     cols = [features, id_col] + ([split_col] if split_col else [])
-    parts = data.select(*cols).mapInPandas(partial, out_schema)
-    summed = parts.groupBy("chunk").agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(CHUNK)]).collect()
-    grad = np.zeros(n_par)
-    stats = np.zeros(4)
-    for r in summed:
-        vals = np.array([r[f"s{i}"] if r[f"s{i}"] is not None else 0.0 for i in range(CHUNK)])
-        if r["chunk"] == -1:
-            stats = vals[:4]
-        else:
-            lo = r["chunk"] * CHUNK
-            hi = min(lo + CHUNK, n_par)
-            grad[lo:hi] = vals[:hi - lo]
+    total = partition_sums(data.select(*cols), partial, n_par + 4)
     bvec.unpersist()
-    return grad, stats
+    return total[:n_par], total[n_par:]
 
 
 def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int, ...] = (128, 64, 32),

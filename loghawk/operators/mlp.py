@@ -120,3 +120,62 @@ class Adam:
         mh = self.m / (1 - self.b1 ** self.t)
         vh = self.v / (1 - self.b2 ** self.t)
         return theta - self.lr * mh / (np.sqrt(vh) + self.eps)
+
+
+# ------------------------------------------------ classifier head (ELU) ----
+def init_head(d_in: int, hidden: int, classes: int, seed: int = 0):
+    rng = np.random.default_rng(seed)
+    out = []
+    for fi, fo in ((d_in, hidden), (hidden, classes)):
+        lim = 1.0 / np.sqrt(fi)
+        out.append((rng.uniform(-lim, lim, (fo, fi)), rng.uniform(-lim, lim, fo)))
+    return out
+
+
+def head_sizes(d_in: int, hidden: int, classes: int) -> list[tuple[int, int]]:
+    return [(d_in, hidden), (hidden, classes)]
+
+
+def unflatten_sizes(vec: np.ndarray, sizes: list[tuple[int, int]]):
+    out, k = [], 0
+    for fi, fo in sizes:
+        W = vec[k:k + fi * fo].reshape(fo, fi)
+        k += fi * fo
+        out.append((W, vec[k:k + fo]))
+        k += fo
+    return out
+
+
+def head_forward(X: np.ndarray, params, dropout: float = 0.0, ids=None, seed: int = 0, epoch: int = 0,
+                 keep_cache: bool = False):
+    """linear -> ELU -> dropout -> linear -> log-softmax."""
+    (W1, b1), (W2, b2) = params
+    z1 = X @ W1.T + b1
+    a1 = np.where(z1 > 0, z1, np.expm1(np.minimum(z1, 0)))
+    mask = None
+    if dropout > 0:
+        mask = (hashed_uniform(seed, epoch, 0, ids, a1.shape[1]) >= dropout) / (1.0 - dropout)
+        a1 = a1 * mask
+    z2 = a1 @ W2.T + b2
+    z2 = z2 - z2.max(axis=1, keepdims=True)
+    logp = z2 - np.log(np.exp(z2).sum(axis=1, keepdims=True))
+    return (logp, (z1, a1, mask)) if keep_cache else logp
+
+
+def head_loss_and_grad(X: np.ndarray, y: np.ndarray, params, dropout: float = 0.0, ids=None, seed: int = 0,
+                       epoch: int = 0):
+    """Sums over rows: NLL, correct predictions, and the NLL gradient (flat)."""
+    (W1, b1), (W2, b2) = params
+    logp, (z1, a1, mask) = head_forward(X, params, dropout, ids, seed, epoch, keep_cache=True)
+    n = len(X)
+    loss = float(-logp[np.arange(n), y].sum())
+    correct = float((logp.argmax(axis=1) == y).sum())
+    dz2 = np.exp(logp)
+    dz2[np.arange(n), y] -= 1.0
+    gW2, gb2 = dz2.T @ a1, dz2.sum(axis=0)
+    da1 = dz2 @ W2
+    if mask is not None:
+        da1 = da1 * mask
+    dz1 = da1 * np.where(z1 > 0, 1.0, np.exp(np.minimum(z1, 0)))
+    gW1, gb1 = dz1.T @ X, dz1.sum(axis=0)
+    return loss, correct, flatten([(gW1, gb1), (gW2, gb2)])

@@ -106,6 +106,16 @@ def q_fit_predict(spark, sf):
     return CL.predict(test, model).select("log_id", "label", "prediction", "probabilities")
 
 
+@register("classify_elu_head_fit_predict")
+def q_elu_head(spark, sf):
+    """The reference's classifier head (linear-ELU-dropout-linear-log-softmax,
+    NLL, Adam; hidden 64, dropout 0.2, lr 1e-3, 50 epochs) trained with one
+    Spark job per epoch on 80% of the embeddings; predictions for the rest."""
+    train, test = train_test(_embeddings(spark, sf), 0.8, 42, "log_id")
+    model = CL.fit_elu_head(train, hidden=64, lr=1e-3, epochs=50, dropout=0.2)
+    return CL.predict_elu_head(test, model).select("log_id", "label", "prediction", "probabilities")
+
+
 @register("classify_search")
 def q_search(spark, sf):
     """20 trials (the reference's library entry point uses 20)."""

@@ -56,3 +56,29 @@ def test_save_load_same_scores(spark, tmp_path):
     assert np.allclose(e1.values, e2.values) and m2.threshold == 0.5 and spec == {"names": ["a"]}
     lat = AE.encode(df, m2).select(F.size("latent")).first()[0]
     assert lat == 3
+
+
+def test_elu_head_gradient_and_training(spark):
+    from loghawk.operators.classify import accuracy, fit_elu_head, predict_elu_head
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(8, 5))
+    y = rng.integers(0, 3, 8)
+    p = mlp.init_head(5, 4, 3, 1)
+    th = mlp.flatten(p)
+    sizes = mlp.head_sizes(5, 4, 3)
+    _, _, g = mlp.head_loss_and_grad(X, y, p, 0.3, np.arange(8), 2, 1)
+    for i in range(0, th.size, 3):
+        t = th.copy(); t[i] += 1e-6
+        lp = mlp.head_loss_and_grad(X, y, mlp.unflatten_sizes(t, sizes), 0.3, np.arange(8), 2, 1)[0]
+        t[i] -= 2e-6
+        lm = mlp.head_loss_and_grad(X, y, mlp.unflatten_sizes(t, sizes), 0.3, np.arange(8), 2, 1)[0]
+        assert abs((lp - lm) / 2e-6 - g[i]) < 1e-5
+    # separable toy data: the head learns it
+    pts = rng.normal(size=(300, 2))
+    lab = (pts[:, 0] > 0).astype(int) + (pts[:, 1] > 0).astype(int)
+    df = spark.createDataFrame([(i, [float(a), float(b)], int(c)) for i, ((a, b), c) in enumerate(zip(pts, lab))],
+                               "log_id long, features array<double>, label int")
+    m = fit_elu_head(df, hidden=16, lr=0.05, epochs=60, dropout=0.0)
+    assert m["history"][-1][1] < m["history"][0][1]
+    acc = accuracy(predict_elu_head(df, m), "label", "prediction").first()[0]
+    assert acc > 0.8
