@@ -77,10 +77,15 @@ def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dro
 def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int, ...] = (128, 64, 32),
                     lr: float = 1e-3, epochs: int = 50, dropout: float = 0.2, seed: int = 42,
                     final: str = "relu", id_col: str = "log_id", split_col: str | None = "split",
-                    feature_names: list[str] | None = None, num_partitions: int | None = None) -> AutoencoderModel:
+                    feature_names: list[str] | None = None, num_partitions: int | None = None,
+                    state_path: str | None = None, save_every: int = 5) -> AutoencoderModel:
     """Full-batch Adam on the MSE of the 'train' rows; the 'test' rows give
     the evaluation loss after every step (history).  ``df`` holds an
-    ``array<double>`` feature column, a unique id and an optional split tag."""
+    ``array<double>`` feature column, a unique id and an optional split tag.
+
+    ``state_path`` (a folder under the shared checkpoint directory): every
+    ``save_every`` epochs the weights, Adam moments, step and history are
+    written there, and a restarted driver resumes from the last save."""
     d = len(df.select(features).first()[0])
     # Round-robin once to the cluster's parallelism before caching: every epoch's
     # numpy work is spread evenly (no input layout or key skew survives it) and
@@ -90,9 +95,16 @@ def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int
     theta = mlp.flatten(mlp.init_params(d, hidden, seed))
     opt = mlp.Adam(theta.size, lr)
     history = []
+    start, prev_train = 0, None
+    spark = df.sparkSession
+    if state_path:
+        saved = _load_state(spark, state_path)
+        if saved is not None:
+            theta, opt.m, opt.v, opt.t, start, prev_train, history = saved
     try:
-        prev_train = None
-        for epoch in range(epochs):
+        for epoch in range(start, epochs):
+            if state_path and epoch > start and epoch % save_every == 0:
+                _save_state(spark, state_path, theta, opt, epoch, prev_train, history)
             grad, st = _epoch_job(data, theta, d, hidden, final, dropout, seed, epoch, features, id_col,
                                   split_col, True)
             if epoch > 0 and st[3] > 0:
@@ -109,6 +121,27 @@ def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int
     return AutoencoderModel(d, tuple(hidden), dropout, final, theta, list(feature_names or []), history=history)
 
 
+_STATE_SCHEMA = ("theta array<double>, m array<double>, v array<double>, t int, next_epoch int, "
+                 "prev_train double, history array<struct<epoch:int,train_loss:double,test_loss:double>>")
+
+
+def _save_state(spark, path: str, theta, opt, next_epoch: int, prev_train, history) -> None:
+    row = (theta.tolist(), opt.m.tolist(), opt.v.tolist(), int(opt.t), int(next_epoch),
+           None if prev_train is None else float(prev_train), [tuple(h) for h in history])
+    spark.createDataFrame([row], _STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def _load_state(spark, path: str):
+    try:
+        r = spark.read.parquet(path).first()
+    except Exception:  # no state saved yet
+        return None
+    if r is None:
+        return None
+    return (np.array(r["theta"]), np.array(r["m"]), np.array(r["v"]), r["t"], r["next_epoch"], r["prev_train"],
+            [(h["epoch"], h["train_loss"], h["test_loss"]) for h in r["history"]])
+
+
 def history(model: AutoencoderModel, spark) -> DataFrame:
     """Rows ``(epoch, train_loss, test_loss)``."""
     return spark.createDataFrame(model.history, "epoch int, train_loss double, test_loss double")

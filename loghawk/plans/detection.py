@@ -32,11 +32,12 @@ def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | No
 
 
 def train_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: float = 1e-3, dropout: float = 0.2,
-                   seed: int = 42, train_fraction: float = 0.8, final: str = "relu"):
+                   seed: int = 42, train_fraction: float = 0.8, final: str = "relu",
+                   state_path: str | None = None):
     vec, spec, scaler = prepare(log)
     tagged = split(vec, train_fraction, seed)
     model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed,
-                               final=final, feature_names=spec.names)
+                               final=final, feature_names=spec.names, state_path=state_path)
     model.scaler = dict(scaler.params)
     test = tagged.where(F.col("split") == "test")
     errs = DT.reconstruction_error(AE.reconstruct(test, model))

@@ -82,3 +82,13 @@ def test_elu_head_gradient_and_training(spark):
     assert m["history"][-1][1] < m["history"][0][1]
     acc = accuracy(predict_elu_head(df, m), "label", "prediction").first()[0]
     assert acc > 0.8
+
+
+def test_resume_from_saved_state(spark, tmp_path):
+    df = _data(spark, 300)
+    full = AE.fit_autoencoder(df, hidden=(6, 3), epochs=6, seed=9)
+    state = str(tmp_path / "state")
+    AE.fit_autoencoder(df, hidden=(6, 3), epochs=4, seed=9, state_path=state, save_every=2)   # "crashes" after 4
+    resumed = AE.fit_autoencoder(df, hidden=(6, 3), epochs=6, seed=9, state_path=state, save_every=2)
+    assert np.allclose(full.weights, resumed.weights, atol=1e-9)
+    assert [h[0] for h in resumed.history] == list(range(6))
