@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Schema of a raw access log as written by the sample generator.
@@ -19,10 +20,18 @@ RAW_LOG_SCHEMA = T.StructType([
 
 
 def read_logs(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              fmt: str = "csv", corrupt_column: str = "_corrupt_record") -> DataFrame:
+              fmt: str = "csv", corrupt_column: str = "_corrupt_record", with_id: str | None = None) -> DataFrame:
     """Scan a log.  CSV: header row, PERMISSIVE mode; malformed lines land in
     ``_corrupt_record`` instead of failing the job.  Without a schema the
-    types are inferred (one extra pass; give a schema in production)."""
+    types are inferred (one extra pass; give a schema in production).
+    ``with_id`` names a row-id column to add (``monotonically_increasing_id``:
+    unique, and stable while the files and split size stay the same; write
+    the table once to pin it for later joins with feedback)."""
+    df = _read(spark, path, schema, fmt, corrupt_column)
+    return df.withColumn(with_id, F.monotonically_increasing_id()) if with_id else df
+
+
+def _read(spark: SparkSession, path: str, schema, fmt: str, corrupt_column: str) -> DataFrame:
     if fmt == "csv":
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
         if schema is None:
