@@ -8,6 +8,7 @@ handling splits partitions of hot keys (one IP may hold a third of a log).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,11 +17,20 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_if_small(lookup: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Measure the lookup side (one cheap job over an aggregate) and hint a
-    broadcast only if it has at most ``max_rows`` rows."""
+def broadcast_if_small(lookup: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                       keep: bool = True) -> tuple[DataFrame, bool]:
+    """Measure the lookup side (one job over an aggregate, nothing cached) and
+    hint a broadcast only if it has at most ``max_rows`` rows.
+
+    With ``keep`` a lookup found small is then persisted and materialised, so
+    the jobs that broadcast it (scaler, threshold, final result) read at most
+    ``max_rows`` cached rows instead of re-aggregating the whole log.  A
+    lookup found too large is never cached."""
     n = lookup.limit(max_rows + 1).count()
     if n <= max_rows:
+        if keep:
+            lookup = lookup.persist(StorageLevel.MEMORY_AND_DISK)
+            lookup.count()            # materialise the (small) lookup once
         return F.broadcast(lookup), True
     return lookup, False
 
