@@ -136,3 +136,21 @@ def test_salted_join_equals_plain(spark):
     salted = {r.log_id: r.requests_per_ip for r in lookup_join(df, counts, "ip_address", max_broadcast_rows=0,
                                                                   salt_buckets=8, salt_source="log_id").collect()}
     assert plain == salted and plain[1] == 2000 and plain[5000] is None
+
+
+def test_keyword_mode_reads_response_time_as_epoch_ns(spark):
+    """The name-only rule treats an integer response_time_ms as a time column
+    (epoch nanoseconds: hour 0, day 1, Thursday=3) and drops the original;
+    the typed rule keeps it as a numeric feature."""
+    from loghawk.plans.preprocess import derive_features
+    rows = [(i, "10.0.0.%d" % (i % 3), "2024-01-0%d 10:00:00" % (1 + i % 3), "curl/7", "/api/x", "GET", "{}", 200,
+             100 + i) for i in range(6)]
+    df = spark.createDataFrame(rows, "log_id long, ip_address string, timestamp string, user_agent string, "
+                                     "endpoint string, method string, parameters string, status_code int, "
+                                     "response_time_ms long")
+    kw, spec_kw = derive_features(df, role_mode="keyword")
+    assert "response_time_ms" not in spec_kw.names
+    r = kw.select("response_time_ms_hour", "response_time_ms_day", "response_time_ms_dayofweek").distinct().collect()
+    assert [tuple(x) for x in r] == [(0, 1, 3)]
+    typed, spec_t = derive_features(df, role_mode="typed")
+    assert "response_time_ms" in spec_t.names and "response_time_ms_hour" not in spec_t.names
