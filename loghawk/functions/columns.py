@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 __all__ = [
     "IPV4_PATTERN", "OCTET_PATTERNS", "UA_FLAG_PATTERNS", "STATUS_CLASSES",
     "time_part_columns", "bucket_start", "ip_octet", "ua_flag", "status_class_columns",
-    "round6", "vector_mse", "z_score", "col_or_lit",
+    "round6", "vector_mse", "z_score", "col_or_lit", "ZERO_SCALE",
 ]
 
 # ---------------------------------------------------------------------------
@@ -90,9 +90,13 @@ def status_class_columns(status: str | Column, prefix: str) -> dict[str, Column]
     return out
 
 
+# A scale below 10 x double epsilon counts as zero (float noise of a constant column).
+ZERO_SCALE = 10 * 2.220446049250313e-16
+
+
 def z_score(x: Column, mean: Column, std: Column) -> Column:
-    """(x - mean) / std with a zero (or NULL) std giving 0, as the reference's scaler."""
-    return F.when((std.isNull()) | (std == 0), F.lit(0.0)).otherwise((x - mean) / std)
+    """(x - mean) / std with a zero (or NULL, or float-noise) std giving 0."""
+    return F.when((std.isNull()) | (std <= F.lit(ZERO_SCALE)), F.lit(0.0)).otherwise((x - mean) / std)
 
 
 def vector_mse(x: str | Column, y: str | Column) -> Column:

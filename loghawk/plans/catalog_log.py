@@ -14,6 +14,7 @@ from loghawk.operators.schema import detect_roles, map_columns, required_columns
 from loghawk.plans.preprocess import ZSCORE_FEATURES, derive_features, zscore_scored
 from loghawk.plans.registry import (IPV4, SQL_BUCKET5, SQL_FEATURE_EXPRS, SQL_FEATURES_CTE, finish, register,
                                     sql_finish, sql_zscore_ctes, with_log)
+from loghawk.functions.columns import ZERO_SCALE
 from loghawk.sources.tables import API_LOG_COLUMNS, api_log
 
 ZS = sql_zscore_ctes(ZSCORE_FEATURES)
@@ -455,7 +456,7 @@ def q_scale_fit(spark, sf):
     " , f0 AS (SELECT *, " + SQL_FEATURE_EXPRS["request_time_hour"] + " AS request_time_hour FROM api_log)"
     ", s AS (SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in _SC)
     + " FROM f0) SELECT log_id, " + ", ".join(
-        f"CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END AS {c}" for c in _SC)
+        f"CASE WHEN s_{c} IS NULL OR s_{c} <= {ZERO_SCALE!r} THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END AS {c}" for c in _SC)
     + " FROM f0, s"), doubles=_SC, others=["log_id"]))
 def q_scale_apply(spark, sf):
     log = FE.time_features(_log(spark, sf), "request_time").select("log_id", *_SC)

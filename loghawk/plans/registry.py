@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loghawk.functions.columns import ZERO_SCALE
 from loghawk.sources.tables import API_LOG_SQL
 
 # Inputs have two decimals, so sums and means often sit exactly halfway
@@ -95,7 +96,7 @@ def sql_zscore_ctes(features: list[str]) -> str:
     t (one-row threshold) after SQL_FEATURES_CTE."""
     fill = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in features)
     stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}" for c in features)
-    zs = " + ".join(f"(CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END) ^ 2"
+    zs = " + ".join(f"(CASE WHEN s_{c} IS NULL OR s_{c} <= {ZERO_SCALE!r} THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END) ^ 2"
                     for c in features)
     return (f", f1 AS (SELECT log_id, ip_address, request_time, status_code, {fill} FROM f)"
             f", s AS (SELECT {stats} FROM f1)"
