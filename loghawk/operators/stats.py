@@ -24,12 +24,17 @@ def kth_smallest(df: DataFrame, col: str, ks: list[int], bins: int = 4096,
     Ranks that fall in the same bin (e.g. the two neighbours of an
     interpolated percentile, usually) share every narrowing pass; each round
     keeps only bins holding a wanted rank, so every range strictly shrinks."""
+    return _order_stats(df, col, lambda total: ks, bins, max_collect)[1]
+
+
+def _order_stats(df: DataFrame, col: str, ranks_for, bins: int, max_collect: int) -> tuple[int, dict[int, float]]:
+    """Persist the values once; ``ranks_for(n)`` picks the ranks from the row count."""
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
         total = stats["n"]
-        want = sorted(set(ks))
+        want = sorted(set(ranks_for(total))) if total else []
         if want and not (0 <= want[0] and want[-1] < total):
             raise IndexError(f"ranks {want[0]}..{want[-1]} outside 0..{total - 1}")
         out: dict[int, float] = {}
@@ -56,19 +61,23 @@ def kth_smallest(df: DataFrame, col: str, ks: list[int], bins: int = 4096,
                 seen += r["n"]
                 if ranks[-1] < seen:
                     break
-        return out
+        return total, out
     finally:
         vals.unpersist()
 
 
-def exact_percentile(df: DataFrame, col: str, q: float) -> float | None:
-    """Linear-interpolation percentile (numpy default), ``q`` in [0, 100]."""
-    n = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).count()
+def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 4096,
+                     max_collect: int = 50_000) -> float | None:
+    """Linear-interpolation percentile (numpy default), ``q`` in [0, 100];
+    one persisted pass of the values feeds the count and the selection."""
+    def ranks(n):
+        pos = q / 100.0 * (n - 1)
+        return [int(math.floor(pos)), min(int(math.floor(pos)) + 1, n - 1)]
+    n, got = _order_stats(df, col, ranks, bins, max_collect)
     if n == 0:
         return None
     pos = q / 100.0 * (n - 1)
     lo_i = int(math.floor(pos))
     hi_i = min(lo_i + 1, n - 1)
-    got = kth_smallest(df, col, [lo_i, hi_i])
     a, b = got[lo_i], got[hi_i]
     return a + (b - a) * (pos - lo_i)
