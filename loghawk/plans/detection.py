@@ -33,8 +33,14 @@ def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | No
 
 def train_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: float = 1e-3, dropout: float = 0.2,
                    seed: int = 42, train_fraction: float = 0.8, final: str = "relu",
-                   state_path: str | None = None):
+                   state_path: str | None = None, sample_fraction: float | None = None):
+    """Fit the detector.  Features, vocabulary and scaler always come from the
+    whole log.  ``sample_fraction`` (default: none) trains the network on a
+    repeatable hash sample of the rows -- for logs whose feature vectors do
+    not fit the cluster's cache 50 times over; scoring always covers every row."""
     vec, spec, scaler = prepare(log)
+    if sample_fraction is not None and sample_fraction < 1.0:
+        vec = split(vec, sample_fraction, seed + 1, out="__sample").where(F.col("__sample") == "train").drop("__sample")
     tagged = split(vec, train_fraction, seed)
     model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed,
                                final=final, feature_names=spec.names, state_path=state_path)
