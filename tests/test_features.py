@@ -154,3 +154,18 @@ def test_keyword_mode_reads_response_time_as_epoch_ns(spark):
     assert [tuple(x) for x in r] == [(0, 1, 3)]
     typed, spec_t = derive_features(df, role_mode="typed")
     assert "response_time_ms" in spec_t.names and "response_time_ms_hour" not in spec_t.names
+
+
+def test_csv_scan_keeps_malformed_lines(spark, tmp_path):
+    from loghawk.sources.logs import RAW_LOG_SCHEMA, read_logs
+    p = tmp_path / "log.csv"
+    p.write_text("ip_address,timestamp,user_agent,endpoint,method,parameters,status_code,response_time_ms\n"
+                 "1.2.3.4,2024-01-01 10:00:00,curl,/api/a,GET,{},200,12\n"
+                 "5.6.7.8,2024-01-01 10:01:00,curl,/api/b,GET,{},not-a-number,13\n")
+    df = read_logs(spark, str(p), RAW_LOG_SCHEMA, with_id="log_id").cache()
+    rows = {r.ip_address: r for r in df.collect()}
+    assert rows["1.2.3.4"].status_code == 200 and rows["1.2.3.4"]["_corrupt_record"] is None
+    assert rows["5.6.7.8"].status_code is None and rows["5.6.7.8"]["_corrupt_record"] is not None
+    assert df.select("log_id").distinct().count() == 2
+    inferred = read_logs(spark, str(p))
+    assert dict(inferred.dtypes)["response_time_ms"] in ("int", "bigint")
