@@ -463,11 +463,16 @@ def q_scale_apply(spark, sf):
     return finish(apply_scaler(log, fit_scaler(log, _SC).collect()))
 
 
-@register("scale_to_vector", with_log(
-    " SELECT log_id, [CAST(status_code AS DOUBLE), response_ms, CAST(hour(request_time) AS DOUBLE)] AS features FROM api_log"))
+@register("scale_to_vector", sql_finish(with_log(
+    " , v AS (SELECT log_id, [CAST(status_code AS DOUBLE), response_ms, CAST(hour(request_time) AS DOUBLE)] AS features"
+    " FROM api_log) SELECT log_id, CAST(len(features) AS INTEGER) AS dim, features[1] AS v0, features[2] AS v1,"
+    " features[3] AS v2 FROM v"), doubles=["v0", "v1", "v2"], others=["log_id", "dim"]))
 def q_vector(spark, sf):
+    """The ordered feature vector, reported as its length and elements."""
     log = FE.time_features(_log(spark, sf), "request_time")
-    return to_vector(log, ["status_code", "response_ms", "request_time_hour"])
+    vec = to_vector(log, ["status_code", "response_ms", "request_time_hour"])
+    return finish(vec.select("log_id", F.size("features").alias("dim"),
+                             *[F.col("features")[i].alias(f"v{i}") for i in range(3)]))
 
 
 @register("split_train_test", with_log(
