@@ -125,7 +125,7 @@ def compact_edges(edges: DataFrame) -> DataFrame:
 
 
 def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "features",
-               checkpoint_each: bool = True) -> DataFrame:
+               checkpoint_each: bool = True, dim: int | None = None) -> DataFrame:
     """Mean of in-neighbour features, ``k`` times (repeated edges weigh more);
     a node without in-edges gets zeros.  Edges are compacted to weights and
     checkpointed once; each round joins them with the current features on
@@ -135,7 +135,7 @@ def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "
     w_edges = compact_edges(edges)
     if checkpoint_each:
         cur, w_edges = cut_lineage(cur), cut_lineage(w_edges)
-    d = _dim(cur, features)
+    d = dim or _dim(cur, features)
     ids = cur.select("node_id")
     zeros = F.array(*[F.lit(0.0) for _ in range(d)])
     for _ in range(k):
@@ -151,11 +151,12 @@ def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "
     return cur
 
 
-def pool(df: DataFrame, how: str = "add", graph_col: str = "graph_id", features: str = "features") -> DataFrame:
+def pool(df: DataFrame, how: str = "add", graph_col: str = "graph_id", features: str = "features",
+         dim: int | None = None) -> DataFrame:
     """Per graph: sum ('add') or mean ('mean') of node vectors."""
     if how not in ("add", "mean"):
         raise ValueError(f"Unsupported pooling method: {how}")
-    d = _dim(df, features)
+    d = dim or _dim(df, features)
     f = F.sum if how == "add" else F.avg
     agg = df.groupBy(graph_col).agg(*[f(F.col(features)[i].cast("double")).alias(f"__p{i}") for i in range(d)])
     return agg.select(graph_col, F.array(*[F.col(f"__p{i}") for i in range(d)]).alias("pooled"))

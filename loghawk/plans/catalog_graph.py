@@ -102,7 +102,7 @@ def _hop_sql(src: str, dst: str) -> str:
     + " FROM nodes n LEFT JOIN r2 ON n.node_id = r2.node_id"), doubles=_F, others=["node_id"]))
 def q_khop(spark, sf):
     _, _, edges, feats = _graph(spark, sf)
-    return finish(_flat(GR.k_hop_mean(feats, edges, 2)))
+    return finish(_flat(GR.k_hop_mean(feats, edges, 2, dim=len(_GCOLS))))
 
 
 _EMB = 64
@@ -117,7 +117,7 @@ def _pool_sql(how: str) -> str:
 def _pool(spark, sf, how):
     emb = read_table(spark, sf, "embeddings").select(F.col("label").alias("graph_id"),
                                                      F.col("embedding").alias("features"))
-    return finish(_flat(GR.pool(emb, how), "pooled", _EMB, "p"))
+    return finish(_flat(GR.pool(emb, how, dim=_EMB), "pooled", _EMB, "p"))
 
 
 @register("graph_pool_add", sql_finish(_pool_sql("add"), doubles=[f"p{i}" for i in range(_EMB)], others=["graph_id"]))
