@@ -59,6 +59,14 @@ def q_running(spark, sf):
     return ST.latest_per_key(spark.read.parquet(path), ["ip_address"])
 
 
+@register("stream_running_ip_totals_expiring",
+          f"SELECT {_ip()} AS ip_address, count(*) AS requests_so_far FROM events ev GROUP BY 1")
+def q_running_expiring(spark, sf):
+    """Running totals with per-IP state that expires after an idle hour."""
+    path, _ = ST.run_to_table(ST.running_ip_totals_expiring(_stream(spark, sf)), "running-exp", mode="update")
+    return ST.latest_per_key(spark.read.parquet(path), ["ip_address"]).select("ip_address", "requests_so_far")
+
+
 @register("stream_scoring")
 def q_stream_scoring(spark, sf):
     """Score the stream with the autoencoder trained on the same log."""

@@ -66,6 +66,36 @@ def running_ip_totals(df: DataFrame, ip: str = "ip_address") -> DataFrame:
     return df.where(F.col(ip).isNotNull()).groupBy(ip).agg(F.count(F.lit(1)).alias("requests_so_far"))
 
 
+def running_ip_totals_expiring(df: DataFrame, ip: str = "ip_address", ts: str = "request_time",
+                               idle: str = "1 hour") -> DataFrame:
+    """ST7 with bounded state: running requests per IP kept by
+    ``applyInPandasWithState`` (RocksDB state: count, last event time); an
+    IP idle for ``idle`` past the watermark times out and its state is
+    dropped, so state is bounded by the active IPs, not all IPs ever seen.
+    Needs a watermark on ``ts``.  Output (update mode): IPs changed in the
+    micro-batch with their running total and last event time."""
+    import pandas as pd
+
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    out_schema = f"{ip} string, requests_so_far long, last_seen timestamp"
+    state_schema = "n long, last_ms long"
+
+    def update(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for pdf in batches:
+            n += len(pdf)
+            last = max(last, int(pd.to_datetime(pdf[ts]).max().value // 1_000_000))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({ip: [key[0]], "requests_so_far": [n], "last_seen": [pd.Timestamp(last, unit="ms")]})
+
+    return (df.where(F.col(ip).isNotNull()).select(ip, ts).groupBy(ip)
+            .applyInPandasWithState(update, out_schema, state_schema, "update", "EventTimeTimeout"))
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now: bool = True,
                  processing_time: str | None = None) -> tuple[str, StreamingQuery]:
     """Start a stream writing Parquet under the checkpoint folder.  Append

@@ -82,3 +82,32 @@ def test_watermark_drops_late_rows(spark, tmp_path):
     assert after.count() == first > 0
     assert after.agg(F.min("window_start")).first()[0].replace(tzinfo=None) >= cut.replace(second=0, microsecond=0) \
         - __import__("datetime").timedelta(minutes=5)
+
+
+def test_idle_ip_state_expires(spark, tmp_path):
+    import datetime as dt
+    import os
+    src, live, base = str(tmp_path / "src"), str(tmp_path / "live"), str(tmp_path / "out")
+    os.makedirs(live)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+    def land(name, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{name}")
+        for f in os.listdir(f"{src}/{name}"):
+            if f.endswith(".parquet"):
+                os.link(f"{src}/{name}/{f}", f"{live}/{name}-{f}")
+
+    t0 = dt.datetime(2024, 1, 1, 0, 0)
+    land("a", [(1, t0, 1, "view", 1.0, "{}")])
+    q = ST.running_ip_totals_expiring(ST.with_watermark(ST.log_stream(spark, live, "*.parquet")), idle="1 hour")
+    w = (q.writeStream.option("checkpointLocation", base + "/ck").outputMode("update")
+         .foreachBatch(lambda b, i: b.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(base + "/rows"))
+         .trigger(availableNow=True))
+    w.start().awaitTermination()
+    land("b", [(2, t0 + dt.timedelta(hours=5), 2, "view", 1.0, "{}")])        # moves the watermark on
+    w.start().awaitTermination()
+    land("c", [(3, t0 + dt.timedelta(hours=5, minutes=10), 1, "view", 1.0, "{}")])  # the idle IP returns
+    w.start().awaitTermination()
+    got = {r.ip_address: r.requests_so_far
+           for r in ST.latest_per_key(spark.read.parquet(base + "/rows"), ["ip_address"]).collect()}
+    assert got["10.1.0.1"] == 1 and got["10.2.0.2"] == 1      # restarted after expiry (else 2)
