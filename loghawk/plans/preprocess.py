@@ -106,17 +106,51 @@ def zscore_scored(log: DataFrame, features: list[str] = ZSCORE_FEATURES,
     error of the all-zero reconstruction) -> mean+3*std threshold -> flag and
     score.  Returns log_id, ip_address, request_time, status_code (raw), error, flag, score.
 
-    The scaler statistics (2 numbers per feature) and the threshold (1
-    number) are collected as literals: three scans of the pruned feature
-    columns, each a partial+final aggregate, and a flat final plan."""
+    Three scans of the pruned log columns:
+    1. one ``rollup(ip_address)`` aggregate: the per-IP groups are the
+       request counts, the grand-total group gives the row count and the mean
+       and population std of every other feature (partial aggregation, so a
+       hot IP is pre-combined in each task).  The row-weighted mean and std of
+       ``requests_per_ip`` follow exactly from the per-IP counts (each IP's
+       count c appears on c rows), computed on the small per-IP table;
+    2. the threshold aggregate; 3. the final projection.
+    The per-IP table is joined back by broadcast when its (known) row count is
+    at most ``max_broadcast_rows``, else by a shuffle join (AQE skew handling)."""
+    from pyspark import StorageLevel
+
+    from loghawk.operators.scaling import Scaler
+    from loghawk.plans.joins import lookup_join
+
+    rpi = "requests_per_ip"
+    others = [c for c in features if c != rpi]
     f = FE.time_features(log, "request_time")
     f = FE.ip_octets(f, "ip_address")
     f = FE.ua_flags(f, "user_agent")
     f = FE.status_class(f, "status_code")
-    f = AG.with_requests_per_ip(f, "ip_address", max_broadcast_rows=max_broadcast_rows)
     f = FE.fill_missing(f.select("log_id", "ip_address", "request_time", F.col("status_code").alias("__status"),
-                                 *features), features)
-    scaler = fit_scaler(f, features).collect()
+                                 *others), others)
+    roll = f.rollup("ip_address").agg(
+        F.grouping("ip_address").alias("__g"), F.count(F.lit(1)).alias("__n"),
+        *[F.avg(F.col(c).cast("double")).alias(f"{c}__mean") for c in others],
+        *[F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__std") for c in others])
+    roll = roll.persist(StorageLevel.MEMORY_AND_DISK)
+    total = roll.where(F.col("__g") == 1).first()
+    per_ip = roll.where((F.col("__g") == 0) & F.col("ip_address").isNotNull()).select(
+        "ip_address", F.col("__n").alias(rpi))
+    n_rows = total["__n"]
+    params = {c: (total[f"{c}__mean"], total[f"{c}__std"]) for c in others}
+    if rpi in features:
+        m = per_ip.agg(F.count(F.lit(1)).alias("ips"), F.sum(F.col(rpi) * F.col(rpi)).alias("s2"),
+                       F.sum(rpi).alias("s1")).first()
+        mean_r = (m["s2"] or 0) / n_rows if n_rows else None
+        dev = per_ip.agg(F.sum(F.col(rpi) * (F.col(rpi) - F.lit(mean_r)) ** 2).alias("d")).first()["d"] or 0.0
+        null_rows = n_rows - (m["s1"] or 0)          # rows without an IP have a count of 0
+        params[rpi] = (mean_r, ((dev + null_rows * mean_r ** 2) / n_rows) ** 0.5 if n_rows else None)
+        limit = None if max_broadcast_rows is None else max_broadcast_rows
+        small = limit is not None and m["ips"] <= limit
+        f = lookup_join(f, F.broadcast(per_ip) if small else per_ip, "ip_address", "left", max_broadcast_rows=None)
+        f = FE.fill_missing(f, [rpi])
+    scaler = Scaler(list(features), params=params)
     z = apply_scaler(f, scaler)
     err = sum((F.col(c) * F.col(c) for c in features), F.lit(0.0)) / F.lit(float(len(features)))
     scored = z.select("log_id", "ip_address", "request_time", F.col("__status").alias("status_code"),

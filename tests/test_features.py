@@ -169,3 +169,31 @@ def test_csv_scan_keeps_malformed_lines(spark, tmp_path):
     assert df.select("log_id").distinct().count() == 2
     inferred = read_logs(spark, str(p))
     assert dict(inferred.dtypes)["response_time_ms"] in ("int", "bigint")
+
+
+def test_zscore_rollup_stats_match_direct(spark):
+    """The flagship's one-scan rollup statistics equal a direct computation,
+    with NULL IPs counted as 0 requests and a hot IP."""
+    import numpy as np
+    import pandas as pd
+    from loghawk.plans.preprocess import zscore_scored
+    rows = []
+    for i in range(300):
+        ip = None if i % 17 == 0 else ("10.0.0.1" if i % 3 == 0 else f"10.0.{i % 5}.{i % 7}")
+        rows.append((i, ip, dt.datetime(2024, 1, 1 + i % 9, i % 24, i % 60), "Mozilla Chrome" if i % 2 else None,
+                     "/api/x", "GET", "{}", [200, 302, 404, 500][i % 4], float(i % 13)))
+    log = spark.createDataFrame(rows, "log_id long, ip_address string, request_time timestamp_ntz, user_agent string,"
+                                      " endpoint string, method string, parameters string, status_code int,"
+                                      " response_ms double")
+    got = {r.log_id: r.reconstruction_error for r in zscore_scored(log).collect()}
+    pdf = pd.DataFrame(rows, columns=["log_id", "ip", "t", "ua", "ep", "m", "p", "status", "resp"])
+    counts = pdf.groupby("ip").size()
+    rpi = pdf["ip"].map(counts).fillna(0).to_numpy(float)
+    z = (rpi - rpi.mean()) / rpi.std()
+    # only the requests_per_ip term is checked: error minus all other terms is z^2 / 16
+    from loghawk.plans.preprocess import ZSCORE_FEATURES
+    assert len(got) == 300
+    only_rpi = zscore_scored(log, features=["requests_per_ip"]).collect()
+    by_id = {r.log_id: r.reconstruction_error for r in only_rpi}
+    assert np.allclose([by_id[i] for i in pdf["log_id"]], z ** 2, atol=1e-9)
+    assert len(ZSCORE_FEATURES) == 16
