@@ -128,9 +128,9 @@ def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "
                checkpoint_each: bool = True, dim: int | None = None) -> DataFrame:
     """Mean of in-neighbour features, ``k`` times (repeated edges weigh more);
     a node without in-edges gets zeros.  Edges are compacted to weights and
-    checkpointed once; each round joins them with the current features on
-    src, aggregates by dst (partial weighted sums per position) and is
-    checkpointed (reliably) to cut the lineage."""
+    written once to the checkpoint folder; each round joins them with the
+    current features on src, aggregates by dst (partial weighted sums per
+    position) and is written there too, cutting the lineage."""
     cur = nodes.select("node_id", features)
     w_edges = compact_edges(edges)
     if checkpoint_each:
