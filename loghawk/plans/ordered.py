@@ -5,8 +5,8 @@ task.  ``with_prefix_sums`` instead range-partitions on the sort key (Spark
 samples the key to cut balanced ranges, so one hot group is split across
 tasks), sums inside each sorted partition with an Arrow batch function,
 writes that to the checkpoint folder (freezing partition ids and cutting
-the lineage), and adds each
-partition's offset from a table with one row per partition.
+the lineage), and adds each partition's offset from a table with one row
+per partition.
 """
 
 from __future__ import annotations
