@@ -50,8 +50,9 @@ def bipartite_nodes(df: DataFrame, ip: str = "ip_address", endpoint: str = "endp
     """``(node_id, kind, key)``: IPs get ids 0..n-1 in sorted order, endpoints
     n.. after them -- one distributed global index over the distinct keys
     ordered by (kind, key), never a collected dictionary."""
-    keys = (df.select(F.lit(0).alias("__k"), F.col(ip).alias("key"))
-            .unionByName(df.select(F.lit(1).alias("__k"), F.col(endpoint).alias("key")))
+    pairs = F.explode(F.array(F.struct(F.lit(0).alias("__k"), F.col(ip).alias("key")),
+                              F.struct(F.lit(1).alias("__k"), F.col(endpoint).alias("key"))))
+    keys = (df.select(pairs.alias("p")).select("p.*")         # one scan of the log
             .where(F.col("key").isNotNull()).distinct())
     idx = with_global_index(keys, ["__k", "key"], "node_id")
     return idx.select("node_id", F.when(F.col("__k") == 0, "ip").otherwise("endpoint").alias("kind"), "key")
@@ -82,10 +83,14 @@ def vector_mean_by(df: DataFrame, key: str | list[str], cols: list[str], out: st
 def node_features(df: DataFrame, nodes: DataFrame, cols: list[str], ip: str = "ip_address",
                   endpoint: str = "endpoint") -> DataFrame:
     """Bipartite node features: the mean feature vector of each IP's and each
-    endpoint's requests (the rows really behind the node)."""
-    ipf = vector_mean_by(df, ip, cols).withColumnRenamed(ip, "key").withColumn("kind", F.lit("ip"))
-    epf = vector_mean_by(df, endpoint, cols).withColumnRenamed(endpoint, "key").withColumn("kind", F.lit("endpoint"))
-    return nodes.join(ipf.unionByName(epf), ["kind", "key"], "left").select("node_id", "kind", "key", "features")
+    endpoint's requests (the rows really behind the node), both kinds from
+    one scan (grouping sets ``(ip)`` and ``(endpoint)``)."""
+    agg = df.groupingSets([[ip], [endpoint]], ip, endpoint).agg(
+        F.grouping(ip).alias("__gi"), *[F.avg(F.col(c).cast("double")).alias(f"__m{i}") for i, c in enumerate(cols)])
+    feats = agg.select(F.when(F.col("__gi") == 0, "ip").otherwise("endpoint").alias("kind"),
+                       F.when(F.col("__gi") == 0, F.col(ip)).otherwise(F.col(endpoint)).alias("key"),
+                       F.array(*[F.col(f"__m{i}") for i in range(len(cols))]).alias("features"))
+    return nodes.join(feats, ["kind", "key"], "left").select("node_id", "kind", "key", "features")
 
 
 def graph_tables(nodes: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
