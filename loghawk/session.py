@@ -74,3 +74,26 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 200 * 1024 ** 2,
+                   file_split_bytes: int = 256 * 1024 ** 2) -> dict[str, str]:
+    """Shuffle and scan sizing for a job over ``input_bytes`` of Parquet:
+    about one shuffle partition per 200 MB (AQE coalesces small ones and
+    splits skewed ones at run time) and 256 MB file splits.  Only settings
+    the session does not carry already are set; returns what was set."""
+    wanted = {
+        "spark.sql.shuffle.partitions": str(max(int(input_bytes // target_partition_bytes), 8)),
+        "spark.sql.files.maxPartitionBytes": str(file_split_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 ** 2),
+    }
+    spark_defaults = {"spark.sql.shuffle.partitions": {"200"},
+                      "spark.sql.files.maxPartitionBytes": {"128MB", "134217728", "128m"},
+                      "spark.sql.adaptive.advisoryPartitionSizeInBytes": {"64MB", "67108864", "64m"}}
+    done = {}
+    for k, v in wanted.items():
+        current = spark.conf.get(k, None)
+        if current in (None, "") or current in spark_defaults[k]:
+            spark.conf.set(k, v)
+            done[k] = v
+    return done
