@@ -43,6 +43,8 @@ def threshold(df: DataFrame, col: str = "reconstruction_error", method: str = "s
 def _t(t) -> Column:
     if isinstance(t, DataFrame):
         return t.select("threshold").scalar()
+    if t is None:                      # e.g. the threshold of an empty table
+        return F.lit(None).cast("double")
     return t if isinstance(t, Column) else F.lit(float(t))
 
 

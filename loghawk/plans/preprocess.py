@@ -134,11 +134,11 @@ def zscore_scored(log: DataFrame, features: list[str] = ZSCORE_FEATURES,
         *[F.avg(F.col(c).cast("double")).alias(f"{c}__mean") for c in others],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__std") for c in others])
     roll = roll.persist(StorageLevel.MEMORY_AND_DISK)
-    total = roll.where(F.col("__g") == 1).first()
+    total = roll.where(F.col("__g") == 1).first()          # None for an empty log
     per_ip = roll.where((F.col("__g") == 0) & F.col("ip_address").isNotNull()).select(
         "ip_address", F.col("__n").alias(rpi))
-    n_rows = total["__n"]
-    params = {c: (total[f"{c}__mean"], total[f"{c}__std"]) for c in others}
+    n_rows = total["__n"] if total is not None else 0
+    params = {c: (total[f"{c}__mean"], total[f"{c}__std"]) if total is not None else (None, None) for c in others}
     if rpi in features:
         m = per_ip.agg(F.count(F.lit(1)).alias("ips"), F.sum(F.col(rpi) * F.col(rpi)).alias("s2"),
                        F.sum(rpi).alias("s1")).first()

@@ -197,3 +197,10 @@ def test_zscore_rollup_stats_match_direct(spark):
     by_id = {r.log_id: r.reconstruction_error for r in only_rpi}
     assert np.allclose([by_id[i] for i in pdf["log_id"]], z ** 2, atol=1e-9)
     assert len(ZSCORE_FEATURES) == 16
+
+
+def test_flagship_on_empty_log(spark):
+    from loghawk.plans.preprocess import zscore_scored
+    from loghawk.sources.tables import api_log
+    empty = api_log(spark, "/root/testdata/sf0.001").limit(0)
+    assert zscore_scored(empty).count() == 0
