@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 __all__ = [
     "IPV4_PATTERN", "OCTET_PATTERNS", "UA_FLAG_PATTERNS", "STATUS_CLASSES",
     "time_part_columns", "bucket_start", "ip_octet", "ua_flag", "status_class_columns",
-    "round6", "vector_mse", "z_score", "col_or_lit", "ZERO_SCALE",
+    "round6", "vector_mse", "z_score", "col_or_lit", "qcol", "ZERO_SCALE",
 ]
 
 # ---------------------------------------------------------------------------
@@ -45,6 +45,12 @@ def col_or_lit(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def qcol(name: str) -> Column:
+    """A column by its exact name: dots or slashes inside a derived name (a
+    one-hot column of ``/api/v1.0``) are not read as struct-field access."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def time_part_columns(ts: str | Column, prefix: str) -> dict[str, Column]:
     """``{prefix}_hour``, ``{prefix}_day``, ``{prefix}_dayofweek`` (Monday = 0)."""
     c = col_or_lit(ts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loghawk.functions.columns import (IPV4_PATTERN, OCTET_PATTERNS, UA_FLAG_PATTERNS, STATUS_CLASSES,
-                                       ip_octet, status_class_columns, time_part_columns, ua_flag)
+                                       ip_octet, qcol, status_class_columns, time_part_columns, ua_flag)
 from loghawk.operators.schema import ROLE_KEYWORDS
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
@@ -54,7 +54,7 @@ def ua_flags(df: DataFrame, col: str) -> DataFrame:
 def _stack_totals(df: DataFrame, names: list[str], label: str) -> DataFrame:
     """One aggregate pass, then a stack: (label, total, pct)."""
     n = F.count(F.lit(1))
-    aggs = [F.sum(F.col(c)).cast("long").alias(c) for c in names] + [n.alias("__n")]
+    aggs = [F.sum(qcol(c)).cast("long").alias(c) for c in names] + [n.alias("__n")]
     one = df.agg(*aggs)
     rows = ", ".join(f"'{c}', `{c}`" for c in names)
     return (one.selectExpr(f"stack({len(names)}, {rows}) AS ({label}, total)", "__n")
@@ -140,14 +140,14 @@ def select_features(df: DataFrame, roles: dict[str, list[str]] | None = None, ru
         raise ValueError(f"unknown rule {rule}")
     kept = [n for n in names
             if n in keep or (n not in drop and is_numeric(df.schema[n].dataType))]
-    return df.select(*kept)
+    return df.select(*[qcol(n) for n in kept])
 
 
 def numeric_only(df: DataFrame, keep: tuple[str, ...] = ("log_id",)) -> DataFrame:
     cols = [f.name for f in df.schema.fields if f.name in keep or is_numeric(f.dataType)]
     if not [c for c in cols if c not in keep]:
         raise ValueError("no numeric columns found")
-    return df.select(*cols)
+    return df.select(*[qcol(c) for c in cols])
 
 
 def fill_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -156,7 +156,7 @@ def fill_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     out = {}
     for c in cols:
         dt = df.schema[c].dataType
-        x = F.col(c)
+        x = qcol(c)
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             x = F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None)).otherwise(x)
         out[c] = F.coalesce(x, F.lit(0).cast(dt))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loghawk.functions.columns import z_score
+from loghawk.functions.columns import qcol, z_score
 
 
 @dataclass
@@ -25,12 +25,12 @@ class Scaler:
     def mean(self, c: str) -> Column:
         if c in self.params:
             return F.lit(self.params[c][0])
-        return self.stats.select(f"{c}__mean").scalar()
+        return self.stats.select(qcol(f"{c}__mean")).scalar()
 
     def std(self, c: str) -> Column:
         if c in self.params:
             return F.lit(self.params[c][1])
-        return self.stats.select(f"{c}__std").scalar()
+        return self.stats.select(qcol(f"{c}__std")).scalar()
 
     def collect(self) -> "Scaler":
         """Materialise the one-row statistics (bounded: 2 numbers per feature)."""
@@ -44,14 +44,14 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> Scaler:
     """Mean and population std of each column in one aggregate (partial + final)."""
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = qcol(c).cast("double")
         aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_pop(x).alias(f"{c}__std")]
     return Scaler(list(cols), df.agg(*aggs))
 
 
 def apply_scaler(df: DataFrame, scaler: Scaler) -> DataFrame:
     """(x - mean) / std per column; std 0 gives 0."""
-    return df.withColumns({c: z_score(F.col(c).cast("double"), scaler.mean(c), scaler.std(c))
+    return df.withColumns({c: z_score(qcol(c).cast("double"), scaler.mean(c), scaler.std(c))
                            for c in scaler.columns})
 
 
@@ -68,7 +68,7 @@ def to_vector(df: DataFrame, names: list[str], out: str = "features", keep: tupl
     if missing:
         raise ValueError(f"features missing from input: {missing}")
     ids = [k for k in keep if k in df.columns]
-    return df.select(*ids, F.array(*[F.col(n).cast("double") for n in names]).alias(out))
+    return df.select(*ids, F.array(*[qcol(n).cast("double") for n in names]).alias(out))
 
 
 def _hash_key(seed: int, id_col: str) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loghawk.functions.columns import qcol
 from loghawk.operators import aggregates as AG
 from loghawk.operators import detect as DT
 from loghawk.operators import features as FE
@@ -131,8 +132,8 @@ def zscore_scored(log: DataFrame, features: list[str] = ZSCORE_FEATURES,
                                  *others), others)
     roll = f.rollup("ip_address").agg(
         F.grouping("ip_address").alias("__g"), F.count(F.lit(1)).alias("__n"),
-        *[F.avg(F.col(c).cast("double")).alias(f"{c}__mean") for c in others],
-        *[F.stddev_pop(F.col(c).cast("double")).alias(f"{c}__std") for c in others])
+        *[F.avg(qcol(c).cast("double")).alias(f"{c}__mean") for c in others],
+        *[F.stddev_pop(qcol(c).cast("double")).alias(f"{c}__std") for c in others])
     roll = roll.persist(StorageLevel.MEMORY_AND_DISK)
     total = roll.where(F.col("__g") == 1).first()          # None for an empty log
     per_ip = roll.where((F.col("__g") == 0) & F.col("ip_address").isNotNull()).select(
@@ -152,7 +153,7 @@ def zscore_scored(log: DataFrame, features: list[str] = ZSCORE_FEATURES,
         f = FE.fill_missing(f, [rpi])
     scaler = Scaler(list(features), params=params)
     z = apply_scaler(f, scaler)
-    err = sum((F.col(c) * F.col(c) for c in features), F.lit(0.0)) / F.lit(float(len(features)))
+    err = sum((qcol(c) * qcol(c) for c in features), F.lit(0.0)) / F.lit(float(len(features)))
     scored = z.select("log_id", "ip_address", "request_time", F.col("__status").alias("status_code"),
                       err.alias("reconstruction_error"))
     t = DT.threshold(scored, "reconstruction_error", "std").first()[0]

@@ -204,3 +204,17 @@ def test_flagship_on_empty_log(spark):
     from loghawk.sources.tables import api_log
     empty = api_log(spark, "/root/testdata/sf0.001").limit(0)
     assert zscore_scored(empty).count() == 0
+
+
+def test_dotted_endpoint_names_flow_through(spark):
+    """One-hot columns of endpoints with dots or slashes survive selection,
+    filling, scaling and vectorising."""
+    from loghawk.plans.detection import prepare
+    rows = [(i, "10.0.0.%d" % (i % 4), dt.datetime(2024, 1, 1, i % 24), "curl", ["/api/v1.0/users", "/index.html"][i % 2],
+             "GET", "{}", 200, float(i)) for i in range(40)]
+    log = spark.createDataFrame(rows, "log_id long, ip_address string, request_time timestamp_ntz, user_agent string,"
+                                      " endpoint string, method string, parameters string, status_code int,"
+                                      " response_ms double")
+    vec, spec, scaler = prepare(log)
+    assert "endpoint_endpoint_/api/v1.0/users" in spec.names
+    assert vec.count() == 40 and len(vec.first().features) == len(spec.names)
