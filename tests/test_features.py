@@ -218,3 +218,29 @@ def test_dotted_endpoint_names_flow_through(spark):
     vec, spec, scaler = prepare(log)
     assert "endpoint_endpoint_/api/v1.0/users" in spec.names
     assert vec.count() == 40 and len(vec.first().features) == len(spec.names)
+
+
+def test_profile_approx_close_to_exact(spark):
+    from loghawk.sources.tables import api_log
+    log = api_log(spark, "/root/testdata/sf0.01")
+    exact = {r.column: r.distinct_values for r in PR.profile_columns(log).collect()}
+    approx = {r.column: r.distinct_values for r in PR.profile_columns(log, approx=True, rsd=0.02).collect()}
+    for c, v in exact.items():
+        assert abs(approx[c] - v) <= max(2, 0.08 * v), (c, v, approx[c])
+
+
+def test_partitioned_log_sink_prunes(spark, tmp_path):
+    from loghawk.sources.logs import write_logs
+    from loghawk.sources.tables import api_log
+    log = api_log(spark, "/root/testdata/sf0.001").withColumn("day", F.to_date("request_time"))
+    write_logs(log, str(tmp_path / "logs"), partition_by=["day"])
+    back = spark.read.parquet(str(tmp_path / "logs"))
+    one = back.where(F.col("day") == F.lit("2024-01-02").cast("date"))
+    assert one.count() == log.where(F.col("day") == F.lit("2024-01-02").cast("date")).count() > 0
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        one.explain()
+    plan = buf.getvalue()
+    assert "PartitionFilters: [isnotnull(day" in plan
