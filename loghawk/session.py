@@ -46,8 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when unset.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; we use it
-    as is.  Only when it is missing (local runs, tests) do we create a
-    private scratch folder.
+    as is.  Only in local mode, when it is missing (tests), do we create a
+    private scratch folder; on a cluster a missing setting is an error, never
+    a machine-local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,7 +56,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="loghawk-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (e.g. on HDFS or an "
+                               "object store); lineage cuts and model state are written there")
+        configured = tempfile.mkdtemp(prefix="loghawk-ckpt-")   # local runs and tests only
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
