@@ -244,3 +244,23 @@ def test_partitioned_log_sink_prunes(spark, tmp_path):
         one.explain()
     plan = buf.getvalue()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_size_for_input_respects_existing_settings(spark):
+    from loghawk.session import size_for_input
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64MB")        # set by the "cluster": kept
+        done = size_for_input(spark, 100 * 1024 ** 4)
+        assert done["spark.sql.shuffle.partitions"] == str(100 * 1024 ** 4 // (200 * 1024 ** 2))
+        assert "spark.sql.files.maxPartitionBytes" not in done
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "64MB"
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
