@@ -130,20 +130,22 @@ def compact_edges(edges: DataFrame) -> DataFrame:
 
 
 def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "features",
-               checkpoint_each: bool = True, dim: int | None = None) -> DataFrame:
+               checkpoint_each: bool = True, dim: int | None = None, cut_every: int = 3) -> DataFrame:
     """Mean of in-neighbour features, ``k`` times (repeated edges weigh more);
     a node without in-edges gets zeros.  Edges are compacted to weights and
-    written once to the checkpoint folder; each round joins them with the
-    current features on src, aggregates by dst (partial weighted sums per
-    position) and is written there too, cutting the lineage."""
+    written once to the checkpoint folder (they are reused every round); each
+    round joins them with the current features on src and aggregates by dst
+    (partial weighted sums per position).  With ``checkpoint_each`` the
+    features are written there every ``cut_every`` rounds, so the lineage
+    never grows past ``cut_every`` rounds."""
     cur = nodes.select("node_id", features)
     w_edges = compact_edges(edges)
-    if checkpoint_each:
-        cur, w_edges = cut_lineage(cur), cut_lineage(w_edges)
+    if checkpoint_each and k > 1:
+        w_edges = cut_lineage(w_edges)
     d = dim or _dim(cur, features)
     ids = cur.select("node_id")
     zeros = F.array(*[F.lit(0.0) for _ in range(d)])
-    for _ in range(k):
+    for r in range(k):
         feats, _b = broadcast_if_small(cur.withColumnRenamed("node_id", "src"))
         msgs = w_edges.join(feats, "src")
         agg = msgs.groupBy(F.col("dst").alias("node_id")).agg(
@@ -151,7 +153,7 @@ def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "
             *[F.sum(F.col("weight") * F.col(features)[i]).alias(f"__s{i}") for i in range(d)])
         mean = agg.select("node_id", F.array(*[F.col(f"__s{i}") / F.col("__deg") for i in range(d)]).alias(features))
         cur = ids.join(mean, "node_id", "left").select("node_id", F.coalesce(F.col(features), zeros).alias(features))
-        if checkpoint_each:
+        if checkpoint_each and (r + 1) % cut_every == 0 and r + 1 < k:
             cur = cut_lineage(cur)
     return cur
 
