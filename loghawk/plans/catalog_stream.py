@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from loghawk.plans.registry import finish, register, sql_finish
 from loghawk.streaming import streams as ST
 
