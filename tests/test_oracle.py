@@ -10,9 +10,6 @@ from loghawk.sources.tables import TABLES
 
 from conftest import SF01
 
-SKIP_SLOW = {"classify_search"}
-
-
 def _norm(df: pd.DataFrame):
     df = df[sorted(df.columns)]
     out = []
