@@ -74,6 +74,11 @@ def _cut(t: pa.Table, key: str, most_rows: int) -> Iterator[pa.Table]:
             at = int(starts[i])
 
 
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of a column as bytes; null counts as empty."""
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (public splitmix64 constants)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

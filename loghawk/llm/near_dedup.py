@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loghawk.llm.common import mix64, sorted_groups, store
+from loghawk.llm.common import mix64, sorted_groups, store, utf8
 from loghawk.llm.components import connected_components
 
 HASHES = 180
@@ -45,10 +45,10 @@ class _Words(dict):
         return x
 
 
-def shingles(text: str | None, k: int, words: _Words) -> np.ndarray:
+def shingles(text: bytes, k: int, words: _Words) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles of a text (A-Z
     lower-cased); a text of fewer words is one shingle; none without words."""
-    parts = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+    parts = text.translate(LOWER).split()
     if not parts:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
@@ -80,8 +80,8 @@ def _sign(k: int):
         words, (a, b) = _Words(), hash_family()
         for batch in batches:
             ids, n, digests, sigs = batch.column(0), [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), k, words)
+            for text in utf8(batch.column(1)):
+                s = shingles(text, k, words)
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s, a, b) if len(s) else None)
@@ -127,7 +127,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            sets = [shingles(x.as_py(), k, words).tobytes() for x in batch.column(1)]
+            sets = [shingles(x, k, words).tobytes() for x in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return run
@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = store(full.mapInArrow(_candidates(percent, rows), "task long, id long, sig binary, n_shingles long"), "nd-asked")
 
     needed = asked.select("id").distinct()
-    sets = texts.join(needed, texts.doc_id == needed.id, "left_semi").mapInArrow(_sets(k), "id long, shingles binary")
+    # merged at every size: a plan that broadcasts the ids while they are few tells nothing about a larger run
+    sets = texts.join(needed.hint("merge"), texts.doc_id == needed.id, "left_semi").mapInArrow(_sets(k), "id long, shingles binary")
     sets = store(sets, "nd-sets")
     proof = asked.join(sets, "id").select("task", "id", "sig", "shingles").repartition("task").sortWithinPartitions("task", "id")
     links = proof.mapInArrow(_verify(percent), "u long, v long")
@@ -220,3 +221,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), one).alias("component_id"),
                         F.coalesce(F.col("doc_id") == one, F.lit(True)).alias("kept"))
+
+
+def first_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
+    """``docs`` without the rows that are near copies of a row with a smaller
+    id.  Rows that share an id stay or go together."""
+    gone = store(near_duplicates(docs, id_col, text_col, k, percent, rows).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "nd-gone")
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")

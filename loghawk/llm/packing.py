@@ -26,7 +26,7 @@ from loghawk.llm.common import store
 CAPACITY = 4096
 END = 1
 #: Pieces of a numbering group, about.
-GROUP_ROWS = 5_000
+GROUP_ROWS = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -1,0 +1,99 @@
+"""Secret scan with corpus-wide ownership frequency (operator 1); DataFrame functions only.
+
+Spans of the base kinds (``assign``, ``access``, ``hex``) come from patterns.
+A further kind, ``token``, takes random-looking words that no base span
+covers; whether one is a credential is decided by who holds it: candidate hashes
+are counted by distinct owners and repositories over the whole corpus, and a
+value that only a few owners hold is live-looking, while one that is copied
+widely is an example (a documentation key, a licence id, a test vector).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from loghawk.llm.common import store
+
+#: Base kinds in order: pattern, group that holds the secret, least length of it.  Fixed values.
+KINDS = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", r"AKIA[A-Z0-9]+", 0, 18),
+    ("hex", r"[0-9a-f]{16,}", 0, 16),       # runs are maximal, so shorter ones need not be matched to be dropped
+)
+#: Words of 20 and more characters with a digit, a capital and a small letter.
+TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}+"
+
+
+def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
+    """Array of (kind, start, end, value) of a pattern's matches, leftmost and
+    non-overlapping, without those whose group is shorter than ``least``.
+    Places are in code points: the pieces between the matches and the matches
+    themselves, in turn, make up the text."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    pieces = F.split(text, pattern, -1)
+    # running place: (end of the last match, spans so far)
+    empty = F.array().cast("array<struct<kind:string,start:long,end:long,value:string>>")
+    rows = F.arrays_zip(pieces.alias("piece"), whole.alias("match"), value.alias("value"))
+
+    def step(acc, row):
+        start = acc["at"] + F.char_length(row["piece"])
+        end = start + F.coalesce(F.char_length(row["match"]), F.lit(0))
+        span = F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), row["value"].alias("value"))
+        good = row["match"].isNotNull() & (F.char_length(row["value"]) >= least)
+        return F.struct(end.cast("long").alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    spans = F.aggregate(rows, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(empty)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_cols: tuple[str, ...] = ("source", "lang"),
+         max_owners: int = 2) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example), one row for each input row.
+
+    ``spans``: kind:start:end of all spans by start, then kind as listed,
+    joined by commas; ``base_sha256`` is of the base kinds only.  A ``token``
+    candidate becomes a span when at most ``max_owners`` owners hold its
+    value; ``n_live`` and ``n_example`` count the row's spans and candidates
+    of any kind on either side of that bound.  ``owner_col`` names the owner,
+    ``repository_cols`` together the repository; nulls are an owner and a
+    repository of their own.  Null and empty texts have no span.  Rows that
+    repeat (also with a null id) are answered each for itself.  Extra columns
+    are ignored.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    owner = F.xxhash64(F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("\x00")))
+    repository = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in repository_cols])
+    kinds = [found(F.col("text"), *k) for k in KINDS] + [found(F.col("text"), "token", TOKEN, 0, 20)]
+    all_spans = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), owner.alias("owner"), repository.alias("repository"), text.alias("text")).select(
+        "doc_id", "owner", "repository", *[k.alias(f"k{i}") for i, k in enumerate(kinds)])
+    base = F.concat("k0", "k1", "k2")
+    free = F.filter("k3", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    hashed = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("hash"), F.unhex(F.sha2(s["value"], 256)).alias("proof")))
+    spans = store(all_spans.withColumn("base", base).select("doc_id", "owner", "repository", hashed(F.col("base")).alias("base"), hashed(free).alias("free"), F.monotonically_increasing_id().alias("row")), "se-spans")
+
+    # who holds each candidate value: first by owner and repository, so that a value on very many rows is one row a task
+    held = spans.select("owner", "repository", F.explode(F.concat("base", "free")).alias("c")).select("owner", "repository", F.col("c.proof").alias("proof"))
+    held = held.groupBy("proof", "owner", "repository").agg(F.count("*").alias("copies"))
+    owned = held.groupBy("proof").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"), F.sum("copies").alias("copies"))
+    owned = store(owned, "se-owned")
+
+    one = spans.where(F.size("base") + F.size("free") > 0).select("row", F.explode(F.concat("base", "free")).alias("c")).select("row", "c.start", "c.end", "c.kind", "c.proof")
+    judged = one.join(owned.select("proof", "owners"), "proof")
+    order = F.array_position(F.array(*[F.lit(k[0]) for k in KINDS], F.lit("token")), F.col("kind"))
+    live = F.col("owners") <= max_owners
+    kept = (F.col("kind") != "token") | live
+    entry = F.struct("start", order.alias("k"), F.concat_ws(":", "kind", "start", "end").alias("name"))
+    per = judged.groupBy("row").agg(
+        *[F.count_if(F.col("kind") == k[0]).alias(f"n_{k[0]}") for k in KINDS],
+        F.sort_array(F.collect_list(F.when(F.col("kind") != "token", entry))).alias("base_list"), F.sort_array(F.collect_list(F.when(kept, entry))).alias("list"),
+        F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_example")).withColumnRenamed("row", "span_row")
+    joined = spans.select("doc_id", "row").join(per, F.col("row") == F.col("span_row"), "left")
+    text_of = lambda c: F.concat_ws(",", F.transform(F.coalesce(F.col(c)["name"], F.array().cast("array<string>")), lambda x: x))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("doc_id", count("n_assign"), count("n_access"), count("n_hex"), F.sha2(text_of("base_list"), 256).alias("base_sha256"), text_of("list").alias("spans"), count("n_live"), count("n_example"))
+
+
+def ownership(docs: DataFrame) -> str:
+    raise NotImplementedError
