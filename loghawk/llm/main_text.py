@@ -38,6 +38,8 @@ PARAGRAPH_ENDS = BLOCK - {"option", "caption", "td", "th", "tr", "tbody", "thead
 #: Never text of an article.
 MARKUP = frozenset("head script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video form button select input nav footer aside dialog menu".split())
 MAIN = frozenset(("article", "main"))
+#: Boxes that may hold an article or something else.
+BOX = frozenset("div section td center fieldset details header table tbody tr hgroup figure".split())
 #: Words of class, id and role that name a part as something other than the article.
 OTHER = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead
  topbar footer foot bottom sidebar side aside rail widget notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form search comment comments
@@ -45,6 +47,8 @@ OTHER = frozenset("""ad ads advert adverts advertisement advertising banner spon
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 STATES = 2
+#: What a page's elements count together, so that a page of very many doesn't drown the others.
+PAGE_WEIGHT = 20.0
 
 
 class Node:
@@ -148,7 +152,7 @@ def describe(nodes: list[Node], runs: list[tuple[int, str]]) -> list[list[str]]:
         share = linked[i] / chars[i] if chars[i] else 0
         f = [f"tag={x.tag}", f"chars={chars[i].bit_length()}", f"links={int(share * 4)}", f"stops={min(stops[i], 3)}", f"children={min(children[i], 4)}"]
         f += [f"name={w}" for w in x.names]
-        if x.names & OTHER:
+        if x.names & OTHER and x.tag not in MAIN:
             f.append("other")
         if x.tag in MARKUP or x.hidden:
             f.append("markup")
@@ -175,45 +179,53 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             states = truth(nodes)
             if states is None:
                 continue
+            each = PAGE_WEIGHT / len(nodes)
             for i, (f, s) in enumerate(zip(describe(nodes, runs), states)):
                 for x in f:
-                    c[x, s] += 1
-                c["", s] += 1
+                    c[x, s] += each
+                c["", s] += each
                 if i:
-                    c[f"edge={states[nodes[i].parent]}", s] += 1
+                    c[f"edge={states[nodes[i].parent]}:{kind(nodes[i])}", s] += each
     keys = sorted(c)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([c[k] for k in keys], pa.int64())], ["feature", "state", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([float(c[k]) for k in keys], pa.float64())], ["feature", "state", "n"])
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = 2000, most_features: int = 20_000, prior: float = 50.0) -> dict[str, tuple[float, float]]:
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = 2000, most_features: int = 20_000) -> dict[str, tuple[float, float]]:
     """Log potentials of the features and of the edges, from labelled pages: at
-    most ``most_pages``, those of the smallest hash of the id.  ``prior`` rows of
-    each state stand for what is known beforehand: parts named as something else
-    and markup are not content, paragraphs and headings in a content part are."""
+    most ``most_pages``, those of the smallest hash of the id."""
     some = pages.select(F.col(f"`{html_col}`").cast("string").alias("html"), F.xxhash64(F.lit(4), F.col(f"`{id_col}`").cast("string")).alias("pick"))
     some = some.where("html rlike '(?i)<(article|main)'").orderBy("pick").limit(most_pages).select("html").repartition(8)
-    rows = some.mapInArrow(_counts, "feature string, state int, n long").groupBy("feature", "state").agg(F.sum("n").alias("n"))
+    rows = some.mapInArrow(_counts, "feature string, state int, n double").groupBy("feature", "state").agg(F.sum("n").alias("n"))
     c: Counter = Counter()
     for r in rows.orderBy(F.desc("n"), "feature", "state").limit(most_features).collect():
         c[r.feature, r.state] = r.n
-    for s in (0, 1):
-        c["", s] += prior
-        c[f"edge={s}", s] += 20 * prior
-        c[f"edge={1 - s}", s] += prior / 5
-    for x in ("markup", "other"):
-        c[x, 0] += 20 * prior
-    for x in ("tag=article", "tag=main"):
-        c[x, 1] += 4 * prior
-    totals = [c["", s] for s in (0, 1)]
-    model = {}
-    for x in {k for k, _ in c}:
-        a, b = c[x, 0], c[x, 1]
-        if x.startswith("edge="):
-            both = a + b + 2.0
-            model[x] = (float(np.log((a + 1) / both)), float(np.log((b + 1) / both)))
-        elif x:
-            model[x] = (float(np.log((a + 1.0) / (totals[0] + 2))), float(np.log((b + 1.0) / (totals[1] + 2))))
+    return potentials(c)
+
+
+#: Beforehand: of a child of each kind, the share that is content below a part that isn't, and below one that is.
+#: What is named as something else, or markup, says nothing of its parent.
+EDGES = {"main": (0.98, 0.99), "box": (0.05, 0.95), "text": (0.002, 0.99), "none": (1e-6, 1e-6)}
+#: Share of a state's elements that any feature is taken to have, so that little follows from one never seen.
+SEEN = 0.01
+#: Weight of this, in elements; log potentials against content of parts named as something else, and of markup.
+PRIOR, OTHER_LOG, MARKUP_LOG = 1000.0, -60.0, -400.0
+
+
+def kind(x: Node) -> str:
+    return "none" if x.tag in MARKUP or x.hidden or x.names & OTHER and x.tag not in MAIN else "main" if x.tag in MAIN else "box" if x.tag in BOX else "text"
+
+
+def potentials(c: Counter) -> dict[str, tuple[float, float]]:
+    """Log potentials from the counts of (feature, state)."""
+    totals = [c["", s] + 50.0 for s in (0, 1)]
+    model = {x: tuple(float(np.log(c[x, s] / totals[s] + SEEN)) for s in (0, 1)) for x in {k for k, _ in c} if x and not x.startswith("edge=")}
     model[""] = tuple(float(np.log(t / sum(totals))) for t in totals)
+    for x, shares in EDGES.items():
+        for parent, share in enumerate(shares):
+            name = f"edge={parent}:{x}"
+            a, b = c[name, 0] + PRIOR * (1 - share), c[name, 1] + PRIOR * share
+            model[name] = (float(np.log(a / (a + b))), float(np.log(b / (a + b))))
+    model["other"], model["markup"] = (0.0, OTHER_LOG), (0.0, MARKUP_LOG)
     return model
 
 
@@ -229,14 +241,15 @@ def marginals(nodes: list[Node], described: list[list[str]], model: dict[str, tu
             if p:
                 a, b = a + p[0], b + p[1]
         own[i] = a * shade, b * shade
-    e = np.exp(np.array([model["edge=0"], model["edge=1"]])).tolist()       # [parent][child]
+    edges = {k: np.exp(np.array([model[f"edge=0:{k}"], model[f"edge=1:{k}"]])).tolist() for k in EDGES}      # [parent][child]
+    e_of = [edges[kind(x)] for x in nodes]
     belief = [[1.0, 1.0] for _ in range(n)]
     raise_to = np.exp(own - own.max(axis=1, keepdims=True)).tolist()
     for i in range(n):
-        belief[i] = [max(raise_to[i][0], 1e-12), max(raise_to[i][1], 1e-12)]
+        belief[i] = [max(raise_to[i][0], 1e-100), max(raise_to[i][1], 1e-100)]
     up = [[1.0, 1.0] for _ in range(n)]
     for i in range(n - 1, 0, -1):
-        b0, b1 = belief[i]
+        (b0, b1), e = belief[i], e_of[i]
         m0, m1 = e[0][0] * b0 + e[0][1] * b1, e[1][0] * b0 + e[1][1] * b1
         z = m0 + m1
         up[i] = [m0 / z, m1 / z]
@@ -249,7 +262,7 @@ def marginals(nodes: list[Node], described: list[list[str]], model: dict[str, tu
     z0, z1 = belief[0][0] * np.exp(start[0]), belief[0][1] * np.exp(start[1])
     belief[0] = [z0 / (z0 + z1), z1 / (z0 + z1)]
     for i in range(1, n):
-        p = belief[nodes[i].parent]
+        p, e = belief[nodes[i].parent], e_of[i]
         q0, q1 = p[0] / up[i][0], p[1] / up[i][1]
         d0, d1 = q0 * e[0][0] + q1 * e[1][0], q0 * e[0][1] + q1 * e[1][1]
         b0, b1 = belief[i][0] * d0, belief[i][1] * d1
