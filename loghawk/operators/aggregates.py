@@ -2,9 +2,9 @@
 
 Counts are hash aggregates with partial (map-side) aggregation, so a hot IP
 is pre-combined in every task before the shuffle.  Joins back go through
-``lookup_join`` (size-checked broadcast, else shuffle join with AQE skew
-splitting) instead of a window ``count() over (partition by ip)``, which
-would put every row of a hot IP into one task.
+``lookup_join`` (AQE's choice by bytes; skew splitting for hot IPs) instead of
+a window ``count() over (partition by ip)``, which would put every row of a
+hot IP into one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loghawk.functions.columns import bucket_start
-from loghawk.plans.joins import DEFAULT_MAX_BROADCAST_ROWS, lookup_join
+from loghawk.plans.joins import lookup_join
 
 
 def requests_per_ip(df: DataFrame, ip: str = "ip_address", name: str = "requests_per_ip") -> DataFrame:
@@ -37,36 +37,37 @@ def requests_per_ip_window(df: DataFrame, ip: str = "ip_address", ts: str = "req
 
 
 def with_requests_per_ip(df: DataFrame, ip: str = "ip_address", name: str = "requests_per_ip",
-                         max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
                          salt_buckets: int | None = None, id_col: str | None = None) -> DataFrame:
     """Every row gains its IP's count (NULL for a NULL IP, as the pandas merge).
-    ``salt_buckets`` salts the shuffle join used beyond the broadcast limit."""
-    return lookup_join(df, requests_per_ip(df, ip, name), ip, "left", max_broadcast_rows, salt_buckets, id_col)
+    ``salt_buckets`` asks for a salted shuffle join."""
+    return lookup_join(df, requests_per_ip(df, ip, name), ip, "left", salt_buckets, id_col)
 
 
 def with_requests_per_ip_window(df: DataFrame, ip: str = "ip_address", ts: str = "request_time",
                                 minutes: int = 5, name: str = "requests_per_ip_5min",
                                 bucket: str = "time_interval",
-                                max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
                                 salt_buckets: int | None = None, id_col: str | None = None) -> DataFrame:
     """Adds ``time_interval`` and the per-(IP, interval) count."""
     counts = requests_per_ip_window(df, ip, ts, minutes, name, bucket)
     return lookup_join(time_interval(df, ts, minutes, bucket), counts, [ip, bucket], "left",
-                       max_broadcast_rows, salt_buckets, id_col)
+                       salt_buckets, id_col)
 
 
 def with_request_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request_time", minutes: int = 5,
-                        bucket: str = "time_interval",
-                        max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Both counts with ONE join of the log.
+                        bucket: str = "time_interval", stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Both counts with ONE join of the log, or, with ``stored`` (the tables
+    of ``requests_per_ip`` and ``requests_per_ip_window``), the counts of a
+    reference log that travels with a model.
 
     The (ip, bucket) table is aggregated from the log once (partial agg); the
-    per-IP totals are aggregated from that much smaller table and attached to
-    it; the log then joins it once on (ip, bucket) with NULL-safe bucket
+    per-IP totals are aggregated from it (never larger than the log) and attached; the log then joins it once on (ip, bucket) with NULL-safe bucket
     equality, so null-time rows still get their IP total while their window
     count stays NULL (pandas drops NaN group keys).
     """
     logged = time_interval(df, ts, minutes, bucket)
+    if stored is not None:
+        per_ip, per_bucket = stored
+        return logged.join(per_ip, ip, "left").join(per_bucket, [ip, bucket], "left")
     per_bucket = (logged.where(F.col(ip).isNotNull()).groupBy(ip, bucket)
                   .agg(F.count(F.lit(1)).alias("__n")))
     per_ip = per_bucket.groupBy(ip).agg(F.sum("__n").alias("requests_per_ip"))
@@ -75,7 +76,7 @@ def with_request_counts(df: DataFrame, ip: str = "ip_address", ts: str = "reques
                      F.when(F.col(bucket).isNotNull(), F.col("__n")).alias("requests_per_ip_5min")))
     joined = lookup_join(logged, table,
                          (F.col(ip) == F.col("__ip")) & F.col(bucket).eqNullSafe(F.col("__b")),
-                         "left", max_broadcast_rows)
+                         "left")
     return joined.drop("__ip", "__b")
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,28 +75,38 @@ def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dro
     return total[:n_par], total[n_par:]
 
 
+TRAIN_PARTITION_BYTES = 64 * 1024 ** 2
+
+
+def training_partitions(df: DataFrame, width: int) -> int:
+    """A partition for each 64 MB of doubles (one counting pass), a core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, df.count() * width * 8 // TRAIN_PARTITION_BYTES)
+
+
 def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int, ...] = (128, 64, 32),
                     lr: float = 1e-3, epochs: int = 50, dropout: float = 0.2, seed: int = 42,
                     final: str = "relu", id_col: str = "log_id", split_col: str | None = "split",
                     feature_names: list[str] | None = None, num_partitions: int | None = None,
-                    state_path: str | None = None, save_every: int = 5) -> AutoencoderModel:
+                    state_path: str | None = None, save_every: int = 5, patience: int | None = None) -> AutoencoderModel:
     """Full-batch Adam on the MSE of the 'train' rows; the 'test' rows give
     the evaluation loss after every step (history).  ``df`` holds an
     ``array<double>`` feature column, a unique id and an optional split tag.
 
     ``state_path`` (a folder under the shared checkpoint directory): every
     ``save_every`` epochs the weights, Adam moments, step and history are
-    written there, and a restarted driver resumes from the last save."""
+    written there, and a restarted driver resumes from the last save.
+    ``patience``: stop after so many epochs without a lower loss of the 'test'
+    rows, and return the weights of the lowest."""
     d = len(df.select(features).first()[0])
-    # Round-robin once to the cluster's parallelism before caching: every epoch's
-    # numpy work is spread evenly (no input layout or key skew survives it) and
-    # the number of gradient partials per epoch stays bounded.
-    n = num_partitions or df.sparkSession.sparkContext.defaultParallelism
+    # Round-robin once before caching, so that every epoch's numpy work is spread
+    # evenly, by the size of the data.
+    n = num_partitions or training_partitions(df, d)
     data = df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
     theta = mlp.flatten(mlp.init_params(d, hidden, seed))
     opt = mlp.Adam(theta.size, lr)
     history = []
     start, prev_train = 0, None
+    lowest, kept, waited = float("inf"), None, 0
     spark = df.sparkSession
     if state_path:
         saved = _load_state(spark, state_path)
@@ -109,13 +120,24 @@ def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int
                                   split_col, True)
             if epoch > 0 and st[3] > 0:
                 history.append((epoch - 1, float(prev_train), float(st[2] / st[3])))
+            if patience is not None and st[3] > 0:
+                if st[2] / st[3] < lowest:
+                    lowest, kept, waited = st[2] / st[3], theta.copy(), 0
+                else:
+                    waited += 1
+                if waited >= patience:
+                    break
             n_train = st[1]
             if n_train == 0:
                 raise ValueError("no training rows")
             prev_train = st[0] / n_train
             theta = opt.step(theta, grad / n_train)
-        _, st = _epoch_job(data, theta, d, hidden, final, dropout, seed, epochs, features, id_col, split_col, False)
-        history.append((epochs - 1, float(prev_train), float(st[2] / st[3]) if st[3] > 0 else None))
+        else:
+            _, st = _epoch_job(data, theta, d, hidden, final, dropout, seed, epochs, features, id_col, split_col, False)
+            history.append((epochs - 1, float(prev_train), float(st[2] / st[3]) if st[3] > 0 else None))
+            if kept is not None and st[3] > 0 and st[2] / st[3] < lowest:
+                kept = theta
+        theta = theta if kept is None else kept
     finally:
         data.unpersist()
     return AutoencoderModel(d, tuple(hidden), dropout, final, theta, list(feature_names or []), history=history)
@@ -128,14 +150,18 @@ _STATE_SCHEMA = ("theta array<double>, m array<double>, v array<double>, t int,
 def _save_state(spark, path: str, theta, opt, next_epoch: int, prev_train, history) -> None:
     row = (theta.tolist(), opt.m.tolist(), opt.v.tolist(), int(opt.t), int(next_epoch),
            None if prev_train is None else float(prev_train), [tuple(h) for h in history])
-    spark.createDataFrame([row], _STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+    # a folder for each save: a crash while one is written leaves the one before
+    spark.createDataFrame([row], _STATE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch={int(next_epoch)}")
 
 
 def _load_state(spark, path: str):
     try:
-        r = spark.read.parquet(path).first()
-    except Exception:  # no state saved yet
+        saved = spark.read.schema(_STATE_SCHEMA + ", epoch int").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    r = saved.orderBy(F.desc("epoch")).first()
     if r is None:
         return None
     return (np.array(r["theta"]), np.array(r["m"]), np.array(r["v"]), r["t"], r["next_epoch"], r["prev_train"],
@@ -168,5 +194,22 @@ def reconstruct(df: DataFrame, model: AutoencoderModel, features: str = "feature
     return df.withColumn(out, _scorer(model, df.sparkSession, False)(F.col(features)))
 
 
+def with_error(df: DataFrame, model: AutoencoderModel, features: str = "features",
+               out: str = "reconstruction_error") -> DataFrame:
+    """``df`` with each row's mean squared reconstruction error; the
+    reconstruction itself never leaves the Arrow batch."""
+    bw = df.sparkSession.sparkContext.broadcast(model.weights)
+    d, hidden, final = model.input_dim, model.hidden, model.final
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        if len(x) == 0:
+            return pd.Series([], dtype="float64")
+        X = np.stack(x.to_numpy()).astype(np.float64)
+        Y = mlp.forward(X, mlp.unflatten(bw.value, d, hidden), final)
+        return pd.Series(((X - Y) ** 2).mean(axis=1))
+    return df.withColumn(out, run(F.col(features)))
+
+
 def encode(df: DataFrame, model: AutoencoderModel, features: str = "features", out: str = "latent") -> DataFrame:
     return df.withColumn(out, _scorer(model, df.sparkSession, True)(F.col(features)))

@@ -39,8 +39,8 @@ def has_ipv4(df: DataFrame, col: str) -> DataFrame:
 
 
 def any_ipv4(df: DataFrame, col: str) -> bool:
-    """Driver-side test for the batch plan: stops at the first matching row."""
-    return df.select(col).where(F.col(col).rlike(IPV4_PATTERN)).limit(1).count() > 0
+    """Driver-side test for the batch plan: reads partitions, few first, until one has a match."""
+    return bool(df.select(col).where(F.col(col).rlike(IPV4_PATTERN)).take(1))
 
 
 def ip_octets(df: DataFrame, col: str) -> DataFrame:
@@ -68,32 +68,33 @@ def ua_totals(df: DataFrame, col: str) -> DataFrame:
     return _stack_totals(flagged, [f"{col}_{f}" for f in UA_FLAG_PATTERNS], "flag")
 
 
-def endpoint_vocabulary(df: DataFrame, col: str, max_values: int = 256) -> tuple[list[str], bool]:
-    """Sorted distinct non-null values, at most ``max_values`` of them (most
-    frequent first when capped).  Returns (values, capped).  The collect is
-    bounded by ``max_values + 1`` rows (TakeOrdered after a partial aggregate)."""
-    top = (df.where(F.col(col).isNotNull()).groupBy(col).count()
-           .orderBy(F.desc("count"), F.asc(col)).limit(max_values + 1).collect())
-    values = [r[0] for r in top]
-    capped = len(values) > max_values
-    return sorted(values[:max_values]), capped
+def endpoint_vocabulary(df: DataFrame, col: str) -> DataFrame:
+    """``(value)``: the distinct non-null values, one row each."""
+    return df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
 
 
-def one_hot(df: DataFrame, col: str, values: list[str] | None = None, max_values: int = 256,
+def one_hot(df: DataFrame, col: str, values: list[str] | None = None,
             prefix: str | None = None) -> tuple[DataFrame, list[str]]:
-    """0/1 column ``{col}_endpoint_{value}`` per vocabulary value; NULL gives
-    all zeros; values outside the vocabulary set ``{col}_endpoint_other``
-    when the vocabulary was capped.  Returns (df, vocabulary); keep the
-    vocabulary so new data gets the same columns."""
+    """0/1 column ``{col}_endpoint_{value}`` per vocabulary value; NULL and
+    values outside the vocabulary give all zeros.  Returns (df, vocabulary);
+    keep the vocabulary so new data gets the same columns.  One column a
+    value means that the names are part of the plan, so the driver must know
+    them; for values by the million use ``one_hot_rows``."""
     prefix = prefix or f"{col}_endpoint"
-    capped = False
     if values is None:
-        values, capped = endpoint_vocabulary(df, col, max_values)
+        values = sorted(r[0] for r in endpoint_vocabulary(df, col).collect())
     c = F.col(col)
-    cols = {f"{prefix}_{v}": F.coalesce((c == F.lit(v)).cast("int"), F.lit(0)) for v in values}
-    if capped:
-        cols[f"{prefix}_other"] = F.coalesce((~c.isin(values)).cast("int"), F.lit(0))
-    return df.withColumns(cols), list(values)
+    return df.withColumns({f"{prefix}_{v}": F.coalesce((c == F.lit(v)).cast("int"), F.lit(0)) for v in values}), list(values)
+
+
+def one_hot_rows(df: DataFrame, col: str, vocabulary: DataFrame, id_col: str = "log_id",
+                 prefix: str | None = None) -> DataFrame:
+    """The one-hot in sparse form, ``(id, hot)``: the name of the one column
+    that is 1, NULL where all are 0.  ``vocabulary`` is a (stored) table
+    ``(value)`` of any size; nothing of it passes the driver."""
+    prefix = prefix or f"{col}_endpoint"
+    known = vocabulary.select(F.col("value").alias(col), F.concat(F.lit(f"{prefix}_"), "value").alias("hot"))
+    return df.select(id_col, col).join(known, col, "left").select(id_col, "hot")
 
 
 def one_hot_totals(df: DataFrame, col: str) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loghawk.plans.joins import broadcast_if_small, lookup_join
+from loghawk.plans.joins import lookup_join
 from loghawk.plans.ordered import with_global_index, with_successor
+from loghawk.plans.vector_sum import partition_sums
 from loghawk.session import cut_lineage
 
 
@@ -146,7 +147,7 @@ def k_hop_mean(nodes: DataFrame, edges: DataFrame, k: int = 1, features: str = "
     ids = cur.select("node_id")
     zeros = F.array(*[F.lit(0.0) for _ in range(d)])
     for r in range(k):
-        feats, _b = broadcast_if_small(cur.withColumnRenamed("node_id", "src"))
+        feats = cur.withColumnRenamed("node_id", "src")
         msgs = w_edges.join(feats, "src")
         agg = msgs.groupBy(F.col("dst").alias("node_id")).agg(
             F.sum("weight").alias("__deg"),
@@ -214,15 +215,14 @@ def attend(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], s
         e = e.where(F.col("src") != F.col("dst")).unionByName(nodes.select(F.col("node_id").alias("src"),
                                                                           F.col("node_id").alias("dst")))
     e = compact_edges(e)      # a repeated edge is one message counted ``weight`` times
-    src_side, _ = broadcast_if_small(proj.select(F.col("node_id").alias("src"), "proj", "a_src"))
-    dst_side, _ = broadcast_if_small(proj.select(F.col("node_id").alias("dst"), "a_dst"))
+    src_side = proj.select(F.col("node_id").alias("src"), "proj", "a_src")
+    dst_side = proj.select(F.col("node_id").alias("dst"), "a_dst")
     ee = e.join(src_side, "src").join(dst_side, "dst")
     score = F.zip_with("a_src", "a_dst", lambda s, t: F.when(s + t > 0, s + t).otherwise((s + t) * negative_slope))
     ee = ee.select("dst", "weight", "proj", score.alias("e"))
     mx = ee.groupBy("dst").agg(*[F.max(F.col("e")[h]).alias(f"__m{h}") for h in range(H)])
     mx = mx.select("dst", F.array(*[F.col(f"__m{h}") for h in range(H)]).alias("m"))
-    mx_side, _ = broadcast_if_small(mx)
-    w = ee.join(mx_side, "dst").select(
+    w = ee.join(mx, "dst").select(
         "dst", "proj", F.transform(F.zip_with("e", "m", lambda a, b: F.exp(a - b)), lambda x: x * F.col("weight")).alias("w"))
     num = [F.sum(F.col("w")[h] * F.col("proj")[h * D + j]).alias(f"__n{h * D + j}") for h in range(H) for j in range(D)]
     den = [F.sum(F.col("w")[h]).alias(f"__d{h}") for h in range(H)]
@@ -253,24 +253,25 @@ def batch_norm(nodes: DataFrame, features: str = "features", eps: float = 1e-5)
 
 def attention_stack(nodes: DataFrame, edges: DataFrame, layers: list[dict[str, np.ndarray]],
                     residual: bool = False, use_batch_norm: bool = False, features: str = "features") -> DataFrame:
-    """Stacked attention layers: layer -> (batch norm) -> ELU; a residual
-    connection from the previous representation is added for layers after
-    the first when the widths match.  Every layer's output is written to the
-    checkpoint folder (lineage cut per layer)."""
+    """Stacked attention layers: layer -> (batch norm) -> ELU.  With
+    ``residual`` a layer after the first adds the kept representation, which
+    is the stack's input until a sum replaces it, where the widths match.
+    Every layer's output is written to the checkpoint folder (lineage cut
+    per layer)."""
     cur = cut_lineage(nodes.select("node_id", features))
-    prev = cur
+    kept = cur
     for i, w in enumerate(layers):
         out = attend(cur, edges, w, activation=None if use_batch_norm else "elu", features=features)
         if use_batch_norm:
             out = batch_norm(out, features)
             out = out.withColumn(features, F.transform(features, lambda v: F.when(v > 0, v).otherwise(F.exp(v) - 1)))
         w_out = w["W"].shape[0] * w["W"].shape[2]
-        w_prev = _dim(prev, features)
-        if residual and i > 0 and w_out == w_prev:
-            out = (out.join(prev.withColumnRenamed(features, "__prev"), "node_id")
-                   .select("node_id", F.zip_with(features, "__prev", lambda a, b: a + b).alias(features)))
+        add = residual and i > 0 and w_out == _dim(kept, features)
+        if add:
+            out = (out.join(kept.withColumnRenamed(features, "__kept"), "node_id")
+                   .select("node_id", F.zip_with(features, "__kept", lambda a, b: a + b).alias(features)))
         cur = cut_lineage(out.select("node_id", features))
-        prev = cur
+        kept = cur if add else kept
     return cur
 
 
@@ -296,22 +297,23 @@ def attention_weights(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.
 # ------------------------------------------------- graph reconstruction ----
 def fit_graph_head(nodes: DataFrame, neigh: DataFrame, ridge: float = 1e-3, features: str = "features") -> np.ndarray:
     """Linear head predicting a node's features from its neighbour mean,
-    fitted by distributed normal equations: one aggregate of the (d+1)^2
-    entries of Z'Z and the (d+1) x d entries of Z'X, solved on the driver
-    (a (d+1) x (d+1) system)."""
+    fitted by distributed normal equations: each task sums Z'Z and Z'X over its
+    rows, the sums are added across tasks, and the driver solves one
+    (d+1) x (d+1) system."""
     d = _dim(nodes, features)
     z = nodes.select("node_id", F.col(features).alias("x")).join(
-        neigh.select("node_id", F.col(features).alias("h")), "node_id")
-    zc = [F.col("h")[i] for i in range(d)] + [F.lit(1.0)]
-    aggs = [F.sum(zc[a] * zc[b]).alias(f"a{a}_{b}") for a in range(d + 1) for b in range(a, d + 1)]
-    aggs += [F.sum(zc[a] * F.col("x")[j]).alias(f"b{a}_{j}") for a in range(d + 1) for j in range(d)]
-    row = z.agg(*aggs).first().asDict()
-    A = np.zeros((d + 1, d + 1))
-    for a in range(d + 1):
-        for b in range(a, d + 1):
-            A[a, b] = A[b, a] = row[f"a{a}_{b}"] or 0.0
-    B = np.array([[row[f"b{a}_{j}"] or 0.0 for j in range(d)] for a in range(d + 1)])
-    return np.linalg.solve(A + ridge * np.eye(d + 1), B)
+        neigh.select("node_id", F.col(features).alias("h")), "node_id").select("x", "h")
+
+    def partial(batches):
+        both = np.zeros((d + 1, 2 * d + 1))
+        for pdf in batches:
+            if len(pdf):
+                h = np.column_stack([np.stack(pdf["h"].to_numpy()), np.ones(len(pdf))])
+                both += h.T @ np.column_stack([h, np.stack(pdf["x"].to_numpy())])
+        return both.ravel()
+
+    both = partition_sums(z, partial, (d + 1) * (2 * d + 1)).reshape(d + 1, 2 * d + 1)
+    return np.linalg.solve(both[:, : d + 1] + ridge * np.eye(d + 1), both[:, d + 1:])
 
 
 def graph_error(nodes: DataFrame, edges: DataFrame, ridge: float = 1e-3, features: str = "features") -> DataFrame:
@@ -319,16 +321,22 @@ def graph_error(nodes: DataFrame, edges: DataFrame, ridge: float = 1e-3, feature
     in-neighbour mean (column ``graph_error``)."""
     neigh = k_hop_mean(nodes, edges, 1, features)
     Wt = fit_graph_head(nodes, neigh, ridge, features)
-    d = Wt.shape[1]
     z = nodes.select("node_id", F.col(features).alias("x")).join(
         neigh.select("node_id", F.col(features).alias("h")), "node_id")
-    preds = [sum((F.col("h")[i] * float(Wt[i, j]) for i in range(d)), F.lit(float(Wt[d, j]))) for j in range(d)]
-    err = sum(((F.col("x")[j] - preds[j]) ** 2 for j in range(d)), F.lit(0.0)) / d
-    return z.select("node_id", err.alias("graph_error"))
+
+    @F.pandas_udf("double")
+    def error(x: pd.Series, h: pd.Series) -> pd.Series:
+        if len(x) == 0:
+            return pd.Series([], dtype="float64")
+        H = np.column_stack([np.stack(h.to_numpy()), np.ones(len(h))])
+        return pd.Series(((np.stack(x.to_numpy()) - H @ Wt) ** 2).mean(axis=1))
+
+    return z.select("node_id", error("x", "h").alias("graph_error"))
 
 
 def combined_score(ae: DataFrame, graph: DataFrame, w: float = 0.5, id_col: str = "log_id",
                    ae_col: str = "reconstruction_error", graph_col: str = "graph_score") -> DataFrame:
-    """w * autoencoder error + (1 - w) * graph score, per request."""
-    return (ae.select(id_col, ae_col).join(graph.select(id_col, graph_col), id_col)
-            .withColumn("combined_score", F.lit(w) * F.col(ae_col) + F.lit(1.0 - w) * F.col(graph_col)))
+    """w * autoencoder error + (1 - w) * graph score, per request.  A request
+    of no node (e.g. no IP) keeps its row; its graph score is NULL and adds 0."""
+    return (ae.select(id_col, ae_col).join(graph.select(id_col, graph_col), id_col, "left")
+            .withColumn("combined_score", F.lit(w) * F.col(ae_col) + F.lit(1.0 - w) * F.coalesce(F.col(graph_col), F.lit(0.0))))

@@ -4,80 +4,78 @@
 aggregation buffer; on a whole log that is one unbounded task.  Here the
 k-th smallest value is found by histogram narrowing: each round is one
 partial-aggregate pass that counts values per bin of the current range and
-keeps only the bin holding rank k; once the remaining rows are few they are
-collected (bounded by ``max_collect``).
+keeps only the bins that hold a wanted rank, until a bin has one value.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loghawk.session import cut_lineage
 
-def kth_smallest(df: DataFrame, col: str, ks: list[int], bins: int = 4096,
-                 max_collect: int = 50_000) -> dict[int, float]:
-    """Exact 0-based order statistics of a non-null numeric column.
+
+def kth_smallest(df: DataFrame, col: str, ks: list[int], bins: int = 4096) -> dict[int, float]:
+    """Exact 0-based order statistics of a numeric column; NULL and NaN don't
+    count, infinite values do.
 
     Ranks that fall in the same bin (e.g. the two neighbours of an
-    interpolated percentile, usually) share every narrowing pass; each round
-    keeps only bins holding a wanted rank, so every range strictly shrinks."""
-    return _order_stats(df, col, lambda total: ks, bins, max_collect)[1]
+    interpolated percentile, usually) share every narrowing pass.  A range's
+    ends are values that occur, and they fall in different bins, so every
+    range strictly shrinks."""
+    return _order_stats(df, col, lambda total: ks, bins)[1]
 
 
-def _order_stats(df: DataFrame, col: str, ranks_for, bins: int, max_collect: int) -> tuple[int, dict[int, float]]:
-    """Persist the values once; ``ranks_for(n)`` picks the ranks from the row count."""
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = vals.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-        total = stats["n"]
-        want = sorted(set(ranks_for(total))) if total else []
-        if want and not (0 <= want[0] and want[-1] < total):
-            raise IndexError(f"ranks {want[0]}..{want[-1]} outside 0..{total - 1}")
-        out: dict[int, float] = {}
-        # (filtered frame, rows before it, rows in it, min, max, ranks it must answer)
-        todo = [(vals, 0, total, stats["lo"], stats["hi"], want)] if want else []
-        while todo:
-            sub, offset, n, lo, hi, ranks = todo.pop()
-            if lo == hi:
-                out.update({k: float(lo) for k in ranks})
-                continue
-            if n <= max_collect:
-                got = [r[0] for r in sub.orderBy("v").collect()]
-                out.update({k: float(got[k - offset]) for k in ranks})
-                continue
-            width = (hi - lo) / bins
-            b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-            hist = (sub.groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                                 F.max("v").alias("hi")).orderBy("b").collect())
-            seen = offset
-            for r in hist:              # ranks grouped by the bin holding them
-                holds = [k for k in ranks if seen <= k < seen + r["n"]]
-                if holds:
-                    todo.append((sub.where(b == r["b"]), seen, r["n"], r["lo"], r["hi"], holds))
-                seen += r["n"]
-                if ranks[-1] < seen:
-                    break
-        return total, out
-    finally:
-        vals.unpersist()
+def _order_stats(df: DataFrame, col: str, ranks_for, bins: int) -> tuple[int, dict[int, float]]:
+    """Write the values once; ``ranks_for(n)`` picks the ranks from the row count."""
+    inf = float("inf")
+    vals = cut_lineage(df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v")), "order-stats")
+    finite = F.abs("v") < inf
+    stats = vals.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") == -inf).alias("low"), F.count_if(finite).alias("finite"),
+                     F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi")).first()
+    total, low, n = stats["n"], stats["low"], stats["finite"]
+    want = sorted(set(ranks_for(total))) if total else []
+    if want and not (0 <= want[0] and want[-1] < total):
+        raise IndexError(f"ranks {want[0]}..{want[-1]} outside 0..{total - 1}")
+    out: dict[int, float] = {k: -inf if k < low else inf for k in want}
+    inner = [k for k in want if low <= k < low + n]
+    # (condition, rows before it, min, max, ranks it must answer)
+    todo = [(finite, low, stats["lo"], stats["hi"], inner)] if inner else []
+    while todo:
+        held, seen, lo, hi, ranks = todo.pop()
+        if lo == hi:
+            out.update({k: float(lo) for k in ranks})
+            continue
+        if math.isfinite(hi - lo):
+            place = F.floor((F.col("v") - F.lit(lo)) / F.lit((hi - lo) / bins or 5e-324))
+        else:                                   # from below -1e308 to above 1e308, say
+            width = hi / bins - lo / bins
+            place = F.floor(F.col("v") / F.lit(width) - F.lit(lo / width))
+        b = F.when(F.col("v") == lo, 0).when(F.col("v") == hi, bins - 1).otherwise(F.greatest(F.lit(0), F.least(place, F.lit(bins - 1)))).cast("int")
+        hist = (vals.where(held).groupBy(b.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
+                                                          F.max("v").alias("hi")).orderBy("b").collect())
+        for r in hist:              # ranks grouped by the bin holding them
+            holds = [k for k in ranks if seen <= k < seen + r["n"]]
+            if holds:
+                todo.append((F.col("v").between(r["lo"], r["hi"]), seen, r["lo"], r["hi"], holds))
+            seen += r["n"]
+            if ranks[-1] < seen:
+                break
+    return total, out
 
 
-def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 4096,
-                     max_collect: int = 50_000) -> float | None:
-    """Linear-interpolation percentile (numpy default), ``q`` in [0, 100];
-    one persisted pass of the values feeds the count and the selection."""
+def exact_percentile(df: DataFrame, col: str, q: float, bins: int = 4096) -> float | None:
+    """Linear-interpolation percentile (numpy default), ``q`` in [0, 100]."""
     def ranks(n):
         pos = q / 100.0 * (n - 1)
         return [int(math.floor(pos)), min(int(math.floor(pos)) + 1, n - 1)]
-    n, got = _order_stats(df, col, ranks, bins, max_collect)
+    n, got = _order_stats(df, col, ranks, bins)
     if n == 0:
         return None
     pos = q / 100.0 * (n - 1)
     lo_i = int(math.floor(pos))
     hi_i = min(lo_i + 1, n - 1)
     a, b = got[lo_i], got[hi_i]
-    return a + (b - a) * (pos - lo_i)
+    return a if a == b else a + (b - a) * (pos - lo_i)

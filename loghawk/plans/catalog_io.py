@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from loghawk.operators import detect as DT
 from loghawk.plans.preprocess import zscore_scored
 from loghawk.plans.catalog_log import ZS
-from loghawk.plans.registry import SQL_FEATURES_CTE, TIE_NUDGE, finish, register, sql_finish, with_log
+from loghawk.plans.registry import SQL_FEATURES_CTE, finish, register, sql_finish, with_log
 from loghawk.session import scratch_path
-from loghawk.sources.logs import RAW_LOG_SCHEMA, read_logs, write_feedback, write_logs, write_report
+from loghawk.sources.logs import RAW_LOG_SCHEMA, RFC_4180, read_logs, write_feedback, write_logs, write_report
 from loghawk.sources.tables import api_log
 
 
@@ -63,18 +63,37 @@ def q_csv_inferred(spark, sf):
     return _csv_summary(df)
 
 
+@register("io_csv_quoted", with_log(
+    """ SELECT log_id, '{"id": ' || log_id || ', "name": "' || endpoint || '"}' AS parameters, CAST(log_id AS VARCHAR) AS id, endpoint AS name,
+    'say "' || method || '", twice' AS note, status_code, mode FROM api_log, (VALUES ('schema'), ('ddl'), ('inferred')) AS m(mode)"""))
+def q_csv_quoted(spark, sf):
+    """JSON and quotes in values, written with doubled quotes and read back in all three schema modes."""
+    log = api_log(spark, sf)
+    raw = log.select("log_id", F.concat(F.lit('{"id": '), F.col("log_id").cast("string"), F.lit(', "name": "'), "endpoint", F.lit('"}')).alias("parameters"),
+                     F.concat(F.lit('say "'), "method", F.lit('", twice')).alias("note"), "status_code")
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex[:8]}")
+    write_logs(raw, path, fmt="csv")
+    out = None
+    for mode, schema in (("schema", raw.schema), ("ddl", "log_id long, parameters string, note string, status_code int"), ("inferred", None)):
+        df = read_logs(spark, path, schema).where(F.col("_corrupt_record").isNull())
+        df = df.select(F.col("log_id").cast("long").alias("log_id"), "parameters", F.get_json_object("parameters", "$.id").alias("id"),
+                       F.get_json_object("parameters", "$.name").alias("name"), "note", "status_code", F.lit(mode).alias("mode"))
+        out = df if out is None else out.union(df)
+    return out
+
+
 @register("io_report_sink", with_log(
     SQL_FEATURES_CTE + ZS + " SELECT CAST(log_id AS VARCHAR) AS log_id, ip_address,"
-    " strftime(request_time, '%Y-%m-%d %H:%M:%S') AS request_time, CAST(status_code AS VARCHAR) AS status_code,"
-    f" CAST(ROUND(reconstruction_error * {TIE_NUDGE!r}, 6) AS VARCHAR) AS reconstruction_error,"
+    " strftime(request_time, '%Y-%m-%d %H:%M:%S.%f') AS request_time, CAST(status_code AS VARCHAR) AS status_code,"
+    " CAST(ROUND(ROUND(reconstruction_error, 9), 6) AS VARCHAR) AS reconstruction_error,"
     " CAST(is_anomaly AS VARCHAR) AS is_anomaly,"
-    f" CAST(ROUND(anomaly_score * {TIE_NUDGE!r}, 6) AS VARCHAR) AS anomaly_score FROM scored WHERE is_anomaly"))
+    " CAST(ROUND(ROUND(anomaly_score, 9), 6) AS VARCHAR) AS anomaly_score FROM scored WHERE is_anomaly"))
 def q_report(spark, sf):
     """Flagged rows written as a CSV report and read back."""
     scored = zscore_scored(api_log(spark, sf))
     path = scratch_path(spark, f"report-{uuid.uuid4().hex[:8]}")
     write_report(finish(DT.anomalies(scored)), path)
-    return spark.read.option("header", True).csv(path)
+    return spark.read.options(**RFC_4180).csv(path)
 
 
 @register("io_feedback_sink", FEEDBACK_SQL)

@@ -275,20 +275,28 @@ def q_one_hot_totals(spark, sf):
 _HOST_RE = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]*)"
 
 
-@register("features_url_one_hot_capped", with_log(
-    f" , h AS (SELECT page_id, regexp_extract(url, '{_HOST_RE}', 1) AS host FROM pages)"
-    ", top AS (SELECT host, row_number() OVER (ORDER BY count(*) DESC, host) AS r FROM h GROUP BY host)"
-    " SELECT h.page_id, CASE WHEN top.r <= 32 THEN 'host_endpoint_' || h.host ELSE 'host_endpoint_other' END"
-    " AS hot_column FROM h JOIN top ON h.host = top.host"))
+@register("features_url_one_hot", with_log(
+    f" SELECT page_id, 'host_endpoint_' || regexp_extract(url, '{_HOST_RE}', 1) AS hot_column FROM pages"))
 def q_url_one_hot(spark, sf):
-    """Many-valued one-hot: page URL hosts, vocabulary capped at 32 (most
-    frequent) with an 'other' column; reported as the column set per page."""
+    """Many-valued one-hot in sparse form: the hot column of each page's host, no cap."""
     from loghawk.sources.tables import read_table
     pages = read_table(spark, sf, "pages").select("page_id", F.parse_url(F.col("url"), F.lit("HOST")).alias("host"))
-    out, vocab = FE.one_hot(pages, "host", max_values=32)
-    cols = [c for c in out.columns if c.startswith("host_endpoint_")]
-    hot = F.coalesce(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in cols])
-    return out.select("page_id", hot.alias("hot_column"))
+    out = FE.one_hot_rows(pages, "host", FE.endpoint_vocabulary(pages, "host"), "page_id")
+    return out.select("page_id", F.col("hot").alias("hot_column"))
+
+
+@register("features_one_hot_at_serving", with_log(
+    " SELECT log_id, CASE WHEN log_id % 2 = 0 THEN 'all' ELSE 'new' END AS part,"
+    " CASE WHEN method = 'POST' AND log_id % 2 = 1 THEN NULL ELSE 'endpoint_endpoint_' || endpoint END AS hot_column FROM api_log"))
+def q_one_hot_serving(spark, sf):
+    """A vocabulary fitted on the log serves the same log and one with unseen
+    endpoints (odd POST rows get a suffix): same names, all zeros for the unseen."""
+    log = _log(spark, sf).select("log_id", "endpoint", "method")
+    vocabulary = FE.endpoint_vocabulary(log, "endpoint")
+    odd = F.col("log_id") % 2 == 1
+    served = log.withColumn("endpoint", F.when(odd & (F.col("method") == "POST"), F.concat("endpoint", F.lit("/v2"))).otherwise(F.col("endpoint")))
+    out = FE.one_hot_rows(served, "endpoint", vocabulary)
+    return out.select("log_id", F.when(odd, "new").otherwise("all").alias("part"), F.col("hot").alias("hot_column"))
 
 
 _ST = ["status_code_is_success", "status_code_is_redirect", "status_code_is_client_error",
@@ -381,13 +389,13 @@ def q_rpi(spark, sf):
 
 
 @register("agg_time_interval", with_log(
-    f" SELECT log_id, strftime({SQL_BUCKET5}, '%Y-%m-%d %H:%M:%S') AS time_interval FROM api_log"))
+    f" SELECT log_id, strftime({SQL_BUCKET5}, '%Y-%m-%d %H:%M:%S.%f') AS time_interval FROM api_log"))
 def q_interval(spark, sf):
     return finish(AG.time_interval(_log(spark, sf), "request_time").select("log_id", "time_interval"))
 
 
 @register("agg_requests_per_ip_5min", with_log(
-    f" SELECT ip_address, strftime({SQL_BUCKET5}, '%Y-%m-%d %H:%M:%S') AS time_interval, count(*) AS requests_per_ip_5min"
+    f" SELECT ip_address, strftime({SQL_BUCKET5}, '%Y-%m-%d %H:%M:%S.%f') AS time_interval, count(*) AS requests_per_ip_5min"
     " FROM api_log WHERE ip_address IS NOT NULL AND request_time IS NOT NULL GROUP BY 1, 2"))
 def q_rpi5(spark, sf):
     return finish(AG.requests_per_ip_window(_log(spark, sf)))
@@ -403,7 +411,7 @@ def q_jn1(spark, sf):
 @register("join_requests_per_ip_5min", with_log(
     f" , c AS (SELECT ip_address, {SQL_BUCKET5} AS b, count(*) AS n FROM api_log"
     " WHERE ip_address IS NOT NULL AND request_time IS NOT NULL GROUP BY 1, 2)"
-    f" SELECT l.log_id, strftime({SQL_BUCKET5.replace('request_time', 'l.request_time')}, '%Y-%m-%d %H:%M:%S') AS time_interval,"
+    f" SELECT l.log_id, strftime({SQL_BUCKET5.replace('request_time', 'l.request_time')}, '%Y-%m-%d %H:%M:%S.%f') AS time_interval,"
     f" c.n AS requests_per_ip_5min FROM api_log l LEFT JOIN c ON l.ip_address = c.ip_address"
     f" AND {SQL_BUCKET5.replace('request_time', 'l.request_time')} = c.b"))
 def q_jn2(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loghawk.operators import autoencoder as AE
@@ -13,21 +15,15 @@ from loghawk.session import scratch_path
 from loghawk.sources.artefact import load_model, save_model
 from loghawk.sources.tables import api_log, read_table
 
-_TRAINED: dict[str, tuple] = {}
-
 
-def _trained(spark, sf):
-    """Train once per (session, data folder); later queries reuse the model."""
-    key = f"{id(spark)}|{sf}"
-    if key not in _TRAINED:
-        _TRAINED[key] = train_detector(api_log(spark, sf), epochs=50)
-    return _TRAINED[key]
+def _trained(spark, sf, epochs=5):
+    return train_detector(api_log(spark, sf), epochs=epochs)
 
 
 @register("ae_training_history")
 def q_history(spark, sf):
     """Train / held-out loss per epoch of the full-batch autoencoder (50 epochs)."""
-    model, _ = _trained(spark, sf)
+    model, _ = _trained(spark, sf, 50)
     return AE.history(model, spark)
 
 
@@ -35,7 +31,7 @@ def q_history(spark, sf):
 def q_detect(spark, sf):
     """Save, reload, score the whole log with the stored contract, top 10."""
     model, spec = _trained(spark, sf)
-    path = scratch_path(spark, f"model-{abs(hash(sf))}")
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
     save_model(spark, model, path, spec.to_dict())
     loaded, spec_d = load_model(spark, path)
     scored = score_log(api_log(spark, sf), loaded, FeatureSpec.from_dict(spec_d))
@@ -78,7 +74,7 @@ def _centroid_errors(spark, sf):
                                                      F.col("embedding").cast("array<double>").alias("features"))
     cent = emb.groupBy("label").agg(*[F.avg(F.col("features")[i]).alias(f"c{i}") for i in range(_EMB)])
     cent = cent.select("label", F.array(*[F.col(f"c{i}") for i in range(_EMB)]).alias("reconstruction"))
-    return DT.reconstruction_error(emb.join(F.broadcast(cent), "label"))
+    return DT.reconstruction_error(emb.join(cent, "label"))
 
 
 @register("ae_reconstruction_error", sql_finish(_centroid_sql("SELECT * FROM r"), doubles=["reconstruction_error"],

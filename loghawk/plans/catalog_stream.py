@@ -1,16 +1,42 @@
-"""Registered streaming queries.  Each runs a stream over the
-``events`` file folder to completion (availableNow) and returns the sink table."""
+"""Registered streaming queries.  The ``events`` arrive in parts,
+earliest first; the stream runs to the end of each part (availableNow) and goes
+on from its checkpoint with the next.  A closing marker then delivers the
+windows that are still open, so the results are those of the whole log."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from loghawk.operators import aggregates as AG
 from loghawk.plans.registry import finish, register, sql_finish
+from loghawk.session import cut_lineage, scratch_path
+from loghawk.sources.tables import api_log, read_table
 from loghawk.streaming import streams as ST
 
-_WM = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+PARTS = 3
+
 
+def _replay(spark, sf, name, make, mode="append", order=tuple(range(PARTS)), close=True):
+    """Run ``make(log stream)`` over the parts of ``events`` in ``order``; the sink's path."""
+    events = read_table(spark, sf, "events")
+    base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    step = (hi - lo) / PARTS
+    path = base + "/out"
+    for n, part in enumerate([*order, *([None] if close else [])]):
+        if part is None:
+            ST.close_log(spark, f"{base}/in/part-{n}", events.schema)
+        else:
+            mine = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp"))) / F.lit(step.total_seconds() * 1e6)), F.lit(PARTS - 1)) == part
+            events.where(mine).write.parquet(f"{base}/in/part-{n}")
+        path, _ = ST.run_to_table(make(ST.log_stream(spark, f"{base}/in/*", schema=events.schema)), name, mode, base=base)
+    return path
 
-def _stream(spark, sf):
-    return ST.with_watermark(ST.log_stream(spark, sf))
+
+def _late(df, delay="10 minutes"):
+    return ST.with_watermark(df, delay=delay)
 
 
 def _ip(ev="ev"):
@@ -20,11 +46,25 @@ def _ip(ev="ev"):
 @register("stream_tumbling_counts", sql_finish(
     f"SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start,"
     f" time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE AS window_end, {_ip()} AS ip_address,"
-    f" count(*) AS requests FROM events ev GROUP BY 1, 2, 3 HAVING window_end <= {_WM}",
+    f" count(*) AS requests FROM events ev GROUP BY 1, 2, 3",
     times=["window_start", "window_end"], others=["ip_address", "requests"]))
 def q_tumbling(spark, sf):
-    """Append mode: windows are emitted once the watermark passes their end."""
-    path, _ = ST.run_to_table(ST.tumbling_counts(_stream(spark, sf)), "tumbling")
+    """Append mode: a window is emitted once the watermark passes its end.  The
+    parts' rows come in any order, so the delay is long."""
+    path = _replay(spark, sf, "tumbling", lambda df: ST.tumbling_counts(_late(df, "30 days")))
+    return finish(spark.read.parquet(path))
+
+
+@register("stream_late_rows", sql_finish(
+    "WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events), p AS (SELECT ev.*, least(floor((epoch_us(ts) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) * 3), 2) AS part FROM events ev, b)"
+    " SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start,"
+    f" time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE AS window_end, {_ip('p')} AS ip_address,"
+    " count(*) AS requests FROM p WHERE part <> 1 OR time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE > (SELECT max(ts) FROM p WHERE part = 2) - INTERVAL 10 MINUTE GROUP BY 1, 2, 3",
+    times=["window_start", "window_end"], others=["ip_address", "requests"]))
+def q_late(spark, sf):
+    """The middle part comes last, behind the watermark: its rows are late and
+    don't count.  A long delay holds until the last part is read."""
+    path = _replay(spark, sf, "late", lambda df: ST.tumbling_counts(_late(df)), order=(0, 2, 1))
     return finish(spark.read.parquet(path))
 
 
@@ -32,10 +72,10 @@ def q_tumbling(spark, sf):
     f"WITH w AS (SELECT time_bucket(INTERVAL '1 minute', ts) - to_minutes(k) AS window_start, {_ip()} AS ip_address"
     " FROM events ev, unnest(range(5)) AS t(k))"
     " SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, ip_address, count(*) AS requests"
-    f" FROM w GROUP BY 1, 2, 3 HAVING window_end <= {_WM}",
+    f" FROM w GROUP BY 1, 2, 3",
     times=["window_start", "window_end"], others=["ip_address", "requests"]))
 def q_sliding(spark, sf):
-    path, _ = ST.run_to_table(ST.sliding_counts(_stream(spark, sf)), "sliding")
+    path = _replay(spark, sf, "sliding", lambda df: ST.sliding_counts(_late(df, "30 days")))
     return finish(spark.read.parquet(path))
 
 
@@ -44,31 +84,25 @@ def q_sliding(spark, sf):
     ", n AS (SELECT *, CASE WHEN prev IS NULL OR ts >= prev + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM l)"
     ", s AS (SELECT *, sum(new) OVER (PARTITION BY ip_address ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM n)"
     " SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, ip_address, count(*) AS requests"
-    f" FROM s GROUP BY ip_address, sid HAVING session_end <= {_WM}",
+    f" FROM s GROUP BY ip_address, sid",
     times=["session_start", "session_end"], others=["ip_address", "requests"]))
 def q_sessions(spark, sf):
-    path, _ = ST.run_to_table(ST.session_counts(_stream(spark, sf)), "sessions")
+    path = _replay(spark, sf, "sessions", lambda df: ST.session_counts(_late(df, "30 days")))
     return finish(spark.read.parquet(path))
 
 
 @register("stream_running_ip_totals", f"SELECT {_ip()} AS ip_address, count(*) AS requests_so_far FROM events ev GROUP BY 1")
 def q_running(spark, sf):
-    path, _ = ST.run_to_table(ST.running_ip_totals(ST.log_stream(spark, sf)), "running", mode="update")
+    path = _replay(spark, sf, "running", ST.running_ip_totals, "update", close=False)
     return ST.latest_per_key(spark.read.parquet(path), ["ip_address"])
 
 
-@register("stream_running_ip_totals_expiring",
-          f"SELECT {_ip()} AS ip_address, count(*) AS requests_so_far FROM events ev GROUP BY 1")
-def q_running_expiring(spark, sf):
-    """Running totals with per-IP state that expires after an idle hour."""
-    path, _ = ST.run_to_table(ST.running_ip_totals_expiring(_stream(spark, sf)), "running-exp", mode="update")
-    return ST.latest_per_key(spark.read.parquet(path), ["ip_address"]).select("ip_address", "requests_so_far")
-
-
 @register("stream_scoring")
 def q_stream_scoring(spark, sf):
-    """Score the stream with the autoencoder trained on the same log."""
-    from loghawk.plans.catalog_model import _trained
-    model, spec = _trained(spark, sf)
-    path = ST.score_batches(ST.log_stream(spark, sf), model, spec)
+    """Score the stream with the autoencoder trained on the same log and with its counts."""
+    from loghawk.plans.detection import train_detector
+    log = api_log(spark, sf)
+    model, spec = train_detector(log, epochs=5)
+    counts = cut_lineage(AG.requests_per_ip(log)), cut_lineage(AG.requests_per_ip_window(log))
+    path = ST.score_batches(ST.log_stream(spark, sf, "events.parquet"), model, spec, counts)
     return spark.read.parquet(path).drop("batch_id")

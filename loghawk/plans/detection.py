@@ -18,42 +18,42 @@ from loghawk.operators.scaling import Scaler, apply_scaler, fit_scaler, split, t
 from loghawk.plans.preprocess import FeatureSpec, derive_features
 
 
-def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | None = None,
-            id_col: str = "log_id") -> tuple[DataFrame, FeatureSpec, Scaler]:
-    feats, new_spec = derive_features(log, mode="batch",
-                                      endpoint_vocab=spec.endpoint_vocab if spec else None, id_col=id_col)
+def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | None = None, id_col: str = "log_id",
+            carry: str | None = None, stored_counts=None) -> tuple[DataFrame, FeatureSpec, Scaler]:
+    """Scaled feature vectors.  With a ``spec``, a feature that the log cannot
+    give is an error; the one-hots of endpoints that don't occur are zeros.
+    ``scale_onehot=False`` in the spec leaves the one-hots as they are."""
+    feats, new_spec = derive_features(log, mode="batch", endpoint_vocab=spec.endpoint_vocab if spec else None, id_col=id_col,
+                                      names=spec.names if spec else None, carry=carry, stored_counts=stored_counts)
     spec = spec or new_spec
-    for n in spec.names:              # unseen one-hot columns are all zero
-        if n not in feats.columns:
-            feats = feats.withColumn(n, F.lit(0))
-    scaler = scaler or fit_scaler(feats, spec.names).collect()
+    missing = [n for n in spec.names if n not in feats.columns]
+    if missing:
+        raise ValueError(f"the log gives no {missing}")
+    scaler = scaler or fit_scaler(feats, [n for n in spec.names if spec.scale_onehot or n not in spec.onehot_names()]).collect()
     z = apply_scaler(feats, scaler)
-    return to_vector(z, spec.names, "features", keep=(id_col,)), spec, scaler
+    return to_vector(z, spec.names, "features", keep=(id_col, carry) if carry else (id_col,)), spec, scaler
 
 
 def train_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: float = 1e-3, dropout: float = 0.2,
-                   seed: int = 42, train_fraction: float = 0.8, final: str = "relu",
-                   state_path: str | None = None, sample_fraction: float | None = None):
-    """Fit the detector.  Features, vocabulary and scaler always come from the
-    whole log.  ``sample_fraction`` (default: none) trains the network on a
-    repeatable hash sample of the rows -- for logs whose feature vectors do
-    not fit the cluster's cache 50 times over; scoring always covers every row."""
+                   seed: int = 42, train_fraction: float = 0.8, final: str = "relu", state_path: str | None = None):
+    """Fit the detector; features, vocabulary, scaler and network come from the whole log."""
     vec, spec, scaler = prepare(log)
-    if sample_fraction is not None and sample_fraction < 1.0:
-        vec = split(vec, sample_fraction, seed + 1, out="__sample").where(F.col("__sample") == "train").drop("__sample")
     tagged = split(vec, train_fraction, seed)
     model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed,
                                final=final, feature_names=spec.names, state_path=state_path)
     model.scaler = dict(scaler.params)
     test = tagged.where(F.col("split") == "test")
-    errs = DT.reconstruction_error(AE.reconstruct(test, model))
+    errs = AE.with_error(test, model)
     model.threshold = float(DT.threshold(errs, method="std").first()[0])
     return model, spec
 
 
-def score_log(log: DataFrame, model: AE.AutoencoderModel, spec: FeatureSpec, id_col: str = "log_id") -> DataFrame:
-    """Scored log: the original columns + reconstruction_error, is_anomaly, anomaly_score."""
+def score_log(log: DataFrame, model: AE.AutoencoderModel, spec: FeatureSpec, id_col: str = "log_id", stored_counts=None) -> DataFrame:
+    """Scored log: the original columns + reconstruction_error, is_anomaly,
+    anomaly_score.  The log's row is carried through the features, so the log
+    is scanned once besides the count aggregates and joined with no copy of
+    itself; rows with a NULL id are scored like any other."""
     scaler = Scaler(list(model.scaler), params=dict(model.scaler))
-    vec, _, _ = prepare(log, spec, scaler, id_col)
-    err = DT.reconstruction_error(AE.reconstruct(vec, model)).select(id_col, "reconstruction_error")
-    return DT.flag_and_score(log.join(err, id_col), model.threshold)
+    vec, _, _ = prepare(log, spec, scaler, id_col, carry="__row", stored_counts=stored_counts)
+    scored = AE.with_error(vec, model).select("__row.*", "reconstruction_error")
+    return DT.flag_and_score(scored, model.threshold)

@@ -1,39 +1,16 @@
-"""Join-strategy helpers.
+"""Join helpers.
 
-``lookup_join`` joins a (large) fact side to an aggregated lookup side.  The
-lookup is broadcast only after its row count has been measured against a
-limit; beyond the limit the join stays a shuffle join, where AQE's skew-join
-handling splits partitions of hot keys (one IP may hold a third of a log).
+``lookup_join`` joins a (large) fact side to an aggregated lookup side.  It
+gives no hint: the planner and AQE pick a broadcast by the lookup's measured
+bytes, else a shuffle join whose hot keys (one IP may hold a third of a log)
+AQE's skew handling splits.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Lookup tables here are (key, count) rows of a few dozen bytes; 2M rows stay
-# well below the default 8 GB broadcast ceiling and the executors' memory.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def broadcast_if_small(lookup: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                       keep: bool = True) -> tuple[DataFrame, bool]:
-    """Measure the lookup side (one job over an aggregate, nothing cached) and
-    hint a broadcast only if it has at most ``max_rows`` rows.
-
-    With ``keep`` a lookup found small is then persisted and materialised, so
-    the jobs that broadcast it (scaler, threshold, final result) read at most
-    ``max_rows`` cached rows instead of re-aggregating the whole log.  A
-    lookup found too large is never cached."""
-    n = lookup.limit(max_rows + 1).count()
-    if n <= max_rows:
-        if keep:
-            lookup = lookup.persist(StorageLevel.MEMORY_AND_DISK)
-            lookup.count()            # materialise the (small) lookup once
-        return F.broadcast(lookup), True
-    return lookup, False
-
 
 def salted_join(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left",
                 salt_buckets: int = 32, salt_source: str | None = None) -> DataFrame:
@@ -49,16 +26,9 @@ def salted_join(fact: DataFrame, lookup: DataFrame, keys: list[str], how: str =
 
 
 def lookup_join(fact: DataFrame, lookup: DataFrame, on, how: str = "left",
-                max_broadcast_rows: int | None = DEFAULT_MAX_BROADCAST_ROWS,
                 salt_buckets: int | None = None, salt_source: str | None = None) -> DataFrame:
-    """``fact JOIN lookup`` with a size-checked broadcast.  Beyond the limit:
-    a shuffle join whose hot keys AQE's skew handling splits, or, with
-    ``salt_buckets``, an explicitly salted join (column-name keys only).
-    ``max_broadcast_rows=None`` leaves the choice to the planner/AQE."""
-    if max_broadcast_rows is not None:
-        small, is_small = broadcast_if_small(lookup, max_broadcast_rows)
-        if is_small:
-            return fact.join(small, on, how)
+    """``fact JOIN lookup``; with ``salt_buckets`` an explicitly salted shuffle
+    join (column-name keys only)."""
     if salt_buckets and isinstance(on, (str, list)):
         return salted_join(fact, lookup, [on] if isinstance(on, str) else list(on), how, salt_buckets, salt_source)
     return fact.join(lookup, on, how)

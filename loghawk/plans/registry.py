@@ -2,8 +2,10 @@
 
 Every query reads the provided tables (or the ``api_log`` view Spark
 derives from ``events``) in full.  ``finish`` puts results in a form two
-engines can agree on: doubles rounded to 6 digits, timestamps as
-``yyyy-MM-dd HH:mm:ss`` text.
+engines can agree on: doubles rounded to 9 and then 6 digits (inputs have two
+decimals, so means often sit halfway between two 6-digit values, where the
+order of a sum decides; the first step takes that noise away), timestamps as
+text to the microsecond.
 """
 
 from __future__ import annotations
@@ -17,11 +19,6 @@ from pyspark.sql import types as T
 from loghawk.functions.columns import ZERO_SCALE
 from loghawk.sources.tables import API_LOG_SQL
 
-# Inputs have two decimals, so sums and means often sit exactly halfway
-# between two 6-digit values, where summation-order noise decides the
-# rounding.  Both engines scale by the same 1 + 1e-12 first: ties break alike.
-TIE_NUDGE = 1.000000000001
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -42,17 +39,17 @@ def finish(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") * F.lit(TIE_NUDGE), 6)
+            c = F.round(F.round(c.cast("double"), 9), 6)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
 def sql_finish(inner: str, doubles: list[str] = (), times: list[str] = (), others: list[str] = ()) -> str:
     """Wrap an oracle SELECT the same way ``finish`` wraps the Spark result."""
-    cols = ([f'"{c}"' for c in others] + [f'ROUND(CAST("{c}" AS DOUBLE) * {TIE_NUDGE!r}, 6) AS "{c}"' for c in doubles]
-            + [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S') AS \"{c}\"" for c in times])
+    cols = ([f'"{c}"' for c in others] + [f'ROUND(ROUND(CAST("{c}" AS DOUBLE), 9), 6) AS "{c}"' for c in doubles]
+            + [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S.%f') AS \"{c}\"" for c in times])
     return f"SELECT {', '.join(cols)} FROM ({inner}) AS q"
 
 

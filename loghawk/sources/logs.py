@@ -18,29 +18,36 @@ RAW_LOG_SCHEMA = T.StructType([
     T.StructField("response_time_ms", T.LongType()),
 ])
 
+# Quotes within a quoted value are doubled, not escaped by a backslash.
+RFC_4180 = {"header": True, "quote": '"', "escape": '"'}
+
 
 def read_logs(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-              fmt: str = "csv", corrupt_column: str = "_corrupt_record", with_id: str | None = None) -> DataFrame:
-    """Scan a log.  CSV: header row, PERMISSIVE mode; malformed lines land in
-    ``_corrupt_record`` instead of failing the job.  Without a schema the
-    types are inferred (one extra pass; give a schema in production).
+              fmt: str = "csv", corrupt_column: str = "_corrupt_record", with_id: str | None = None,
+              multi_line: bool = False) -> DataFrame:
+    """Scan a log.  CSV as in RFC 4180: header row, a quote within a quoted
+    value is doubled, and, with ``multi_line`` (files are then not split), a
+    quoted value may hold line breaks.  Malformed lines land in
+    ``_corrupt_record`` instead of failing the job, whether the schema is a
+    StructType, a DDL string or inferred (one extra pass; give a schema in
+    production).
     ``with_id`` names a row-id column to add (``monotonically_increasing_id``:
     unique, and stable while the files and split size stay the same; write
     the table once to pin it for later joins with feedback)."""
-    df = _read(spark, path, schema, fmt, corrupt_column)
+    df = _read(spark, path, schema, fmt, corrupt_column, multi_line)
     return df.withColumn(with_id, F.monotonically_increasing_id()) if with_id else df
 
 
-def _read(spark: SparkSession, path: str, schema, fmt: str, corrupt_column: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema, fmt: str, corrupt_column: str, multi_line: bool) -> DataFrame:
     if fmt == "csv":
-        reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+        reader = spark.read.options(**RFC_4180).option("mode", "PERMISSIVE").option("multiLine", multi_line)
         if schema is None:
-            reader = reader.option("inferSchema", True)
-        else:
-            if isinstance(schema, T.StructType) and corrupt_column not in schema.fieldNames():
-                schema = T.StructType(schema.fields + [T.StructField(corrupt_column, T.StringType())])
-            reader = reader.schema(schema).option("columnNameOfCorruptRecord", corrupt_column)
-        return reader.csv(path)
+            schema = reader.option("inferSchema", True).csv(path).schema
+        elif isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        if corrupt_column not in schema.fieldNames():
+            schema = T.StructType(schema.fields + [T.StructField(corrupt_column, T.StringType())])
+        return reader.schema(schema).option("columnNameOfCorruptRecord", corrupt_column).csv(path)
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
@@ -53,7 +60,7 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
     column lets later reads prune partitions."""
     w = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        w = w.option("header", True)
+        w = w.options(**RFC_4180)
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
@@ -61,7 +68,7 @@ def write_logs(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "over
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Scored rows as CSV with a header (one file per task; no funnel through one writer)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**RFC_4180).csv(path)
 
 
 def write_feedback(df: DataFrame, path: str, mode: str = "append") -> None:

@@ -4,7 +4,9 @@ scoring with a stored model.
 
 All state is bounded by the watermark (append mode) except the running
 per-IP total, whose state is one row per IP.  Sinks write to the shared
-checkpoint folder; nothing is collected by the driver.
+checkpoint folder, a folder for each micro-batch where they go through
+``foreachBatch``, so a repeated batch replaces its own rows; nothing is
+collected by the driver.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from loghawk.session import scratch_path
 from loghawk.sources.tables import events_to_api_log
 
 
-def log_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
-               max_files_per_trigger: int | None = None) -> DataFrame:
-    """ST1: the ``api_log`` projection over a folder of ``events`` Parquet
-    files (new files are picked up as they land).  The event time is cast
-    to TIMESTAMP (watermarks need it; the session time zone is UTC)."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
+def log_stream(spark: SparkSession, folder: str, file_glob: str = "*.parquet",
+               max_files_per_trigger: int | None = None, schema=None) -> DataFrame:
+    """ST1: the ``api_log`` projection over a folder (or glob of folders) of
+    ``events`` Parquet files; new files are picked up as they land.  The event
+    time is cast to TIMESTAMP (watermarks need it; the session time zone is UTC)."""
+    schema = schema or spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -32,6 +34,16 @@ def log_stream(spark: SparkSession, folder: str, file_glob: str = "events.parque
     return events_to_api_log(ev).withColumn("request_time", F.col("request_time").cast("timestamp"))
 
 
+def close_log(spark: SparkSession, folder: str, schema) -> None:
+    """Write the closing marker of a finished log to one of the stream's
+    folders: an event of no user in the far future.  It moves the watermark
+    past every window, so the next run emits what is still open; with no IP it
+    counts in none."""
+    end = spark.range(1).select(*[F.to_timestamp(F.lit("2999-01-01")).cast(f.dataType).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+                                  for f in schema.fields])
+    end.write.mode("overwrite").parquet(folder)
+
+
 def with_watermark(df: DataFrame, ts: str = "request_time", delay: str = "10 minutes") -> DataFrame:
     """ST2: rows later than ``delay`` behind the max event time seen are dropped
     from stateful operators, and window state older than it is evicted."""
@@ -55,7 +67,9 @@ def sliding_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request_tim
 
 
 def session_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request_time", gap: str = "30 minutes") -> DataFrame:
-    """ST5: per-IP sessions (a gap of ``gap`` closes a session)."""
+    """ST5: per-IP sessions (a gap of ``gap`` closes a session).  Sessions are
+    merged in each task before the shuffle, so a hot IP's rows travel as sessions."""
+    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (df.where(F.col(ip).isNotNull()).groupBy(F.session_window(ts, gap).alias("s"), ip)
             .agg(F.count(F.lit(1)).alias("requests"))
             .select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), ip, "requests"))
@@ -66,44 +80,15 @@ def running_ip_totals(df: DataFrame, ip: str = "ip_address") -> DataFrame:
     return df.where(F.col(ip).isNotNull()).groupBy(ip).agg(F.count(F.lit(1)).alias("requests_so_far"))
 
 
-def running_ip_totals_expiring(df: DataFrame, ip: str = "ip_address", ts: str = "request_time",
-                               idle: str = "1 hour") -> DataFrame:
-    """ST7 with bounded state: running requests per IP kept by
-    ``applyInPandasWithState`` (RocksDB state: count, last event time); an
-    IP idle for ``idle`` past the watermark times out and its state is
-    dropped, so state is bounded by the active IPs, not all IPs ever seen.
-    Needs a watermark on ``ts``.  Output (update mode): IPs changed in the
-    micro-batch with their running total and last event time."""
-    import pandas as pd
-
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    out_schema = f"{ip} string, requests_so_far long, last_seen timestamp"
-    state_schema = "n long, last_ms long"
-
-    def update(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        n, last = state.get if state.exists else (0, 0)
-        for pdf in batches:
-            n += len(pdf)
-            last = max(last, int(pd.to_datetime(pdf[ts]).max().value // 1_000_000))
-        state.update((n, last))
-        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({ip: [key[0]], "requests_so_far": [n], "last_seen": [pd.Timestamp(last, unit="ms")]})
-
-    return (df.where(F.col(ip).isNotNull()).select(ip, ts).groupBy(ip)
-            .applyInPandasWithState(update, out_schema, state_schema, "update", "EventTimeTimeout"))
-
-
 def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now: bool = True,
-                 processing_time: str | None = None) -> tuple[str, StreamingQuery]:
-    """Start a stream writing Parquet under the checkpoint folder.  Append
-    mode writes rows directly; update mode goes through ``foreachBatch``
-    (each micro-batch's changed rows are appended with their batch id, so
-    the latest row per key is the current value).  Returns (path, query)."""
-    spark = df.sparkSession
-    base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
+                 processing_time: str | None = None, base: str | None = None) -> tuple[str, StreamingQuery]:
+    """Start a stream writing Parquet under ``base`` (a folder of its own under
+    the checkpoint folder by default; give the same one to go on later).
+    Append mode writes rows directly; update mode goes through
+    ``foreachBatch``: each micro-batch's changed rows are a folder
+    ``batch_id=n``, so the latest row per key is the current value.  Returns
+    (path, query)."""
+    base = base or scratch_path(df.sparkSession, f"stream-{name}-{uuid.uuid4().hex[:8]}")
     out, ck = base + "/out", base + "/checkpoint"
     w = df.writeStream.option("checkpointLocation", ck).outputMode(mode)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
@@ -111,7 +96,7 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now:
         q = w.format("parquet").option("path", out).start()
     else:
         def sink(batch: DataFrame, batch_id: int):
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         q = w.foreachBatch(sink).start()
     if available_now:
         q.awaitTermination()
@@ -124,21 +109,22 @@ def latest_per_key(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(latest, keys + ["batch_id"]).drop("batch_id")
 
 
-def score_batches(df: DataFrame, model, spec, name: str = "scored") -> str:
+def score_batches(df: DataFrame, model, spec, counts: tuple[DataFrame, DataFrame], name: str = "scored", base: str | None = None) -> str:
     """ST6: score each micro-batch with a stored model, feature contract and
-    scaler (no re-fitting on the stream).  ``foreachBatch`` runs the batch
-    detection plan on the micro-batch, so the per-IP counts are those of the
-    batch (an aggregate + join, not stream state), and appends the scored
-    rows; returns the output path."""
+    scaler (no re-fitting on the stream).  The request counts are those of a
+    reference log: ``counts``, the stored tables of ``requests_per_ip`` and
+    ``requests_per_ip_window``, which travel with the model.  So a row's score
+    doesn't depend on the batch that it comes in.  Returns the output path,
+    with a folder for each micro-batch."""
     from loghawk.plans.detection import score_log
     spark = df.sparkSession
-    base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
+    base = base or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
     out = base + "/out"
 
     def sink(batch: DataFrame, batch_id: int):
-        scored = score_log(batch.withColumn("request_time", F.col("request_time").cast("timestamp_ntz")), model, spec)
+        scored = score_log(batch.withColumn("request_time", F.col("request_time").cast("timestamp_ntz")), model, spec, stored_counts=counts)
         scored.select("log_id", "ip_address", "reconstruction_error", "is_anomaly", "anomaly_score") \
-            .withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = df.writeStream.option("checkpointLocation", base + "/checkpoint").trigger(availableNow=True) \
         .foreachBatch(sink).start()

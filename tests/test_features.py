@@ -78,11 +78,33 @@ def test_unseen_endpoint_all_zero(spark):
     assert rows == {1: (1, 0), 2: (0, 0), 3: (0, 0)}
 
 
-def test_one_hot_capped_has_other(spark):
-    df = spark.createDataFrame([(i, f"/e{i % 7}") for i in range(70)], "log_id long, endpoint string")
-    out, vocab = FE.one_hot(df, "endpoint", max_values=3)
-    assert len(vocab) == 3 and "endpoint_endpoint_other" in out.columns
-    assert out.agg(F.sum("endpoint_endpoint_other")).first()[0] == 40
+def test_one_hot_has_every_value(spark):
+    df = spark.createDataFrame([(i, f"/e{i % 300}") for i in range(900)] + [(901, None), (902, "other")], "log_id long, endpoint string")
+    out, vocab = FE.one_hot(df, "endpoint")
+    assert len(vocab) == 301 and out.agg(F.sum("endpoint_endpoint_other")).first()[0] == 1
+    served, again = FE.one_hot(df.where("log_id < 3"), "endpoint", vocab)
+    assert again == vocab and served.columns == out.columns
+    hot = {r.log_id: r.hot for r in FE.one_hot_rows(df, "endpoint", FE.endpoint_vocabulary(df, "endpoint").where("value <> '/e1'")).collect()}
+    assert hot[0] == "endpoint_endpoint_/e0" and hot[1] is None and hot[901] is None and len(hot) == 902
+
+
+def test_scoring_keeps_the_log_and_wants_its_features(spark):
+    import pytest
+    from loghawk.plans.detection import prepare, score_log, train_detector
+    from loghawk.sources.tables import api_log
+    log = api_log(spark, "/root/testdata/sf0.001")
+    model, spec = train_detector(log, epochs=1, hidden=(4,))
+    odd = log.limit(5).union(log.limit(1).withColumn("log_id", F.lit(None).cast("long")))
+    scored = score_log(odd, model, spec)
+    assert scored.columns == log.columns + ["reconstruction_error", "is_anomaly", "anomaly_score"]
+    assert scored.count() == 6 and scored.where("log_id is null and reconstruction_error is not null").count() == 1
+    with pytest.raises(ValueError, match="response_ms"):
+        score_log(log.drop("response_ms"), model, spec)
+    spec.scale_onehot = False
+    vec, _, scaler = prepare(log, spec)
+    at = spec.names.index(sorted(spec.onehot_names())[0])
+    assert {r[0] for r in vec.select(F.col("features")[at]).distinct().collect()} <= {0.0, 1.0}
+    assert not set(scaler.columns) & spec.onehot_names()
 
 
 def test_threshold_equal_not_flagged_and_ties(spark):
@@ -132,8 +154,8 @@ def test_salted_join_equals_plain(spark):
     rows = [(i, "hot" if i % 3 else f"ip{i % 11}") for i in range(3000)] + [(5000, None)]
     df = spark.createDataFrame(rows, "log_id long, ip_address string")
     counts = AG.requests_per_ip(df)
-    plain = {r.log_id: r.requests_per_ip for r in lookup_join(df, counts, "ip_address", max_broadcast_rows=None).collect()}
-    salted = {r.log_id: r.requests_per_ip for r in lookup_join(df, counts, "ip_address", max_broadcast_rows=0,
+    plain = {r.log_id: r.requests_per_ip for r in lookup_join(df, counts, "ip_address").collect()}
+    salted = {r.log_id: r.requests_per_ip for r in lookup_join(df, counts, "ip_address",
                                                                   salt_buckets=8, salt_source="log_id").collect()}
     assert plain == salted and plain[1] == 2000 and plain[5000] is None
 

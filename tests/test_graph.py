@@ -89,12 +89,24 @@ def test_attention_stack_residual_and_norm(spark):
     out = GR.attention_stack(nodes, edges, layers, residual=True, use_batch_norm=True)
     rows = {r.node_id: np.array(r.features) for r in out.collect()}
     assert len(rows) == 4 and all(v.shape == (4,) for v in rows.values())
-    # residual: the second layer adds the first layer's output (widths match)
-    one = {r.node_id: np.array(r.features) for r in GR.attention_stack(nodes, edges, layers[:1], use_batch_norm=True).collect()}
+    # residual: the second layer is 4 wide, the stack's input 2: nothing is added
     bn = GR.batch_norm(GR.attend(GR.attend(nodes, edges, layers[0], activation=None).transform(GR.batch_norm)
                                  .withColumn("features", F.transform("features", lambda v: F.when(v > 0, v).otherwise(F.exp(v) - 1))),
                                  edges, layers[1], activation=None))
     second = {r.node_id: np.array(r.features) for r in bn.collect()}
     for i in rows:
         elu = np.where(second[i] > 0, second[i], np.exp(second[i]) - 1)
-        assert np.allclose(rows[i], elu + one[i], atol=1e-9)
+        assert np.allclose(rows[i], elu, atol=1e-9)
+
+
+def test_attention_stack_adds_the_input_where_widths_match(spark):
+    nodes = _nodes(spark, [[1, 0], [0, 1], [1, 1], [2, -1]])
+    edges = spark.createDataFrame([(0, 1), (2, 1), (3, 1), (1, 0), (1, 2), (1, 3)], "src long, dst long")
+    layers = [GR.init_attention(2, 2, 1, seed=s) for s in (1, 2, 3)]
+    vec = lambda df: {r.node_id: np.array(r.features) for r in df.collect()}
+    x, got = vec(nodes.select("node_id", "features")), vec(GR.attention_stack(nodes, edges, layers, residual=True))
+    one = GR.attend(nodes, edges, layers[0])
+    two = vec(GR.attend(one, edges, layers[1]))
+    summed = {i: two[i] + x[i] for i in x}
+    three = vec(GR.attend(_nodes(spark, [summed[i].tolist() for i in range(4)]), edges, layers[2]))
+    assert all(np.allclose(got[i], three[i] + summed[i], atol=1e-9) for i in x)

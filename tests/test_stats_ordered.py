@@ -13,12 +13,22 @@ def test_kth_smallest_narrowing(spark):
     vals = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25)])   # a hot value
     df = spark.createDataFrame([(float(v),) for v in vals], "v double").repartition(6)
     ks = [0, 17, 2500, 4999]
-    got = kth_smallest(df, "v", ks, bins=16, max_collect=100)
+    got = kth_smallest(df, "v", ks, bins=16)
     s = np.sort(vals)
     for k in ks:
         assert got[k] == s[k]
 
 
+def test_kth_smallest_infinite_and_extreme_values(spark):
+    inf = float("inf")
+    vals = [inf, -inf, 1e308, -1e308, 0.0, 5e-324, 1e-323, 1.0, 1.0 + 2**-52, 1.0 + 2**-51, inf] + [float(i) for i in range(10)]
+    df = spark.createDataFrame([(v,) for v in vals] + [(float("nan"),), (None,)], "v double")
+    got = kth_smallest(df, "v", list(range(len(vals))), bins=4)
+    assert [got[k] for k in range(len(vals))] == sorted(vals)
+    assert exact_percentile(df, "v", 100) == inf
+    assert exact_percentile(df.where("v is null"), "v", 50) is None
+
+
 def test_exact_percentile_matches_numpy(spark):
     vals = np.random.default_rng(2).exponential(size=1001)
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")

@@ -32,7 +32,7 @@ def main():
     logdir = tempfile.mkdtemp(prefix="skew-")
     spark = build_session("local[8]", 32, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": logdir,
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1MB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB"})
     base = api_log(spark, sf)
     big = (base.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
@@ -40,7 +40,7 @@ def main():
     big = big.withColumn("ip_address", F.when(F.col("log_id") % 3 == 0, F.lit("10.0.0.1"))
                          .otherwise(F.col("ip_address"))).repartition(16)
     t = time.time()
-    AG.with_request_counts(big, max_broadcast_rows=0).write.format("noop").mode("overwrite").save()
+    AG.with_request_counts(big).write.format("noop").mode("overwrite").save()
     print("request counts (shuffle join):", round(time.time() - t, 1), "s")
     t = time.time()
     GR.sequential_edges(big, ["request_time", "log_id"], partition=["ip_address"]).write.format("noop") \
