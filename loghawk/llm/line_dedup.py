@@ -2,13 +2,13 @@
 
 A line goes when an equal line, or one within one edit (a character inserted,
 deleted or replaced), stands earlier in the corpus.  Equal lines meet by their
-hash.  For the edits, each line emits its deletion variants as hashed keys,
-coarse to fine: without either half, without each of sixteen blocks, and then,
-only for lines that still have a partner, without each single character.  Two
-lines are one edit apart exactly if they agree without the same character
-(replaced), or if one without a character is the other (inserted, deleted).
-So the earliest partner of a key is an aggregate and no pairs are built, however
-many lines share a key.
+hash.  For the edits, lines emit their deletion variants as hashed keys,
+coarse to fine: each line without either half; those that share a key with
+another, without each of sixteen blocks; and those that still do, without each
+single character of that block.  Two lines are one edit apart exactly if they
+agree without the same character (replaced), or if one without a character is
+the other (inserted, deleted).  So the earliest partner of a key is an
+aggregate and no pairs are built, however many lines share a key.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from loghawk.llm.common import store
 
-#: Characters of the pieces that a variant is hashed from, so that a long line's variants cost little each.
-PIECE = 64
 LINE = ("h1", "h2")
 
 
@@ -33,72 +31,72 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return one.where("text <> ''").select(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"), pos.alias("pos"), "text")
 
 
-def _coarse(blocks: int) -> Column:
-    """Keys of a line without one of ``blocks`` blocks, for partners of its own
-    length, one longer and one shorter.  Blocks are cut for the shorter length
-    m of the two; what is before a block is counted from the start, what is
-    behind it from the end."""
-    def keys(m: Column) -> Column:
-        def key(b: Column) -> Column:
-            before, behind = F.floor(m * b / blocks).cast("int"), m - F.floor(m * (b + 1) / blocks).cast("int")
-            return F.xxhash64(F.lit(blocks), m, b, F.substring("text", F.lit(1), before), F.when(behind > 0, F.right("text", behind)).otherwise(""))
+def _cut(m: Column, b: Column, blocks: int) -> Column:
+    return F.floor(m * b / blocks).cast("int")
 
-        return F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), key)
 
-    n = F.char_length("text")
-    return F.concat(keys(n), keys(n - 1))
+def _keys(blocks: int, each) -> Column:
+    """Keys (m, b, key) of a line of ``n`` characters without its block b, for
+    partners of its own length or one longer (m = n) and one shorter (m = n - 1).
+    Blocks are cut for the shorter length m of the two; what is before a block
+    is counted from the start, what is behind it from the end."""
+    def key(m: Column, b: Column) -> Column:
+        before, behind = _cut(m, b, blocks), m - _cut(m, b + 1, blocks)
+        rest = F.xxhash64(F.lit(blocks), m, b, F.substring("text", F.lit(1), before), F.when(behind > 0, F.right("text", behind)).otherwise(""))
+        return F.struct(m.alias("m"), b.alias("b"), rest.alias("key"))
 
+    return each(lambda b: key(F.col("n"), b), lambda b: key(F.col("n") - 1, b))
 
-def _with_partner(lines: DataFrame, blocks: int) -> DataFrame:
-    """The lines (h1, h2, pos, text) that share a coarse key with a different line."""
-    keyed = lines.select("h1", F.explode(_coarse(blocks)).alias("key"))
-    shared = store(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"), f"ld-keys-{blocks}")
-    some = store(keyed.join(shared, "key").select("h1").distinct(), f"ld-some-{blocks}")
-    return lines.join(some, "h1", "left_semi")
 
+def _halves(own, shorter) -> Column:
+    """Written out: every line of the corpus goes through these."""
+    return F.array(*[f(F.lit(b)) for f in (own, shorter) for b in (0, 1)])
 
-def _fine() -> Column:
-    """Keys of a line: (key, at, whole).  A deletion is hashed from all before
-    its piece, the piece without the character at ``at``, and all behind; the
-    whole line from the same parts, as a line one longer would leave it."""
-    n = F.char_length("text")
 
-    def deleted(p: Column) -> Column:
-        own = F.substring("text", p * PIECE + 1, F.lit(PIECE))
-        rest = F.struct(own.alias("own"), F.xxhash64(F.substring("text", F.lit(1), p * PIECE)).alias("before"),
-                        F.xxhash64(F.when(n > (p + 1) * PIECE, F.right("text", n - (p + 1) * PIECE)).otherwise("")).alias("behind"))
-        # computed once a piece: the struct is the single element of an array that the inner lambda reads
-        return F.flatten(F.transform(F.array(rest), lambda r: F.transform(F.sequence(F.lit(0), F.char_length(r["own"]) - 1), lambda i: F.struct(
-            F.xxhash64(p, r["before"], F.concat(F.substring(r["own"], F.lit(1), i), F.substring(r["own"], i + 2, F.lit(PIECE))), r["behind"], n - 1).alias("key"),
-            (p * PIECE + i).alias("at")))))
+def _blocks(own, shorter) -> Column:
+    some = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    return F.concat(F.transform(some, own), F.transform(some, shorter))
 
-    def whole(p: Column) -> Column:
-        behind = n - p * PIECE - (PIECE - 1)
-        return F.struct(F.xxhash64(p, F.xxhash64(F.substring("text", F.lit(1), p * PIECE)), F.substring("text", p * PIECE + 1, F.lit(PIECE - 1)),
-                                   F.xxhash64(F.when(behind > 0, F.right("text", behind)).otherwise("")), n).alias("key"), F.lit(-1).alias("at"))
 
-    return F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / PIECE).cast("int")), deleted)),
-                    F.transform(F.sequence(F.lit(0), F.floor(n / PIECE).cast("int")), whole))
+BLOCKS = 16
+
+
+def _shared(lines: DataFrame, keys: Column, name: str) -> DataFrame:
+    """(h1, m, b, key) of the lines' keys that a different line has too."""
+    keyed = store(lines.select("h1", F.explode(keys).alias("k")).select("h1", "k.*"), f"{name}-keys")
+    shared = store(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("key"), f"{name}-shared")
+    return store(keyed.join(shared, "key"), name)
+
+
+def _without(own: str, i: Column) -> Column:
+    return F.concat(F.substring(own, F.lit(1), i), F.substring(F.col(own), i + 2, F.char_length(own)))
 
 
 def _edited(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier line one edit away."""
-    some = _with_partner(lines, 2)
-    some = store(some.groupBy(*LINE, "text").agg(F.min("pos").alias("pos")), "ld-half")
-    some = store(_with_partner(some, 16), "ld-block")
-    keys = some.select(*LINE, "pos", F.explode(_fine()).alias("k")).select(*LINE, "pos", "k.key", "k.at")
-    # kinds: 0 deletions at one place (replaced), 1 deletions, 2 the whole line
-    kinds = keys.select(*LINE, "pos", F.explode(F.when(F.col("at") < 0, F.array(F.struct(F.lit(2).alias("kind"), F.col("key")))).otherwise(
-        F.array(F.struct(F.lit(0).alias("kind"), F.xxhash64("key", "at").alias("key")), F.struct(F.lit(1).alias("kind"), F.col("key"))))).alias("k")).select(*LINE, "pos", "k.kind", "k.key")
+    lines = lines.withColumn("n", F.char_length("text"))
+    half = _shared(lines, _keys(2, _halves), "ld-half").select("h1").distinct()
+    some = lines.join(half.hint("merge"), "h1", "left_semi").groupBy(*LINE, "n", "text").agg(F.min("pos").alias("pos"))
+    some = store(some, "ld-some")
+    near = some.join(_shared(some, _keys(BLOCKS, _blocks), "ld-block"), "h1")
+    # the block's own characters; the longer of two lines has one more
+    at, size = _cut(F.col("m"), F.col("b"), BLOCKS), _cut(F.col("m"), F.col("b") + 1, BLOCKS) - _cut(F.col("m"), F.col("b"), BLOCKS) + F.col("n") - F.col("m")
+    near = near.select(*LINE, "pos", "key", (F.col("n") > F.col("m")).alias("longer"), F.substring("text", at + 1, size).alias("own"))
+    places = F.when(F.char_length("own") > 0, F.sequence(F.lit(0), F.char_length("own") - 1)).otherwise(F.array().cast("array<int>"))
+    variant = lambda kind, place, own: F.struct(F.lit(kind).alias("kind"), F.xxhash64("key", place, own).alias("key"))
+    # kinds: 0 without the character at one place (replaced), 1 without any one character, 2 the whole line
+    kinds = F.when(F.col("longer"), F.transform(places, lambda i: variant(1, F.lit(-1), _without("own", i)))).otherwise(
+        F.array_append(F.transform(places, lambda i: variant(0, i, _without("own", i))), variant(2, F.lit(-1), F.col("own"))))
+    kinds = store(near.select(*LINE, "pos", F.explode(kinds).alias("k")).select(*LINE, "pos", "k.kind", "k.key"), "ld-variants")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("pos", *LINE)))
-    firsts = kinds.groupBy("key").agg(F.min(F.struct("kind", "h1")).alias("a"), F.max(F.struct("kind", "h1")).alias("b"), *[least(k).alias(f"f{k}") for k in (0, 1, 2)])
-    firsts = store(firsts.where("a.h1 <> b.h1 and (f0 is not null or f1 is not null and f2 is not null)").select("key", "f0", "f1", "f2"), "ld-firsts")
+    firsts = kinds.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("z"), *[least(k).alias(f"f{k}") for k in (0, 1, 2)])
+    firsts = store(firsts.where("a <> z and (f0 is not null or f1 is not null and f2 is not null)").select("key", "f0", "f1", "f2"), "ld-firsts")
     other = F.when(F.col("kind") == 0, F.col("f0")).when(F.col("kind") == 1, F.col("f2")).otherwise(F.col("f1"))
     pairs = kinds.join(firsts, "key").withColumn("o", other).where(F.col("o.pos") < F.col("pos")).select(*LINE, F.col("o.h1").alias("o1"), F.col("o.h2").alias("o2")).distinct()
     # exact check of the distance
     texts = some.select(*LINE, "text")
-    near = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("other"))
-    checked = pairs.join(texts, list(LINE)).join(near, ["o1", "o2"]).where(F.levenshtein("text", "other", 1).between(0, 1))
+    others = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("other"))
+    checked = pairs.join(texts, list(LINE)).join(others, ["o1", "o2"]).where(F.levenshtein("text", "other", 1).between(0, 1))
     return store(checked.select(*LINE).distinct(), "ld-edited")
 
 
