@@ -10,10 +10,13 @@ One transform of the whole corpus would not be distributed, so the text is
 first dealt out such that equal strings meet.  Every window of ``length``
 bytes has one anchor, the least hash of its grams of ``GRAM`` bytes, the
 leftmost if tied; equal windows have equal anchors at the same place.  The
-windows of an anchor are one stretch of text.  Anchors that occur once are dropped, equal
-stretches collapse to their first, and the distinct stretches of an anchor
-meet in a bucket, which builds its transform.  An anchor with too many distinct
-stretches for a task is dealt out again by the hash of each whole window.
+windows of an anchor are one stretch of text, known by its hash.  Sorted by
+anchor and stretch, anchors that occur once drop out, and of equal stretches
+all but the first are covered as a whole; the distinct stretches of an anchor
+meet in a bucket, which builds its transform.  An anchor has at most one row
+for each stretch of ~70 bytes, so one that a third of all documents share has a
+small part of all rows.  Where it has too many distinct stretches for a task, it
+is dealt out again by the hash of each whole window.
 """
 
 from __future__ import annotations
@@ -48,9 +51,26 @@ def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
         return mix64(h)
 
 
-def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first, last) of a text's anchors: windows first..last (by
-    their start) have their anchor at ``place``."""
+class Powers:
+    """For hashes of any stretch of a text from running sums of byte codes times
+    powers of an odd number, and the inverse powers (all modulo 2**64)."""
+
+    def __init__(self):
+        odd = 0x9E6C63D0676A9A99
+        with np.errstate(over="ignore"):
+            self.up = np.cumprod(np.full(CHUNK + 1, odd, np.uint64))
+            self.down = np.cumprod(np.full(CHUNK + 1, pow(odd, -1, 1 << 64), np.uint64))
+        self.codes = np.random.default_rng(6).integers(0, 2**64, 256, dtype=np.uint64)
+
+    def stretches(self, b: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(self.codes[b] * self.up[: len(b)])])
+            return mix64((sums[end] - sums[first]) * self.down[first] + (end - first).astype(np.uint64))
+
+
+def anchors(raw: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, stretch, first, last) of a text: windows first..last (by their
+    start) have this anchor; the hash of their bytes."""
     out = []
     b = np.frombuffer(raw, np.uint8)
     wide = length - gram + 1        # grams of a window
@@ -71,7 +91,7 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
         place = (m & low).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
         last = np.append(first[1:] - 1, len(place) - 1)
-        out.append((h[place[first]].view(np.int64), place[first] + at, first + at, last + at))
+        out.append((h[place[first]].view(np.int64), powers.stretches(part, first, last + length).view(np.int64), first + at, last + at))
     if not out:
         return (np.empty(0, np.int64),) * 4
     return tuple(np.concatenate(x) for x in zip(*out))
@@ -79,34 +99,39 @@ def anchors(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndar
 
 def _emit(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                found = [anchors(x, length) for x in utf8(part.column("text"))]
+                found = [anchors(x, powers, length) for x in utf8(part.column("text"))]
                 n = [len(x[0]) for x in found]
-                h, place, first, last = (np.concatenate(x) for x in zip(*found))
-                ids = np.repeat(np.arange(len(n)), n)
-                # how far the anchor and the last window lie behind the first, in one number
-                shape = ((place - first) * 1024 + (last - first)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column("doc_id").take(pa.array(ids)), part.column("copy").take(pa.array(ids)), pa.array(first), pa.array(shape)], ["anchor", "doc_id", "copy", "first", "shape"])
+                anchor, stretch, first, last = (np.concatenate(x) for x in zip(*found))
+                ids = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(stretch), part.column("doc_id").take(ids), part.column("copy").take(ids), pa.array(first * SHAPE + last - first)],
+                                                 ["anchor", "stretch", "doc_id", "copy", "at"])
 
     return run
 
 
+#: A stretch's place in one number: its first window * SHAPE + its number of windows - 1.
+SHAPE = 1024
+
+
 def _stretches(length: int):
-    """Of each text with repeated anchors: their stretches."""
+    """Of each text: the bytes of the stretches asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc, copy, raw, found in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), utf8(batch.column("text")), batch.column("found")):
-                for x in found.as_py():
-                    first, windows = x["first"], x["shape"] % 1024 + 1
-                    own = raw[first : first + windows - 1 + length]
-                    key = int.from_bytes(hashlib.blake2b(own, digest_size=8, key=x["anchor"].to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
-                    for out, y in zip(rows, (x["anchor"], key, doc, copy, first, windows, own)):
-                        out.append(y)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds)], ["anchor", "stretch", "doc_id", "copy", "first", "windows", "own"])
+            asked = batch.column("asked")
+            n = asked.value_lengths().to_numpy()
+            ids = np.repeat(np.arange(len(n)), n)
+            fields = {k: asked.flatten().field(k) for k in ("anchor", "at", "copies")}
+            at = fields["at"].to_numpy()
+            first, windows = at // SHAPE, at % SHAPE + 1
+            texts = utf8(batch.column("text"))
+            own = [texts[i][a:b] for i, a, b in zip(ids.tolist(), first.tolist(), (first + windows - 1 + length).tolist())]
+            take = pa.array(ids)
+            yield pa.RecordBatch.from_arrays([fields["anchor"], batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(first), pa.array(windows.astype(np.int32)),
+                                              fields["copies"], pa.array(own, pa.binary())], ["anchor", "doc_id", "copy", "first", "windows", "copies", "own"])
 
     return run
 
@@ -259,35 +284,33 @@ def covered(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, copy, a, b): bytes a..b-1 of a text are covered by strings of
     ``length`` bytes that also start earlier.  ``texts``: (doc_id, copy, text)."""
     place = ["doc_id", "copy", "first"]
-    found = texts.mapInArrow(_emit(length), "anchor long, doc_id long, copy long, first long, shape int")
-    order = Window.partitionBy("anchor").orderBy(*place)
-    twice = found.withColumn("p", F.lag("shape").over(order)).withColumn("q", F.lead("shape").over(order)).where("p is not null or q is not null")
-    per = store(twice.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "first", "shape")).alias("found")), "rp-anchors")
-    some = texts.join(per.withColumnsRenamed({"doc_id": "d", "copy": "c"}), (F.col("doc_id") == F.col("d")) & (F.col("copy") == F.col("c"))).select("doc_id", "copy", "text", "found")
-    places = store(some.mapInArrow(_stretches(length), "anchor long, stretch long, doc_id long, copy long, first long, windows int, own binary"), "rp-stretches")
-
-    keys = ["anchor", "stretch"]
-    firsts = places.groupBy(*keys).agg(F.min(F.struct(*place)).alias("f"), F.count("*").alias("copies"))
-    firsts = store(firsts.select(*keys, "f.*", "copies"), "rp-firsts")
+    found = texts.mapInArrow(_emit(length), "anchor long, stretch long, doc_id long, copy long, at long")
+    order = Window.partitionBy("anchor").orderBy("stretch", "doc_id", "copy", "at")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.select("*", F.lag("stretch").over(order).alias("before"), F.lead("stretch").over(order).alias("behind"),
+                         (F.first("stretch").over(every) != F.last("stretch").over(every)).alias("several"))
+    again = F.coalesce(F.col("before") == F.col("stretch"), F.lit(False))
+    found = found.select("doc_id", "copy", "at", F.when(~again, F.col("anchor")).alias("anchor"), F.when(F.col("behind") == F.col("stretch"), 2).otherwise(1).alias("copies"), "several", again.alias("again"))
+    found = store(found.where("again or several").drop("several", "again"), "rp-found")
+    first = F.floor(F.col("at") / SHAPE)
     # all but the first place of equal stretches: covered as a whole
-    lead = firsts.where("copies > 1").select(*keys, F.struct(*place).alias("f"))
-    whole = places.drop("own").join(lead, keys).where(F.struct(*place) != F.col("f")).select("doc_id", "copy", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1 + length).cast("long").alias("b"))
-    # anchors with several stretches
-    several = store(firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "rp-several")
-    distinct = places.select(*keys, *place, "windows", "own").join(firsts.select(*keys, *place, "copies"), [*keys, *place]).join(several, "anchor")
-    distinct = store(distinct, "rp-distinct")
+    whole = found.where("anchor is null").select("doc_id", "copy", first.alias("a"), (first + F.col("at") % SHAPE + length).alias("b"))
+
+    # the first places, of anchors with several stretches
+    asked = found.where("anchor is not null").groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "at", "copies")).alias("asked")).withColumnsRenamed({"doc_id": "d", "copy": "c"})
+    some = texts.join(asked.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("copy") == F.col("c"))).select("doc_id", "copy", "text", "asked")
+    distinct = store(some.mapInArrow(_stretches(length), "anchor long, doc_id long, copy long, first long, windows int, copies int, own binary"), "rp-distinct")
+    many = store(distinct.groupBy("anchor").count().where(F.col("count") > MOST_STRETCHES).select("anchor"), "rp-many")
     size = distinct.agg(F.sum(F.length("own"))).first()[0] or 0
     buckets = max(1, int(size // BUCKET_BYTES))
-    common = F.col("n") <= MOST_STRETCHES
-    dealt = distinct.where(common).withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", *place, "windows", "copies", "own")
-    # the shuffle's own partitions hold one or more buckets each
-    dealt = dealt.repartition(max(buckets, 1), "bucket").sortWithinPartitions("bucket")
-    part = dealt.mapInArrow(_expand_buckets(length), "doc_id long, copy long, a long, b long")
-    out = whole.union(part)
-    single = distinct.where(~common).mapInArrow(_each_window(length), "key binary, doc_id long, copy long, first long")
+    dealt = distinct.join(many, "anchor", "left_anti").withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).select("bucket", *place, "windows", "copies", "own")
+    # a shuffle partition holds one or more buckets
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    out = whole.union(dealt.mapInArrow(_expand_buckets(length), "doc_id long, copy long, a long, b long"))
+    single = distinct.join(many, "anchor", "left_semi").mapInArrow(_each_window(length), "key binary, doc_id long, copy long, first long")
     lowest = store(single.groupBy("key").agg(F.min(F.struct(*place)).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"), "rp-lowest")
-    again = single.join(lowest, "key").where(F.struct(*place) != F.col("f")).select("doc_id", "copy", F.col("first").alias("a"), (F.col("first") + length).alias("b"))
-    return out.union(again)
+    late = single.join(lowest, "key").where(F.struct(*place) != F.col("f")).select("doc_id", "copy", F.col("first").alias("a"), (F.col("first") + length).alias("b"))
+    return out.union(late)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +344,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
-    # a null id sorts last
-    rows = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("copy"), "text", F.col("doc_id").isNull().alias("void"))
-    runs = covered(rows.select("doc_id", "copy", "text").where(F.octet_length("text") >= length), length)
+    # a null id sorts last; rows that share an id are told apart by a hash of the text
+    rows = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "text", F.col("doc_id").isNull().alias("void"))
+    shared = store(rows.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("shared")), "rp-shared")
+    if shared.isEmpty():
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+        texts = rows
+    else:
+        rows = rows.join(shared, rows.doc_id == shared.shared, "left").withColumn("copy", F.when(F.col("shared").isNull(), 0).otherwise(F.xxhash64("text")))
+        texts = rows.where("shared is null").union(rows.where("shared is not null").dropDuplicates(["doc_id", "copy"]))
+    runs = covered(texts.where(F.octet_length("text") >= length).select("doc_id", "copy", "text"), length)
     per = store(runs.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "rp-runs").withColumnsRenamed({"doc_id": "d", "copy": "c"})
-    joined = rows.join(per, (F.col("doc_id") == F.col("d")) & (F.col("copy") == F.col("c")), "left")
+    joined = rows.join(per.hint("merge"), (F.col("doc_id") == F.col("d")) & (F.col("copy") == F.col("c")), "left")
     joined = joined.select(F.when(~F.col("void"), F.col("doc_id")).alias("doc_id"), "text", "runs")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
