@@ -149,6 +149,40 @@ def q_attention(spark, sf):
     return GR.attend(nodes, edges, w)
 
 
+_W, _AS, _AD, _B = (0.5, -0.25, 0.75), 0.6, -0.4, 0.1
+_Z_SQL = (", q AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(_F)) + " FROM nf)"
+          ", z AS (SELECT node_id, " + " + ".join(f"({w!r}) * (nf.{c} - m{i}) / s{i}" for i, (w, c) in enumerate(zip(_W, _F))) + " AS p FROM nf, q)")
+
+
+@register("graph_attention_fixed_weights", sql_finish(with_log(
+    _G_SQL + _Z_SQL + ", e AS (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT node_id, node_id FROM nodes)"
+    f", r AS (SELECT e.dst, a.p, ({_AS!r}) * a.p + ({_AD!r}) * b.p AS raw FROM e JOIN z a ON e.src = a.node_id JOIN z b ON e.dst = b.node_id)"
+    ", x AS (SELECT dst, p, CASE WHEN raw > 0 THEN raw ELSE 0.2 * raw END AS s FROM r)"
+    ", m AS (SELECT dst, max(s) AS top FROM x GROUP BY dst)"
+    f", o AS (SELECT x.dst AS node_id, sum(exp(s - top) * p) / sum(exp(s - top)) + {_B!r} AS v FROM x JOIN m ON x.dst = m.dst GROUP BY 1)"
+    " SELECT CAST(node_id AS BIGINT) AS node_id, CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END AS out0 FROM o"),
+    doubles=["out0"], others=["node_id"]))
+def q_attention_fixed(spark, sf):
+    """One head of width one with given weights: the layer's arithmetic against SQL."""
+    import numpy as np
+    _, _, edges, feats = _graph(spark, sf)
+    w = {"W": np.array(_W).reshape(1, 3, 1), "att_src": np.array([[_AS]]), "att_dst": np.array([[_AD]]), "bias": np.array([_B])}
+    return finish(_flat(GR.attend(_scaled_feats(feats), edges, w), d=1, prefix="out"))
+
+
+@register("graph_error_one_feature", sql_finish(with_log(
+    _G_SQL + _hop_sql("nf", "r1") + ", d AS (SELECT nf.node_id, nf.f0 AS x, r1.f0 AS h FROM nf JOIN r1 ON nf.node_id = r1.node_id)"
+    ", t AS (SELECT sum(h * h) + 0.001 AS a, sum(h) AS b, count(*) + 0.001 AS c, sum(h * x) AS u, sum(x) AS v FROM d)"
+    ", s AS (SELECT (c * u - b * v) / (a * c - b * b) AS w, (a * v - b * u) / (a * c - b * b) AS i FROM t)"
+    " SELECT CAST(node_id AS BIGINT) AS node_id, (x - (w * h + i)) ^ 2 AS graph_error FROM d, s"),
+    doubles=["graph_error"], others=["node_id"]))
+def q_graph_error_one(spark, sf):
+    """The graph reconstruction error with one feature, whose head has a closed form."""
+    _, _, edges, feats = _graph(spark, sf)
+    one = feats.select("node_id", F.slice("features", 1, 1).alias("features"))
+    return finish(GR.graph_error(one, edges))
+
+
 @register("graph_attention_stack_pooled")
 def q_attention_stack(spark, sf):
     """Two attention layers (4 heads x 8, then 1 head x 8) with batch norm and

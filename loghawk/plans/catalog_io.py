@@ -85,9 +85,9 @@ def q_csv_quoted(spark, sf):
 @register("io_report_sink", with_log(
     SQL_FEATURES_CTE + ZS + " SELECT CAST(log_id AS VARCHAR) AS log_id, ip_address,"
     " strftime(request_time, '%Y-%m-%d %H:%M:%S.%f') AS request_time, CAST(status_code AS VARCHAR) AS status_code,"
-    " CAST(ROUND(ROUND(reconstruction_error, 9), 6) AS VARCHAR) AS reconstruction_error,"
+    " CAST(CAST(ROUND(TRY_CAST(reconstruction_error AS DECIMAL(38, 9)), 6) AS DOUBLE) AS VARCHAR) AS reconstruction_error,"
     " CAST(is_anomaly AS VARCHAR) AS is_anomaly,"
-    " CAST(ROUND(ROUND(anomaly_score, 9), 6) AS VARCHAR) AS anomaly_score FROM scored WHERE is_anomaly"))
+    " CAST(CAST(ROUND(TRY_CAST(anomaly_score AS DECIMAL(38, 9)), 6) AS DOUBLE) AS VARCHAR) AS anomaly_score FROM scored WHERE is_anomaly"))
 def q_report(spark, sf):
     """Flagged rows written as a CSV report and read back."""
     scored = zscore_scored(api_log(spark, sf))

@@ -10,7 +10,7 @@ from loghawk.operators import autoencoder as AE
 from loghawk.operators import detect as DT
 from loghawk.plans.detection import prepare, score_log, train_detector
 from loghawk.plans.preprocess import FeatureSpec
-from loghawk.plans.registry import finish, register, sql_finish
+from loghawk.plans.registry import finish, register, sql_finish, with_log
 from loghawk.session import scratch_path
 from loghawk.sources.artefact import load_model, save_model
 from loghawk.sources.tables import api_log, read_table
@@ -57,6 +57,49 @@ def _scaler(model):
     return Scaler(list(model.scaler), params=dict(model.scaler))
 
 
+# A network with given weights, 2 -> 2 -> 2, ReLU after both layers: W row by row, then b, of each layer.
+_FIXED = (0.5, -0.25, 0.3, 0.8, 0.1, -0.05, 0.6, 0.2, -0.4, 0.9, 0.05, 0.15)
+_FIXED_SCALER = {"status_code": (250.0, 100.0), "response_ms": (50.0, 30.0)}
+_FIXED_THRESHOLD = 0.5
+
+
+def fixed_detector():
+    """The network with given weights and its feature contract."""
+    import numpy as np
+    model = AE.AutoencoderModel(2, (2,), 0.0, "relu", np.array(_FIXED), list(_FIXED_SCALER), scaler=dict(_FIXED_SCALER), threshold=_FIXED_THRESHOLD)
+    return model, FeatureSpec(list(_FIXED_SCALER), {}, {"endpoint": []})
+
+
+def fixed_sql(columns: str) -> str:
+    w = [f"({x!r})" for x in _FIXED]
+    scaled = ", ".join(f"(COALESCE(CAST({c} AS DOUBLE), 0) - {m!r}) / {s!r} AS x{i}" for i, (c, (m, s)) in enumerate(_FIXED_SCALER.items()))
+    layer = lambda k, a, b: [f"greatest(0.0, {w[k]} * {a} + {w[k + 1]} * {b} + {w[k + 4]})", f"greatest(0.0, {w[k + 2]} * {a} + {w[k + 3]} * {b} + {w[k + 5]})"]
+    h, y = layer(0, "x0", "x1"), layer(6, "h0", "h1")
+    return with_log(f", x AS (SELECT log_id, ip_address, {scaled} FROM api_log), h AS (SELECT *, {h[0]} AS h0, {h[1]} AS h1 FROM x)"
+                    f", y AS (SELECT *, ((x0 - {y[0]}) ^ 2 + (x1 - {y[1]}) ^ 2) / 2 AS reconstruction_error FROM h)"
+                    f", r AS (SELECT *, reconstruction_error > {_FIXED_THRESHOLD!r} AS is_anomaly, reconstruction_error / {_FIXED_THRESHOLD!r} AS anomaly_score FROM y)"
+                    f" SELECT {columns} FROM r")
+
+
+@register("ae_fixed_weights_scored", sql_finish(fixed_sql("log_id, reconstruction_error, is_anomaly, anomaly_score"),
+                                                doubles=["reconstruction_error", "anomaly_score"], others=["log_id", "is_anomaly"]))
+def q_fixed_scored(spark, sf):
+    """A network with given weights saved, loaded and applied to the log (IO5, AE2, DT1, DT2)."""
+    model, spec = fixed_detector()
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    save_model(spark, model, path, spec.to_dict())
+    loaded, spec_d = load_model(spark, path)
+    return finish(score_log(api_log(spark, sf), loaded, FeatureSpec.from_dict(spec_d)).select("log_id", "reconstruction_error", "is_anomaly", "anomaly_score"))
+
+
+@register("ae_fixed_weights_encoded", sql_finish(fixed_sql("log_id, h0, h1"), doubles=["h0", "h1"], others=["log_id"]))
+def q_fixed_encoded(spark, sf):
+    model, spec = fixed_detector()
+    vec, _, _ = prepare(api_log(spark, sf), spec, _scaler(model))
+    out = AE.encode(vec, model)
+    return finish(out.select("log_id", F.col("latent")[0].alias("h0"), F.col("latent")[1].alias("h1")))
+
+
 _EMB = 64
 
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loghawk.operators import aggregates as AG
+from loghawk.plans.catalog_model import fixed_detector, fixed_sql
 from loghawk.plans.registry import finish, register, sql_finish
 from loghawk.session import cut_lineage, scratch_path
 from loghawk.sources.tables import api_log, read_table
@@ -18,20 +19,26 @@ from loghawk.streaming import streams as ST
 PARTS = 3
 
 
-def _replay(spark, sf, name, make, mode="append", order=tuple(range(PARTS)), close=True):
-    """Run ``make(log stream)`` over the parts of ``events`` in ``order``; the sink's path."""
+def _parts(spark, sf, name, order=tuple(range(PARTS)), close=True):
+    """Let the parts of ``events`` arrive in ``order``, then the closing
+    marker; yields (the folder of this stream, the log stream) after each."""
     events = read_table(spark, sf, "events")
     base = scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
-    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
-    step = (hi - lo) / PARTS
-    path = base + "/out"
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(micros), F.max(micros)).first()
+    mine = F.least(F.floor((micros - lo) / (hi - lo) * PARTS), F.lit(PARTS - 1))
     for n, part in enumerate([*order, *([None] if close else [])]):
         if part is None:
             ST.close_log(spark, f"{base}/in/part-{n}", events.schema)
         else:
-            mine = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp"))) / F.lit(step.total_seconds() * 1e6)), F.lit(PARTS - 1)) == part
-            events.where(mine).write.parquet(f"{base}/in/part-{n}")
-        path, _ = ST.run_to_table(make(ST.log_stream(spark, f"{base}/in/*", schema=events.schema)), name, mode, base=base)
+            events.where(mine == part).write.parquet(f"{base}/in/part-{n}")
+        yield base, ST.log_stream(spark, f"{base}/in/*", schema=events.schema)
+
+
+def _replay(spark, sf, name, make, mode="append", **how):
+    """Run ``make(log stream)`` as the parts arrive; the sink's path."""
+    for base, log in _parts(spark, sf, name, **how):
+        path, _ = ST.run_to_table(make(log), name, mode, base=base)
     return path
 
 
@@ -56,7 +63,7 @@ def q_tumbling(spark, sf):
 
 
 @register("stream_late_rows", sql_finish(
-    "WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events), p AS (SELECT ev.*, least(floor((epoch_us(ts) - epoch_us(lo)) / (epoch_us(hi) - epoch_us(lo)) * 3), 2) AS part FROM events ev, b)"
+    "WITH b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events), p AS (SELECT ev.*, least(floor((epoch_us(ts) - epoch_us(lo)) / CAST(epoch_us(hi) - epoch_us(lo) AS DOUBLE) * 3), 2) AS part FROM events ev, b)"
     " SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start,"
     f" time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE AS window_end, {_ip('p')} AS ip_address,"
     " count(*) AS requests FROM p WHERE part <> 1 OR time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE > (SELECT max(ts) FROM p WHERE part = 2) - INTERVAL 10 MINUTE GROUP BY 1, 2, 3",
@@ -106,3 +113,15 @@ def q_stream_scoring(spark, sf):
     counts = cut_lineage(AG.requests_per_ip(log)), cut_lineage(AG.requests_per_ip_window(log))
     path = ST.score_batches(ST.log_stream(spark, sf, "events.parquet"), model, spec, counts)
     return spark.read.parquet(path).drop("batch_id")
+
+
+@register("stream_scoring_fixed_weights", sql_finish(fixed_sql("log_id, ip_address, reconstruction_error, is_anomaly, anomaly_score"),
+                                                     doubles=["reconstruction_error", "anomaly_score"], others=["log_id", "ip_address", "is_anomaly"]))
+def q_stream_scoring_fixed(spark, sf):
+    """A network with given weights over several batches: row for row the batch score."""
+    model, spec = fixed_detector()
+    log = api_log(spark, sf)
+    counts = cut_lineage(AG.requests_per_ip(log)), cut_lineage(AG.requests_per_ip_window(log))
+    for base, stream in _parts(spark, sf, "fixed", close=False):
+        path = ST.score_batches(stream, model, spec, counts, base=base)
+    return finish(spark.read.parquet(path).drop("batch_id"))

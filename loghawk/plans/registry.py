@@ -2,10 +2,10 @@
 
 Every query reads the provided tables (or the ``api_log`` view Spark
 derives from ``events``) in full.  ``finish`` puts results in a form two
-engines can agree on: doubles rounded to 9 and then 6 digits (inputs have two
-decimals, so means often sit halfway between two 6-digit values, where the
-order of a sum decides; the first step takes that noise away), timestamps as
-text to the microsecond.
+engines can agree on: doubles rounded to 6 digits by way of a decimal of 9
+(inputs have two decimals, so means often sit halfway between two 6-digit
+values, where the noise of a sum would decide; the decimal takes it away),
+timestamps as text to the microsecond.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def finish(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(F.round(c.cast("double"), 9), 6)
+            c = F.round(c.try_cast("decimal(38,9)"), 6).cast("double")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         out.append(c.alias(f.name))
@@ -48,7 +48,7 @@ def finish(df: DataFrame) -> DataFrame:
 
 def sql_finish(inner: str, doubles: list[str] = (), times: list[str] = (), others: list[str] = ()) -> str:
     """Wrap an oracle SELECT the same way ``finish`` wraps the Spark result."""
-    cols = ([f'"{c}"' for c in others] + [f'ROUND(ROUND(CAST("{c}" AS DOUBLE), 9), 6) AS "{c}"' for c in doubles]
+    cols = ([f'"{c}"' for c in others] + [f'CAST(ROUND(TRY_CAST("{c}" AS DECIMAL(38, 9)), 6) AS DOUBLE) AS "{c}"' for c in doubles]
             + [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S.%f') AS \"{c}\"" for c in times])
     return f"SELECT {', '.join(cols)} FROM ({inner}) AS q"
 

@@ -92,3 +92,22 @@ def test_resume_from_saved_state(spark, tmp_path):
     resumed = AE.fit_autoencoder(df, hidden=(6, 3), epochs=6, seed=9, state_path=state, save_every=2)
     assert np.allclose(full.weights, resumed.weights, atol=1e-9)
     assert [h[0] for h in resumed.history] == list(range(6))
+
+
+def test_early_stop_keeps_the_best_weights(spark):
+    from loghawk.operators.classify import accuracy, fit_elu_head, predict_elu_head, search_head
+    df = _data(spark, 300)
+    m = AE.fit_autoencoder(df, hidden=(6, 3), epochs=40, lr=0.5, dropout=0.0, seed=3, patience=2)
+    assert len(m.history) < 40
+    test = df.where("split = 'test'")
+    got = AE.with_error(test, m).agg(F.avg("reconstruction_error")).first()[0]
+    assert abs(got - min(h[2] for h in m.history)) < 1e-9
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(a), float(b)], int(a + b > 0)) for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    d = spark.createDataFrame(rows, "log_id long, features array<double>, label int")
+    train, valid = d.where("log_id < 150"), d.where("log_id >= 150")
+    head = fit_elu_head(train, hidden=8, lr=0.1, epochs=30, dropout=0.0, valid=valid, patience=3)
+    best = max(v for _, v in head["validation"])
+    assert len(head["history"]) <= 30 and accuracy(predict_elu_head(valid, head), "label", "prediction").first()[0] == best
+    table, model = search_head(train, valid, n_trials=2, epochs=3)
+    assert table.count() == 2 and max(v for _, v in model["validation"]) == table.agg(F.max("val_accuracy")).first()[0]
