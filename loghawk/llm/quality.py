@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loghawk.llm.common import utf8
+from loghawk.llm.common import store, utf8
 
 PAIRS, TRIPLES = 1 << 16, 1 << 17
 #: Figures of a text and the bounds of their bins.
@@ -52,20 +52,28 @@ def features(raw: bytes, flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, flags = np.zeros((2, SIZE), np.int64), np.zeros(SIZE, bool)
-    for batch in batches:
-        for text, label in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-            counts[label, features(text, flags)] += 1
-    some = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some])], ["feature", "bad", "good"])
+COUNTED = "feature int, bad long, good long, features binary, label int, pick long"
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    flags = np.zeros(SIZE, bool)
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (text, label, pick, sampled): the features of the sampled rows, and, at
+    the end of a task, the number of its rows of each class with each feature."""
+    counts, flags, none = np.zeros((2, SIZE), np.int64), np.zeros(SIZE, bool), pa.nulls
     for batch in batches:
-        made = [features(x, flags).astype("<i4").tobytes() for x in utf8(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1), batch.column(2)], ["features", "label", "pick"])
+        rows: tuple[list, ...] = ([], [], [])
+        for text, label, pick, sampled in zip(utf8(batch.column(0)), *(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            ids = features(text, flags)
+            counts[label, ids] += 1
+            if sampled:
+                for out, x in zip(rows, (ids.astype("<i4").tobytes(), label, pick)):
+                    out.append(x)
+        n = len(rows[0])
+        yield pa.RecordBatch.from_arrays([none(n, pa.int32()), none(n, pa.int64()), none(n, pa.int64()), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())],
+                                         ["feature", "bad", "good", "features", "label", "pick"])
+    some = np.flatnonzero(counts.sum(axis=0))
+    n = len(some)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[0, some]), pa.array(counts[1, some]), none(n, pa.binary()), none(n, pa.int32()), none(n, pa.int64())],
+                                     ["feature", "bad", "good", "features", "label", "pick"])
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, rounds: int = 20, seed: int = 8) -> np.ndarray:
@@ -118,15 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return {"constant": 1.0 if total is None else float(total)}
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = texts.where("id is not null").where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-    rows = texts.join(known, "id").select("text", "label", "pick")
-    counted = rows.mapInArrow(_count, "feature int, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sampled = F.when(F.col("label") == 0, F.col("pick") <= below[0]).otherwise(F.col("pick") <= below[1])
+    # merged at every size: a plan that broadcasts the labels while they are few tells nothing about a larger run
+    rows = texts.join(known.hint("merge"), "id").select("text", "label", "pick", sampled)
+    made = store(rows.mapInArrow(_count, COUNTED), "qu-counts")
+    counted = made.where("feature is not null").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counts = np.zeros((2, SIZE))
     for part in counted.toPandas().itertuples(index=False):      # at most SIZE rows
         counts[0, part.feature], counts[1, part.feature] = part.bad, part.good
     p, q = counts[1] + smoothing, counts[0] + smoothing
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    picked = rows.where(F.when(F.col("label") == 0, F.col("pick") <= below[0]).otherwise(F.col("pick") <= below[1]))
-    sample = sorted((r.pick, bytes(r.features), r.label) for r in picked.mapInArrow(_extract, "features binary, label int, pick long").collect())
+    sample = sorted((r.pick, bytes(r.features), r.label) for r in made.where("features is not null").select("features", "label", "pick").collect())
     if len({r[2] for r in sample}) < 2:
         return {"constant": float(counts[1].sum() > 0)}
     ids = [np.frombuffer(r[1], "<i4") for r in sample]
