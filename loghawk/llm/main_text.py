@@ -194,8 +194,10 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_
     """Log potentials of the features and of the edges, from labelled pages: at
     most ``most_pages``, those of the smallest hash of the id."""
     some = pages.select(F.col(f"`{html_col}`").cast("string").alias("html"), F.xxhash64(F.lit(4), F.col(f"`{id_col}`").cast("string")).alias("pick"))
-    some = some.where("html rlike '(?i)<(article|main)'").orderBy("pick").limit(most_pages).select("html").repartition(8)
-    rows = some.mapInArrow(_counts, "feature string, state int, n double").groupBy("feature", "state").agg(F.sum("n").alias("n"))
+    some = some.where("html rlike '(?i)<(article|main)'")
+    # the hash up to which most_pages lie; only hashes meet in one task
+    upto = some.select("pick").orderBy("pick").limit(most_pages).agg(F.max("pick")).first()[0]
+    rows = some.where(F.col("pick") <= F.lit(upto).cast("long")).select("html").mapInArrow(_counts, "feature string, state int, n double").groupBy("feature", "state").agg(F.sum("n").alias("n"))
     c: Counter = Counter()
     for r in rows.orderBy(F.desc("n"), "feature", "state").limit(most_features).collect():
         c[r.feature, r.state] = r.n
