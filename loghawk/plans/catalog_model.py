@@ -16,14 +16,14 @@ from loghawk.sources.artefact import load_model, save_model
 from loghawk.sources.tables import api_log, read_table
 
 
-def _trained(spark, sf, epochs=5):
-    return train_detector(api_log(spark, sf), epochs=epochs)
+def _trained(spark, sf):
+    return train_detector(api_log(spark, sf), epochs=50)
 
 
 @register("ae_training_history")
 def q_history(spark, sf):
     """Train / held-out loss per epoch of the full-batch autoencoder (50 epochs)."""
-    model, _ = _trained(spark, sf, 50)
+    model, _ = _trained(spark, sf)
     return AE.history(model, spark)
 
 

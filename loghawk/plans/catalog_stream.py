@@ -109,7 +109,7 @@ def q_stream_scoring(spark, sf):
     """Score the stream with the autoencoder trained on the same log and with its counts."""
     from loghawk.plans.detection import train_detector
     log = api_log(spark, sf)
-    model, spec = train_detector(log, epochs=5)
+    model, spec = train_detector(log, epochs=50)
     counts = cut_lineage(AG.requests_per_ip(log)), cut_lineage(AG.requests_per_ip_window(log))
     path = ST.score_batches(ST.log_stream(spark, sf, "events.parquet"), model, spec, counts)
     return spark.read.parquet(path).drop("batch_id")

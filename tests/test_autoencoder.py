@@ -111,3 +111,23 @@ def test_early_stop_keeps_the_best_weights(spark):
     assert len(head["history"]) <= 30 and accuracy(predict_elu_head(valid, head), "label", "prediction").first()[0] == best
     table, model = search_head(train, valid, n_trials=2, epochs=3)
     assert table.count() == 2 and max(v for _, v in model["validation"]) == table.agg(F.max("val_accuracy")).first()[0]
+
+
+def test_queries_train_the_whole_50_epochs(spark, monkeypatch):
+    """Every query that trains the detector asks for the reference's 50 epochs."""
+    import pytest
+
+    import __spark_entry__ as E
+    from conftest import SF001
+
+    class Asked(Exception):
+        pass
+
+    def fit(df, *args, epochs=50, **named):
+        raise Asked(epochs)
+
+    monkeypatch.setattr(AE, "fit_autoencoder", fit)
+    for name in ("ae_training_history", "ae_detect_top_anomalies", "ae_detect_summary", "ae_encode", "stream_scoring"):
+        with pytest.raises(Asked) as asked:
+            E.queries()[name](spark, SF001)
+        assert asked.value.args == (50,), name
