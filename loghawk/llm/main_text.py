@@ -5,8 +5,8 @@ each element comes from its own features, one of each edge from the states of
 parent and child; sum-product messages, up from the leaves and down from the
 root, give every element's content marginal.  Both kinds of potentials are
 counted from labelled pages, those that name their main part themselves
-(<article>, <main>): inside it is content, except for the parts that are named
-as something else.
+(<article>, <main>): inside it is content, except for markup that is never text and boxes
+that are named exactly as comments or advertising.
 """
 
 from __future__ import annotations
@@ -40,7 +40,12 @@ MARKUP = frozenset("head script style textarea title noscript template iframe no
 MAIN = frozenset(("article", "main"))
 #: Boxes that may hold an article or something else.
 BOX = frozenset("div section td center fieldset details header table tbody tr hgroup figure".split())
-#: Words of class, id and role that name a part as something other than the article.
+#: Containers, boxes and lists: a name tells what the whole of them is for.
+CONTAINER = BOX | frozenset("ul ol dl".split())
+#: Exact names (class, id, role, itemprop) of containers that are no text of an article, also within it.
+BOILERPLATE = frozenset("""ad ads advert adverts advertisement advertisements advertising ad-container ad-slot ad-banner adsbygoogle comments comment-list commentlist
+ comments-area comments-section comment-section disqus_thread""".split())
+#: Words in the names of containers outside <article> and <main> that speak against content: a moderate prior on a learned feature.
 OTHER = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead
  topbar footer foot bottom sidebar side aside rail widget notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form search comment comments
  reply replies respond discussion disqus share sharing social related recommended recommendations more pagination pager toolbar skip copyright legal tags""".split())
@@ -52,10 +57,15 @@ PAGE_WEIGHT = 20.0
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "hidden")
+    __slots__ = ("tag", "parent", "names", "hidden", "exact", "inside")
 
-    def __init__(self, tag: str, parent: int, names: frozenset, hidden: bool):
+    def __init__(self, tag: str, parent: int, names: frozenset, hidden: bool, exact: frozenset = frozenset(), inside: bool = False):
         self.tag, self.parent, self.names, self.hidden = tag, parent, names, hidden
+        self.exact, self.inside = exact, inside     # whole names; within <article> or <main>
+
+    def never(self) -> bool:
+        """Never content, whatever its features are."""
+        return self.tag in MARKUP or self.hidden or self.tag in CONTAINER and not self.exact.isdisjoint(BOILERPLATE)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -109,12 +119,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             runs.append((0, ""))
         if tag in VOID:
             continue
-        names, hidden = frozenset(), False
+        names, hidden, exact = frozenset(), False, frozenset()
         if m[3]:
             found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(m[3])}
-            names = frozenset(w.lower() for k in ("class", "id", "role", "itemprop") for w in WORDS.findall(found.get(k, "")))
+            given = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop"))
+            names, exact = frozenset(w.lower() for w in WORDS.findall(given)), frozenset(given.lower().split())
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        nodes.append(Node(tag, stack[-1], names, hidden))
+        above = nodes[stack[-1]]
+        nodes.append(Node(tag, stack[-1], names, hidden, exact, above.inside or above.tag in MAIN))
         shut = m[3].rstrip().endswith("/")
         if tag in RAW:
             low = page.lower() if low is None else low
@@ -152,9 +164,9 @@ def describe(nodes: list[Node], runs: list[tuple[int, str]]) -> list[list[str]]:
         share = linked[i] / chars[i] if chars[i] else 0
         f = [f"tag={x.tag}", f"chars={chars[i].bit_length()}", f"links={int(share * 4)}", f"stops={min(stops[i], 3)}", f"children={min(children[i], 4)}"]
         f += [f"name={w}" for w in x.names]
-        if x.names & OTHER and x.tag not in MAIN:
+        if x.tag in CONTAINER and not x.inside and x.names & OTHER:
             f.append("other")
-        if x.tag in MARKUP or x.hidden:
+        if x.never():
             f.append("markup")
         out.append(f)
     return out
@@ -167,7 +179,7 @@ def truth(nodes: list[Node]) -> list[int] | None:
     out: list[int] = []
     for i, x in enumerate(nodes):
         inside = bool(i) and out[x.parent] == 1 or x.tag in MAIN
-        out.append(int(inside and x.tag not in MARKUP and not x.hidden and not (x.names & OTHER and x.tag not in MAIN) and not (x.tag == "header" and "site" in x.names)))
+        out.append(int(inside and not x.never() and not (x.tag == "header" and "site" in x.names)))
     return out
 
 
@@ -205,16 +217,16 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_
 
 
 #: Beforehand: of a child of each kind, the share that is content below a part that isn't, and below one that is.
-#: What is named as something else, or markup, says nothing of its parent.
-EDGES = {"main": (0.98, 0.99), "box": (0.05, 0.95), "text": (0.002, 0.99), "none": (1e-6, 1e-6)}
+#: What is never content says nothing of its parent.
+EDGES = {"main": (0.98, 0.99), "box": (0.05, 0.99), "text": (0.002, 0.99), "none": (1e-6, 1e-6)}
 #: Share of a state's elements that any feature is taken to have, so that little follows from one never seen.
 SEEN = 0.01
-#: Weight of this, in elements; log potentials against content of parts named as something else, and of markup.
-PRIOR, OTHER_LOG, MARKUP_LOG = 1000.0, -60.0, -400.0
+#: Weight of this, in elements; log potentials against content: beforehand, on top of the learned, of the words of OTHER, and of what is never content.
+PRIOR, OTHER_LOG, MARKUP_LOG = 1000.0, -4.0, -400.0
 
 
 def kind(x: Node) -> str:
-    return "none" if x.tag in MARKUP or x.hidden or x.names & OTHER and x.tag not in MAIN else "main" if x.tag in MAIN else "box" if x.tag in BOX else "text"
+    return "none" if x.never() else "main" if x.tag in MAIN else "box" if x.tag in BOX else "text"
 
 
 def potentials(c: Counter) -> dict[str, tuple[float, float]]:
@@ -227,7 +239,8 @@ def potentials(c: Counter) -> dict[str, tuple[float, float]]:
             name = f"edge={parent}:{x}"
             a, b = c[name, 0] + PRIOR * (1 - share), c[name, 1] + PRIOR * share
             model[name] = (float(np.log(a / (a + b))), float(np.log(b / (a + b))))
-    model["other"], model["markup"] = (0.0, OTHER_LOG), (0.0, MARKUP_LOG)
+    without, content = model.get("other", (0.0, 0.0))
+    model["other"], model["markup"] = (without, content + OTHER_LOG), (0.0, MARKUP_LOG)
     return model
 
 

@@ -74,6 +74,24 @@ def test_main_text(spark):
     assert main_text(df.limit(0)).collect() == []
 
 
+def test_main_text_keeps_blocks_with_names_of_other_parts(spark):
+    """Names within <article> are no reason to drop a block; only comments and advertising are."""
+    train = [(i, page(f"<nav><ul><li><a href=x>Menu {i}</a></li></ul></nav><div class=ad>Buy {i} now</div><article><h1>Head {i}</h1><p>Some words of text {i}. More of it.</p><p>Another & last.</p></article><footer>foot</footer>")) for i in range(30)]
+    inside = ['<div class="entry-header"><h1>Title</h1></div>', '<p>First words. More words.</p>', '<h2 id="discussion">Discussion</h2>', '<p id="side-effects">Side effects are few.</p>', '<p class="more">More of this.</p>',
+              '<div id="related-work"><h2>Related work</h2><p>Others did it.</p></div>', '<div id="legal">The law says so.</div>', '<ul class="tags"><li>one tag</li></ul>', '<section id="socialNotice"><p>Social words.</p></section>']
+    want = ["Title", "First words. More words.", "Discussion", "Side effects are few.", "More of this.", "Related work", "Others did it.", "The law says so.", "one tag", "Social words."]
+    told = "".join(f"<p>A reader said {i}. And more.</p>" for i in range(40))
+    odd = [(100, page(f"<div class=ad>Buy</div><article>{''.join(inside)}</article><div class='sidebar'>Side words</div>")), (101, page(f"<article><p>Text here.</p><div id='comments'>{told}</div><div class='box ads'><p>Buy this.</p></div></article>")),
+           *((200 + n, page(f"<article><p>Before it. Yes.</p>{x}</article>")) for n, x in enumerate(inside))]
+    df = spark.createDataFrame([(i, "u", h) for i, h in train + odd], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(df).collect()}
+    assert got[100].split("\n") == want
+    assert got[101] == "Text here."
+    assert "\n".join(got[200 + n].removeprefix("Before it. Yes.\n") for n in range(len(inside))).split("\n") == want
+    alone = main_text(df.where("page_id = 100")).first().text       # the beforehand potentials, and one page's
+    assert alone.split("\n") == want
+
+
 def test_main_text_holds_articles(spark):
     """Given pages: exactly the article's blocks."""
     import re
