@@ -32,6 +32,31 @@ def test_recall(spark):
     assert hits / (10 * len(want)) >= 0.9
 
 
+def test_recall_at_the_share_in_use(spark):
+    """20,000 vectors without clusters, where search_share alone decides: about half of the distinct vectors are read."""
+    from loghawk.llm.neighbours import Tree, walk
+    x = np.random.default_rng(7).standard_normal((20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    want = brute(range(len(x)), x.astype(np.float64))
+    found = {}
+    for r in nearest(df, search_rows=0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = sum(len(found[q] & {j for j, _ in w}) for q, w in want.items()) / (10 * len(want))
+    # the same walk over the same trees: which vectors it reads
+    trees = [Tree(x, 256, 2000 + i) for i in range(24)]
+    leaves = [t.route(x) for t in trees]
+    sizes = [np.bincount(n, minlength=t.leaves) for n, t in zip(leaves, trees)]
+    shares = []
+    for q in want:
+        read = np.zeros(len(x), bool)
+        for i, leaf in walk(trees, sizes, x[q], int(0.7 * len(x))):
+            read |= leaves[i] == leaf
+        shares.append(read.mean())
+    print("recall", recall, "distinct share read", np.mean(shares))
+    assert recall >= 0.9 and 0.3 < np.mean(shares) < 0.6
+
+
 def test_equal_vectors_and_odd_rows(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(150)] + [(1000 + i, [1.0] * 8) for i in range(301)]
