@@ -4,10 +4,14 @@ Plan: one pass over the texts keeps 180 universal-hash minima a document (one
 byte of each) and a digest of its shingle set.  Equal sets collapse to one
 representative.  Bands of minima are bucket keys; inside a bucket the minima of
 each pair are compared, and where they promise enough similarity the pair is
-verified on the full shingle sets.  A large bucket is dealt out as pairs of
-blocks, so no task gets an unbounded group and no pair is left out; what
-leaves a task are at most (rows - 1) verified links, a forest that connects
-what the pairs connect.  Components follow by large-star/small-star.
+verified on the full shingle sets.  A bucket above a block is dealt out in two
+rounds, so that no task gets an unbounded group and no pair is left out.  First
+each block is compared within, together with a few pivots that all blocks of
+the bucket share.  The components of what that verifies settle most members;
+then only pairs of different components are compared, those of the bucket's
+other components with each other and with its largest, as pairs of blocks.
+What leaves a task are at most (rows - 1) verified links, a forest that
+connects what the pairs connect.  Components follow by large-star/small-star.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loghawk.llm.common import mix64, sorted_groups, store, utf8
@@ -97,7 +101,7 @@ def _candidates(percent: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, "task", 4096):
-            task, n, block, band, split = (t.column(c).to_numpy() for c in ("task", "n_shingles", "block", "band", "split"))
+            task, n, block, band, split, root = (t.column(c).to_numpy() for c in ("task", "n_shingles", "block", "band", "split", "root"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
             ends = np.append(np.flatnonzero(task[1:] != task[:-1]) + 1, len(task))
             counts = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(task)) - 1
@@ -110,14 +114,14 @@ def _candidates(percent: int, rows: int):
                 i = np.repeat(np.arange(at, upto), c)
                 j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
                 at = upto
-                ok = ((block[i] != block[j]) | ~split[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                ok = ((block[i] != block[j]) | ~split[i]) & (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
                 i, j = i[ok], j[ok]
                 same = sig[i] == sig[j]
                 ok = same.sum(axis=1) >= least
                 i, j, same = i[ok], j[ok], same[ok]
                 ok = same.reshape(len(i), HASHES // rows, rows).all(axis=2).argmax(axis=1) == band[i] if len(i) else np.zeros(0, bool)
                 wanted[i[ok]] = wanted[j[ok]] = True
-            out = t.filter(pa.array(wanted)).select(["task", "id", "sig", "n_shingles"]).combine_chunks()
+            out = t.filter(pa.array(wanted)).select(["task", "id", "sig", "n_shingles", "root"]).combine_chunks()
             yield from out.to_batches()
 
     return run
@@ -144,7 +148,9 @@ def _verify(percent: int):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
             raw = t.column("shingles").to_pylist()
             sets: list = [None] * len(ids)
-            root = list(range(len(ids)))
+            # what is connected already is one from the start
+            seen: dict[int, int] = {}
+            root = [seen.setdefault(x, i) for i, x in enumerate(t.column("root").to_pylist())]
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -177,6 +183,45 @@ def _verify(percent: int):
     return run
 
 
+def _blocks(m: str, weight: str) -> Column:
+    return F.greatest(F.ceil(F.col(m) / BLOCK_ROWS), F.ceil(F.col(weight) / BLOCK_SHINGLES)).cast("int")
+
+
+def _pivots() -> list[Column]:
+    """Of a bucket: the member of smallest id, and those of smallest and greatest hash, which other buckets of its members mostly share."""
+    return [F.min("id").alias("p0"), F.min_by("id", F.xxhash64("id")).alias("p1"), F.max_by("id", F.xxhash64("id")).alias("p2")]
+
+
+def _open(member: DataFrame, comps: DataFrame) -> DataFrame:
+    """Tasks of the pairs of large buckets that aren't connected yet.  Members of a
+    bucket's largest component are settled among themselves; the others are
+    open, to be compared with each other (blocks 0 .. o - 1) and with the
+    settled (blocks from o)."""
+    rooted = member.join(comps, member.id == comps.node, "left").select("id", "n_shingles", "band", "bucket", F.coalesce("component", "id").alias("root"))
+    rooted = store(rooted, "nd-rooted")
+    key = ["band", "bucket"]
+    parts = rooted.groupBy(*key, "root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight"))
+    home = parts.groupBy(*key).agg(F.max(F.struct("m", "root", "weight")).alias("home"), F.sum("m").alias("m"), F.sum("weight").alias("weight"))
+    home = home.where("m > home.m").select(*key, F.col("home.root").alias("home"), (F.col("m") - F.col("home.m")).alias("om"), (F.col("weight") - F.col("home.weight")).alias("ow"), F.col("home.m").alias("sm"), F.col("home.weight").alias("sw"))
+    home = store(home.select(*key, "home", _blocks("om", "ow").alias("o"), _blocks("sm", "sw").alias("s")), "nd-home")
+    some = rooted.join(home, key).withColumn("block", F.expr("cast(if(root = home, o + pmod(xxhash64(id, band), s), pmod(xxhash64(id, band), o)) as int)"))
+    return some.select("id", "band", "root", "block", F.explode(F.expr(
+        "transform(sequence(0, if(root = home, o, o + s) - 1), x -> struct(xxhash64(bucket, band, least(x, block), greatest(x, block)) as task, x <> block as split))")).alias("p")).select("id", "band", "root", "block", "p.task", "p.split")
+
+
+def _links(dealt: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, rows: int, name: str) -> DataFrame:
+    """(u, v): a forest of the verified pairs of each task.  ``dealt``: (id, band,
+    root, block, task, split); pairs of one root are connected already."""
+    full = dealt.join(reps, "id").repartition("task").sortWithinPartitions("task", "id")
+    asked = store(full.mapInArrow(_candidates(percent, rows), "task long, id long, sig binary, n_shingles long, root long"), f"{name}-asked")
+    needed = asked.select("id").distinct()
+    # merged at every size: a plan that broadcasts the ids while they are few tells nothing about a larger run
+    sets = texts.join(needed.hint("merge"), texts.doc_id == needed.id, "left_semi").mapInArrow(_sets(k), "id long, shingles binary")
+    sets = store(sets, f"{name}-sets")
+    proof = asked.join(sets, "id").select("task", "id", "sig", "shingles", "root").repartition("task").sortWithinPartitions("task", "id")
+    return store(proof.mapInArrow(_verify(percent), "u long, v long"), f"{name}-links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each input row.
 
@@ -198,20 +243,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = HASHES // rows
     member = reps.select("id", "n_shingles", F.explode(F.expr(
         f"transform(sequence(0, {bands - 1}), b -> struct(b as band, xxhash64(b, substring(sig, b * {rows} + 1, {rows})) as bucket))")).alias("k")).select("id", "n_shingles", "k.band", "k.bucket")
-    buckets = member.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight")).where("m > 1")
-    buckets = store(buckets.select("band", "bucket", F.greatest(F.ceil(F.col("m") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "nd-buckets")
+    buckets = member.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("weight"), *_pivots()).where("m > 1")
+    buckets = store(buckets.select("band", "bucket", _blocks("m", "weight").alias("blocks"), F.array("p0", "p1", "p2").alias("pivots")), "nd-buckets")
     placed = member.join(buckets, ["band", "bucket"]).withColumn("block", F.expr("cast(pmod(xxhash64(id, band), blocks) as int)"))
-    dealt = placed.select("id", "band", "block", F.explode(F.expr(
-        "transform(sequence(0, blocks - 1), x -> struct(xxhash64(bucket, band, least(x, block), greatest(x, block)) as task, x <> block as split))")).alias("p")).select("id", "band", "block", "p.task", "p.split")
-    full = dealt.join(reps, "id").repartition("task").sortWithinPartitions("task", "id")
-    asked = store(full.mapInArrow(_candidates(percent, rows), "task long, id long, sig binary, n_shingles long"), "nd-asked")
-
-    needed = asked.select("id").distinct()
-    # merged at every size: a plan that broadcasts the ids while they are few tells nothing about a larger run
-    sets = texts.join(needed.hint("merge"), texts.doc_id == needed.id, "left_semi").mapInArrow(_sets(k), "id long, shingles binary")
-    sets = store(sets, "nd-sets")
-    proof = asked.join(sets, "id").select("task", "id", "sig", "shingles").repartition("task").sortWithinPartitions("task", "id")
-    links = proof.mapInArrow(_verify(percent), "u long, v long")
+    # each block within, with the bucket's pivots
+    within = placed.select("id", "band", F.col("id").alias("root"), "bucket", F.explode(F.expr("if(array_contains(pivots, id), sequence(0, blocks - 1), array(block))")).alias("block"))
+    within = within.select("id", "band", "root", "block", F.expr("xxhash64(bucket, band, block)").alias("task"), F.lit(False).alias("split"))
+    links = _links(within, reps, texts, k, percent, rows, "nd-within")
+    large = buckets.where("blocks > 1").select("band", "bucket")
+    if not large.isEmpty():
+        comps = store(connected_components(links), "nd-settled")
+        links = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(
+            _links(_open(member.join(large, ["band", "bucket"]), comps), reps, texts, k, percent, rows, "nd-open"))
     comps = connected_components(links)
 
     by_class = classes.join(comps, classes.rep == comps.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

@@ -51,6 +51,44 @@ def test_near_duplicates_in_one_large_group(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute.near(rows, 3, 85)
 
 
+def test_near_duplicates_of_a_hot_group_grow_in_proportion(spark, monkeypatch):
+    """Near copies over many blocks, three groups of them in a chain with texts between, and others
+    that only share buckets: right links, and the rows sent to compare don't grow by the number of blocks."""
+    from loghawk.llm import near_dedup
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 8)
+    sent = []
+
+    def counted(df, name, keep=near_dedup.store):
+        out = keep(df, name)
+        if name.endswith("asked"):
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "store", counted)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(400):
+        w = list(base)
+        for _ in range(1 + (d % 40 == 0) * 7):
+            w[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+        rows.append((d, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, k=3, percent=85, rows=6).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute.near(rows, 3, 85)
+    print("rows sent", sent)
+    assert sum(sent) < 40 * len(rows)
+    sent.clear()
+    chain = []
+    for d in range(150):        # each a window of a long run of words: only neighbours are near
+        chain.append((d, " ".join(f"w{i}" for i in range(d % 50 * 2, d % 50 * 2 + 60))))
+    chain += [(1000 + d, " ".join([f"w{i}" for i in range(30)] + [f"x{d}y{i}" for i in range(9 + d % 5)])) for d in range(40)]
+    df = spark.createDataFrame(chain, "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 2)
+    got = near_duplicates(df, k=3, percent=85, rows=6).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute.near(chain, 3, 85)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, 500)]
