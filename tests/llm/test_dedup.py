@@ -89,6 +89,19 @@ def test_near_duplicates_of_a_hot_group_grow_in_proportion(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute.near(chain, 3, 85)
 
 
+def test_bands_decide_what_near_duplicates_lose():
+    """At the threshold, the gate on equal minima loses far less than the bands."""
+    from math import ceil, comb
+
+    from loghawk.llm import near_dedup
+    n = near_dedup.HASHES
+    for percent, rows in ((85, 6), (80, 5)):
+        q = percent / 100 + (1 - percent / 100) / 256       # a byte of each minimum
+        gate = sum(comb(n, i) * q**i * (1 - q) ** (n - i) for i in range(ceil(near_dedup.gate(percent))))
+        bands = (1 - q**rows) ** (n // rows)
+        assert gate < bands / 10 and gate + bands < 1 / 1_500_000, (percent, gate, bands)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(500, 500)]
