@@ -1,5 +1,5 @@
 """Operators for large-scale training-data pipelines.
 
 Nothing else in the library imports this subpackage.  The registered
-queries (``op1_*`` .. ``op10_*`` and ``pipeline``) are wired in ``catalog``.
+queries (``op1_*`` .. ``op13_*`` and ``pipeline``) are wired in ``catalog``.
 """

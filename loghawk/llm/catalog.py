@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loghawk.llm import exact_dedup, mixing
+from loghawk.llm import decontaminate, exact_dedup, mixing, ranked_search
 from loghawk.llm.common import table
+from loghawk.llm.decontaminate import contaminated
 from loghawk.llm.exact_dedup import exact_duplicates
 from loghawk.llm.line_dedup import dedup_lines
 from loghawk.llm.main_text import main_text
@@ -15,7 +16,9 @@ from loghawk.llm.mixing import mix_sources
 from loghawk.llm.near_dedup import near_duplicates
 from loghawk.llm.neighbours import nearest
 from loghawk.llm.packing import pack_documents
+from loghawk.llm.periodic_runs import periodic_runs, repeated_tail
 from loghawk.llm.quality import quality_scores
+from loghawk.llm.ranked_search import search
 from loghawk.llm.repeats import remove_repeats
 from loghawk.llm.secret_scan import scan
 
@@ -68,11 +71,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), tail=repeated_tail)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_scan, op2_nearest_neighbours, op3_line_dedup, op4_main_text, op5_minhash_near_dedup,
-    op6_repeated_strings, op7_mix_sources, op8_quality_scores, op9_best_fit_packing, op10_exact_dedup)}
+    op6_repeated_strings, op7_mix_sources, op8_quality_scores, op9_best_fit_packing, op10_exact_dedup,
+    op11_ranked_search, op12_periodic_runs, op13_decontamination)}
 
 ORACLE: dict[str, str] = {
     "op7_mix_sources": mixing.oracle(),
     "op10_exact_dedup": exact_dedup.oracle(),
+    "op11_ranked_search": ranked_search.oracle(),
+    "op13_decontamination": decontaminate.oracle(),
 }
