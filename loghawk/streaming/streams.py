@@ -2,8 +2,9 @@
 tumbling / sliding / session windows, running per-IP totals and stream
 scoring with a stored model.
 
-All state is bounded by the watermark (append mode) except the running
-per-IP total, whose state is one row per IP.  Sinks write to the shared
+All state is bounded by the watermark (append mode): windows, sessions and the
+totals of ``expiring_ip_totals`` go once it has passed them.  Only
+``running_ip_totals`` keeps one row per IP for good.  Sinks write to the shared
 checkpoint folder, a folder for each micro-batch where they go through
 ``foreachBatch``, so a repeated batch replaces its own rows; nothing is
 collected by the driver.
@@ -12,6 +13,7 @@ collected by the driver.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +36,6 @@ def log_stream(spark: SparkSession, folder: str, file_glob: str = "*.parquet",
     return events_to_api_log(ev).withColumn("request_time", F.col("request_time").cast("timestamp"))
 
 
-def close_log(spark: SparkSession, folder: str, schema) -> None:
-    """Write the closing marker of a finished log to one of the stream's
-    folders: an event of user -1 in the far future.  It moves the watermark past
-    every window of the log, so the next run emits what is still open; its own
-    window never closes.  (It needs an IP: a filter on it runs before the
-    watermark.)"""
-    made = {"ts": F.to_timestamp(F.lit("2999-01-01")), "user_id": F.lit(-1)}
-    end = spark.range(1).select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-    end.write.mode("overwrite").parquet(folder)
-
-
 def with_watermark(df: DataFrame, ts: str = "request_time", delay: str = "10 minutes") -> DataFrame:
     """ST2: rows later than ``delay`` behind the max event time seen are dropped
     from stateful operators, and window state older than it is evicted."""
@@ -68,9 +59,9 @@ def sliding_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request_tim
 
 
 def session_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request_time", gap: str = "30 minutes") -> DataFrame:
-    """ST5: per-IP sessions (a gap of ``gap`` closes a session).  Sessions are
-    merged in each task before the shuffle, so a hot IP's rows travel as sessions."""
-    df.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """ST5: per-IP sessions (a gap of ``gap`` closes a session).  Started by
+    ``run_to_table``, sessions are merged in each task before the shuffle, so a
+    hot IP's rows travel as sessions."""
     return (df.where(F.col(ip).isNotNull()).groupBy(F.session_window(ts, gap).alias("s"), ip)
             .agg(F.count(F.lit(1)).alias("requests"))
             .select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), ip, "requests"))
@@ -81,6 +72,29 @@ def running_ip_totals(df: DataFrame, ip: str = "ip_address") -> DataFrame:
     return df.where(F.col(ip).isNotNull()).groupBy(ip).agg(F.count(F.lit(1)).alias("requests_so_far"))
 
 
+#: Settings that a stream here is started with; they hold for its own queries only.
+STREAM_CONF = {
+    # sessions are merged before the shuffle
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # state off the heap; ``transformWithState`` has no other store
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
+@contextmanager
+def stream_settings(spark: SparkSession):
+    """``STREAM_CONF`` while a query is started (it takes a copy of the session);
+    the session's own values come back."""
+    before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
+    for k, v in STREAM_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now: bool = True,
                  processing_time: str | None = None, base: str | None = None) -> tuple[str, StreamingQuery]:
     """Start a stream writing Parquet under ``base`` (a folder of its own under
@@ -94,11 +108,13 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", available_now:
     w = df.writeStream.option("checkpointLocation", ck).outputMode(mode)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "10 seconds")
     if mode == "append":
-        q = w.format("parquet").option("path", out).start()
+        w = w.format("parquet").option("path", out)
     else:
         def sink(batch: DataFrame, batch_id: int):
             batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        q = w.foreachBatch(sink).start()
+        w = w.foreachBatch(sink)
+    with stream_settings(df.sparkSession):
+        q = w.start()
     if available_now:
         q.awaitTermination()
     return out, q
