@@ -41,29 +41,41 @@ class AutoencoderModel:
         return mlp.unflatten(self.weights, self.input_dim, self.hidden)
 
 
+#: Layer number under which the hash deals rows to mini-batches; no layer has it.
+BATCH_LAYER = 1 << 16
+
+
+def in_batch(ids: np.ndarray, batch: int, batches: int, seed: int, epoch: int) -> np.ndarray:
+    """Rows of a mini-batch: by a hash of the id, dealt anew each epoch."""
+    if batches == 1:
+        return np.ones(len(ids), bool)
+    return np.floor(mlp.hashed_uniform(seed, epoch, BATCH_LAYER, ids, 1)[:, 0] * batches).astype(int) == batch
+
+
 def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dropout: float, seed: int, epoch: int,
-               features: str, id_col: str, split_col: str | None, train_grad: bool):
-    """One pass: summed gradient of the 'train' rows and the loss sums of
-    both parts (train in training mode, test in evaluation mode)."""
+               features: str, id_col: str, split_col: str | None, train_grad: bool, batch: int = 0, batches: int = 1):
+    """One pass: summed gradient of the 'train' rows (of a mini-batch) and the
+    loss sums of both parts (train in training mode, test in evaluation mode)."""
     n_par = vec.size
     bvec = data.sparkSession.sparkContext.broadcast(vec)
 
-    def partial(batches):
+    def partial(chunks):
         params = mlp.unflatten(bvec.value, d, hidden)
         g = np.zeros(n_par)
         tr_loss = tr_n = te_loss = te_n = 0.0
-        for pdf in batches:
+        for pdf in chunks:
             if pdf.empty:
                 continue
             X = np.stack(pdf[features].to_numpy()).astype(np.float64)
             ids = pdf[id_col].to_numpy()
             is_train = (pdf[split_col] == "train").to_numpy() if split_col else np.ones(len(pdf), bool)
-            if train_grad and is_train.any():
-                l, gr = mlp.loss_and_grad(X[is_train], params, final, dropout, ids[is_train], seed, epoch)
+            mine = is_train & in_batch(ids, batch, batches, seed, epoch)
+            if train_grad and mine.any():
+                l, gr = mlp.loss_and_grad(X[mine], params, final, dropout, ids[mine], seed, epoch)
                 g += gr
                 tr_loss += l
-                tr_n += is_train.sum()
-            if (~is_train).any():
+                tr_n += mine.sum()
+            if batch == 0 and (~is_train).any():
                 Y = mlp.forward(X[~is_train], params, final)
                 te_loss += float(((Y - X[~is_train]) ** 2).sum() / d)
                 te_n += (~is_train).sum()
@@ -83,15 +95,66 @@ def training_partitions(df: DataFrame, width: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, df.count() * width * 8 // TRAIN_PARTITION_BYTES)
 
 
+def train_loop(spark, job, theta: np.ndarray, lr: float, epochs: int, batches: int = 1, state_path: str | None = None,
+               save_every: int = 5, patience: int | None = None) -> tuple[np.ndarray, list[tuple[int, float, float]]]:
+    """Adam over ``epochs`` of ``batches`` steps.  ``job(theta, epoch, batch,
+    with gradient)`` returns the summed gradient and (train loss, train rows, test
+    loss, test rows), the sums of the test rows in the first batch.  Returns
+    the weights and the history (epoch, train loss, test loss)."""
+    opt = mlp.Adam(theta.size, lr)
+    history = []
+    start, prev_train = 0, None
+    lowest, kept, waited = float("inf"), None, 0
+    if state_path:
+        saved = _load_state(spark, state_path)
+        if saved is not None:
+            theta, opt.m, opt.v, opt.t, start, prev_train, history = saved
+    for epoch in range(start, epochs):
+        if state_path and epoch > start and epoch % save_every == 0:
+            _save_state(spark, state_path, theta, opt, epoch, prev_train, history)
+        loss = rows = 0.0
+        stop = False
+        for batch in range(batches):
+            grad, st = job(theta, epoch, batch, True)
+            if batch == 0:
+                if epoch > 0 and st[3] > 0:
+                    history.append((epoch - 1, float(prev_train), float(st[2] / st[3])))
+                if patience is not None and st[3] > 0:
+                    if st[2] / st[3] < lowest:
+                        lowest, kept, waited = st[2] / st[3], theta.copy(), 0
+                    else:
+                        waited += 1
+                    if waited >= patience:
+                        stop = True
+                        break
+            loss, rows = loss + st[0], rows + st[1]
+            if st[1]:
+                theta = opt.step(theta, grad / st[1])
+        if stop:
+            break
+        if rows == 0:
+            raise ValueError("no training rows")
+        prev_train = loss / rows
+    else:
+        _, st = job(theta, epochs, 0, False)
+        history.append((epochs - 1, float(prev_train), float(st[2] / st[3]) if st[3] > 0 else None))
+        if kept is not None and st[3] > 0 and st[2] / st[3] < lowest:
+            kept = theta
+    return theta if kept is None else kept, history
+
+
 def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int, ...] = (128, 64, 32),
                     lr: float = 1e-3, epochs: int = 50, dropout: float = 0.2, seed: int = 42,
                     final: str = "relu", id_col: str = "log_id", split_col: str | None = "split",
                     feature_names: list[str] | None = None, num_partitions: int | None = None,
-                    state_path: str | None = None, save_every: int = 5, patience: int | None = None) -> AutoencoderModel:
-    """Full-batch Adam on the MSE of the 'train' rows; the 'test' rows give
-    the evaluation loss after every step (history).  ``df`` holds an
+                    state_path: str | None = None, save_every: int = 5, patience: int | None = None,
+                    batches: int = 1, init: np.ndarray | None = None) -> AutoencoderModel:
+    """Adam on the MSE of the 'train' rows; the 'test' rows give
+    the evaluation loss after every epoch (history).  ``df`` holds an
     ``array<double>`` feature column, a unique id and an optional split tag.
 
+    ``batches``: steps an epoch, each a Spark job over its share of the rows
+    (1: full batch).  ``init``: weights to start from (by the seed if not given).
     ``state_path`` (a folder under the shared checkpoint directory): every
     ``save_every`` epochs the weights, Adam moments, step and history are
     written there, and a restarted driver resumes from the last save.
@@ -102,42 +165,13 @@ def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int
     # evenly, by the size of the data.
     n = num_partitions or training_partitions(df, d)
     data = df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
-    theta = mlp.flatten(mlp.init_params(d, hidden, seed))
-    opt = mlp.Adam(theta.size, lr)
-    history = []
-    start, prev_train = 0, None
-    lowest, kept, waited = float("inf"), None, 0
-    spark = df.sparkSession
-    if state_path:
-        saved = _load_state(spark, state_path)
-        if saved is not None:
-            theta, opt.m, opt.v, opt.t, start, prev_train, history = saved
+    theta = mlp.flatten(mlp.init_params(d, hidden, seed)) if init is None else np.array(init, dtype=np.float64)
+
+    def job(theta, epoch, batch, train_grad):
+        return _epoch_job(data, theta, d, hidden, final, dropout, seed, epoch, features, id_col, split_col, train_grad, batch, batches)
+
     try:
-        for epoch in range(start, epochs):
-            if state_path and epoch > start and epoch % save_every == 0:
-                _save_state(spark, state_path, theta, opt, epoch, prev_train, history)
-            grad, st = _epoch_job(data, theta, d, hidden, final, dropout, seed, epoch, features, id_col,
-                                  split_col, True)
-            if epoch > 0 and st[3] > 0:
-                history.append((epoch - 1, float(prev_train), float(st[2] / st[3])))
-            if patience is not None and st[3] > 0:
-                if st[2] / st[3] < lowest:
-                    lowest, kept, waited = st[2] / st[3], theta.copy(), 0
-                else:
-                    waited += 1
-                if waited >= patience:
-                    break
-            n_train = st[1]
-            if n_train == 0:
-                raise ValueError("no training rows")
-            prev_train = st[0] / n_train
-            theta = opt.step(theta, grad / n_train)
-        else:
-            _, st = _epoch_job(data, theta, d, hidden, final, dropout, seed, epochs, features, id_col, split_col, False)
-            history.append((epochs - 1, float(prev_train), float(st[2] / st[3]) if st[3] > 0 else None))
-            if kept is not None and st[3] > 0 and st[2] / st[3] < lowest:
-                kept = theta
-        theta = theta if kept is None else kept
+        theta, history = train_loop(df.sparkSession, job, theta, lr, epochs, batches, state_path, save_every, patience)
     finally:
         data.unpersist()
     return AutoencoderModel(d, tuple(hidden), dropout, final, theta, list(feature_names or []), history=history)

@@ -20,13 +20,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def hashed_uniform(seed: int, epoch: int, layer: int, ids: np.ndarray, width: int) -> np.ndarray:
+def hashed_uniform(seed: int, epoch: int, layer: int, ids: np.ndarray, width: int, first: int = 0) -> np.ndarray:
     """U[0,1) per (row id, unit), a pure function of (seed, epoch, layer, id,
-    unit): the same mask whatever the partitioning."""
+    unit): the same mask whatever the partitioning.  Units ``first`` and on."""
     with np.errstate(over="ignore"):
         base = _mix(np.uint64(seed) * _GOLD + np.uint64(epoch) * _M1 + np.uint64(layer) * _M2)
         rows = _mix(ids.astype(np.uint64) ^ base)[:, None]
-        units = _mix(np.arange(width, dtype=np.uint64) * _GOLD + base)[None, :]
+        units = _mix(np.arange(first, first + width, dtype=np.uint64) * _GOLD + base)[None, :]
         h = _mix(rows ^ units)
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 

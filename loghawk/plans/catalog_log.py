@@ -11,6 +11,7 @@ from loghawk.operators import features as FE
 from loghawk.operators import profile as PR
 from loghawk.operators.scaling import fit_scaler, apply_scaler, sample_n, scaler_stats, split, to_vector
 from loghawk.operators.schema import detect_roles, map_columns, required_columns_report
+from loghawk.operators.sparse import indexed_vocabulary, one_hot_indices
 from loghawk.plans.preprocess import ZSCORE_FEATURES, derive_features, zscore_scored
 from loghawk.plans.registry import (IPV4, SQL_BUCKET5, SQL_FEATURE_EXPRS, SQL_FEATURES_CTE, finish, register,
                                     sql_finish, sql_zscore_ctes, with_log)
@@ -299,6 +300,29 @@ def q_one_hot_serving(spark, sf):
     return out.select("log_id", F.when(odd, "new").otherwise("all").alias("part"), F.col("hot").alias("hot_column"))
 
 
+@register("features_one_hot_indices", with_log(
+    ", voc AS (SELECT endpoint, row_number() OVER (ORDER BY endpoint) - 1 AS i FROM (SELECT DISTINCT endpoint FROM api_log WHERE endpoint IS NOT NULL)),"
+    " met AS (SELECT method, row_number() OVER (ORDER BY method) - 1 + (SELECT count(*) FROM voc) AS i FROM (SELECT DISTINCT method FROM api_log))"
+    " SELECT log_id, CAST(voc.i AS INTEGER) AS endpoint_index, CAST(met.i AS INTEGER) AS method_index, 2.0::DOUBLE AS total FROM api_log JOIN voc USING (endpoint) JOIN met USING (method)"))
+def q_one_hot_indices(spark, sf):
+    """Two columns' one-hots as indices and values over one line of positions; vocabularies are tables."""
+    log = _log(spark, sf).select("log_id", "endpoint", "method")
+    out, _ = one_hot_indices(log, {c: indexed_vocabulary(log, c) for c in ("endpoint", "method")})
+    total = F.aggregate("values", F.lit(0.0), lambda a, b: a + b)
+    return out.select("log_id", F.col("indices")[0].alias("endpoint_index"), F.col("indices")[1].alias("method_index"), total.alias("total"))
+
+
+@register("features_url_one_hot_indices", (
+    "SELECT page_id, CAST(dense_rank() OVER (ORDER BY url) - 1 AS INTEGER) AS url_index FROM pages WHERE url IS NOT NULL"
+    " UNION ALL SELECT page_id, NULL FROM pages WHERE url IS NULL"))
+def q_url_one_hot_indices(spark, sf):
+    """A vocabulary with nearly as many values as rows: dense indices in sorted order."""
+    from loghawk.sources.tables import read_table
+    pages = read_table(spark, sf, "pages").select("page_id", "url")
+    out, _ = one_hot_indices(pages, {"url": indexed_vocabulary(pages, "url")})
+    return out.select("page_id", F.when(F.size("indices") > 0, F.col("indices")[0]).alias("url_index"))
+
+
 _ST = ["status_code_is_success", "status_code_is_redirect", "status_code_is_client_error",
        "status_code_is_server_error"]
 

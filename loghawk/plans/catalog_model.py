@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from loghawk.operators import autoencoder as AE
 from loghawk.operators import detect as DT
-from loghawk.plans.detection import prepare, score_log, train_detector
+from loghawk.operators.scaling import split, split_cut
+from loghawk.operators.sparse import fit_sparse_autoencoder, with_sparse_error
+from loghawk.plans import sql_nets
+from loghawk.plans.detection import prepare, prepare_sparse, score_log, score_log_sparse, train_detector, train_sparse_detector
 from loghawk.plans.preprocess import FeatureSpec
 from loghawk.plans.registry import finish, register, sql_finish, with_log
 from loghawk.session import scratch_path
@@ -100,6 +103,78 @@ def q_fixed_encoded(spark, sf):
     return finish(out.select("log_id", F.col("latent")[0].alias("h0"), F.col("latent")[1].alias("h1")))
 
 
+# ---- training from given weights ----
+_STEPS, _RATE = 3, 0.05
+
+
+def _split_sql(seed: int = 42, fraction: float = 0.8) -> str:
+    return f"substring(md5(concat('{seed}|', CAST(log_id AS VARCHAR))), 1, 8) < '{split_cut(fraction)}' AS train"
+
+
+def _x_sql(endpoints: int = 0) -> str:
+    dense = ", ".join(f"(COALESCE(CAST({c} AS DOUBLE), 0) - {m!r}) / {s!r} AS x{i}" for i, (c, (m, s)) in enumerate(_FIXED_SCALER.items()))
+    hot = "".join(f", CASE WHEN endpoint = v[{i + 1}] THEN 1.0 ELSE 0.0 END AS x{2 + i}" for i in range(endpoints))
+    return with_log(f", voc AS (SELECT list(DISTINCT endpoint ORDER BY endpoint) AS v FROM api_log), x AS (SELECT log_id, {dense}{hot}, {_split_sql()} FROM api_log, voc)")
+
+
+_DENSE_CTES, _DENSE_N = sql_nets.autoencoder_ctes(2, 2, list(_FIXED), _STEPS, _RATE)
+
+
+def _fixed_fit(spark, sf):
+    model, spec = fixed_detector()
+    vec, _, _ = prepare(api_log(spark, sf), spec, _scaler(model))
+    return AE.fit_autoencoder(split(vec, 0.8, 42), hidden=(2,), lr=_RATE, epochs=_STEPS, dropout=0.0, init=list(_FIXED))
+
+
+@register("ae_fit_given_weights", sql_finish(sql_nets.trained_weights(_x_sql() + _DENSE_CTES, _DENSE_N, _STEPS), doubles=["weight"], others=["position"]))
+def q_fit_given(spark, sf):
+    """Three epochs of full-batch Adam from given weights (AE1): the weights."""
+    return finish(spark.createDataFrame([(k, float(w)) for k, w in enumerate(_fixed_fit(spark, sf).weights)], "position long, weight double"))
+
+
+@register("ae_history_given_weights", sql_finish(sql_nets.loss_history(_x_sql() + _DENSE_CTES, _STEPS), doubles=["train_loss", "test_loss"], others=["epoch"]))
+def q_history_given(spark, sf):
+    """The losses of these epochs (AE6)."""
+    return finish(AE.history(_fixed_fit(spark, sf), spark))
+
+
+#: The log's endpoints, by which the given weights of the sparse network are counted.
+_ENDPOINTS = 5
+_SPARSE_CTES, _SPARSE_N = sql_nets.autoencoder_ctes(2 + _ENDPOINTS, 2, sql_nets.given_weights(4 * (2 + _ENDPOINTS) + 4 + _ENDPOINTS), 2, _RATE)
+
+
+def _sparse_fit(spark, sf):
+    """Two epochs on the two scaled features and the endpoints in sparse form."""
+    model, spec = fixed_detector()
+    vec, _, _, _, positions = prepare_sparse(api_log(spark, sf), spec, _scaler(model))
+    width = 2 + positions
+    init = sql_nets.given_weights(4 * width + 2 + width)
+    fitted = fit_sparse_autoencoder(split(vec, 0.8, 42), positions, hidden=(2,), lr=_RATE, epochs=2, dropout=0.0, init=init, feature_names=spec.names, block=3)
+    return vec, fitted
+
+
+@register("ae_sparse_fit_given_weights", sql_finish(sql_nets.trained_weights(_x_sql(_ENDPOINTS) + _SPARSE_CTES, _SPARSE_N, 2), doubles=["weight"], others=["position"]))
+def q_sparse_fit_given(spark, sf):
+    """Sparse one-hots of the endpoint, trained from given weights: the weights of the dense form."""
+    _, fitted = _sparse_fit(spark, sf)
+    return finish(spark.createDataFrame([(k, float(w)) for k, w in enumerate(fitted.weights)], "position long, weight double"))
+
+
+@register("ae_sparse_scored", sql_finish(_x_sql(_ENDPOINTS) + _SPARSE_CTES + " SELECT log_id, loss AS reconstruction_error FROM f2_", doubles=["reconstruction_error"], others=["log_id"]))
+def q_sparse_scored(spark, sf):
+    """That network's error of each request."""
+    vec, fitted = _sparse_fit(spark, sf)
+    return finish(with_sparse_error(vec, fitted).select("log_id", "reconstruction_error"))
+
+
+@register("ae_sparse_detect_summary")
+def q_sparse_detect(spark, sf):
+    """The detector with sparse one-hots: 50 epochs or an early stop; then the log is scored."""
+    log = api_log(spark, sf)
+    model, spec, vocabularies = train_sparse_detector(log, epochs=50, patience=5)
+    return DT.summary(score_log_sparse(log, model, spec, vocabularies))
+
+
 _EMB = 64
 
 

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from loghawk.operators import autoencoder as AE
 from loghawk.operators import detect as DT
 from loghawk.operators.scaling import Scaler, apply_scaler, fit_scaler, split, to_vector
+from loghawk.operators.schema import detect_roles
+from loghawk.operators.sparse import fit_sparse_autoencoder, indexed_vocabulary, one_hot_indices, with_sparse_error
 from loghawk.plans.preprocess import FeatureSpec, derive_features
+from loghawk.session import cut_lineage
 
 
 def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | None = None, id_col: str = "log_id",
@@ -35,12 +38,14 @@ def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | No
 
 
 def train_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: float = 1e-3, dropout: float = 0.2,
-                   seed: int = 42, train_fraction: float = 0.8, final: str = "relu", state_path: str | None = None):
-    """Fit the detector; features, vocabulary, scaler and network come from the whole log."""
+                   seed: int = 42, train_fraction: float = 0.8, final: str = "relu", state_path: str | None = None,
+                   patience: int | None = None, batches: int = 1):
+    """Fit the detector; features, vocabulary, scaler and network come from the
+    whole log.  ``patience`` stops early, ``batches`` are the steps of an epoch."""
     vec, spec, scaler = prepare(log)
     tagged = split(vec, train_fraction, seed)
-    model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed,
-                               final=final, feature_names=spec.names, state_path=state_path)
+    model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed, final=final,
+                               feature_names=spec.names, state_path=state_path, patience=patience, batches=batches)
     model.scaler = dict(scaler.params)
     test = tagged.where(F.col("split") == "test")
     errs = AE.with_error(test, model)
@@ -57,3 +62,50 @@ def score_log(log: DataFrame, model: AE.AutoencoderModel, spec: FeatureSpec, id_
     vec, _, _ = prepare(log, spec, scaler, id_col, carry="__row", stored_counts=stored_counts)
     scored = AE.with_error(vec, model).select("__row.*", "reconstruction_error")
     return DT.flag_and_score(scored, model.threshold)
+
+
+# ------------------------------------------------ sparse one-hots ----
+def prepare_sparse(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | None = None,
+                   vocabularies: dict[str, DataFrame] | None = None, id_col: str = "log_id", carry: str | None = None,
+                   stored_counts=None) -> tuple[DataFrame, FeatureSpec, Scaler, dict[str, DataFrame], int]:
+    """``prepare`` with the endpoint one-hots as ``indices`` and ``values``: scaled
+    dense ``features``, the feature contract, the scaler, the vocabularies (stored
+    tables) and their size.  The one-hots stay 0/1, as ``scale_onehot=False``."""
+    if vocabularies is None:
+        roles = detect_roles(log.schema, "typed")
+        vocabularies = {c: cut_lineage(indexed_vocabulary(log, c), f"vocabulary-{c}") for c in roles["endpoint"] if dict(log.dtypes)[c] == "string"}
+    hot, positions = one_hot_indices(log, vocabularies, "__indices", "__values")
+    feats, new_spec = derive_features(hot, mode="batch", id_col=id_col, names=spec.names if spec else None, carry="__row",
+                                      stored_counts=stored_counts, dense_onehot=False)
+    spec = spec or new_spec
+    missing = [n for n in spec.names if n not in feats.columns]
+    if missing:
+        raise ValueError(f"the log gives no {missing}")
+    scaler = scaler or fit_scaler(feats, spec.names).collect()
+    vec = to_vector(apply_scaler(feats, scaler), spec.names, "features", keep=(id_col, "__row"))
+    row = [F.struct(*[F.col("__row")[c].alias(c) for c in log.columns]).alias(carry)] if carry else []
+    out = vec.select(id_col, "features", F.col("__row.__indices").alias("indices"), F.col("__row.__values").alias("values"), *row)
+    return out, spec, scaler, vocabularies, positions
+
+
+def train_sparse_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: float = 1e-3, dropout: float = 0.2, seed: int = 42,
+                          train_fraction: float = 0.8, final: str = "relu", state_path: str | None = None, patience: int | None = None,
+                          batches: int = 1):
+    """``train_detector`` for endpoints of any number: (model, spec, vocabularies)."""
+    vec, spec, scaler, vocabularies, positions = prepare_sparse(log)
+    tagged = split(vec, train_fraction, seed)
+    model = fit_sparse_autoencoder(tagged, positions, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed, final=final,
+                                   feature_names=spec.names, state_path=state_path, patience=patience, batches=batches)
+    model.scaler = dict(scaler.params)
+    errs = with_sparse_error(tagged.where(F.col("split") == "test"), model)
+    model.threshold = float(DT.threshold(errs, method="std").first()[0])
+    return model, spec, vocabularies
+
+
+def score_log_sparse(log: DataFrame, model: AE.AutoencoderModel, spec: FeatureSpec, vocabularies: dict[str, DataFrame],
+                     id_col: str = "log_id", stored_counts=None) -> DataFrame:
+    """``score_log`` with the stored vocabularies; endpoints outside them are zeros."""
+    scaler = Scaler(list(model.scaler), params=dict(model.scaler))
+    vec = prepare_sparse(log, spec, scaler, vocabularies, id_col, carry="__log", stored_counts=stored_counts)[0]
+    scored = with_sparse_error(vec, model).select("__log.*", "reconstruction_error")
+    return DT.flag_and_score(scored, model.threshold)

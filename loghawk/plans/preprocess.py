@@ -48,7 +48,8 @@ class FeatureSpec:
 def derive_features(df: DataFrame, mode: str = "batch", role_mode: str = "typed", rule: str | None = None,
                     bucket_minutes: int = 5, endpoint_vocab: dict[str, list[str]] | None = None,
                     id_col: str = "log_id", check_ipv4: bool = True, names: list[str] | None = None,
-                    carry: str | None = None, stored_counts: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, FeatureSpec]:
+                    carry: str | None = None, stored_counts: tuple[DataFrame, DataFrame] | None = None,
+                    dense_onehot: bool = True) -> tuple[DataFrame, FeatureSpec]:
     """Raw log -> numeric features (NULL/NaN/inf filled with 0), unscaled.
 
     ``mode='batch'``: time parts, IP octets, agent flags, endpoint one-hot,
@@ -58,7 +59,8 @@ def derive_features(df: DataFrame, mode: str = "batch", role_mode: str = "typed"
     the same one-hot columns, and its ``names`` so that the octets go by the
     contract and not by what the new data holds.  ``carry`` names a struct
     column that takes the whole log row along.  ``stored_counts``: see
-    ``with_request_counts``.
+    ``with_request_counts``.  ``dense_onehot=False`` leaves the endpoint one-hots out
+    (their sparse form is ``operators.sparse``); nothing is collected then.
     """
     rule = rule or ("source" if mode == "batch" else "keyword")
     roles = detect_roles(df.schema, role_mode)
@@ -77,7 +79,7 @@ def derive_features(df: DataFrame, mode: str = "batch", role_mode: str = "typed"
         if dict(out.dtypes)[c] == "string":
             out = FE.ua_flags(out, c)
     for c in roles["endpoint"]:
-        if dict(out.dtypes)[c] == "string":
+        if dense_onehot and dict(out.dtypes)[c] == "string":
             given = (endpoint_vocab or {}).get(c)
             out, vocab_out[c] = FE.one_hot(out, c, given)
     for c in roles["status"]:

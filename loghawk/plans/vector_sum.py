@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,3 +41,25 @@ def partition_sums(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], np.ndar
         c = r["chunk"]
         out[c * CHUNK:(c + 1) * CHUNK] = [r[f"s{i}"] or 0.0 for i in range(CHUNK)]
     return out[:size]
+
+
+#: Rows of an Arrow batch that leaves a task of ``slot_sums``.
+SLOT_ROWS = 4096
+
+
+def slot_sums(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sparse form: ``fn`` returns the (slots, rows of ``width`` numbers) that
+    its partition has something for, and only those are moved and added.
+    Returns the slots that occur, sorted, and their sums."""
+    def per_partition(batches):
+        slots, rows = fn(batches)
+        for lo in range(0, len(slots), SLOT_ROWS):
+            part = np.ascontiguousarray(rows[lo:lo + SLOT_ROWS], dtype=np.float64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * width), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(slots[lo:lo + SLOT_ROWS].astype(np.int64)), lists], ["slot", "v"])
+
+    sums = df.mapInArrow(per_partition, "slot long, v array<double>").groupBy("slot")
+    out = sums.agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(width)]).toArrow()
+    slots = out.column("slot").to_numpy()
+    turn = np.argsort(slots)
+    return slots[turn], np.column_stack([out.column(f"s{i}").to_numpy() for i in range(width)])[turn] if len(slots) else np.zeros((0, width))
