@@ -199,14 +199,46 @@ def _project_udf(weights: dict[str, np.ndarray]):
     return project
 
 
+#: Scores are cut into classes of this width; within one, exp() never leaves [1, e**SPAN).
+SPAN = 32.0
+
+
+def softmax_sums(rows: DataFrame, key: str, heads: int, width: int) -> DataFrame:
+    """(key, out): per key the softmax-weighted means of vectors, all heads in one array.
+
+    ``rows``: (key, weight, proj, e): each row counts ``weight`` times, with the
+    score ``e[h]`` and the vector ``proj[h * width .. (h + 1) * width - 1]`` of each head.
+    One aggregate that merges in any order: the sums of exp(e - SPAN * k) and of its
+    products with the vector, by key, head and k = floor(e / SPAN), so no maximum is
+    needed beforehand and a hot key is summed in every task.  A key's few classes
+    are then brought to its highest one's scale."""
+    e, k = F.col("e"), lambda h: F.floor(F.col("e")[h] / SPAN)
+    each = [F.struct(F.lit(h).alias("h"), k(h).alias("k"), (F.col("weight") * F.exp(e[h] - k(h) * SPAN)).alias("x"),
+                     F.slice("proj", h * width + 1, width).alias("v")) for h in range(heads)]
+    parts = rows.select(key, F.explode(F.array(*each)).alias("r")).select(key, "r.*").groupBy(key, "h", "k").agg(
+        F.sum("x").alias("s"), *[F.sum(F.col("x") * F.col("v")[j]).alias(f"n{j}") for j in range(width)])
+    parts = parts.select(key, "h", F.struct("k", "s", F.array(*[f"n{j}" for j in range(width)]).alias("n")).alias("part"))
+    merged = parts.groupBy(key, "h").agg(F.collect_list("part").alias("parts"), F.max("part.k").alias("top"))
+    scale = lambda p: F.exp((p["k"] - F.col("top")) * SPAN)
+    total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + scale(p) * p["s"])
+    zeros = F.array(*[F.lit(0.0) for _ in range(width)])
+    vector = F.aggregate("parts", zeros, lambda acc, p: F.zip_with(acc, p["n"], lambda x, y: x + scale(p) * y))
+    mean = merged.select(key, "h", total.alias("total"), vector.alias("sum")).select(key, F.struct("h", F.transform("sum", lambda v: v / F.col("total")).alias("v")).alias("r"))
+    return mean.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["v"])).alias("out"))
+
+
+def elu(v):
+    return F.when(v > 0, v).otherwise(F.exp(v) - 1)
+
+
 def attend(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], self_loops: bool = True,
            negative_slope: float = 0.2, activation: str | None = "elu", features: str = "features") -> DataFrame:
     """Forward pass of one graph-attention layer (heads concatenated).
 
     Per node (Arrow batches): projection W_h x and the two attention terms.
-    Per edge j -> i: e = LeakyReLU(a_src[j] + a_dst[i]) per head.  Softmax over
-    i's incoming edges: a max aggregate by dst, then sums of exp(e - max) and
-    of exp(e - max) * W_h x_j by dst, one partial ``sum`` per position."""
+    Per edge j -> i: e = LeakyReLU(a_src[j] + a_dst[i]) per head.  The softmax over
+    i's incoming edges and the weighted sum of W_h x_j are one aggregate by dst
+    (``softmax_sums``), so the projected vectors move with the edges once."""
     H, _, D = weights["W"].shape
     proj = nodes.select("node_id", _project_udf(weights)(F.col(features)).alias("p")).select("node_id", "p.*")
     proj = cut_lineage(proj)
@@ -217,25 +249,37 @@ def attend(nodes: DataFrame, edges: DataFrame, weights: dict[str, np.ndarray], s
     e = compact_edges(e)      # a repeated edge is one message counted ``weight`` times
     src_side = proj.select(F.col("node_id").alias("src"), "proj", "a_src")
     dst_side = proj.select(F.col("node_id").alias("dst"), "a_dst")
-    ee = e.join(src_side, "src").join(dst_side, "dst")
+    # the narrow side first: vectors are joined last and go straight into the sums
+    ee = e.join(dst_side, "dst").join(src_side, "src")
     score = F.zip_with("a_src", "a_dst", lambda s, t: F.when(s + t > 0, s + t).otherwise((s + t) * negative_slope))
-    ee = ee.select("dst", "weight", "proj", score.alias("e"))
-    mx = ee.groupBy("dst").agg(*[F.max(F.col("e")[h]).alias(f"__m{h}") for h in range(H)])
-    mx = mx.select("dst", F.array(*[F.col(f"__m{h}") for h in range(H)]).alias("m"))
-    w = ee.join(mx, "dst").select(
-        "dst", "proj", F.transform(F.zip_with("e", "m", lambda a, b: F.exp(a - b)), lambda x: x * F.col("weight")).alias("w"))
-    num = [F.sum(F.col("w")[h] * F.col("proj")[h * D + j]).alias(f"__n{h * D + j}") for h in range(H) for j in range(D)]
-    den = [F.sum(F.col("w")[h]).alias(f"__d{h}") for h in range(H)]
-    agg = w.groupBy(F.col("dst").alias("node_id")).agg(*den, *num)
-    bias = weights["bias"]
-    outs = []
-    for h in range(H):
-        for j in range(D):
-            v = F.col(f"__n{h * D + j}") / F.col(f"__d{h}") + F.lit(float(bias[h * D + j]))
-            if activation == "elu":
-                v = F.when(v > 0, v).otherwise(F.exp(v) - 1)
-            outs.append(v)
-    return agg.select("node_id", F.array(*outs).alias(features))
+    out = softmax_sums(ee.select(F.col("dst").alias("node_id"), "weight", "proj", score.alias("e")), "node_id", H, D)
+    moved = F.zip_with("out", F.array(*[F.lit(float(b)) for b in weights["bias"]]), lambda v, b: v + b)
+    return out.select("node_id", (F.transform(moved, elu) if activation == "elu" else moved).alias(features))
+
+
+def convolve(nodes: DataFrame, edges: DataFrame, weight: np.ndarray, bias: np.ndarray | None = None, activation: str | None = "elu",
+             features: str = "features") -> DataFrame:
+    """Graph convolution layer: D^-1/2 (A + I) D^-1/2 X W + b, with repeated edges
+    as weights of A, a self loop for each node (given ones count once) and D the
+    weighted in-degrees with it.
+
+    Edges are compacted once and written, as the degrees and the sums read them.
+    A node's features over the root of its degree travel with its edges; the sums by dst
+    are partial aggregates, before the projection (``weight``: inputs x outputs)."""
+    d_in, d_out = weight.shape
+    loops = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(1.0).alias("weight"))
+    e = cut_lineage(compact_edges(edges.where(F.col("src") != F.col("dst"))).unionByName(loops), "convolution-edges")
+    root = e.groupBy(F.col("dst").alias("node_id")).agg(F.sqrt(F.sum("weight")).alias("__root"))
+    x = cut_lineage(nodes.select("node_id", features).join(root, "node_id"), "convolution-nodes")
+    sent = e.join(x.select(F.col("node_id").alias("src"), F.transform(features, lambda v: v / F.col("__root")).alias("x")), "src")
+    sums = sent.groupBy(F.col("dst").alias("node_id")).agg(*[F.sum(F.col("weight") * F.col("x")[i]).alias(f"__s{i}") for i in range(d_in)])
+    both = sums.join(x.select("node_id", "__root"), "node_id")
+    b = np.zeros(d_out) if bias is None else bias
+    out = []
+    for j in range(d_out):
+        v = sum((F.col(f"__s{i}") * float(weight[i, j]) for i in range(d_in)), F.lit(0.0)) / F.col("__root") + float(b[j])
+        out.append(elu(v) if activation == "elu" else v)
+    return both.select("node_id", F.array(*out).alias(features))
 
 
 def batch_norm(nodes: DataFrame, features: str = "features", eps: float = 1e-5) -> DataFrame:
@@ -264,7 +308,7 @@ def attention_stack(nodes: DataFrame, edges: DataFrame, layers: list[dict[str, n
         out = attend(cur, edges, w, activation=None if use_batch_norm else "elu", features=features)
         if use_batch_norm:
             out = batch_norm(out, features)
-            out = out.withColumn(features, F.transform(features, lambda v: F.when(v > 0, v).otherwise(F.exp(v) - 1)))
+            out = out.withColumn(features, F.transform(features, elu))
         w_out = w["W"].shape[0] * w["W"].shape[2]
         add = residual and i > 0 and w_out == _dim(kept, features)
         if add:

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from loghawk.operators import features as FE
 from loghawk.operators import graph as GR
+from loghawk.operators import graph_model as GM
 from loghawk.plans.preprocess import ZSCORE_FEATURES, zscore_scored
 from loghawk.plans.registry import (SQL_FEATURE_EXPRS, SQL_FEATURES_CTE, finish, register, sql_finish,
                                     sql_zscore_ctes, with_log)
+from loghawk.plans.sql_nets import attention_ctes, given_weights, head_ctes, normalised_ctes, trained_weights
 from loghawk.sources.tables import api_log, read_table
 
 _GCOLS = ["response_ms", "status_code", "request_time_hour"]
@@ -170,6 +172,67 @@ def q_attention_fixed(spark, sf):
     return finish(_flat(GR.attend(_scaled_feats(feats), edges, w), d=1, prefix="out"))
 
 
+def _given_layer(d_in: int, d_out: int, heads: int, first: int = 0) -> dict:
+    """Given weights of an attention layer, cut from one line of numbers."""
+    import numpy as np
+    line = np.array(given_weights(first + heads * (d_in * d_out + 3 * d_out)))[first:]
+    cut = np.split(line, np.cumsum([heads * d_in * d_out, heads * d_out, heads * d_out]))
+    return {"W": cut[0].reshape(heads, d_in, d_out), "att_src": cut[1].reshape(heads, d_out), "att_dst": cut[2].reshape(heads, d_out), "bias": cut[3]}
+
+
+_ZF_SQL = (", q AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(_F)) + " FROM nf)"
+           ", z0 AS MATERIALIZED (SELECT node_id, " + ", ".join(f"(nf.{c} - m{i}) / s{i} AS {c}" for i, c in enumerate(_F)) + " FROM nf, q)"
+           ", e0 AS MATERIALIZED (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT node_id, node_id FROM nodes)")
+_TWO = _given_layer(3, 2, 2)
+
+
+@register("graph_attention_two_heads", sql_finish(with_log(
+    _G_SQL + _ZF_SQL + attention_ctes("z0", "o", "e0", _TWO) + " SELECT CAST(node_id AS BIGINT) AS node_id, f0, f1, f2, f3 FROM o"),
+    doubles=["f0", "f1", "f2", "f3"], others=["node_id"]))
+def q_attention_two(spark, sf):
+    """Two heads of width two with given weights."""
+    _, _, edges, feats = _graph(spark, sf)
+    return finish(_flat(GR.attend(_scaled_feats(feats), edges, _TWO), d=4))
+
+
+_STACK = [_TWO, _given_layer(4, 3, 1, first=5)]
+
+
+@register("graph_attention_stack_given_weights", sql_finish(with_log(
+    _G_SQL + _ZF_SQL + attention_ctes("z0", "a1", "e0", _STACK[0], False) + normalised_ctes("a1", "b1", 4)
+    + attention_ctes("b1", "a2", "e0", _STACK[1], False) + normalised_ctes("a2", "b2", 3)
+    + ", kept AS (SELECT node_id, " + ", ".join(f"b2.{c} + z0.{c} AS {c}" for c in _F) + " FROM b2 JOIN z0 USING (node_id))"
+    " SELECT kind AS graph_id, " + ", ".join(f"avg({c}) AS {c}" for c in _F) + " FROM kept JOIN nodes USING (node_id) GROUP BY kind"),
+    doubles=_F, others=["graph_id"]))
+def q_stack_given(spark, sf):
+    """Two layers (two heads of width two, one of width three) with batch norm and
+    residual, then the mean by kind of node; given weights."""
+    _, _, edges, feats = _graph(spark, sf)
+    nodes = _scaled_feats(feats)
+    out = GR.attention_stack(nodes, edges, _STACK, residual=True, use_batch_norm=True)
+    return finish(_flat(GR.pool(out.join(nodes.select("node_id", F.col("kind").alias("graph_id")), "node_id"), "mean", dim=3), "pooled"))
+
+
+_GCN = [_given_layer(3, 4, 1)["W"][0], _given_layer(4, 2, 1, first=3)["W"][0]]
+
+
+def _gcn_sql(src: str, dst: str, w) -> str:
+    d_in, d_out = w.shape
+    out = [" + ".join(f"({float(w[i, j])!r}) * sum(n.f{i} / (sqrt(a.deg) * sqrt(b.deg)))" for i in range(d_in)) + f" AS v{j}" for j in range(d_out)]
+    act = ", ".join(f"CASE WHEN v{j} > 0 THEN v{j} ELSE exp(v{j}) - 1 END AS f{j}" for j in range(d_out))
+    return (f", {dst}_ AS (SELECT e.dst AS node_id, {', '.join(out)} FROM e0 e JOIN {src} n ON e.src = n.node_id"
+            f" JOIN deg a ON e.src = a.node_id JOIN deg b ON e.dst = b.node_id GROUP BY e.dst), {dst} AS MATERIALIZED (SELECT node_id, {act} FROM {dst}_)")
+
+
+@register("graph_convolution", sql_finish(with_log(
+    _G_SQL + _ZF_SQL + ", deg AS MATERIALIZED (SELECT dst AS node_id, count(*) AS deg FROM e0 GROUP BY dst)" + _gcn_sql("z0", "c1", _GCN[0]) + _gcn_sql("c1", "c2", _GCN[1])
+    + " SELECT CAST(node_id AS BIGINT) AS node_id, f0, f1 FROM c2"), doubles=["f0", "f1"], others=["node_id"]))
+def q_convolution(spark, sf):
+    """Two convolution layers over the IP-endpoint graph, repeats as weights; given weights."""
+    _, _, edges, feats = _graph(spark, sf)
+    return finish(_flat(GR.convolve(GR.convolve(_scaled_feats(feats), edges, _GCN[0]), edges, _GCN[1]), d=2))
+
+
 @register("graph_error_one_feature", sql_finish(with_log(
     _G_SQL + _hop_sql("nf", "r1") + ", d AS (SELECT nf.node_id, nf.f0 AS x, r1.f0 AS h FROM nf JOIN r1 ON nf.node_id = r1.node_id)"
     ", t AS (SELECT sum(h * h) + 0.001 AS a, sum(h) AS b, count(*) + 0.001 AS c, sum(h * x) AS u, sum(x) AS v FROM d)"
@@ -236,3 +299,54 @@ def q_combined(spark, sf):
          .select("log_id", (F.aggregate(F.zip_with("x", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0),
                                         lambda s, v: s + v) / len(_GCOLS)).alias("graph_score")))
     return finish(GR.combined_score(zscore_scored(api_log(spark, sf)), g, 0.5))
+
+
+# ---- graphs of an IP's day, classified ----
+_DAY_LAYER, _DAY_HIDDEN, _DAY_STEPS, _DAY_RATE, _DAY_DECAY = _given_layer(2, 2, 2), 3, 2, 0.02, 0.001
+_DAY_INIT = given_weights(_DAY_HIDDEN * 4 + _DAY_HIDDEN + 2 * _DAY_HIDDEN + 2)
+_DAY_SQL = with_log(
+    ", l AS (SELECT *, CAST(request_time AS DATE) AS day, (CAST(response_ms AS DOUBLE) - 50) / 30 AS f0, (hour(request_time) - 12) / 6.0::DOUBLE AS f1 FROM api_log)"
+    ", g AS (SELECT row_number() OVER (ORDER BY ip_address, day) - 1 AS graph_id, ip_address, day, CAST(max(CASE WHEN status_code >= 500 THEN 1 ELSE 0 END) AS INTEGER) AS y"
+    " FROM l GROUP BY ip_address, day)"
+    ", z0 AS MATERIALIZED (SELECT log_id AS node_id, f0, f1, graph_id, lead(log_id) OVER (PARTITION BY graph_id ORDER BY request_time, log_id) AS nxt FROM l JOIN g USING (ip_address, day))"
+    ", e0 AS MATERIALIZED (SELECT node_id AS src, nxt AS dst FROM z0 WHERE nxt IS NOT NULL UNION ALL SELECT nxt, node_id FROM z0 WHERE nxt IS NOT NULL UNION ALL SELECT node_id, node_id FROM z0)"
+    + attention_ctes("z0", "o", "e0", _DAY_LAYER)
+    + ", x AS MATERIALIZED (SELECT g.graph_id, any_value(y) AS y, " + ", ".join(f"avg(o.f{i}) AS x{i}" for i in range(4)) + " FROM o JOIN z0 USING (node_id) JOIN g USING (graph_id) GROUP BY g.graph_id)")
+_DAY_CTES, _DAY_N = head_ctes(4, _DAY_HIDDEN, 2, _DAY_INIT, _DAY_STEPS, _DAY_RATE, _DAY_DECAY)
+
+
+def _day_graphs(spark, sf):
+    log = _log(spark, sf).withColumn("day", F.to_date("request_time"))
+    scaled = [(F.col("response_ms").cast("double") - 50) / 30, (F.col("request_time_hour") - 12) / F.lit(6.0)]
+    return GM.graph_batch(log, scaled, ["ip_address", "day"], (F.col("status_code") >= 500).cast("int"))
+
+
+def _day_model(spark, sf):
+    nodes, edges, graphs = _day_graphs(spark, sf)
+    model = GM.fit_graph_classifier(nodes, edges, graphs, [_DAY_LAYER], "mean", hidden=_DAY_HIDDEN, lr=_DAY_RATE, epochs=_DAY_STEPS, dropout=0.0,
+                                    weight_decay=_DAY_DECAY, init=_DAY_INIT)
+    return nodes, edges, graphs, model
+
+
+@register("graph_classifier_given_weights", sql_finish(trained_weights(_DAY_SQL + _DAY_CTES, _DAY_N, _DAY_STEPS), doubles=["weight"], others=["position"]))
+def q_graph_classifier(spark, sf):
+    """A graph for each IP and day: attention, pooling and the head as one plan; the
+    head after two steps of Adam from given weights (CL1)."""
+    model = _day_model(spark, sf)[3]
+    return finish(spark.createDataFrame([(k, float(w)) for k, w in enumerate(model["weights"])], "position long, weight double"))
+
+
+@register("graph_classifier_history", sql_finish(_DAY_SQL + _DAY_CTES + " " + " UNION ALL ".join(f"SELECT {t} AS epoch, loss, accuracy FROM l{t}" for t in range(_DAY_STEPS)),
+                                                 doubles=["loss", "accuracy"], others=["epoch"]))
+def q_graph_classifier_history(spark, sf):
+    """Loss and accuracy of these steps."""
+    return finish(spark.createDataFrame(_day_model(spark, sf)[3]["history"], "epoch int, loss double, accuracy double"))
+
+
+@register("graph_classifier_predictions", sql_finish(_DAY_SQL + _DAY_CTES + f" SELECT graph_id, y AS label, CAST(best AS INTEGER) AS prediction, q0, q1 FROM f{_DAY_STEPS}_",
+                                                     doubles=["q0", "q1"], others=["graph_id", "label", "prediction"]))
+def q_graph_classifier_predictions(spark, sf):
+    """That model's class probabilities of every graph (CL2)."""
+    nodes, edges, graphs, model = _day_model(spark, sf)
+    out = GM.predict_graphs(nodes, edges, model).join(graphs.select("graph_id", "label"), "graph_id")
+    return finish(out.select("graph_id", "label", "prediction", F.col("probabilities")[0].alias("q0"), F.col("probabilities")[1].alias("q1")))
