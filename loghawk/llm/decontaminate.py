@@ -24,6 +24,8 @@ from loghawk.llm.common import store
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word once A-Z are lower-cased: digits, a-z and all beyond ASCII.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window.
 WIDTH = 10
 #: Stands for a null document id in the index; rows are told apart by their text's hash as well.
@@ -37,7 +39,7 @@ def terms(text_col: str):
     change other letters too, so it serves texts of ASCII only.)"""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     lowered = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-    return F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))
+    return F.array_remove(F.split(lowered, GAP), "")      # empty before a first gap and behind a last one
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,20 +79,21 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(phrase_id, doc, copy, start, n): all places where a phrase stands.
     ``phrases``: (phrase_id, phrase), the phrase an array of one or more terms."""
     lists = _rarest_first(index, phrases)
-    nth = [lists.where(F.col("n") > r).select("phrase_id", "n", F.col("lists")[r]["term"].alias("term"), F.col("lists")[r]["off"].alias("off")) for r in (0, 1)]
+    # small tables are stored: their size is known when the joins are planned
+    nth = [store(lists.where(F.col("n") > r).select("phrase_id", "n", F.col("lists")[r]["term"].alias("term"), F.col("lists")[r]["off"].alias("off")), "dc-nth") for r in (0, 1)]
     at = ["phrase_id", *KEY, "start", "n"]
     # the rarest term's postings, less its offset
     starts = index.join(nth[0], "term").select("phrase_id", *KEY, (F.col("pos") - F.col("off")).alias("start"), "n").where("start >= 0")
     whole = starts.where("n = 1")
     # intersected with the next rarest's; only postings of such terms are read
-    second = index.join(nth[1].select("term").distinct(), "term", "left_semi")
+    second = index.join(store(nth[1].select("term").distinct(), "dc-second"), "term", "left_semi")
     asked = starts.join(nth[1].drop("n"), "phrase_id").withColumn("pos", F.col("start") + F.col("off")).drop("off")
     starts = store(asked.join(second, [*KEY, "pos", "term"]).select(*at), "dc-starts")
     # and with those of all other terms, in the documents that are left
     several = starts.where("n > 2")
     rest = several.join(lists.select("phrase_id", F.slice("lists", F.lit(3), F.greatest(F.size("lists"), F.lit(1))).alias("lists")), "phrase_id")
     rest = rest.select(*at, F.explode("lists").alias("l")).select(*at, (F.col("start") + F.col("l.off")).alias("pos"), F.col("l.term").alias("term"))
-    near = index.join(several.select(*KEY).distinct(), KEY, "left_semi")
+    near = index.join(store(several.select(*KEY).distinct(), "dc-near"), KEY, "left_semi")
     full = rest.join(near, [*KEY, "pos", "term"]).groupBy(*at).agg(F.count_distinct("pos").alias("found")).where(F.col("found") == F.col("n") - 2)
     return whole.unionByName(starts.where("n = 2")).unionByName(full.drop("found")).select(*at).distinct()
 
