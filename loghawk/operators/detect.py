@@ -26,7 +26,8 @@ def threshold(df: DataFrame, col: str = "reconstruction_error", method: str = "s
 
     ``std``: mean + 3 x population std (one aggregate).
     ``percentile``: the 100(1-c) percentile with linear interpolation; exact
-    by distributed selection (``exact=True``) or ``percentile_approx``.
+    by a sketch and a count between its bounds (``exact=True``), or the sketch
+    alone, within 1 / ``accuracy`` of the rows.
     """
     spark = df.sparkSession
     if method == "std":
@@ -99,6 +100,17 @@ def select_feedback(df: DataFrame, feedback: DataFrame, id_col: str = "log_id")
     return df.join(feedback.select(id_col, "is_true_anomaly"), id_col, "inner")
 
 
+def suppress(df: DataFrame, feedback: DataFrame, keys: list[str] = ("log_id",)) -> DataFrame:
+    """Flags without the known false positives: where the verdict on a row's
+    ``keys`` (the request, or e.g. its IP and endpoint) is false, ``is_anomaly`` becomes false and
+    ``suppressed`` true.  ``feedback``: (keys.., is_true_anomaly), one row a key; several
+    verdicts on a key suppress only if none is true."""
+    false = feedback.groupBy(*keys).agg(F.bool_or("is_true_anomaly").alias("__true")).where(~F.col("__true")).withColumn("__false", F.lit(True)).drop("__true")
+    known = F.coalesce(F.col("__false"), F.lit(False)) & F.col("is_anomaly")
+    marked = df.join(false, list(keys), "left").withColumn("suppressed", F.coalesce(known, F.lit(False))).drop("__false")
+    return marked.withColumn("is_anomaly", F.col("is_anomaly") & ~F.col("suppressed")).select(*df.columns, "suppressed")
+
+
 def feedback_metrics(feedback: DataFrame) -> DataFrame:
     """One row: true/false positives and precision = TP / judged (0 if none)."""
     tp = F.count_if(F.col("is_true_anomaly"))

@@ -203,28 +203,42 @@ def _project_udf(weights: dict[str, np.ndarray]):
 SPAN = 32.0
 
 
-def softmax_sums(rows: DataFrame, key: str, heads: int, width: int) -> DataFrame:
-    """(key, out): per key the softmax-weighted means of vectors, all heads in one array.
-
-    ``rows``: (key, weight, proj, e): each row counts ``weight`` times, with the
-    score ``e[h]`` and the vector ``proj[h * width .. (h + 1) * width - 1]`` of each head.
-    One aggregate that merges in any order: the sums of exp(e - SPAN * k) and of its
-    products with the vector, by key, head and k = floor(e / SPAN), so no maximum is
-    needed beforehand and a hot key is summed in every task.  A key's few classes
-    are then brought to its highest one's scale."""
-    e, k = F.col("e"), lambda h: F.floor(F.col("e")[h] / SPAN)
-    each = [F.struct(F.lit(h).alias("h"), k(h).alias("k"), (F.col("weight") * F.exp(e[h] - k(h) * SPAN)).alias("x"),
-                     F.slice("proj", h * width + 1, width).alias("v")) for h in range(heads)]
-    parts = rows.select(key, F.explode(F.array(*each)).alias("r")).select(key, "r.*").groupBy(key, "h", "k").agg(
-        F.sum("x").alias("s"), *[F.sum(F.col("x") * F.col("v")[j]).alias(f"n{j}") for j in range(width)])
-    parts = parts.select(key, "h", F.struct("k", "s", F.array(*[f"n{j}" for j in range(width)]).alias("n")).alias("part"))
-    merged = parts.groupBy(key, "h").agg(F.collect_list("part").alias("parts"), F.max("part.k").alias("top"))
+def softmax_parts(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys, h, v): per key and part ``h`` the softmax-weighted mean of vectors.
+
+    ``rows``: (keys, h, weight, e, v): each row counts ``weight`` times, with the
+    score ``e`` and the vector ``v`` of at most ``width`` numbers.  One aggregate that
+    merges in any order: the sums of exp(e - SPAN * k) and of its products with
+    the vector, by key, part and k = floor(e / SPAN), so no maximum is needed
+    beforehand and a hot key is summed in every task.  A key's few classes are
+    then brought to its highest one's scale."""
+    k = F.floor(F.col("e") / SPAN)
+    rows = rows.select(*keys, "h", k.alias("k"), (F.col("weight") * F.exp(F.col("e") - k * SPAN)).alias("x"), "v")
+    parts = rows.groupBy(*keys, "h", "k").agg(F.sum("x").alias("s"), *[F.sum(F.col("x") * F.get("v", F.lit(j))).alias(f"n{j}") for j in range(width)])
+    # a vector shorter than ``width`` has NULLs behind it
+    n = F.filter(F.array(*[f"n{j}" for j in range(width)]), lambda v: v.isNotNull())
+    parts = parts.select(*keys, "h", F.struct("k", "s", n.alias("n")).alias("part"))
+    merged = parts.groupBy(*keys, "h").agg(F.collect_list("part").alias("parts"), F.max("part.k").alias("top"))
     scale = lambda p: F.exp((p["k"] - F.col("top")) * SPAN)
     total = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + scale(p) * p["s"])
-    zeros = F.array(*[F.lit(0.0) for _ in range(width)])
+    zeros = F.transform(F.col("parts")[0]["n"], lambda v: F.lit(0.0))
     vector = F.aggregate("parts", zeros, lambda acc, p: F.zip_with(acc, p["n"], lambda x, y: x + scale(p) * y))
-    mean = merged.select(key, "h", total.alias("total"), vector.alias("sum")).select(key, F.struct("h", F.transform("sum", lambda v: v / F.col("total")).alias("v")).alias("r"))
-    return mean.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["v"])).alias("out"))
+    mean = merged.select(*keys, "h", total.alias("total"), vector.alias("sum"))
+    return mean.select(*keys, "h", F.transform("sum", lambda v: v / F.col("total")).alias("v"))
+
+
+def joined_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, out): the parts' vectors as one array, by part."""
+    return parts.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("h", "v"))), lambda r: r["v"])).alias("out"))
+
+
+def softmax_sums(rows: DataFrame, key: str, heads: int, width: int) -> DataFrame:
+    """(key, out): ``softmax_parts`` of all heads in one array.  ``rows``: (key, weight,
+    proj, e) with the score ``e[h]`` and the vector ``proj[h * width .. (h + 1) * width - 1]``
+    of each head."""
+    each = [F.struct(F.lit(h).alias("h"), F.col("e")[h].alias("e"), F.slice("proj", h * width + 1, width).alias("v")) for h in range(heads)]
+    rows = rows.select(key, "weight", F.explode(F.array(*each)).alias("r")).select(key, "weight", "r.*")
+    return joined_parts(softmax_parts(rows, [key], width), [key])
 
 
 def elu(v):
@@ -285,14 +299,13 @@ def convolve(nodes: DataFrame, edges: DataFrame, weight: np.ndarray, bias: np.nd
 def batch_norm(nodes: DataFrame, features: str = "features", eps: float = 1e-5) -> DataFrame:
     """Per position: (x - mean) / sqrt(var + eps) with population statistics
     over all nodes (training-mode normalisation, unit scale, zero shift);
-    one aggregate whose one-row result is applied by scalar subqueries."""
+    one aggregate whose one-row result (two arrays) is applied by scalar subqueries."""
     d = _dim(nodes, features)
-    stats = nodes.agg(*[F.avg(F.col(features)[i]).alias(f"m{i}") for i in range(d)],
-                      *[F.var_pop(F.col(features)[i]).alias(f"v{i}") for i in range(d)])
-    m = [stats.select(f"m{i}").scalar() for i in range(d)]
-    v = [stats.select(f"v{i}").scalar() for i in range(d)]
-    return nodes.withColumn(features, F.array(*[(F.col(features)[i] - m[i]) / F.sqrt(v[i] + F.lit(eps))
-                                                for i in range(d)]))
+    stats = nodes.agg(F.array(*[F.avg(F.col(features)[i]) for i in range(d)]).alias("m"), F.array(*[F.var_pop(F.col(features)[i]) for i in range(d)]).alias("v"))
+    m, v = stats.select("m").scalar(), stats.select("v").scalar()
+    centred = F.zip_with(features, "__m", lambda x, y: x - y)
+    scaled = F.zip_with(centred, "__v", lambda x, y: x / F.sqrt(y + F.lit(eps)))
+    return nodes.withColumns({"__m": m, "__v": v}).withColumn(features, scaled).drop("__m", "__v")
 
 
 def attention_stack(nodes: DataFrame, edges: DataFrame, layers: list[dict[str, np.ndarray]],

@@ -120,4 +120,4 @@ def q_elu_head(spark, sf):
 def q_search(spark, sf):
     """20 trials (the reference's library entry point uses 20)."""
     train, valid = train_test(_embeddings(spark, sf), 0.8, 42, "log_id")
-    return CL.search(train.cache(), valid.cache(), n_trials=20, max_iter=50)
+    return CL.search(cut_lineage(train, "search-train"), cut_lineage(valid, "search-valid"), n_trials=20, max_iter=50)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from loghawk.operators import features as FE
 from loghawk.operators import graph as GR
 from loghawk.operators import graph_model as GM
+from loghawk.operators import graph_search as GS
+from loghawk.operators.scaling import split_cut
 from loghawk.plans.preprocess import ZSCORE_FEATURES, zscore_scored
 from loghawk.plans.registry import (SQL_FEATURE_EXPRS, SQL_FEATURES_CTE, finish, register, sql_finish,
                                     sql_zscore_ctes, with_log)
@@ -350,3 +352,11 @@ def q_graph_classifier_predictions(spark, sf):
     nodes, edges, graphs, model = _day_model(spark, sf)
     out = GM.predict_graphs(nodes, edges, model).join(graphs.select("graph_id", "label"), "graph_id")
     return finish(out.select("graph_id", "label", "prediction", F.col("probabilities")[0].alias("q0"), F.col("probabilities")[1].alias("q1")))
+
+
+@register("graph_model_search")
+def q_graph_search(spark, sf):
+    """20 trials over all nine parameters on the graphs of an IP's day, in one pass; a fifth is held out (CL8)."""
+    nodes, edges, graphs = _day_graphs(spark, sf)
+    held = F.substring(F.md5(F.col("graph_id").cast("string")), 1, 8) < split_cut(0.2)
+    return GS.search_graph_model(nodes, edges, graphs, held, n_trials=20)[0]

@@ -12,8 +12,8 @@ from loghawk.operators import detect as DT
 from loghawk.plans.preprocess import zscore_scored
 from loghawk.plans.catalog_log import ZS
 from loghawk.plans.registry import SQL_FEATURES_CTE, finish, register, sql_finish, with_log
-from loghawk.session import scratch_path
-from loghawk.sources.logs import RAW_LOG_SCHEMA, RFC_4180, read_logs, write_feedback, write_logs, write_report
+from loghawk.session import cut_lineage, scratch_path
+from loghawk.sources.logs import RAW_LOG_SCHEMA, RFC_4180, read_feedback, read_logs, write_feedback, write_logs, write_report
 from loghawk.sources.tables import api_log
 
 
@@ -104,3 +104,17 @@ def q_feedback(spark, sf):
     path = scratch_path(spark, f"feedback-{uuid.uuid4().hex[:8]}")
     write_feedback(fb, path)
     return finish(DT.feedback_metrics(spark.read.parquet(path)))
+
+
+@register("io_feedback_repeated", with_log(
+    SQL_FEATURES_CTE + ZS + " SELECT log_id, CASE WHEN log_id % 3 = 0 THEN status_code < 400 ELSE status_code >= 400 END AS is_true_anomaly FROM scored WHERE is_anomaly"))
+def q_feedback_repeated(spark, sf):
+    """Two batches of verdicts, each written again as by a retry; the second changes a
+    third of the ids. The last verdict of each id counts, once."""
+    scored = zscore_scored(api_log(spark, sf))
+    first = cut_lineage(scored.where(F.col("is_anomaly")).select("log_id", (F.col("status_code") >= 400).alias("is_true_anomaly")), "verdicts")
+    second = first.where(F.col("log_id") % 3 == 0).withColumn("is_true_anomaly", ~F.col("is_true_anomaly"))
+    path = scratch_path(spark, f"feedback-{uuid.uuid4().hex[:8]}")
+    for batch_id, rows in ((0, first), (1, second), (0, first), (1, second)):
+        write_feedback(rows, path, batch_id=batch_id)
+    return read_feedback(spark, path)

@@ -16,6 +16,7 @@ from loghawk.plans.preprocess import ZSCORE_FEATURES, derive_features, zscore_sc
 from loghawk.plans.registry import (IPV4, SQL_BUCKET5, SQL_FEATURE_EXPRS, SQL_FEATURES_CTE, finish, register,
                                     sql_finish, sql_zscore_ctes, with_log)
 from loghawk.functions.columns import ZERO_SCALE
+from loghawk.session import cut_lineage
 from loghawk.sources.tables import API_LOG_COLUMNS, api_log
 
 ZS = sql_zscore_ctes(ZSCORE_FEATURES)
@@ -57,6 +58,19 @@ def q_profile_columns(spark, sf):
     return finish(PR.profile_columns(_log(spark, sf)))
 
 
+@register("profile_columns_sketched", with_log(
+    " SELECT \"column\", data_type, nulls, true AS within_three_errors FROM (" + _PROFILE_SQL + ") AS p"))
+def q_profile_sketched(spark, sf):
+    """Sketches of each day, stored and united: the distinct counts are within three
+    standard errors (1 %) of the exact ones."""
+    log = _log(spark, sf)
+    stored = cut_lineage(PR.column_sketches(log, [F.to_date("request_time").alias("day")]), "column-sketches")
+    exact = PR.profile_columns(log).select("column", F.col("distinct_values").alias("exact"))
+    both = PR.profile_from_sketches(log, stored).join(exact, "column")
+    close = F.abs(F.col("distinct_values") - F.col("exact")) <= 0.03 * F.col("exact")
+    return both.select("column", "data_type", "nulls", close.alias("within_three_errors"))
+
+
 @register("profile_missing_pct", sql_finish(with_log(
     " SELECT (" + " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in API_LOG_COLUMNS)
     + f") * 100.0 / (count(*) * {len(API_LOG_COLUMNS)}) AS missing_pct FROM api_log"), doubles=["missing_pct"]))
@@ -538,6 +552,18 @@ def q_th_pct(spark, sf):
     return finish(DT.threshold(_scored(spark, sf), method="percentile", contamination=0.01))
 
 
+@register("threshold_percentile_approx", with_log(" SELECT count(*) AS total, true AS within_error FROM api_log"))
+def q_th_approx(spark, sf):
+    """The percentile from the sketch alone: its rank is within 1 / 20,000 of the rows of the wanted one."""
+    scored = cut_lineage(_scored(spark, sf), "scored")
+    t = DT.threshold(scored, method="percentile", contamination=0.01, exact=False, accuracy=20_000).select("threshold").scalar()
+    e = F.col("reconstruction_error")
+    n = F.count(F.lit(1))
+    low, high = F.count_if(e < t), F.count_if(e <= t)
+    slack = n / 20_000 + 1
+    return scored.agg(n.alias("total"), ((low <= 0.99 * n + slack) & (high >= 0.99 * n - slack)).alias("within_error"))
+
+
 @register("detect_flag_score", sql_finish(with_log(
     SQL_FEATURES_CTE + ZS + " SELECT log_id, reconstruction_error, is_anomaly, anomaly_score FROM scored"),
     doubles=["reconstruction_error", "anomaly_score"], others=["log_id", "is_anomaly"]))
@@ -588,7 +614,7 @@ _FB_SQL = ", fb AS (SELECT log_id, status_code >= 400 AS is_true_anomaly FROM sc
     SQL_FEATURES_CTE + ZS + _FB_SQL + " SELECT s.log_id, s.anomaly_score, fb.is_true_anomaly FROM scored s"
     " JOIN fb ON s.log_id = fb.log_id"), doubles=["anomaly_score"], others=["log_id", "is_true_anomaly"]))
 def q_fb_select(spark, sf):
-    scored = _scored(spark, sf)
+    scored = cut_lineage(_scored(spark, sf), "scored")
     return finish(DT.select_feedback(scored, _feedback(scored)).select("log_id", "anomaly_score", "is_true_anomaly"))
 
 
@@ -608,7 +634,7 @@ def q_fb_metrics(spark, sf):
     " count(*) FILTER (WHERE reconstruction_error > 1.5) * 100.0 / count(*) AS pct_new FROM z, t"),
     doubles=["pct_old", "pct_new"], others=["total", "anomalies_old", "anomalies_new"]))
 def q_rethreshold(spark, sf):
-    scored = _scored(spark, sf)
+    scored = cut_lineage(_scored(spark, sf).select("log_id", "reconstruction_error"), "scored")
     old = DT.threshold(scored, method="std").first()[0]
     return finish(DT.rethreshold_summary(scored, old, 1.5))
 
@@ -619,3 +645,15 @@ def q_rethreshold(spark, sf):
     doubles=["anomaly_score_new"], others=["log_id", "is_anomaly_new"]))
 def q_rethreshold_rows(spark, sf):
     return finish(DT.rethreshold(_scored(spark, sf), 1.5).select("log_id", "is_anomaly_new", "anomaly_score_new"))
+
+
+@register("review_suppress_false_positives", sql_finish(with_log(
+    SQL_FEATURES_CTE + ZS + ", fb AS (SELECT endpoint, ip_address, bool_or(s.status_code >= 400) AS ok FROM scored s JOIN api_log l USING (log_id, ip_address) WHERE is_anomaly AND log_id % 2 = 0 GROUP BY ALL)"
+    " SELECT log_id, is_anomaly AND COALESCE(ok, true) AS is_anomaly, is_anomaly AND NOT COALESCE(ok, true) AS suppressed"
+    " FROM scored JOIN api_log l USING (log_id, ip_address) LEFT JOIN fb USING (endpoint, ip_address)"), others=["log_id", "is_anomaly", "suppressed"]))
+def q_suppress(spark, sf):
+    """Flags on an IP and endpoint whose reviewed flags were all false alarms are taken back."""
+    log = _log(spark, sf).select("log_id", "endpoint")
+    scored = cut_lineage(_scored(spark, sf).select("log_id", "ip_address", "status_code", "is_anomaly").join(log, "log_id"), "scored")
+    seen = scored.where(F.col("is_anomaly") & (F.col("log_id") % 2 == 0)).select("ip_address", "endpoint", (F.col("status_code") >= 400).alias("is_true_anomaly"))
+    return DT.suppress(scored, seen, ["ip_address", "endpoint"]).select("log_id", "is_anomaly", "suppressed")

@@ -1,23 +1,23 @@
 """Global order without a single-partition window.
 
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row into one
-task.  ``with_prefix_sums`` instead range-partitions on the sort key (Spark
-samples the key to cut balanced ranges, so one hot group is split across
-tasks), sums inside each sorted partition with an Arrow batch function,
-writes that to the checkpoint folder (freezing partition ids and cutting
-the lineage), and adds each partition's offset from a table with one row
-per partition.
+task.  Here each row gets the number of its range: bounds are taken from a
+sample of the sort keys (so a hot group is cut into several ranges), and a
+binary search among them is a column.  A window by range and order then does the
+sum or the shift natively, its result is written to the checkpoint folder, and
+what crosses the ranges comes from a table with one row per range.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loghawk.session import cut_lineage
 
+#: Sampled keys for each range.
+SAMPLE = 40
+
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -25,44 +25,48 @@ def _num_partitions(df: DataFrame, n: int | None) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def with_range(df: DataFrame, order_cols: list[str], ranges: int, name: str = "__range") -> DataFrame:
+    """Add the row's range, 0 .. ``ranges`` - 1, ascending with the order
+    (NULLs first).  The sample is the keys of least hash, ``SAMPLE`` a range."""
+    key = F.struct(*order_cols)
+    some = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(SAMPLE * ranges)
+    found = some.agg(F.array_sort(F.collect_list("k")).alias("k"))
+    last = F.size("k") - 1
+    cut = F.transform(F.sequence(F.lit(1), F.lit(max(ranges - 1, 1))), lambda i: F.get("k", F.floor(i * last / ranges).cast("int")))
+    bounds = found.select(F.when(last >= 0, cut).alias("b")).scalar()
+    steps, step = [], 1
+    while step < ranges:
+        steps.insert(0, step)
+        step *= 2
+    if not steps:
+        return df.withColumn(name, F.lit(0))
+    # binary search: how many bounds are at or below the key
+    n = ranges - 1
+    at = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                     lambda lo, s: F.when((lo + s <= n) & (F.get("__bounds", lo + s - 1) <= F.col("__key")), lo + s).otherwise(lo))
+    both = df.withColumns({"__bounds": bounds, "__key": key})
+    return both.withColumn(name, F.coalesce(at, F.lit(0))).drop("__bounds", "__key")
+
+
 def with_prefix_sums(df: DataFrame, order_cols: list[str], sum_cols: dict[str, str],
                      num_partitions: int | None = None) -> DataFrame:
-    """Add inclusive running sums in global ``order_cols`` order.
+    """Add inclusive running sums (doubles) in global ``order_cols`` order.
 
     ``sum_cols`` maps output name -> input numeric column (use a literal-1
     column for a row index).  The order must be total (add a unique id).
     """
     n = _num_partitions(df, num_partitions)
     outs = list(sum_cols)
-    srcs = [sum_cols[o] for o in outs]
-    sorted_df = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    schema = T.StructType(sorted_df.schema.fields
-                          + [T.StructField("__pid", T.IntegerType())]
-                          + [T.StructField(o, T.DoubleType()) for o in outs])
-
-    def local_cumsum(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry = np.zeros(len(srcs))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.copy()
-            pdf["__pid"] = pid
-            for j, (o, s) in enumerate(zip(outs, srcs)):
-                cs = pdf[s].astype("float64").fillna(0.0).cumsum().to_numpy() + carry[j]
-                pdf[o] = cs
-                carry[j] = cs[-1]
-            yield pdf
-
-    local = cut_lineage(sorted_df.mapInPandas(local_cumsum, schema))
-    totals = local.groupBy("__pid").agg(*[F.sum(F.coalesce(F.col(s).cast("double"), F.lit(0.0))).alias(f"__t{j}")
-                                          for j, s in enumerate(srcs)])
-    # one row per partition: a window over it is bounded by the partition count
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t{j}").over(w), F.lit(0.0)).alias(f"__o{j}")
-                                       for j in range(len(outs))])
-    joined = local.join(F.broadcast(offsets), "__pid")
+    value = {o: F.coalesce(F.col(sum_cols[o]).cast("double"), F.lit(0.0)) for o in outs}
+    upto = Window.partitionBy("__range").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    local = with_range(df, order_cols, n).withColumns({o: F.sum(value[o]).over(upto) for o in outs})
+    local = cut_lineage(local, "prefix-sums")
+    totals = local.groupBy("__range").agg(*[F.sum(value[o]).alias(f"__t{j}") for j, o in enumerate(outs)])
+    # one row per range: a window over it is bounded by the number of ranges
+    w = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__range", *[F.coalesce(F.sum(f"__t{j}").over(w), F.lit(0.0)).alias(f"__o{j}")
+                                         for j in range(len(outs))])
+    joined = local.join(F.broadcast(offsets), "__range")
     return joined.select(*df.columns, *[(F.col(o) + F.col(f"__o{j}")).alias(o) for j, o in enumerate(outs)])
 
 
@@ -79,56 +83,19 @@ def with_successor(df: DataFrame, order_cols: list[str], carry_cols: list[str],
     """Add ``{prefix}{c}``: the values of the following row in global
     ``order_cols`` order (NULL after the last row); the order must be total.
 
-    Rows are range-partitioned and sorted; inside a partition the successor
-    is a shift over the Arrow batches.  Only the last row of each partition
-    needs the next non-empty partition's first row, which comes from a table
-    with one row per partition (broadcast) -- no self-join of the data."""
+    Inside a range the successor is a ``lead``.  Only the last row of each range
+    needs the next non-empty range's first row, which comes from a table with
+    one row per range (broadcast) -- no self-join of the data."""
     n = _num_partitions(df, num_partitions)
     carry = list(dict.fromkeys(carry_cols))
     cols = list(dict.fromkeys(list(order_cols) + carry))
-    sorted_df = df.select(*cols).repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    types = {f.name: f.dataType for f in sorted_df.schema.fields}
-    schema = T.StructType(sorted_df.schema.fields
-                          + [T.StructField("__pid", T.IntegerType()), T.StructField("__first", T.BooleanType()),
-                             T.StructField("__last", T.BooleanType())]
-                          + [T.StructField(prefix + c, types[c]) for c in carry])
-    int_cols = {c for c in carry if isinstance(types[c], (T.ByteType, T.ShortType, T.IntegerType, T.LongType))}
-
-    def shift(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        held = None                       # last row so far: its successor is in the next batch
-        first = True
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.reset_index(drop=True)
-            for c in int_cols:
-                pdf[c] = pdf[c].astype("Int64")
-            if held is not None:
-                for c in carry:
-                    held[prefix + c] = pdf[c].iloc[0]
-                yield held
-            for c in carry:
-                pdf[prefix + c] = pdf[c].shift(-1)
-            pdf["__pid"] = pid
-            pdf["__first"] = False
-            pdf["__last"] = False
-            if first:
-                pdf.loc[0, "__first"] = True
-                first = False
-            held = pdf.iloc[[-1]].copy()
-            if len(pdf) > 1:
-                yield pdf.iloc[:-1]
-        if held is not None:
-            held["__last"] = True
-            yield held
-
-    local = cut_lineage(sorted_df.mapInPandas(shift, schema))
-    firsts = local.where("__first").select("__pid", *[F.col(c).alias(f"__f_{c}") for c in carry])
-    w = Window.orderBy("__pid")           # one row per partition
-    following = firsts.select("__pid", *[F.lead(f"__f_{c}").over(w).alias(f"__f_{c}") for c in carry])
-    joined = local.join(F.broadcast(following), "__pid", "left")
+    order = Window.partitionBy("__range").orderBy(*order_cols)
+    local = with_range(df.select(*cols), order_cols, n)
+    following = F.lead(F.struct(*carry)).over(order)
+    local = cut_lineage(local.select("*", following.alias("__next")), "successors")
+    firsts = local.groupBy("__range").agg(F.min(F.struct(*order_cols, F.struct(*carry).alias("__carry"))).alias("f"))
+    w = Window.orderBy("__range")           # one row per range
+    firsts = firsts.select("__range", F.lead("f.__carry").over(w).alias("__first"))
+    joined = local.join(F.broadcast(firsts), "__range", "left")
     return joined.select(*df.columns if set(df.columns) <= set(cols) else cols,
-                         *[F.when(F.col("__last"), F.col(f"__f_{c}")).otherwise(F.col(prefix + c)).alias(prefix + c)
-                           for c in carry])
+                         *[F.coalesce("__next", "__first")[c].alias(prefix + c) for c in carry])

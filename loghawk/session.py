@@ -64,14 +64,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "cut", row_group_bytes: int | None = None) -> DataFrame:
     """Cut the lineage with a written Parquet table in the shared checkpoint
     folder (survives executor loss; never a local checkpoint).  Unlike an
     eager ``checkpoint()`` of an unpersisted plan, the plan runs once, and
-    the read-back table prunes columns like any Parquet source."""
+    the read-back table prunes columns like any Parquet source.
+    ``row_group_bytes``: what a task holds while it writes, for very wide rows."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    options = {"parquet.block.size": str(row_group_bytes)} if row_group_bytes else {}
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)     # known schema: no footer-reading job
 
 

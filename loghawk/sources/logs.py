@@ -71,6 +71,21 @@ def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**RFC_4180).csv(path)
 
 
-def write_feedback(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append reviewer verdicts ``(log_id, is_true_anomaly)``."""
-    df.select("log_id", "is_true_anomaly").write.mode(mode).parquet(path)
+def write_feedback(df: DataFrame, path: str, mode: str = "append", batch_id: int | None = None) -> None:
+    """Write reviewer verdicts ``(log_id, is_true_anomaly)``.  With ``batch_id`` (0, 1,
+    .. in the order of the reviews) a batch is a folder of its own: writing it again
+    puts the same rows there, so a retry changes nothing; see ``read_feedback``.
+    Without one, rows are appended."""
+    rows = df.select("log_id", "is_true_anomaly")
+    if batch_id is None:
+        rows.write.mode(mode).parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
+
+
+def read_feedback(spark: SparkSession, path: str) -> DataFrame:
+    """``(log_id, is_true_anomaly)``: the last batch's verdict of each id; of several
+    in that batch, "true" wins.  Verdicts without an id are left out."""
+    schema = "log_id long, is_true_anomaly boolean, batch_id long"
+    verdicts = spark.read.schema(schema).parquet(path).where(F.col("log_id").isNotNull() & F.col("is_true_anomaly").isNotNull())
+    return verdicts.groupBy("log_id").agg(F.max(F.struct("batch_id", "is_true_anomaly"))["is_true_anomaly"].alias("is_true_anomaly"))
