@@ -73,12 +73,28 @@ def fixed_detector():
     return model, FeatureSpec(list(_FIXED_SCALER), {}, {"endpoint": []})
 
 
-def fixed_sql(columns: str) -> str:
+_WINDOW_SCALER = {"requests_per_ip_5min": (1.0, 0.5), "response_ms": (50.0, 30.0)}
+
+
+def fixed_window_detector():
+    """The same network over the count of an IP's requests in five minutes and the response time."""
+    import numpy as np
+    model = AE.AutoencoderModel(2, (2,), 0.0, "relu", np.array(_FIXED), list(_WINDOW_SCALER), scaler=dict(_WINDOW_SCALER), threshold=_FIXED_THRESHOLD)
+    return model, FeatureSpec(list(_WINDOW_SCALER), {}, {"endpoint": []}, mode="window")
+
+
+def fixed_window_sql(columns: str) -> str:
+    counted = ("SELECT *, CASE WHEN ip_address IS NOT NULL THEN count(*) OVER (PARTITION BY ip_address, time_bucket(INTERVAL '5 minutes', request_time)) END"
+               " AS requests_per_ip_5min FROM api_log")
+    return fixed_sql(columns, _WINDOW_SCALER, f", counted AS ({counted})", "counted")
+
+
+def fixed_sql(columns: str, scaler: dict = _FIXED_SCALER, ctes: str = "", source: str = "api_log") -> str:
     w = [f"({x!r})" for x in _FIXED]
-    scaled = ", ".join(f"(COALESCE(CAST({c} AS DOUBLE), 0) - {m!r}) / {s!r} AS x{i}" for i, (c, (m, s)) in enumerate(_FIXED_SCALER.items()))
+    scaled = ", ".join(f"(COALESCE(CAST({c} AS DOUBLE), 0) - {m!r}) / {s!r} AS x{i}" for i, (c, (m, s)) in enumerate(scaler.items()))
     layer = lambda k, a, b: [f"greatest(0.0, {w[k]} * {a} + {w[k + 1]} * {b} + {w[k + 4]})", f"greatest(0.0, {w[k + 2]} * {a} + {w[k + 3]} * {b} + {w[k + 5]})"]
     h, y = layer(0, "x0", "x1"), layer(6, "h0", "h1")
-    return with_log(f", x AS (SELECT log_id, ip_address, {scaled} FROM api_log), h AS (SELECT *, {h[0]} AS h0, {h[1]} AS h1 FROM x)"
+    return with_log(f"{ctes}, x AS (SELECT log_id, ip_address, {scaled} FROM {source}), h AS (SELECT *, {h[0]} AS h0, {h[1]} AS h1 FROM x)"
                     f", y AS (SELECT *, ((x0 - {y[0]}) ^ 2 + (x1 - {y[1]}) ^ 2) / 2 AS reconstruction_error FROM h)"
                     f", r AS (SELECT *, reconstruction_error > {_FIXED_THRESHOLD!r} AS is_anomaly, reconstruction_error / {_FIXED_THRESHOLD!r} AS anomaly_score FROM y)"
                     f" SELECT {columns} FROM r")

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loghawk.operators import aggregates as AG
-from loghawk.plans.catalog_model import fixed_detector, fixed_sql
+from loghawk.plans.catalog_model import fixed_detector, fixed_sql, fixed_window_detector, fixed_window_sql
 from loghawk.plans.registry import finish, register, sql_finish
 from loghawk.session import cut_lineage, scratch_path
 from loghawk.sources.tables import api_log, read_table
@@ -150,3 +150,14 @@ def q_stream_scoring_fixed(spark, sf):
     for base, stream in _parts(spark, sf, "fixed", close=False):
         path = ST.score_batches(stream, model, spec, counts, base=base)
     return finish(spark.read.parquet(path).drop("batch_id"))
+
+
+@register("stream_scoring_window_counts", sql_finish(fixed_window_sql("log_id, ip_address, reconstruction_error, is_anomaly, anomaly_score"),
+                                                     doubles=["reconstruction_error", "anomaly_score"], others=["log_id", "ip_address", "is_anomaly"]))
+def q_stream_scoring_windows(spark, sf):
+    """Counts kept by the stream: windowed counts joined to the requests under the
+    watermark, then a network with given weights; row for row the batch score."""
+    model, spec = fixed_window_detector()
+    for base, stream in _parts(spark, sf, "windowed"):
+        path = ST.score_with_window_counts(stream, model, spec, base=base)
+    return finish(spark.read.parquet(path).drop("batch_id"))

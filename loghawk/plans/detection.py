@@ -22,11 +22,11 @@ from loghawk.session import cut_lineage
 
 
 def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | None = None, id_col: str = "log_id",
-            carry: str | None = None, stored_counts=None) -> tuple[DataFrame, FeatureSpec, Scaler]:
-    """Scaled feature vectors.  With a ``spec``, a feature that the log cannot
+            carry: str | None = None, stored_counts=None, mode: str = "batch") -> tuple[DataFrame, FeatureSpec, Scaler]:
+    """Scaled feature vectors (``mode``: see ``derive_features``; a ``spec`` has its own).  With a ``spec``, a feature that the log cannot
     give is an error; the one-hots of endpoints that don't occur are zeros.
     ``scale_onehot=False`` in the spec leaves the one-hots as they are."""
-    feats, new_spec = derive_features(log, mode="batch", endpoint_vocab=spec.endpoint_vocab if spec else None, id_col=id_col,
+    feats, new_spec = derive_features(log, mode=spec.mode if spec else mode, endpoint_vocab=spec.endpoint_vocab if spec else None, id_col=id_col,
                                       names=spec.names if spec else None, carry=carry, stored_counts=stored_counts)
     spec = spec or new_spec
     missing = [n for n in spec.names if n not in feats.columns]
@@ -39,10 +39,10 @@ def prepare(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scaler | No
 
 def train_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: float = 1e-3, dropout: float = 0.2,
                    seed: int = 42, train_fraction: float = 0.8, final: str = "relu", state_path: str | None = None,
-                   patience: int | None = None, batches: int = 1):
+                   patience: int | None = None, batches: int = 1, mode: str = "batch"):
     """Fit the detector; features, vocabulary, scaler and network come from the
-    whole log.  ``patience`` stops early, ``batches`` are the steps of an epoch."""
-    vec, spec, scaler = prepare(log)
+    whole log (``mode='window'``: for ``streaming.streams.score_with_window_counts``).  ``patience`` stops early, ``batches`` are the steps of an epoch."""
+    vec, spec, scaler = prepare(log, mode=mode)
     tagged = split(vec, train_fraction, seed)
     model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed, final=final,
                                feature_names=spec.names, state_path=state_path, patience=patience, batches=batches)

@@ -21,6 +21,10 @@ from loghawk.operators.schema import detect_roles, first_role
 from loghawk.session import cut_lineage
 
 
+#: Window counts that come with the rows (from a stream).
+COUNTED = "__counted"
+
+
 @dataclass
 class FeatureSpec:
     """The feature contract kept with a model: names in order, the one-hot
@@ -55,17 +59,18 @@ def derive_features(df: DataFrame, mode: str = "batch", role_mode: str = "typed"
     ``mode='batch'``: time parts, IP octets, agent flags, endpoint one-hot,
     status classes, per-IP and per-IP-per-window counts; drop rule 'source'.
     ``mode='wizard'``: the same stages without the window count; drop rule
-    'keyword'.  Pass ``endpoint_vocab`` from a fitted spec so new data gets
+    'keyword'.  ``mode='window'``: as 'batch' without the per-IP total of the whole
+    log, which a stream can't know; a ``COUNTED`` column, if there, is the window count.  Pass ``endpoint_vocab`` from a fitted spec so new data gets
     the same one-hot columns, and its ``names`` so that the octets go by the
     contract and not by what the new data holds.  ``carry`` names a struct
     column that takes the whole log row along.  ``stored_counts``: see
     ``with_request_counts``.  ``dense_onehot=False`` leaves the endpoint one-hots out
     (their sparse form is ``operators.sparse``); nothing is collected then.
     """
-    rule = rule or ("source" if mode == "batch" else "keyword")
+    rule = rule or ("keyword" if mode == "wizard" else "source")
     roles = detect_roles(df.schema, role_mode)
     vocab_out: dict[str, list[str]] = {}
-    out = df.withColumn(carry, F.struct(*[qcol(c) for c in df.columns])) if carry else df
+    out = df.withColumn(carry, F.struct(*[qcol(c) for c in df.columns if c != COUNTED])) if carry else df
     keep = (id_col, carry) if carry else (id_col,)
     for c in roles["time"]:
         out = FE.time_features(FE.parse_time(out, c), c)
@@ -86,7 +91,11 @@ def derive_features(df: DataFrame, mode: str = "batch", role_mode: str = "typed"
         if FE.is_numeric(out.schema[c].dataType):
             out = FE.status_class(out, c)
     ip, ts = first_role(roles, "ip"), first_role(roles, "time")
-    if ip and ts and mode == "batch":
+    if mode == "window" and COUNTED in out.columns:
+        out = out.withColumnRenamed(COUNTED, "requests_per_ip_5min")
+    elif ip and ts and mode == "window":
+        out = AG.with_requests_per_ip_window(out, ip, ts, bucket_minutes)
+    elif ip and ts and mode == "batch":
         out = AG.with_request_counts(out, ip, ts, bucket_minutes, stored=stored_counts)
     elif ip:
         out = AG.with_requests_per_ip(out, ip)

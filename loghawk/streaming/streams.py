@@ -147,3 +147,44 @@ def score_batches(df: DataFrame, model, spec, counts: tuple[DataFrame, DataFrame
         .foreachBatch(sink).start()
     q.awaitTermination()
     return out
+
+
+def with_window_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request_time", size: str = "5 minutes",
+                       delay: str = "10 minutes", out: str = "requests_in_window") -> DataFrame:
+    """Every request with its IP's count in its window, once the watermark has
+    closed the window (append mode).
+
+    Two stateful operators in a chain: the windowed count, and a join of the
+    requests with it on (IP, window).  Both drop their state behind the watermark,
+    and no stored table is read.  Requests without an IP pass by with a NULL count;
+    those without a time belong to no window and have none either."""
+    rows = df.withWatermark(ts, delay)
+    lone = rows.where(F.col(ip).isNull() | F.col(ts).isNull()).withColumn(out, F.lit(None).cast("long"))
+    rows = rows.where(F.col(ip).isNotNull() & F.col(ts).isNotNull())
+    counts = rows.groupBy(F.window(ts, size).alias("__w"), F.col(ip).alias("__ip")).agg(F.count(F.lit(1)).alias(out))
+    counts = counts.select("__ip", out, F.window_time("__w").alias("__last"))
+    # the last moment of its window is a count's event time; the bounds let both sides' state go
+    inside = (F.col(ts) <= F.col("__last")) & (F.col(ts) > F.col("__last") - F.expr(f"INTERVAL {size}"))
+    met = rows.join(counts, (F.col(ip) == F.col("__ip")) & inside)
+    return met.select(*df.columns, out).unionByName(lone)
+
+
+def score_with_window_counts(df: DataFrame, model, spec, name: str = "windowed", base: str | None = None, delay: str = "10 minutes") -> str:
+    """ST6 with counts that the stream keeps itself: a model of the 'window' contract
+    scores each request once its window has closed; row for row the batch
+    score.  Returns the output path, with a folder for each micro-batch."""
+    from loghawk.plans.detection import score_log
+    from loghawk.plans.preprocess import COUNTED
+    spark = df.sparkSession
+    base = base or scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
+    out = base + "/out"
+
+    def sink(batch: DataFrame, batch_id: int):
+        scored = score_log(batch.withColumn("request_time", F.col("request_time").cast("timestamp_ntz")), model, spec)
+        scored.select("log_id", "ip_address", "reconstruction_error", "is_anomaly", "anomaly_score").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    counted = with_window_counts(df, delay=delay, out=COUNTED)
+    with stream_settings(spark):
+        q = counted.writeStream.option("checkpointLocation", base + "/checkpoint").outputMode("append").trigger(availableNow=True).foreachBatch(sink).start()
+    q.awaitTermination()
+    return out
