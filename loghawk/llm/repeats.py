@@ -13,10 +13,12 @@ leftmost if tied; equal windows have equal anchors at the same place.  The
 windows of an anchor are one stretch of text, known by its hash.  Sorted by
 anchor and stretch, anchors that occur once drop out, and of equal stretches
 all but the first are covered as a whole; the distinct stretches of an anchor
-meet in a bucket, which builds its transform.  An anchor has at most one row
-for each stretch of ~70 bytes, so one that a third of all documents share has a
-small part of all rows.  Where it has too many distinct stretches for a task, it
-is dealt out again by the hash of each whole window.
+meet in a bucket, which builds its transform.  A passage that many documents share
+makes hot anchors: a sample names them, their rows are sorted in ``SALTS`` parts by
+document, and what is first in a part is put together by an aggregate.  (The sample
+decides only how rows are dealt, not what is found.)  Where an anchor has too
+many distinct stretches for a task, it is dealt out again by the hash of each whole
+window.
 """
 
 from __future__ import annotations
@@ -35,6 +37,9 @@ LENGTH = 100
 GRAM = 32
 #: Windows of a text that are handled at once (places take 20 bits).
 CHUNK = 1 << 20
+#: Share of the documents that names hot anchors, the share of its rows that makes an anchor hot (so
+#: there are at most 1 / HOT of them), the least rows for that, and the parts that a hot anchor is dealt to.
+SAMPLE, HOT, LEAST_HOT, SALTS = 0.02, 0.001, 20, 64
 #: Bytes of distinct stretches in a bucket, about; stretches of an anchor from which it is dealt out by window.
 BUCKET_BYTES = 2_000_000
 MOST_STRETCHES = 20_000
@@ -280,18 +285,46 @@ def _each_window(length: int):
     return run
 
 
-def covered(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, copy, a, b): bytes a..b-1 of a text are covered by strings of
-    ``length`` bytes that also start earlier.  ``texts``: (doc_id, copy, text)."""
-    place = ["doc_id", "copy", "first"]
-    found = texts.mapInArrow(_emit(length), "anchor long, stretch long, doc_id long, copy long, at long")
-    order = Window.partitionBy("anchor").orderBy("stretch", "doc_id", "copy", "at")
+def _first_places(texts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, copy, at, anchor, copies) of all stretches whose anchor occurs again: the
+    anchor is null where an equal stretch stands earlier; else ``copies`` is 2 if one
+    stands later, and 1 if not (then the anchor has other stretches)."""
+    out = "anchor long, stretch long, doc_id long, copy long, at long"
+    sampled = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(10_000)) < int(SAMPLE * 10_000))
+    counts = sampled.mapInArrow(_emit(length), out).groupBy("anchor").count()
+    counts = store(counts.where(F.col("count") >= LEAST_HOT), "rp-often")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    most = int(1 / HOT)
+    hot = store(counts.where(F.col("count") >= HOT * total).orderBy(F.desc("count"), "anchor").limit(most).select(F.col("anchor").alias("hot")), "rp-hot")
+
+    found = texts.mapInArrow(_emit(length), out).join(F.broadcast(hot), F.col("anchor") == F.col("hot"), "left")
+    found = found.withColumn("salt", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(-1)))
+    order = Window.partitionBy("anchor", "salt").orderBy("stretch", "doc_id", "copy", "at")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = found.select("*", F.lag("stretch").over(order).alias("before"), F.lead("stretch").over(order).alias("behind"),
                          (F.first("stretch").over(every) != F.last("stretch").over(every)).alias("several"))
     again = F.coalesce(F.col("before") == F.col("stretch"), F.lit(False))
-    found = found.select("doc_id", "copy", "at", F.when(~again, F.col("anchor")).alias("anchor"), F.when(F.col("behind") == F.col("stretch"), 2).otherwise(1).alias("copies"), "several", again.alias("again"))
-    found = store(found.where("again or several").drop("several", "again"), "rp-found")
+    copies = F.when(F.col("behind") == F.col("stretch"), 2).otherwise(1)
+    cool = F.col("salt") < 0
+    found = found.select("doc_id", "copy", "at", "anchor", "stretch", copies.alias("copies"), "several", again.alias("again"), cool.alias("cool"))
+    found = store(found.where("again or several or not cool"), "rp-sorted")
+    done = found.where("cool or again").select("doc_id", "copy", "at", F.when(~F.col("again"), F.col("anchor")).alias("anchor"), "copies")
+
+    # a hot anchor's firsts of each part: the earliest of all is first
+    parts = found.where("not cool and not again")
+    own = F.struct("doc_id", "copy", "at")
+    whole = store(parts.groupBy("anchor", "stretch").agg(F.min(own).alias("least"), F.sum("copies").alias("copies")), "rp-hot-stretches")
+    several = store(whole.groupBy("anchor").agg((F.min("stretch") != F.max("stretch")).alias("several")), "rp-hot-anchors")
+    met = parts.drop("copies", "several").join(whole, ["anchor", "stretch"]).join(several, "anchor").where("copies > 1 or several")
+    met = met.select("doc_id", "copy", "at", F.when(own == F.col("least"), F.col("anchor")).alias("anchor"), F.least("copies", F.lit(2)).cast("int").alias("copies"))
+    return done.union(met)
+
+
+def covered(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, copy, a, b): bytes a..b-1 of a text are covered by strings of
+    ``length`` bytes that also start earlier.  ``texts``: (doc_id, copy, text)."""
+    place = ["doc_id", "copy", "first"]
+    found = store(_first_places(texts, length), "rp-found")
     first = F.floor(F.col("at") / SHAPE)
     # all but the first place of equal stretches: covered as a whole
     whole = found.where("anchor is null").select("doc_id", "copy", first.alias("a"), (first + F.col("at") % SHAPE + length).alias("b"))
