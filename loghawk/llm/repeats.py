@@ -157,12 +157,16 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     # which end comes next: tells apart strings that have ended
     upto = np.searchsorted(ends, np.arange(n))
     short = ends[np.minimum(upto, len(ends) - 1)] - np.arange(n)
-    order = np.lexsort((np.where(short < 7, upto, 0), packed))
+    order = np.argsort(packed).astype(np.int32)     # half the bytes: most of the time goes into gathers
+    # strings that end within the seven, told apart by their end; no other has their characters
+    at = np.flatnonzero(short[order] < 7)
+    own = order[at]
+    order[at] = own[np.lexsort((upto[own], packed[own]))]
     key = packed[order]
     tied = (key[1:] == key[:-1]) & ((short[order][1:] >= 7) | (upto[order][1:] == upto[order][:-1]))
-    rank = np.empty(n, np.int64)
-    group = np.cumsum(np.append(False, ~tied))
-    starts = np.flatnonzero(np.append(True, ~tied))
+    rank = np.empty(n, np.int32)
+    group = np.cumsum(np.append(False, ~tied), dtype=np.int32)
+    starts = np.flatnonzero(np.append(True, ~tied)).astype(np.int32)
     rank[order] = starts[group]
     size = 7
     while tied.any():
@@ -171,12 +175,12 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(member)
         own = order[at]
         behind = np.minimum(own + size, n - 1)
-        sub = np.lexsort((rank[behind], rank[own]))
-        own = own[sub]
+        key = rank[own].astype(np.int64) * n + rank[behind]
+        turn = np.argsort(key)
+        own, key = own[turn], key[turn]
         order[at] = own
-        r, b = rank[own], rank[np.minimum(own + size, n - 1)]
-        new = np.append(True, (r[1:] != r[:-1]) | (b[1:] != b[:-1]))
-        first = at[np.flatnonzero(new)][np.cumsum(new) - 1]
+        new = np.append(True, key[1:] != key[:-1])
+        first = at[np.flatnonzero(new)].astype(np.int32)[np.cumsum(new) - 1]
         rank[own] = first
         tied = np.zeros(n - 1, bool)
         same = ~new[1:] & (at[1:] == at[:-1] + 1)
@@ -197,31 +201,33 @@ def expand(text: np.ndarray, seeds: np.ndarray, weight: np.ndarray, length: int)
     intervals of total weight one are dropped.
     """
     order = suffix_order(text)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     bwt = text[order - 1]
-    lf = np.empty(len(order), np.int64)
+    lf = np.empty(len(order), np.int32)
     by_char = np.argsort(bwt, kind="stable")
-    lf[by_char] = np.arange(len(order))
+    lf[by_char] = np.arange(len(order), dtype=np.int32)
     # the map is wrong for steps over a string's begin, which are never taken: a window lies within its string
     rank = place[seeds]
-    start = np.argsort(rank, kind="stable")
-    rank, who = rank[start], start
-    own = weight[who]
-    interval = np.zeros(len(rank), np.int64)
-    for _ in range(length):
+    who = np.argsort(rank, kind="stable").astype(np.int32)
+    rank = rank[who]
+    interval = np.zeros(len(rank), np.int32)
+    for step in range(length):
         if not len(rank):
             break
         char = bwt[rank]
         turn = np.argsort(char, kind="stable")
-        rank, who, own, interval, char = lf[rank[turn]], who[turn], own[turn], interval[turn], char[turn]
+        rank, who, interval, char = lf[rank[turn]], who[turn], interval[turn], char[turn]
         new = np.append(True, (interval[1:] != interval[:-1]) | (char[1:] != char[:-1]))
-        interval = np.cumsum(new) - 1
         begins = np.flatnonzero(new)
-        total = np.add.reduceat(own, begins)
-        live = (total > 1)[interval]
-        if not live.all():
-            rank, who, own, interval = rank[live], who[live], own[live], interval[live]
+        # intervals of one member that occurs once; they stay such, and go when they are many
+        lone = begins[np.diff(np.append(begins, len(rank))) == 1]
+        lone = lone[weight[who[lone]] == 1]
+        interval = np.cumsum(new, dtype=np.int32) - 1
+        if len(lone) > len(rank) // 8 or step == length - 1:
+            live = np.ones(len(rank), bool)
+            live[lone] = False
+            rank, who, interval = rank[live], who[live], interval[live]
     return who, interval
 
 

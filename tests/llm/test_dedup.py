@@ -187,3 +187,24 @@ def test_repeats_of_a_very_common_passage(spark, monkeypatch):
     assert sorted(tuple(r) for r in remove_repeats(df).collect()) == want
     monkeypatch.setattr(repeats, "MOST_STRETCHES", 3)
     assert sorted(tuple(r) for r in remove_repeats(df).collect()) == want
+
+
+def test_repeats_with_hot_anchors(spark, monkeypatch):
+    """Anchors of a passage that many share are sorted in parts: the earliest of all parts is the first."""
+    from loghawk.llm import repeats
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    rows = []
+    for d in range(90):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 160)))
+        cut = rng.randrange(3) * 20
+        rows.append((d, own + passage[cut:] + own[::-1] + (passage[:150] if d % 9 == 0 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.repeats(rows)
+    named = []
+    monkeypatch.setattr(repeats, "store", lambda x, name, keep=repeats.store: named.append((name, keep(x, name))) or named[-1][1])
+    monkeypatch.setattr(repeats, "SAMPLE", 1.0)
+    monkeypatch.setattr(repeats, "SALTS", 7)
+    assert sorted(tuple(r) for r in remove_repeats(df).collect()) == want
+    tables = dict(named)
+    assert tables["rp-hot"].count() > 0 and tables["rp-hot-stretches"].count() > 0
