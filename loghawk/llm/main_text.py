@@ -5,14 +5,16 @@ each element comes from its own features, one of each edge from the states of
 parent and child; sum-product messages, up from the leaves and down from the
 root, give every element's content marginal.  Both kinds of potentials are
 counted from labelled pages, those that name their main part themselves
-(<article>, <main>): inside it is content, except for markup that is never text and boxes
-that are named exactly as comments or advertising.
+(<article>, <main>): inside it is content, except for markup that is never text and blocks
+whose name says that they are comments or advertising.  A table's parts take over the
+state of what holds the table, and so does what stands inline.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,22 +31,29 @@ SPACE = re.compile(r"[\x20\x09-\x0D]+")
 # Element kinds of the HTML standard: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4
+BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4
  h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul""".split())
 #: What an opening tag ends, if that is open within the nearest of the second kind.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
         "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 PARAGRAPH_ENDS = BLOCK - {"option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "head", "html", "body", "button", "legend", "title"}
 #: Never text of an article.
-MARKUP = frozenset("head script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video form button select input nav footer aside dialog menu".split())
+MARKUP = frozenset("head script style textarea title noscript template iframe noembed noframes xmp svg canvas audio video form button select input nav footer aside dialog menu".split())
 MAIN = frozenset(("article", "main"))
 #: Boxes that may hold an article or something else.
-BOX = frozenset("div section td center fieldset details header table tbody tr hgroup figure".split())
+BOX = frozenset("div section center fieldset details header hgroup figure".split())
+#: A table and its parts: short cells without a full stop say nothing of what they belong to.
+TABLE = frozenset("table thead tbody tfoot tr td th caption colgroup".split())
 #: Containers, boxes and lists: a name tells what the whole of them is for.
-CONTAINER = BOX | frozenset("ul ol dl".split())
-#: Exact names (class, id, role, itemprop) of containers that are no text of an article, also within it.
-BOILERPLATE = frozenset("""ad ads advert adverts advertisement advertisements advertising ad-container ad-slot ad-banner adsbygoogle comments comment-list commentlist
- comments-area comments-section comment-section disqus_thread""".split())
+CONTAINER = BOX | TABLE | frozenset("ul ol dl article".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks whose class ends in one of these words (containers: also id, role and itemprop), as in
+#: "reader-comments" or "google-ad", are no text of an article, also within it.
+BOILERPLATE = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsored promo comment comments commentlist disqus newsletter
+ cookie cookies""".split())
+#: The same for whole names that end in a word with other uses.
+BOILERPLATE_NAMES = frozenset("""ad-container ad-slot ad-banner adsbygoogle comment-list comments-area comments-section comment-section disqus_thread cookie-notice cookie-banner
+ cookie-consent newsletter-signup""".split())
 #: Words in the names of containers outside <article> and <main> that speak against content: a moderate prior on a learned feature.
 OTHER = frozenset("""ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead
  topbar footer foot bottom sidebar side aside rail widget notice notices alert cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login form search comment comments
@@ -57,15 +66,27 @@ PAGE_WEIGHT = 20.0
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "hidden", "exact", "inside")
+    __slots__ = ("tag", "parent", "names", "hidden", "boiler", "inside")
 
-    def __init__(self, tag: str, parent: int, names: frozenset, hidden: bool, exact: frozenset = frozenset(), inside: bool = False):
+    def __init__(self, tag: str, parent: int, names: frozenset, hidden: bool, boiler: bool = False, inside: bool = False):
         self.tag, self.parent, self.names, self.hidden = tag, parent, names, hidden
-        self.exact, self.inside = exact, inside     # whole names; within <article> or <main>
+        self.boiler, self.inside = boiler, inside     # named as comments or advertising; within <article> or <main>
 
     def never(self) -> bool:
         """Never content, whatever its features are."""
-        return self.tag in MARKUP or self.hidden or self.tag in CONTAINER and not self.exact.isdisjoint(BOILERPLATE)
+        return self.tag in MARKUP or self.hidden or self.boiler
+
+
+def boilerplate(tag: str, found: dict[str, str]) -> bool:
+    """Does a block's name say that it is no text of an article?"""
+    if tag not in BLOCK or tag in HEADING:
+        return False
+    given = " ".join(found.get(k, "") for k in (("class", "id", "role", "itemprop") if tag in CONTAINER else ("class",)))
+    for name in given.split():
+        words = WORDS.findall(name)
+        if name.lower() in BOILERPLATE_NAMES or words and words[-1].lower() in BOILERPLATE:
+            return True
+    return False
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -119,14 +140,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             runs.append((0, ""))
         if tag in VOID:
             continue
-        names, hidden, exact = frozenset(), False, frozenset()
+        names, hidden, boiler = frozenset(), False, False
         if m[3]:
             found = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(m[3])}
             given = " ".join(found.get(k, "") for k in ("class", "id", "role", "itemprop"))
-            names, exact = frozenset(w.lower() for w in WORDS.findall(given)), frozenset(given.lower().split())
+            names, boiler = frozenset(w.lower() for w in WORDS.findall(given)), boilerplate(tag, found)
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         above = nodes[stack[-1]]
-        nodes.append(Node(tag, stack[-1], names, hidden, exact, above.inside or above.tag in MAIN))
+        nodes.append(Node(tag, stack[-1], names, hidden, boiler, above.inside or above.tag in MAIN))
         shut = m[3].rstrip().endswith("/")
         if tag in RAW:
             low = page.lower() if low is None else low
@@ -143,6 +164,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, runs
 
 
+#: Features of open classes (tags, words in names) are numbered by a hash.
+HASHED = 1 << 16
+
+
+def hashed(kind: str, word: str) -> str:
+    return f"{kind}={zlib.crc32(word.encode()) % HASHED}"
+
+
 def describe(nodes: list[Node], runs: list[tuple[int, str]]) -> list[list[str]]:
     """Features of each element, from itself and from the text that it holds."""
     n = len(nodes)
@@ -162,8 +191,10 @@ def describe(nodes: list[Node], runs: list[tuple[int, str]]) -> list[list[str]]:
     out = []
     for i, x in enumerate(nodes):
         share = linked[i] / chars[i] if chars[i] else 0
-        f = [f"tag={x.tag}", f"chars={chars[i].bit_length()}", f"links={int(share * 4)}", f"stops={min(stops[i], 3)}", f"children={min(children[i], 4)}"]
-        f += [f"name={w}" for w in x.names]
+        f = [hashed("tag", x.tag), f"links={int(share * 4)}"]
+        if x.tag not in TABLE:
+            f += [f"chars={chars[i].bit_length()}", f"stops={min(stops[i], 3)}", f"children={min(children[i], 4)}"]
+        f += [hashed("name", w) for w in x.names]
         if x.tag in CONTAINER and not x.inside and x.names & OTHER:
             f.append("other")
         if x.never():
@@ -202,23 +233,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([float(c[k]) for k in keys], pa.float64())], ["feature", "state", "n"])
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = 2000, most_features: int = 20_000) -> dict[str, tuple[float, float]]:
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", most_pages: int = 2000) -> dict[str, tuple[float, float]]:
     """Log potentials of the features and of the edges, from labelled pages: at
-    most ``most_pages``, those of the smallest hash of the id."""
+    most ``most_pages``, those of the smallest hash of the id.  All features count; there are
+    at most 2 * ``HASHED`` and some dozens."""
     some = pages.select(F.col(f"`{html_col}`").cast("string").alias("html"), F.xxhash64(F.lit(4), F.col(f"`{id_col}`").cast("string")).alias("pick"))
     some = some.where("html rlike '(?i)<(article|main)'")
     # the hash up to which most_pages lie; only hashes meet in one task
     upto = some.select("pick").orderBy("pick").limit(most_pages).agg(F.max("pick")).first()[0]
     rows = some.where(F.col("pick") <= F.lit(upto).cast("long")).select("html").mapInArrow(_counts, "feature string, state int, n double").groupBy("feature", "state").agg(F.sum("n").alias("n"))
     c: Counter = Counter()
-    for r in rows.orderBy(F.desc("n"), "feature", "state").limit(most_features).collect():
+    for r in rows.collect():
         c[r.feature, r.state] = r.n
     return potentials(c)
 
 
 #: Beforehand: of a child of each kind, the share that is content below a part that isn't, and below one that is.
 #: What is never content says nothing of its parent.
-EDGES = {"main": (0.98, 0.99), "box": (0.05, 0.99), "text": (0.002, 0.99), "none": (1e-6, 1e-6)}
+EDGES = {"main": (0.98, 0.99), "box": (0.05, 0.99), "table": (0.05, 0.9999), "text": (0.002, 0.99), "none": (1e-6, 1e-6)}
 #: Share of a state's elements that any feature is taken to have, so that little follows from one never seen.
 SEEN = 0.01
 #: Weight of this, in elements; log potentials against content: beforehand, on top of the learned, of the words of OTHER, and of what is never content.
@@ -226,7 +258,7 @@ PRIOR, OTHER_LOG, MARKUP_LOG = 1000.0, -4.0, -400.0
 
 
 def kind(x: Node) -> str:
-    return "none" if x.never() else "main" if x.tag in MAIN else "box" if x.tag in BOX else "text"
+    return "none" if x.never() else "main" if x.tag in MAIN else "box" if x.tag in BOX else "table" if x.tag in TABLE else "text"
 
 
 def potentials(c: Counter) -> dict[str, tuple[float, float]]:

@@ -10,6 +10,8 @@ import public_tokenizers
 from brute import texts
 from fixtures import documents, empty, odd  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from loghawk.llm import packing
 from loghawk.llm.main_text import main_text
 from loghawk.llm.mixing import mix_sources, mixed_documents
@@ -216,3 +218,42 @@ def test_packing(spark, documents, odd, empty, monkeypatch):
         tokens = sum(r.length for r in got)
         assert len(by) <= -(-tokens // 4096) + 2
     assert pack_documents(empty, PATH).collect() == []
+
+
+ARTICLE = "<nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>Title</h1><p>First words of the text. More of it here.</p>{}<p>And a last paragraph of it. Yes.</p></article><footer>foot</footer>"
+
+
+def test_main_text_keeps_tables_and_math(spark):
+    """Fitted on the given pages, none of which has a table or math."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    rows = "".join(f"<tr><td>n{i}</td><td>{i}</td></tr>" for i in range(12))
+    cases = [("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>1</td></tr></table>", "a\nb\nc\n1"),
+             (f"<table><thead><tr><th>Name</th><th>Size</th></tr></thead><tbody>{rows}</tbody></table>", "Name\nSize\n" + "\n".join(f"n{i}\n{i}" for i in range(12))),
+             ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.</p>", "Let x=1 be."), ("<p>Press <button>Go</button> to start.</p>", "Press to start."),
+             *((x, "") for x in ('<div class="reader-comments"><p>I say so. Yes.</p></div>', '<section id="user-comments"><p>I say so. Yes.</p></section>', '<article class="comment"><p>I say so. Yes.</p></article>',
+                                 '<p class="comments">I say so.</p>', '<div class="sponsored"><p>Buy it. Now.</p></div>', '<div class="google-ad">Buy it.</div>', '<div class="cookie-notice"><p>We use cookies.</p></div>',
+                                 '<div class="newsletter"><p>Sign up. Now.</p></div>'))]
+    made = spark.createDataFrame([(10_000 + n, "u", page(ARTICLE.format(x))) for n, (x, _) in enumerate(cases)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in main_text(given.union(made)).where("page_id >= 10000").collect()}
+    for n, (x, want) in enumerate(cases):
+        assert got[10_000 + n].split("\n") == ["Title", "First words of the text. More of it here.", *(want.split("\n") if want else []), "And a last paragraph of it. Yes."], x
+
+
+def test_main_text_without_article_tags(spark):
+    """The tree model alone: with <article> and <main> renamed, nearly all texts are the same."""
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    renamed = given.select((F.col("page_id") + 100_000).alias("page_id"), "url", F.regexp_replace("html", r"(</?)(article|main)\b", "$1div").alias("html"))
+    got = {r.page_id: r.text for r in main_text(given.union(renamed)).collect()}
+    ids = [r.page_id for r in given.select("page_id").collect()]
+    assert sum(got[i] == got[i + 100_000] for i in ids) >= 0.95 * len(ids)
+
+
+def test_main_text_of_many_names_and_long_and_repeated_pages(spark):
+    """More names than any cap, one page of a million characters, and the same page twice."""
+    words = [f"w{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x" for i in range(26 * 26 * 26)]
+    train = [(i, "u", page("<nav><a href=x>Menu</a></nav><article>" + "".join(f'<p class="{words[(i * 900 + k) % len(words)]} {words[(i * 701 + k) % len(words)]}-y{k}z">Text {k} of it. Yes.</p>' for k in range(900)) + "</article>")) for i in range(25)]
+    long = page(ARTICLE.format("".join(f"<p>Paragraph {k} of a long text. It goes on.</p>" for k in range(25_000))))
+    df = spark.createDataFrame([*train, (100, "u", long), (101, "u", long), (101, "u", long)], "page_id long, url string, html string")
+    got = [(r.page_id, r.text, r.n_chars) for r in main_text(df).where("page_id >= 100").collect()]
+    want = "\n".join(["Title", "First words of the text. More of it here.", *(f"Paragraph {k} of a long text. It goes on." for k in range(25_000)), "And a last paragraph of it. Yes."])
+    assert sorted(x[0] for x in got) == [100, 101, 101] and all(x[1:] == (want, len(want)) for x in got)
