@@ -74,10 +74,11 @@ def _without(own: str, i: Column) -> Column:
 
 def _edited(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier line one edit away."""
-    lines = lines.withColumn("n", F.char_length("text"))
+    # equal lines are one from here on, combined in each task before they move
+    lines = lines.withColumn("n", F.char_length("text")).groupBy(*LINE, "n", "text").agg(F.min("pos").alias("pos"))
+    lines = store(lines, "ld-lines")
     half = _shared(lines, _keys(2, _halves), "ld-half").select("h1").distinct()
-    some = lines.join(half.hint("merge"), "h1", "left_semi").groupBy(*LINE, "n", "text").agg(F.min("pos").alias("pos"))
-    some = store(some, "ld-some")
+    some = store(lines.join(half.hint("merge"), "h1", "left_semi"), "ld-some")
     near = some.join(_shared(some, _keys(BLOCKS, _blocks), "ld-block"), "h1")
     # the block's own characters; the longer of two lines has one more
     at, size = _cut(F.col("m"), F.col("b"), BLOCKS), _cut(F.col("m"), F.col("b") + 1, BLOCKS) - _cut(F.col("m"), F.col("b"), BLOCKS) + F.col("n") - F.col("m")
@@ -100,24 +101,36 @@ def _edited(lines: DataFrame) -> DataFrame:
     return store(checked.select(*LINE).distinct(), "ld-edited")
 
 
+#: Lines that are at least this share of all lines are hot (so there are at most 1 / HOT): their
+#: rows are answered by a broadcast, all others by a shuffle.
+HOT = 0.001
+
+
 def _removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(__doc, __hash, __removed): the numbers of a document's lines that go."""
+    """(doc, hash, removed): the numbers of a document's lines that go."""
     lines = _lines(docs, id_col, text_col)
     edited = _edited(lines).withColumn("edited", F.lit(True))
     bare = lines.drop("text")
-    repeated = bare.groupBy(*LINE).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    counts = bare.groupBy(*LINE).agg(F.min("pos").alias("first"), F.count("*").alias("c"))
+    repeated = store(counts.where("c > 1"), "ld-repeated")
     bad = store(repeated.join(edited, list(LINE), "full"), "ld-bad")
-    gone = bare.join(bad, list(LINE)).where("edited or pos <> first")
-    return store(gone.groupBy(F.col("pos.doc").alias("__doc"), F.col("pos.hash").alias("__hash")).agg(F.collect_set("pos.line").alias("__removed")), "ld-removed")
+    often = HOT * bare.count()
+    hot = store(bad.where(F.col("c") >= often).orderBy(F.desc("c"), *LINE).limit(int(1 / HOT)), "ld-hot")
+    known = hot.select(*LINE, F.struct("first", "edited").alias("hot"))
+    marked = bare.join(F.broadcast(known), list(LINE), "left")
+    rest = marked.where("hot is null").drop("hot").join(bad.join(F.broadcast(known.select(*LINE)), list(LINE), "left_anti"), list(LINE))
+    gone = marked.where("hot.edited or pos <> hot.first").select("pos").union(rest.where("edited or pos <> first").select("pos"))
+    return store(gone.groupBy(F.col("pos.doc").alias("doc"), F.col("pos.hash").alias("hash")).agg(F.collect_set("pos.line").alias("removed")), "ld-removed")
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with __removed (null: none) and __text, the lines that stay."""
-    removed = _removed(docs, id_col, text_col)
+    """(row, text, removed, rest): each row of ``docs`` as a struct, its text, the numbers
+    of the lines that go (null: none), and the lines that stay."""
     text = F.col(f"`{text_col}`").cast("string")
-    joined = docs.join(removed, F.equal_null(F.col(f"`{id_col}`").cast("long"), F.col("__doc")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("__removed", i)), "\n")
-    return joined.withColumn("__text", F.when(F.col("__removed").isNull(), text).otherwise(rest))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
+    joined = rows.join(_removed(docs, id_col, text_col), F.equal_null(F.col("id"), F.col("doc")) & (F.xxhash64("text") == F.col("hash")), "left")
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    return joined.select("row", "id", "text", "removed", F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest).alias("rest"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,15 +143,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that share an id are ordered by a hash of their text; equal rows are one
     document and lose the same lines.  Extra columns are ignored.
     """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    out = _kept(docs.select(id_col, text_col), id_col, text_col)
-    return out.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("n_lines"),
-                      F.greatest(F.size(F.coalesce("__removed", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("__text", F.lit("")), 256).alias("kept_sha256"))
+    text = F.coalesce("text", F.lit(""))
+    out = _kept(docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), id_col, text_col)
+    return out.select(F.col("id").alias("doc_id"), F.when(text == "", 0).otherwise(F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("n_lines"),
+                      F.greatest(F.size(F.coalesce("removed", F.array().cast("array<int>"))), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("rest", F.lit("")), 256).alias("kept_sha256"))
 
 
 def documents_without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that stay as text (n_chars, if there, counts
     them).  A row that lost lines and has no other text left goes."""
-    out = _kept(docs, id_col, text_col).where(F.col("__removed").isNull() | (F.regexp_replace("__text", "\n", "") != ""))
-    made = {text_col: F.col("__text"), "n_chars": F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.char_length("__text").cast("long")) if "n_chars" in docs.columns else None}
-    return out.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    out = _kept(docs, id_col, text_col).where(F.col("removed").isNull() | (F.regexp_replace("rest", "\n", "") != ""))
+    made = {text_col: F.col("rest"), "n_chars": F.when(F.col("removed").isNull(), F.col("row")["n_chars"]).otherwise(F.char_length("rest").cast("long")) if "n_chars" in docs.columns else None}
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -276,5 +276,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def first_of_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
     """``docs`` without the rows that are near copies of a row with a smaller
     id.  Rows that share an id stay or go together."""
-    gone = store(near_duplicates(docs, id_col, text_col, k, percent, rows).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct(), "nd-gone")
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+    gone = store(near_duplicates(docs, id_col, text_col, k, percent, rows).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "nd-gone")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return whole.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

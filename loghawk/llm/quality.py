@@ -160,19 +160,13 @@ def _scores(model: dict, keep: tuple[str, ...]):
             if "constant" in model:
                 out = [model["constant"]] * batch.num_rows
             else:
-                x = np.array([margin(features(x, flags), model) for x in utf8(batch.column("__text"))], float)
+                x = np.array([margin(features(x, flags), model) for x in utf8(batch.column("text"))], float)
                 out = 1 / (1 + np.exp(-np.clip(model["slope"] * x + model["intercept"], -500, 500)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.float64())], [*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, pa.float64())], [*keep, "score"])
 
     return run
 
 
-def _scored(docs: DataFrame, model: dict, text_col: str) -> DataFrame:
-    kept = tuple(docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
-    return docs.withColumn("__text", F.col(f"`{text_col}`").cast("string")).mapInArrow(_scores(model, kept), schema)
-
-
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6000) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row for each input row.
 
@@ -184,11 +178,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = fit(docs, labels, id_col, text_col, label_col, most_rows)
     some = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    schema = "doc_id long, __score double"
-    made = some.withColumnRenamed("text", "__text").mapInArrow(_scores(model, ("doc_id",)), schema)
-    return made.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    made = some.mapInArrow(_scores(model, ("doc_id",)), "doc_id long, score double")
+    return made.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 6000) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with their columns."""
-    return _scored(docs, fit(docs, labels, id_col, text_col, label_col, most_rows), text_col).where("__score >= 0.5").drop("__score")
+    """The rows of ``docs`` that the classifier doesn't reject, with their columns, whatever their names."""
+    model = fit(docs, labels, id_col, text_col, label_col, most_rows)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    some = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("score", T.DoubleType())])
+    return some.mapInArrow(_scores(model, ("row",)), schema).where("score >= 0.5").select("row.*")
