@@ -59,6 +59,7 @@ def with_log(rest: str) -> str:
 
 
 # ---- DuckDB fragments shared by the log queries --------------------------------
+# The octet and address patterns of ``functions.columns``.
 OCT1 = r"(\d{1,3})\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 OCT2 = r"\d{1,3}\.(\d{1,3})\.\d{1,3}\.\d{1,3}"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"

@@ -57,16 +57,13 @@ def events_to_api_log(ev: DataFrame) -> DataFrame:
 
 
 # The same view in DuckDB SQL, used by the oracle queries.
+_AGENT_SQL = "\n".join(f"    WHEN {i} THEN '{agent}'" for i, agent in enumerate(API_LOG_USER_AGENTS))
 API_LOG_SQL = """
 SELECT event_id AS log_id,
   concat('10.', CAST(user_id % 16 AS VARCHAR), '.0.', CAST(user_id % 250 AS VARCHAR)) AS ip_address,
   ts AS request_time,
   CASE user_id % 6
-    WHEN 0 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/91.0.4472.124 Safari/537.36'
-    WHEN 1 THEN 'Mozilla/5.0 (Windows NT 10.0; Win64; x64; rv:89.0) Gecko/20100101 Firefox/89.0'
-    WHEN 2 THEN 'Mozilla/5.0 (iPhone; CPU iPhone OS 14_6 like Mac OS X) AppleWebKit/605.1.15 (KHTML, like Gecko) Version/14.0 Mobile/15E148 Safari/604.1'
-    WHEN 3 THEN 'Mozilla/5.0 (Linux; Android 11; SM-G991B) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/91.0.4472.120 Mobile Safari/537.36'
-    WHEN 4 THEN 'curl/7.64.1'
+{agents}
     ELSE NULL END AS user_agent,
   concat('/api/', event_type) AS endpoint,
   CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'GET' ELSE 'POST' END AS method,
@@ -75,4 +72,4 @@ SELECT event_id AS log_id,
     WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 500 ELSE 404 END ELSE 200 END AS INTEGER) AS status_code,
   value AS response_ms
 FROM events
-"""
+""".replace("{agents}", _AGENT_SQL)
