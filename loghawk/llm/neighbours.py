@@ -157,8 +157,12 @@ def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
 
 
+#: Leaves that a tree has at least, so that in small tables too a query chooses among many.
+LEAVES = 80
+
+
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 100, trees: int = 24, sample_rows: int = 20_000,
-            leaf_rows: int = 256, search_share: float = 0.7, search_rows: int = 12_000, seed: int = 2) -> DataFrame:
+            leaf_rows: int = 256, search_share: float = 0.8, search_rows: int = 0, seed: int = 2) -> DataFrame:
     """(query_id, rank, vec_id, score): the 10 nearest found of each row whose
     id is divisible by ``query_every``, among all rows but those of its own id.
 
@@ -166,9 +170,9 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     smallest hash of the id; every vector is in the index.  Of equal vectors
     only the 11 of smallest id can be among a query's 10 nearest, so the
     others aren't routed, and a vector of very many copies stays one small
-    group.  A query reads leaves that hold ``search_share`` of all vectors,
-    ``search_rows`` at least, counted in all trees: for vectors without
-    clusters, as in ``embeddings``, a recall of 0.9 takes that much.
+    group.  A query reads leaves that hold ``search_share`` of all vectors
+    (at least ``search_rows``, if given), counted in all trees: for vectors without
+    clusters, as in ``embeddings``, a recall of 0.9 takes that much at every size.
 
     Rows with a null id, and vectors null, empty, zero, or with null or
     non-finite components, take no part; neither do those whose length isn't
@@ -190,7 +194,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     index = store(rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= NEAREST + 1).drop("n"), "nn-index")
     picked = index.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toPandas()["v"]
     sample = np.array(picked.tolist(), np.float32)
-    leaf = max(2, int(leaf_rows * len(sample) / max(total, 1)))
+    leaf = max(2, int(min(leaf_rows, total / LEAVES) * len(sample) / max(total, 1)))
     forest = [Tree(sample, leaf, seed * 1000 + i) for i in range(trees)]
     routed = store(index.mapInArrow(_route(forest), "place long, vec_id long, query_id long, v array<double>"), "nn-places")
     sizes = [np.zeros(t.leaves, np.int64) for t in forest]
@@ -199,6 +203,6 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     wanted = max(search_rows, int(search_share * sizes[0].sum()), trees * 2 * (NEAREST + 1))
     asked = rows.where(F.col("vec_id") % query_every == 0).mapInArrow(_walk(forest, sizes, wanted), "place long, vec_id long, query_id long, v array<double>")
     met = routed.union(asked).repartition("place").sortWithinPartitions("place")
-    found = met.mapInArrow(_rank, "query_id long, vec_id long, score double").distinct()
+    found = met.mapInArrow(_rank, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= NEAREST)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -50,7 +50,7 @@ def test_recall_at_the_share_in_use(spark):
     shares = []
     for q in want:
         read = np.zeros(len(x), bool)
-        for i, leaf in walk(trees, sizes, x[q], int(0.7 * len(x))):
+        for i, leaf in walk(trees, sizes, x[q], int(0.8 * len(x))):
             read |= leaves[i] == leaf
         shares.append(read.mean())
     print("recall", recall, "distinct share read", np.mean(shares))
