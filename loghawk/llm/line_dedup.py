@@ -74,11 +74,10 @@ def _without(own: str, i: Column) -> Column:
 
 def _edited(lines: DataFrame) -> DataFrame:
     """(h1, h2) of the lines with an earlier line one edit away."""
-    # equal lines are one from here on, combined in each task before they move
-    lines = lines.withColumn("n", F.char_length("text")).groupBy(*LINE, "n", "text").agg(F.min("pos").alias("pos"))
-    lines = store(lines, "ld-lines")
+    lines = lines.withColumn("n", F.char_length("text"))
     half = _shared(lines, _keys(2, _halves), "ld-half").select("h1").distinct()
-    some = store(lines.join(half.hint("merge"), "h1", "left_semi"), "ld-some")
+    some = lines.join(half.hint("merge"), "h1", "left_semi").groupBy(*LINE, "n", "text").agg(F.min("pos").alias("pos"))
+    some = store(some, "ld-some")
     near = some.join(_shared(some, _keys(BLOCKS, _blocks), "ld-block"), "h1")
     # the block's own characters; the longer of two lines has one more
     at, size = _cut(F.col("m"), F.col("b"), BLOCKS), _cut(F.col("m"), F.col("b") + 1, BLOCKS) - _cut(F.col("m"), F.col("b"), BLOCKS) + F.col("n") - F.col("m")
@@ -101,7 +100,7 @@ def _edited(lines: DataFrame) -> DataFrame:
     return store(checked.select(*LINE).distinct(), "ld-edited")
 
 
-#: Lines that are at least this share of all lines are hot (so there are at most 1 / HOT): their
+#: Lines that are at least this share of all repeated lines are hot (so there are at most 1 / HOT): their
 #: rows are answered by a broadcast, all others by a shuffle.
 HOT = 0.001
 
@@ -109,16 +108,19 @@ HOT = 0.001
 def _removed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, hash, removed): the numbers of a document's lines that go."""
     lines = _lines(docs, id_col, text_col)
-    edited = _edited(lines).withColumn("edited", F.lit(True))
     bare = lines.drop("text")
-    counts = bare.groupBy(*LINE).agg(F.min("pos").alias("first"), F.count("*").alias("c"))
-    repeated = store(counts.where("c > 1"), "ld-repeated")
-    bad = store(repeated.join(edited, list(LINE), "full"), "ld-bad")
-    often = HOT * bare.count()
-    hot = store(bad.where(F.col("c") >= often).orderBy(F.desc("c"), *LINE).limit(int(1 / HOT)), "ld-hot")
-    known = hot.select(*LINE, F.struct("first", "edited").alias("hot"))
+    repeated = bare.groupBy(*LINE).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1")
+    repeated = store(repeated, "ld-repeated")
+    often = HOT * (repeated.agg(F.sum("c")).first()[0] or 0)
+    hot = repeated.where(F.col("c") >= often).orderBy(F.desc("c"), *LINE).limit(int(1 / HOT))
+    hot = store(hot.drop("c"), "ld-hot")
+    # of a hot line only the earliest goes on, so its copies never meet in one task
+    first = lines.join(F.broadcast(hot), list(LINE), "left").where("first is null or pos = first").drop("first")
+    edited = _edited(first).withColumn("edited", F.lit(True))
+    bad = store(repeated.drop("c").join(edited, list(LINE), "full"), "ld-bad")
+    known = hot.select(*LINE).join(bad, list(LINE)).select(*LINE, F.struct("first", "edited").alias("hot"))
     marked = bare.join(F.broadcast(known), list(LINE), "left")
-    rest = marked.where("hot is null").drop("hot").join(bad.join(F.broadcast(known.select(*LINE)), list(LINE), "left_anti"), list(LINE))
+    rest = marked.where("hot is null").drop("hot").join(bad.join(F.broadcast(hot.select(*LINE)), list(LINE), "left_anti"), list(LINE))
     gone = marked.where("hot.edited or pos <> hot.first").select("pos").union(rest.where("edited or pos <> first").select("pos"))
     return store(gone.groupBy(F.col("pos.doc").alias("doc"), F.col("pos.hash").alias("hash")).agg(F.collect_set("pos.line").alias("removed")), "ld-removed")
 
