@@ -155,17 +155,19 @@ def with_window_counts(df: DataFrame, ip: str = "ip_address", ts: str = "request
     closed the window (append mode).
 
     Two stateful operators in a chain: the windowed count, and a join of the
-    requests with it on (IP, window).  Both drop their state behind the watermark,
-    and no stored table is read.  Requests without an IP pass by with a NULL count;
+    requests with it on (IP, start of the window), so that a request meets its own
+    count only, however many windows its IP has.  Both drop their state behind the
+    watermark, and no stored table is read.  Requests without an IP pass by with a NULL count;
     those without a time belong to no window and have none either."""
     rows = df.withWatermark(ts, delay)
     lone = rows.where(F.col(ip).isNull() | F.col(ts).isNull()).withColumn(out, F.lit(None).cast("long"))
     rows = rows.where(F.col(ip).isNotNull() & F.col(ts).isNotNull())
     counts = rows.groupBy(F.window(ts, size).alias("__w"), F.col(ip).alias("__ip")).agg(F.count(F.lit(1)).alias(out))
-    counts = counts.select("__ip", out, F.window_time("__w").alias("__last"))
+    counts = counts.select("__ip", out, F.unix_micros("__w.start").alias("__start"), F.window_time("__w").alias("__last"))
+    micros, length = F.unix_micros(F.col(ts).cast("timestamp")), F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {size}"))
     # the last moment of its window is a count's event time; the bounds let both sides' state go
     inside = (F.col(ts) <= F.col("__last")) & (F.col(ts) > F.col("__last") - F.expr(f"INTERVAL {size}"))
-    met = rows.join(counts, (F.col(ip) == F.col("__ip")) & inside)
+    met = rows.join(counts, (F.col(ip) == F.col("__ip")) & (micros - F.pmod(micros, length) == F.col("__start")) & inside)
     return met.select(*df.columns, out).unionByName(lone)
 
 
