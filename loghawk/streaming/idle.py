@@ -1,10 +1,12 @@
 """Totals per IP that end when the IP falls silent (ST7).
 
 A stateful operator on ``transformWithStateInPandas``: the state of an IP is its
-open totals, each (first request, last request, requests), and an event-time
-timer for each.  A request within ``gap`` of an open total goes into it, and may join
-two.  Once the watermark has passed ``gap`` behind a total's last request, its
-timer emits it and its state goes, so an idle IP leaves nothing behind.
+open totals, each (first request, last request, requests), and one event-time
+timer, that of the total that ends first.  A request within ``gap`` of an open total
+goes into it, and may join two.  Once the watermark has passed ``gap`` behind a
+total's last request, it is emitted and its state goes; one call of the timer emits all
+that are over by then, so an IP's state is read and written once a batch however many
+totals it has open.  An idle IP leaves nothing behind.
 
 Requests are put together in each task before the shuffle (requests of one IP no
 more than ``gap`` apart are one piece), so a hot IP's rows travel as a few pieces.
@@ -65,38 +67,50 @@ class IdleTotals(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first_micros long, last_micros long, requests long")
+        self.open = handle.getValueState("open", "totals binary")      # first, last, requests: 64-bit numbers
 
     def _timer(self, last: int) -> int:
         """Milliseconds from which no request on time can belong to it any more."""
         return -(-(int(last) + self.gap) // 1000)
 
     def _load(self) -> np.ndarray:
-        rows = list(self.open.get()) if self.open.exists() else []
-        return np.array(rows, np.int64).reshape(len(rows), 3).T
+        held = self.open.get()
+        return np.frombuffer(held[0] if held else b"", np.int64).reshape(3, -1)
+
+    def _keep(self, first: np.ndarray, last: np.ndarray, requests: np.ndarray) -> None:
+        self.open.update((np.concatenate([first, last, requests]).astype(np.int64).tobytes(),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         old = self._load()
         new = [old, *(pdf[["first_micros", "last_micros", "requests"]].to_numpy(np.int64).T for pdf in rows)]
         first, last, requests = merge_pieces(*np.concatenate(new, axis=1), self.gap)
-        before, after = {self._timer(x) for x in old[1]}, {self._timer(x) for x in last}
-        for t in before - after:
-            self.handle.deleteTimer(t)
-        for t in after - before:
-            self.handle.registerTimer(t)
-        self.open.put([tuple(map(int, x)) for x in zip(first, last, requests)])
+        self._retime(old[1], last)
+        self._keep(first, last, requests)
         yield self._rows(key, np.empty((3, 0), np.int64))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self._load()
-        done = held[1] + self.gap <= expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # all that the watermark has passed, not only the one that the timer was for
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        done = held[1] + self.gap <= now * 1000
         left = held[:, ~done]
+        self._retime(np.empty(0, np.int64), left[1])
         if left.shape[1]:
-            self.open.put([tuple(map(int, x)) for x in left.T])
+            self._keep(*left)
         else:
             self.open.clear()
         yield self._rows(key, held[:, done])
 
+    def _retime(self, before: np.ndarray, after: np.ndarray) -> None:
+        """Move the timer from the total of ``before`` that ends first to that of ``after``."""
+        old, new = (self._timer(x.min()) if len(x) else None for x in (before, after))
+        if old == new:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if new is not None:
+            self.handle.registerTimer(new)
+
     @staticmethod
     def _rows(key, totals: np.ndarray) -> pd.DataFrame:
         first, last, requests = totals
