@@ -1,8 +1,8 @@
 """Autoencoder on Spark: full-batch training with one Spark job per epoch,
 Arrow-batched scoring.
 
-Epoch job: ``mapInPandas`` walks each partition's Arrow batches and emits
-its partial gradient sum, which ``plans.vector_sum.partition_sums`` adds
+The rows are packed once into cached blocks.  Epoch job: ``mapInArrow`` walks each
+partition's blocks and emits its partial gradient sum, which ``plans.vector_sum.partition_sums`` adds
 across partitions with chunked per-position ``sum`` aggregates, so the
 driver receives only the summed gradient (a few tens of thousands of
 numbers) however large the log is.  The same pass also sums
@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -52,10 +53,46 @@ def in_batch(ids: np.ndarray, batch: int, batches: int, seed: int, epoch: int) -
     return np.floor(mlp.hashed_uniform(seed, epoch, BATCH_LAYER, ids, 1)[:, 0] * batches).astype(int) == batch
 
 
+#: Rows of a block that is worked on at once: its activations stay in a core's cache.
+ROWS = 512
+
+
+def packed(df: DataFrame, partitions: int, features: list[str], id_col: str, split_col: str | None) -> DataFrame:
+    """``df`` dealt to ``partitions`` as rows ``(block)``: ``ROWS`` rows each, their
+    ``features`` columns, ``id`` and ``train``, as an Arrow stream in bytes.  Packed
+    once and cached, so that an epoch reads arrays and no row is converted again."""
+    train = F.coalesce(F.col(split_col) == "train", F.lit(False)) if split_col else F.lit(True)
+    # a NULL id is the smallest number
+    rows = df.select(*features, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), train.alias("train"))
+
+    def run(batches):
+        for batch in batches:
+            blocks = []
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, part.schema) as stream:
+                    stream.write_batch(part)
+                blocks.append(out.getvalue().to_pybytes())
+            if blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+
+    return rows.repartition(partitions).mapInArrow(run, "block binary").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def unpacked(batches):
+    """The blocks of ``packed``: (record batch, ids, which are 'train' rows)."""
+    for batch in batches:
+        for block in batch.column(0):
+            rows = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
+            yield rows, rows.column("id").to_numpy(), rows.column("train").to_numpy(zero_copy_only=False)
+
+
 def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dropout: float, seed: int, epoch: int,
-               features: str, id_col: str, split_col: str | None, train_grad: bool, batch: int = 0, batches: int = 1):
-    """One pass: summed gradient of the 'train' rows (of a mini-batch) and the
-    loss sums of both parts (train in training mode, test in evaluation mode)."""
+               features: str, train_grad: bool, batch: int = 0, batches: int = 1):
+    """One pass over ``packed`` data: summed gradient of the 'train' rows (of a
+    mini-batch) and the loss sums of both parts (train in training mode, test in
+    evaluation mode)."""
     n_par = vec.size
     bvec = data.sparkSession.sparkContext.broadcast(vec)
 
@@ -63,26 +100,21 @@ def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dro
         params = mlp.unflatten(bvec.value, d, hidden)
         g = np.zeros(n_par)
         tr_loss = tr_n = te_loss = te_n = 0.0
-        for pdf in chunks:
-            if pdf.empty:
-                continue
-            X = np.stack(pdf[features].to_numpy()).astype(np.float64)
-            ids = pdf[id_col].to_numpy()
-            is_train = (pdf[split_col] == "train").to_numpy() if split_col else np.ones(len(pdf), bool)
+        for rows, ids, is_train in unpacked(chunks):
+            X = rows.column(features).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
             mine = is_train & in_batch(ids, batch, batches, seed, epoch)
             if train_grad and mine.any():
                 l, gr = mlp.loss_and_grad(X[mine], params, final, dropout, ids[mine], seed, epoch)
                 g += gr
                 tr_loss += l
                 tr_n += mine.sum()
-            if batch == 0 and (~is_train).any():
-                Y = mlp.forward(X[~is_train], params, final)
-                te_loss += float(((Y - X[~is_train]) ** 2).sum() / d)
-                te_n += (~is_train).sum()
+            if batch == 0 and not is_train.all():
+                test = X[~is_train]
+                te_loss += float(((mlp.forward(test, params, final) - test) ** 2).sum() / d)
+                te_n += len(test)
         return np.concatenate([g, [tr_loss, tr_n, te_loss, te_n]])
 
-    cols = [features, id_col] + ([split_col] if split_col else [])
-    total = partition_sums(data.select(*cols), partial, n_par + 4)
+    total = partition_sums(data, partial, n_par + 4, arrow=True)
     bvec.unpersist()
     return total[:n_par], total[n_par:]
 
@@ -163,12 +195,11 @@ def fit_autoencoder(df: DataFrame, features: str = "features", hidden: tuple[int
     d = len(df.select(features).first()[0])
     # Round-robin once before caching, so that every epoch's numpy work is spread
     # evenly, by the size of the data.
-    n = num_partitions or training_partitions(df, d)
-    data = df.repartition(n).persist(StorageLevel.MEMORY_AND_DISK)
+    data = packed(df, num_partitions or training_partitions(df, d), [features], id_col, split_col)
     theta = mlp.flatten(mlp.init_params(d, hidden, seed)) if init is None else np.array(init, dtype=np.float64)
 
     def job(theta, epoch, batch, train_grad):
-        return _epoch_job(data, theta, d, hidden, final, dropout, seed, epoch, features, id_col, split_col, train_grad, batch, batches)
+        return _epoch_job(data, theta, d, hidden, final, dropout, seed, epoch, features, train_grad, batch, batches)
 
     try:
         theta, history = train_loop(df.sparkSession, job, theta, lr, epochs, batches, state_path, save_every, patience)

@@ -5,6 +5,8 @@ Runs on executors over Arrow batches; nothing here sees more than one batch.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -31,6 +33,25 @@ def hashed_uniform(seed: int, epoch: int, layer: int, ids: np.ndarray, width: in
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+def dropout_factor(dropout: float, seed: int, epoch: int, layer: int, ids: np.ndarray, width: int, first: int = 0) -> np.ndarray:
+    """``(hashed_uniform(...) >= dropout) / (1 - dropout)``, without the floats
+    between: the hash's top 53 bits are compared as integers, in place."""
+    with np.errstate(over="ignore"):
+        base = _mix(np.uint64(seed) * _GOLD + np.uint64(epoch) * _M1 + np.uint64(layer) * _M2)
+        rows = _mix(ids.astype(np.uint64) ^ base)[:, None]
+        units = _mix(np.arange(first, first + width, dtype=np.uint64) * _GOLD + base)[None, :]
+        h = rows ^ units
+        t = h >> np.uint64(30)
+        h ^= t
+        h *= _M1
+        np.right_shift(h, np.uint64(27), out=t)
+        h ^= t
+        h *= _M2
+        np.right_shift(h, np.uint64(31), out=t)
+        h ^= t
+    return np.where(h >= np.uint64(math.ceil(dropout * (1 << 53)) << 11), 1.0 / (1.0 - dropout), 0.0)
+
+
 def layer_sizes(d: int, hidden: tuple[int, ...]) -> list[tuple[int, int]]:
     """(fan_in, fan_out) of the symmetric encoder-decoder stack."""
     dims = [d, *hidden]
@@ -73,14 +94,20 @@ def forward(X: np.ndarray, params, final: str = "relu", dropout: float = 0.0, id
     n_layers = len(params)
     stop = n_layers // 2 if encode_only else n_layers
     for li, (W, b) in enumerate(params[:stop]):
-        z = a @ W.T + b
-        last = li == n_layers - 1
-        act = z if (last and final == "linear") else np.maximum(z, 0.0)
-        mask = None
+        act = a @ W.T
+        act += b
+        factor = None       # of this layer's gradient: 0 where the ReLU or the dropout cut
+        linear = li == n_layers - 1 and final == "linear"
         if dropout > 0:
-            mask = (hashed_uniform(seed, epoch, li, ids, act.shape[1]) >= dropout) / (1.0 - dropout)
-            act = act * mask
-        cache.append((a, z, mask, last and final == "linear"))
+            factor = dropout_factor(dropout, seed, epoch, li, ids, act.shape[1])
+        if not linear:
+            if keep_cache:
+                factor = (act > 0).astype(np.float64) if factor is None else np.multiply(factor, act > 0, out=factor)
+            np.maximum(act, 0.0, out=act)
+        if factor is not None and dropout > 0:
+            act *= factor
+        if keep_cache:
+            cache.append((a, factor))
         a = act
     return (a, cache) if keep_cache else a
 
@@ -90,19 +117,17 @@ def loss_and_grad(X: np.ndarray, params, final: str = "relu", dropout: float = 0
     """Sum over rows of the per-row MSE and of its gradient (flattened)."""
     Y, cache = forward(X, params, final, dropout, ids, seed, epoch, keep_cache=True)
     d = X.shape[1]
-    diff = Y - X
-    loss_sum = float((diff * diff).sum() / d)
-    g = 2.0 * diff / d
+    g = Y - X
+    loss_sum = float(np.vdot(g, g) / d)
+    g *= 2.0 / d
     grads = [None] * len(params)
     for li in reversed(range(len(params))):
-        a_prev, z, mask, linear = cache[li]
-        W, _ = params[li]
-        if mask is not None:
-            g = g * mask
-        if not linear:
-            g = g * (z > 0)
+        a_prev, factor = cache[li]
+        if factor is not None:
+            g *= factor
         grads[li] = (g.T @ a_prev, g.sum(axis=0))
-        g = g @ W
+        if li:
+            g = g @ params[li][0]
     return loss_sum, flatten(grads)
 
 
@@ -154,7 +179,7 @@ def head_forward(X: np.ndarray, params, dropout: float = 0.0, ids=None, seed: in
     a1 = np.where(z1 > 0, z1, np.expm1(np.minimum(z1, 0)))
     mask = None
     if dropout > 0:
-        mask = (hashed_uniform(seed, epoch, 0, ids, a1.shape[1]) >= dropout) / (1.0 - dropout)
+        mask = dropout_factor(dropout, seed, epoch, 0, ids, a1.shape[1])
         a1 = a1 * mask
     z2 = a1 @ W2.T + b2
     z2 = z2 - z2.max(axis=1, keepdims=True)

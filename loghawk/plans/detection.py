@@ -43,7 +43,8 @@ def train_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: f
     """Fit the detector; features, vocabulary, scaler and network come from the
     whole log (``mode='window'``: for ``streaming.streams.score_with_window_counts``).  ``patience`` stops early, ``batches`` are the steps of an epoch."""
     vec, spec, scaler = prepare(log, mode=mode)
-    tagged = split(vec, train_fraction, seed)
+    # the features are derived once, not again for each pass that training makes
+    tagged = cut_lineage(split(vec, train_fraction, seed), "training-rows")
     model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed, final=final,
                                feature_names=spec.names, state_path=state_path, patience=patience, batches=batches)
     model.scaler = dict(scaler.params)
@@ -93,7 +94,7 @@ def train_sparse_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32)
                           batches: int = 1):
     """``train_detector`` for endpoints of any number: (model, spec, vocabularies)."""
     vec, spec, scaler, vocabularies, positions = prepare_sparse(log)
-    tagged = split(vec, train_fraction, seed)
+    tagged = cut_lineage(split(vec, train_fraction, seed), "training-rows")
     model = fit_sparse_autoencoder(tagged, positions, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed, final=final,
                                    feature_names=spec.names, state_path=state_path, patience=patience, batches=batches)
     model.scaler = dict(scaler.params)

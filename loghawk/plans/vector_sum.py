@@ -1,7 +1,7 @@
 """Sum one numpy vector per partition across the cluster.
 
 ``partition_sums(df, fn, size)`` runs ``fn`` over each partition's Arrow
-batches (``mapInPandas``); ``fn`` returns a float vector of ``size``.  The
+batches (as pandas frames, or as they are with ``arrow``); ``fn`` returns a float vector of ``size``.  The
 vectors leave the tasks in ``CHUNK``-number rows and a hash aggregate keyed
 by chunk adds them with one ``sum`` per position (partial aggregation in
 every task).  The driver receives only the summed vector -- the pattern
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 CHUNK = 16
 
 
-def partition_sums(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], np.ndarray], size: int) -> np.ndarray:
+def partition_sums(df: DataFrame, fn: Callable[[Iterator], np.ndarray], size: int, arrow: bool = False) -> np.ndarray:
     n_chunks = (size + CHUNK - 1) // CHUNK
     schema = T.StructType([T.StructField("chunk", T.IntegerType()),
                            T.StructField("v", T.ArrayType(T.DoubleType()))])
@@ -31,10 +31,14 @@ def partition_sums(df: DataFrame, fn: Callable[[Iterator[pd.DataFrame]], np.ndar
         vec = np.asarray(fn(batches), dtype=np.float64)
         padded = np.zeros(n_chunks * CHUNK)
         padded[:size] = vec
-        yield pd.DataFrame({"chunk": np.arange(n_chunks, dtype=np.int32),
-                            "v": [padded[c * CHUNK:(c + 1) * CHUNK].tolist() for c in range(n_chunks)]})
+        chunks = np.arange(n_chunks, dtype=np.int32)
+        if arrow:
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n_chunks + 1, dtype=np.int32) * CHUNK), pa.array(padded))
+            yield pa.RecordBatch.from_arrays([pa.array(chunks), lists], ["chunk", "v"])
+        else:
+            yield pd.DataFrame({"chunk": chunks, "v": [padded[c * CHUNK:(c + 1) * CHUNK].tolist() for c in range(n_chunks)]})
 
-    rows = (df.mapInPandas(per_partition, schema).groupBy("chunk")
+    rows = ((df.mapInArrow if arrow else df.mapInPandas)(per_partition, schema).groupBy("chunk")
             .agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(CHUNK)]).collect())
     out = np.zeros(n_chunks * CHUNK)
     for r in rows:
