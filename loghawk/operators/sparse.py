@@ -17,19 +17,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loghawk.operators import mlp
-from loghawk.operators.autoencoder import AutoencoderModel, in_batch, train_loop, training_partitions
+from loghawk.operators.autoencoder import ROWS, AutoencoderModel, in_batch, packed, train_loop, training_partitions, unpacked
 from loghawk.operators.features import endpoint_vocabulary
 from loghawk.plans.joins import lookup_join
 from loghawk.plans.ordered import with_global_index
 from loghawk.plans.vector_sum import slot_sums
 
-#: Rows, and positions of the last layer, that are worked on at once.
-ROWS, BLOCK = 1024, 4096
+#: Positions of the last layer that are worked on at once.
+BLOCK = 4096
 
 
 def indexed_vocabulary(df: DataFrame, col: str) -> DataFrame:
@@ -110,16 +109,21 @@ class SparseNet:
         self.params = mlp.unflatten(theta, width, hidden)
         self.columns = np.ascontiguousarray(self.params[0][0].T)
 
-    def _hidden(self, x: SparseRows, dropout: float = 0.0, ids=None, seed: int = 0, epoch: int = 0):
-        """All layers but the last: (activations, [(input, z, mask)])."""
+    def _hidden(self, x: SparseRows, dropout: float = 0.0, ids=None, seed: int = 0, epoch: int = 0, keep: bool = False):
+        """All layers but the last: (activations, [(input, factor of the gradient, with ``keep``)])."""
         cache, a = [], None
         for li, (W, b) in enumerate(self.params[:-1]):
-            z = (x.times(self.columns) if li == 0 else a @ W.T) + b
-            act, mask = np.maximum(z, 0.0), None
+            act = x.times(self.columns) if li == 0 else a @ W.T
+            act += b
+            factor = None
             if dropout > 0:
-                mask = (mlp.hashed_uniform(seed, epoch, li, ids, act.shape[1]) >= dropout) / (1.0 - dropout)
-                act = act * mask
-            cache.append((a, z, mask))
+                factor = mlp.dropout_factor(dropout, seed, epoch, li, ids, act.shape[1])
+            if keep:
+                factor = (act > 0).astype(np.float64) if factor is None else np.multiply(factor, act > 0, out=factor)
+            np.maximum(act, 0.0, out=act)
+            if dropout > 0:
+                act *= factor
+            cache.append((a, factor))
             a = act
         return a, cache
 
@@ -144,7 +148,7 @@ class SparseNet:
 
     def add_gradient(self, x: SparseRows, total: "Gradient", dropout: float, ids, seed: int, epoch: int) -> float:
         """Add the gradient of the rows' loss; returns the loss."""
-        a, cache = self._hidden(x, dropout, ids, seed, epoch)
+        a, cache = self._hidden(x, dropout, ids, seed, epoch, keep=True)
         last = len(self.params) - 1
         W, b = self.params[-1]
         loss, back = 0.0, np.zeros_like(a)
@@ -153,7 +157,7 @@ class SparseNet:
             z = a @ W[first:end].T + b[first:end]
             act, mask = (z if self.final == "linear" else np.maximum(z, 0.0)), None
             if dropout > 0:
-                mask = (mlp.hashed_uniform(seed, epoch, last, ids, end - first, first) >= dropout) / (1.0 - dropout)
+                mask = mlp.dropout_factor(dropout, seed, epoch, last, ids, end - first, first)
                 act = act * mask
             diff = act - x.block(first, end)
             loss += float((diff * diff).sum())
@@ -166,9 +170,8 @@ class SparseNet:
             total.last[first:end, -1] += g.sum(axis=0)
             back += g @ W[first:end]
         for li in reversed(range(last)):
-            before, z, mask = cache[li]
-            g = back if mask is None else back * mask
-            g = g * (z > 0)
+            before, factor = cache[li]
+            g = np.multiply(back, factor, out=back)
             total.biases[li] += g.sum(axis=0)
             if li:
                 total.middle[li] += g.T @ before
@@ -176,8 +179,11 @@ class SparseNet:
             else:
                 d = x.dense.shape[1]
                 total.first[:d] += x.dense.T @ g
-                np.add.at(total.first, x.positions, x.values[:, None] * g[x.rows()])
-                total.seen[x.positions] = True
+                if len(x.positions):        # the rows of a position side by side, each position once
+                    turn = np.argsort(x.positions, kind="stable")
+                    occur, starts = np.unique(x.positions[turn], return_index=True)
+                    total.first[occur] += np.add.reduceat(x.values[turn, None] * g[x.rows()[turn]], starts, axis=0)
+                    total.seen[occur] = True
         return loss / self.width
 
 
@@ -224,30 +230,23 @@ class Gradient:
 def _sparse_epoch(data: DataFrame, theta: np.ndarray, dense: int, width: int, hidden, final: str, dropout: float, seed: int,
                   epoch: int, batch: int, batches: int, train_grad: bool, cols: list[str], block: int):
     sent = data.sparkSession.sparkContext.broadcast(theta)
-    features, indices, values, id_col, split_col = cols
+    features, indices, values = cols
 
     def partial(chunks):
         net, total = SparseNet(sent.value, width, hidden, final, block), Gradient(width, dense, hidden)
         sums = np.zeros(4)
-        for chunk in chunks:
-            x = SparseRows.of(chunk.column(features), chunk.column(indices), chunk.column(values), dense)
-            ids = chunk.column(id_col).to_numpy(zero_copy_only=False)
-            train = np.array(chunk.column(split_col).to_pylist()) == "train"
+        for rows, ids, train in unpacked(chunks):
+            x = SparseRows.of(rows.column(features), rows.column(indices), rows.column(values), dense)
             mine = train & in_batch(ids, batch, batches, seed, epoch)
             if train_grad and mine.any():
-                own, own_ids = x.take(mine), ids[mine]
-                for lo in range(0, len(own_ids), ROWS):
-                    hi = min(lo + ROWS, len(own_ids))
-                    sums[0] += net.add_gradient(own.cut(lo, hi), total, dropout, own_ids[lo:hi], seed, epoch)
-                sums[1] += len(own_ids)
+                sums[0] += net.add_gradient(x.take(mine), total, dropout, ids[mine], seed, epoch)
+                sums[1] += mine.sum()
             if batch == 0 and not train.all():
-                test = x.take(~train)
-                for lo in range(0, len(test.counts), ROWS):
-                    sums[2] += net.errors(test.cut(lo, min(lo + ROWS, len(test.counts)))).sum()
-                sums[3] += len(test.counts)
+                sums[2] += net.errors(x.take(~train)).sum()
+                sums[3] += (~train).sum()
         return total.slots(sums.tolist())
 
-    slots, rows = slot_sums(data.select(*cols), partial, hidden[0] + 1)
+    slots, rows = slot_sums(data, partial, hidden[0] + 1)
     sent.unpersist()
     return Gradient(width, dense, hidden).load(slots, rows, 4)
 
@@ -262,9 +261,9 @@ def fit_sparse_autoencoder(df: DataFrame, positions: int, features: str = "featu
     dense form: its input is the dense features, then the positions."""
     dense = len(df.select(features).first()[0])
     width = dense + positions
-    data = df.repartition(training_partitions(df, dense + 4)).persist(StorageLevel.MEMORY_AND_DISK)
+    cols = [features, indices, values]
+    data = packed(df, training_partitions(df, dense + 4), cols, id_col, split_col)
     theta = mlp.flatten(mlp.init_params(width, hidden, seed)) if init is None else np.array(init, dtype=np.float64)
-    cols = [features, indices, values, id_col, split_col]
 
     def job(theta, epoch, batch, train_grad):
         return _sparse_epoch(data, theta, dense, width, tuple(hidden), final, dropout, seed, epoch, batch, batches, train_grad, cols, block)
