@@ -123,8 +123,10 @@ TRAIN_PARTITION_BYTES = 64 * 1024 ** 2
 
 
 def training_partitions(df: DataFrame, width: int) -> int:
-    """A partition for each 64 MB of doubles (one counting pass), a core at least."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, df.count() * width * 8 // TRAIN_PARTITION_BYTES)
+    """A partition for each 64 MB of doubles (one counting pass), a multiple of the
+    cores, so that no wave of tasks leaves some of them idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-(df.count() * width * 8) // (TRAIN_PARTITION_BYTES * cores))) * cores
 
 
 def train_loop(spark, job, theta: np.ndarray, lr: float, epochs: int, batches: int = 1, state_path: str | None = None,
