@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import bisect
 import json
-import re
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,83 +31,146 @@ GROUP_ROWS = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Distinct parts and words that a task remembers.
+#: Words and parts that a task remembers.
 REMEMBERED = 600_000
-#: Normal form and lower case of these are plain, letter by letter.
-LATIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]+")
+#: Bytes of the texts that are split and looked up at once, about.
+TOGETHER = 8_000_000
+#: By code point (256: all above): normal form and lower case are plain, letter by letter.
+LATIN = np.isin(np.arange(257), [*range(0x20, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
 
 
-class _Words(dict):
-    """Lower-case word of one kind of characters -> its ids, little-endian."""
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, str]:
+    """(where each text's parts between blanks begin and end, which of the
+    different parts each is, the different parts joined by blanks)."""
+    split = pc.ascii_split_whitespace(texts)
+    parts = split.flatten().dictionary_encode()
+    different = pa.ListArray.from_arrays(pa.array([0, len(parts.dictionary)], pa.int32()), parts.dictionary)
+    after = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+    return after, parts.indices.to_numpy(), pc.binary_join(different, pa.scalar(" ", texts.type))[0].as_py()
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.model = tokenizer.model
-        shown = sorted({*range(33, 127), *range(161, 173), *range(174, 256)})      # byte-level alphabet: fixed, public
-        hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: 256 + i for i, b in enumerate(hidden)}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > REMEMBERED:
-            self.clear()
-        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        self[word] = x = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        return x
+def _bytes(data: pa.Buffer | None, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
 
 
-class _Parts(dict):
-    """Text without blanks -> its ids, little-endian.  Plain Latin-1 parts go
-    word by word to the tokenizer's model; all others to the tokenizer."""
+def _joined(values: pa.Array, take: np.ndarray, after: np.ndarray) -> pa.Array:
+    """``values`` at ``take``, put together from one place of ``after`` to the next."""
+    taken = values.take(pa.array(take))
+    _, ends, data = taken.buffers()
+    return _bytes(data, np.frombuffer(ends, np.int64, len(taken) + 1)[after])
+
+
+class _Ids(dict):
+    """Lower-case word of one kind of characters, or part that is no plain
+    Latin-1 -> its number n; its ids are ``ids[starts[n]:starts[n + 1]]``.
+    Words go to the tokenizer's model, other parts to the whole tokenizer."""
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = _Words(self.tokenizer)
+        self.model = self.tokenizer.model
+        self.by_blank = Tokenizer(self.model)
+        self.by_blank.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         kinds = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"   # the tokenizer's own pattern: fixed
         self.kinds = regex.compile(kinds)
-        own = json.loads(self.tokenizer.to_str())
-        self.plain = [x["type"] for x in (own["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and json.dumps(kinds) in json.dumps(own["pre_tokenizer"])
-
-    def __missing__(self, part: str) -> bytes:
-        if not part:
-            return b""
+        normal, split = ({} if x is None else json.loads(x.__getstate__()) for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        self.plain = [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and json.dumps(kinds) in json.dumps(split)
+        shown = sorted({*range(33, 127), *range(161, 173), *range(174, 256)})      # byte-level alphabet: fixed, public
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = np.arange(256, dtype="<u2")
+        self.alphabet[hidden] = 256 + np.arange(len(hidden))
+        self.alphabet[ord(" ")] = ord(" ")      # parts the words
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)     # ids that end a word
+        suffix = getattr(self.model, "end_of_word_suffix", None)
+        if suffix:
+            self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self[""] = 0
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(2, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.update(zip(keys, range(len(self), len(self) + len(keys))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def learn_words(self, words: list[str]) -> None:
+        """New words, in one call of the tokenizer."""
+        shown = " ".join(words)
+        if not shown.isascii():
+            shown = self.alphabet[np.frombuffer(shown.encode(), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.by_blank.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):     # the model doesn't mark the ends of words
+            each = [[t.id for t in self.model.tokenize(x)] for x in shown.split(" ")]
+            ids, ends = np.array([*chain.from_iterable(each)], "<u4"), np.cumsum([len(x) for x in each])
+        self.add(words, ids, ends)
+
+    def learn_parts(self, parts: list[str]) -> None:
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.add(parts, np.array([*chain.from_iterable(each)], "<u4"), np.cumsum([len(x) for x in each]))
+
+    def of(self, whole: str) -> pa.Array:
+        """Ids of different parts, little-endian; the parts come joined by blanks."""
         if len(self) > REMEMBERED:
-            self.clear()
-        if self.plain and LATIN.fullmatch(part) and "<|" not in part:
-            low = part.lower()
-            if low.isalpha():
-                x = self.words[low]
-            elif low[-1] in ".,!" and low[:-1].isalpha():
-                x = self.words[low[:-1]] + self.words[low[-1]]
-            else:
-                x = b"".join(map(self.words.__getitem__, self.kinds.findall(low)))
-        else:
-            x = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        self[part] = x
-        return x
-
-
-#: The tokenizer splits at white space before anything else, so parts between these blanks are encoded apart.
-BLANKS = "\t\n\x0b\x0c\r"
-
-
-def encode(text: str | None, cache: _Parts) -> bytes:
-    if not text:
-        return b""
-    for blank in BLANKS:
-        text = text.replace(blank, " ")
-    return b"".join(map(cache.__getitem__, text.split(" ")))
+            self.forget()
+        spaced = [
+            x if x.isalpha() else f"{x[:-1]} {x[-1]}" if x[-1:] in ".,!" and x[:-1].isalpha() else " ".join(self.kinds.findall(x))
+            for x in whole.lower().split(" ")]
+        others: set[str] = set()
+        odd = self.beyond(whole) if self.plain else range(len(spaced))
+        if odd:
+            parts = whole.split(" ")
+            for i in odd:
+                spaced[i] = parts[i]
+            others = {parts[i] for i in odd}
+        after, which, words = _split(pa.array(spaced, pa.large_string()))
+        words = words.split(" ")
+        new = [x for x in words if x not in self]
+        if some := [x for x in new if x not in others] if others else new:
+            self.learn_words(some)
+        if some := [x for x in new if x in others] if others else []:
+            self.learn_parts(some)
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return _joined(_bytes(pa.py_buffer(self.ids), 4 * self.starts), number[which], after)
+
+    @staticmethod
+    def beyond(whole: str) -> list[int]:
+        """Which of the parts aren't plain Latin-1, or may hold a special token."""
+        points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        odd = ~LATIN[np.minimum(points, 256)]
+        odd[:-1] |= (points[:-1] == ord("<")) & (points[1:] == ord("|"))
+        return np.unique(np.searchsorted(np.flatnonzero(points == ord(" ")), np.flatnonzero(odd))).tolist()
+
+
+def encode(texts: pa.Array, cache: _Ids) -> list[bytes]:
+    """Ids of each text, little-endian; none of a null.  The tokenizer splits
+    at white space before anything else, so different parts between blanks are
+    encoded once for all these texts."""
+    after, which, parts = _split(texts.cast(pa.large_string()).fill_null(""))
+    return _joined(cache.of(parts), which, after).to_pylist()
+
+
+def _together(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in order, some at a time."""
+    group = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy()) // TOGETHER
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in pairwise(cuts) if b > a)
 
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end = _Parts(path), np.array([END], "<u4").tobytes()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
+        cache, end = _Ids(path), np.array([END], "<u4").tobytes()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py(), cache) + end
+            texts = chain.from_iterable(encode(some, cache) for some in _together(batch.column(1)))
+            for doc, ids in zip(batch.column(0).to_pylist(), texts):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for out, x in zip(rows, (doc, i, at // 4, len(part) // 4, zlib.crc32(part))):

@@ -7,6 +7,7 @@ import zlib
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from brute import texts
 from fixtures import documents, empty, odd  # noqa: F401
 
@@ -220,6 +221,56 @@ def test_packing(spark, documents, odd, empty, monkeypatch):
     assert pack_documents(empty, PATH).collect() == []
 
 
+def whole_tokenizer(texts):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(PATH)
+    return [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_packing_encodes_new_words_in_one_call():
+    """As many calls as words took most of the operator's time."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeghinorstuäéß", k=rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(x.title() + rng.choice(["", ",", ".", "!?"]) for x in words[i:i + 100]) for i in range(0, 3000, 100)]
+    cache, calls = packing._Ids(PATH), []
+
+    class Counted:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.of, name)
+
+    for part in ("tokenizer", "model", "by_blank"):
+        setattr(cache, part, Counted(getattr(cache, part)))
+    want = whole_tokenizer(texts)
+    assert list(packing.encode(pa.array(texts), cache)) == want and len(calls) == 1
+    assert list(packing.encode(pa.array(texts), cache)) == want and len(calls) == 1
+
+
+def test_packing_of_slices_of_texts_and_after_forgetting(monkeypatch):
+    rng = random.Random(5)
+    odd = ["don't", "'S", "Σς", "ΑΣ", "İx", "½", "<|endoftext|>", "x<|startoftext|>", "<", "|", "é\x85b\x1cc", "日本語", "naïve,é!", "a\xa0b", "\xad", "#!*", "2024-01-02", "</w>", "\x00", "ª.", "e\u0301", "😀", "’tis", "µ,", "..", "Ünï!"]
+    words = odd + ["".join(rng.choices("ABcdeé", k=rng.randint(1, 5))) for _ in range(300)]
+    texts = [None, "", " ", "\n\t ", *("".join(x + rng.choice([" ", "  ", "\n", "\r\n", "\x0b", "\x0c", "\t"]) for x in rng.choices(words, k=rng.randint(0, 60))) for _ in range(120)), " ".join(words * 20)]
+    want = [x + np.array([1], "<u4").tobytes() for x in whole_tokenizer(texts)]
+    ids = pa.array([None if i == 3 else i for i in range(len(texts))], pa.int64())
+    batches = [pa.record_batch([ids, pa.array(texts, pa.string())], ["doc_id", "text"]).slice(a, b - a) for a, b in ((0, 1), (1, 1), (1, 70), (70, len(texts)))]
+    for remembered, together in ((40, 500), (100_000, 1), (100_000, 1 << 30)):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        monkeypatch.setattr(packing, "TOGETHER", together)
+        got = pa.Table.from_batches(list(packing._pieces(PATH, 64)(iter(batches)))).to_pylist()
+        assert [tuple(r.values()) for r in got] == [
+            (None if i == 3 else i, n, at // 4, len(x[at:at + 256]) // 4, zlib.crc32(x[at:at + 256])) for i, x in enumerate(want) for n, at in enumerate(range(0, len(x), 256))]
+    cache = packing._Ids(PATH)
+    cache.last[:] = False       # a model that doesn't mark the ends of words
+    assert list(packing.encode(pa.array(texts), cache)) == [x[:-4] for x in want]
+    cache = packing._Ids(PATH)
+    cache.plain = False         # an unknown tokenizer
+    assert list(packing.encode(pa.array(texts), cache)) == [x[:-4] for x in want]
+
+
 ARTICLE = "<nav><ul><li><a href=x>Menu</a></li></ul></nav><article><h1>Title</h1><p>First words of the text. More of it here.</p>{}<p>And a last paragraph of it. Yes.</p></article><footer>foot</footer>"
 
 
