@@ -11,11 +11,12 @@ the evaluation loss of the held-out rows under the current weights.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -57,37 +58,79 @@ def in_batch(ids: np.ndarray, batch: int, batches: int, seed: int, epoch: int) -
 ROWS = 512
 
 
+def _compact(x: np.ndarray) -> bytes:
+    """A block's features (row, feature), bit for bit: a feature with few values in the
+    block as their table and a byte a row, the others as they are."""
+    cols = np.ascontiguousarray(x.T, dtype=np.float64)
+    coded, plain, tables, codes = [], [], [], []
+    for k, bits in enumerate(cols.view(np.int64)):
+        values, code = np.unique(bits, return_inverse=True)
+        if len(values) <= min(256, len(bits) // 4):
+            coded.append(k)
+            tables.append(values)
+            codes.append(code.astype(np.uint8))
+        else:
+            plain.append(k)
+    starts = np.cumsum([0, *map(len, tables)])[:-1]
+    table = np.concatenate(tables).view(np.float64) if tables else np.empty(0)
+    return pickle.dumps((cols.shape, np.array(coded, int), starts, table, np.array(codes, np.uint8).reshape(len(codes), len(x)), np.array(plain, int), cols[plain]), protocol=5)
+
+
+def _restored(data) -> pa.Array:
+    """``_compact``'s features, a list a row."""
+    shape, coded, starts, table, codes, plain, rest = pickle.loads(data)
+    cols = np.empty(shape)
+    cols[plain] = rest
+    if len(coded):
+        cols[coded] = table[codes + starts[:, None]]
+    d, n = shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * d), pa.array(cols.T.ravel()))
+
+
 def packed(df: DataFrame, partitions: int, features: list[str], id_col: str, split_col: str | None) -> DataFrame:
-    """``df`` dealt to ``partitions`` as rows ``(block)``: ``ROWS`` rows each, their
-    ``features`` columns, ``id`` and ``train``, as an Arrow stream in bytes.  Packed
-    once and cached, so that an epoch reads arrays and no row is converted again."""
+    """``df`` dealt to ``partitions`` as rows of ``ROWS`` rows each, all of them 'train' rows
+    or none: the first of the ``features`` columns (lists of one length) in compact form, the
+    others, ``id`` and ``train`` as an Arrow stream in bytes.  Packed once and cached, so that an
+    epoch reads arrays and no row is converted again."""
     train = F.coalesce(F.col(split_col) == "train", F.lit(False)) if split_col else F.lit(True)
     # a NULL id is the smallest number
     rows = df.select(*features, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), train.alias("train"))
+    dense = features[0]
 
     def run(batches):
         for batch in batches:
-            blocks = []
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
-                out = pa.BufferOutputStream()
-                with pa.ipc.new_stream(out, part.schema) as stream:
-                    stream.write_batch(part)
-                blocks.append(out.getvalue().to_pybytes())
+            compact, blocks, train = [], [], batch.column("train")
+            for rows in (batch.filter(train), batch.filter(pc.invert(train))):
+                for lo in range(0, rows.num_rows, ROWS):
+                    part = rows.slice(lo, ROWS)
+                    x = part.column(dense).flatten().to_numpy(zero_copy_only=False)
+                    compact.append(_compact(x.reshape(part.num_rows, -1)))
+                    part = part.drop_columns([dense])
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, part.schema) as stream:
+                        stream.write_batch(part)
+                    blocks.append(out.getvalue().to_pybytes())
             if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+                yield pa.RecordBatch.from_arrays([pa.array(compact, pa.binary()), pa.array(blocks, pa.binary())], [dense, "block"])
 
-    return rows.repartition(partitions).mapInArrow(run, "block binary").persist(StorageLevel.MEMORY_AND_DISK)
+    return rows.repartition(partitions).mapInArrow(run, T.StructType([T.StructField(dense, T.BinaryType()), T.StructField("block", T.BinaryType())])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def unpacked(batches):
-    """The blocks of ``packed``: (record batch, ids, which are 'train' rows)."""
+    """The blocks of ``packed``: (record batch, ids, which are 'train' rows: all or none)."""
     for batch in batches:
-        for block in batch.column(0):
+        dense = batch.schema.names[0]
+        for compact, block in zip(batch.column(0), batch.column(1)):
             rows = pa.ipc.open_stream(block.as_buffer()).read_next_batch()
+            rows = pa.RecordBatch.from_arrays([_restored(compact.as_buffer()), *rows.columns], [dense, *rows.schema.names])
             yield rows, rows.column("id").to_numpy(), rows.column("train").to_numpy(zero_copy_only=False)
 
 
+def dense_rows(lists: pa.Array, d: int) -> np.ndarray:
+    """A column of feature lists as a matrix."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
+
+
 def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dropout: float, seed: int, epoch: int,
                features: str, train_grad: bool, batch: int = 0, batches: int = 1):
     """One pass over ``packed`` data: summed gradient of the 'train' rows (of a
@@ -97,34 +140,34 @@ def _epoch_job(data: DataFrame, vec: np.ndarray, d: int, hidden, final: str, dro
     bvec = data.sparkSession.sparkContext.broadcast(vec)
 
     def partial(chunks):
-        params = mlp.unflatten(bvec.value, d, hidden)
-        g = np.zeros(n_par)
+        net = mlp.Net(mlp.unflatten(bvec.value, d, hidden), final, dropout, seed, epoch)
+        g = net.zeros()
         tr_loss = tr_n = te_loss = te_n = 0.0
-        for rows, ids, is_train in unpacked(chunks):
-            X = rows.column(features).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, d)
-            mine = is_train & in_batch(ids, batch, batches, seed, epoch)
-            if train_grad and mine.any():
-                l, gr = mlp.loss_and_grad(X[mine], params, final, dropout, ids[mine], seed, epoch)
-                g += gr
-                tr_loss += l
-                tr_n += mine.sum()
-            if batch == 0 and not is_train.all():
-                test = X[~is_train]
-                te_loss += float(((mlp.forward(test, params, final) - test) ** 2).sum() / d)
-                te_n += len(test)
-        return np.concatenate([g, [tr_loss, tr_n, te_loss, te_n]])
+        for rows, ids, train in unpacked(chunks):
+            X, is_train = dense_rows(rows.column(features), d), train[0]
+            if is_train and train_grad:
+                if batches > 1:
+                    mine = in_batch(ids, batch, batches, seed, epoch)
+                    X, ids = X[mine], ids[mine]
+                if len(ids):
+                    tr_loss += net.add_gradient(X, ids, g)
+                    tr_n += len(ids)
+            elif batch == 0 and not is_train:
+                te_loss += float(net.errors(X).sum())
+                te_n += len(ids)
+        return np.concatenate([net.flat(g), [tr_loss, tr_n, te_loss, te_n]])
 
     total = partition_sums(data, partial, n_par + 4, arrow=True)
     bvec.unpersist()
     return total[:n_par], total[n_par:]
 
 
-TRAIN_PARTITION_BYTES = 64 * 1024 ** 2
+TRAIN_PARTITION_BYTES = 256 * 1024 ** 2
 
 
 def training_partitions(df: DataFrame, width: int) -> int:
-    """A partition for each 64 MB of doubles (one counting pass), a multiple of the
-    cores, so that no wave of tasks leaves some of them idle."""
+    """A partition for each 256 MB of doubles (one counting pass; compact blocks are smaller,
+    and a task holds one of them), a multiple of the cores, so that no wave of tasks leaves some of them idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return max(1, -(-(df.count() * width * 8) // (TRAIN_PARTITION_BYTES * cores))) * cores
 
@@ -240,18 +283,22 @@ def history(model: AutoencoderModel, spark) -> DataFrame:
     return spark.createDataFrame(model.history, "epoch int, train_loss double, test_loss double")
 
 
+def _blocks(x: pa.Array, d: int):
+    """A column of feature lists as matrices of ``ROWS`` rows."""
+    flat = dense_rows(x, d)
+    return (flat[lo:lo + ROWS] for lo in range(0, len(flat), ROWS))
+
+
 def _scorer(model: AutoencoderModel, spark, encode_only: bool):
     bw = spark.sparkContext.broadcast(model.weights)
     d, hidden, final = model.input_dim, model.hidden, model.final
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(x: pd.Series) -> pd.Series:
-        params = mlp.unflatten(bw.value, d, hidden)
-        if len(x) == 0:
-            return pd.Series([], dtype=object)
-        X = np.stack(x.to_numpy()).astype(np.float64)
-        Y = mlp.forward(X, params, final, encode_only=encode_only)
-        return pd.Series(list(Y))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(x: pa.Array) -> pa.Array:
+        net = mlp.Net(mlp.unflatten(bw.value, d, hidden), final)
+        out = [net.forward(part, encode_only).T.ravel() for part in _blocks(x, d)]
+        flat = np.concatenate(out) if out else np.empty(0)
+        return pa.ListArray.from_arrays(pa.array(np.linspace(0, len(flat), len(x) + 1).astype(np.int32)), pa.array(flat))
     return run
 
 
@@ -268,13 +315,10 @@ def with_error(df: DataFrame, model: AutoencoderModel, features: str = "features
     bw = df.sparkSession.sparkContext.broadcast(model.weights)
     d, hidden, final = model.input_dim, model.hidden, model.final
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="float64")
-        X = np.stack(x.to_numpy()).astype(np.float64)
-        Y = mlp.forward(X, mlp.unflatten(bw.value, d, hidden), final)
-        return pd.Series(((X - Y) ** 2).mean(axis=1))
+    @F.arrow_udf("double")
+    def run(x: pa.Array) -> pa.Array:
+        net = mlp.Net(mlp.unflatten(bw.value, d, hidden), final)
+        return pa.array(np.concatenate([np.empty(0), *(net.errors(part) for part in _blocks(x, d))]))
     return df.withColumn(out, run(F.col(features)))
 
 

@@ -33,23 +33,51 @@ def hashed_uniform(seed: int, epoch: int, layer: int, ids: np.ndarray, width: in
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def dropout_factor(dropout: float, seed: int, epoch: int, layer: int, ids: np.ndarray, width: int, first: int = 0) -> np.ndarray:
-    """``(hashed_uniform(...) >= dropout) / (1 - dropout)``, without the floats
-    between: the hash's top 53 bits are compared as integers, in place."""
+#: Numbers that are worked on at once: they stay in a core's cache.
+PART = 32768
+
+
+def _hash_parts(seed: int, epoch: int, layer: int, ids: np.ndarray, width: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_mix`` of a row's and a unit's hash goes on from, after its first step, which is that of each."""
     with np.errstate(over="ignore"):
         base = _mix(np.uint64(seed) * _GOLD + np.uint64(epoch) * _M1 + np.uint64(layer) * _M2)
-        rows = _mix(ids.astype(np.uint64) ^ base)[:, None]
-        units = _mix(np.arange(first, first + width, dtype=np.uint64) * _GOLD + base)[None, :]
-        h = rows ^ units
-        t = h >> np.uint64(30)
-        h ^= t
-        h *= _M1
-        np.right_shift(h, np.uint64(27), out=t)
-        h ^= t
-        h *= _M2
-        np.right_shift(h, np.uint64(31), out=t)
-        h ^= t
-    return np.where(h >= np.uint64(math.ceil(dropout * (1 << 53)) << 11), 1.0 / (1.0 - dropout), 0.0)
+        units = _mix(np.arange(first, first + width, dtype=np.uint64) * _GOLD + base)
+        rows = _mix(ids.astype(np.uint64) ^ base)
+    return rows ^ (rows >> np.uint64(30)), units ^ (units >> np.uint64(30))
+
+
+def _kept(rows: np.ndarray, units: np.ndarray, least: np.uint64, h: np.ndarray, t: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The hash of some units (unit, row), compared in place; ``h`` and ``t`` are arrays to use."""
+    np.bitwise_xor(units[:, None], rows, out=h)
+    np.multiply(h, _M1, out=h)
+    np.right_shift(h, np.uint64(27), out=t)
+    np.bitwise_xor(h, t, out=h)
+    np.multiply(h, _M2, out=h)
+    np.right_shift(h, np.uint64(31), out=t)
+    np.bitwise_xor(h, t, out=h)
+    return np.greater_equal(h, least, out=out)
+
+
+def _least(dropout: float) -> np.uint64:
+    """The hash from which on a unit is kept: its top 53 bits are compared as integers."""
+    return np.uint64(math.ceil(dropout * (1 << 53)) << 11)
+
+
+def dropout_kept(dropout: float, seed: int, epoch: int, layer: int, ids: np.ndarray, width: int, first: int = 0) -> np.ndarray:
+    """``hashed_uniform(...) >= dropout``, transposed (unit, row), without the floats between."""
+    rows, units = _hash_parts(seed, epoch, layer, ids, width, first)
+    out = np.empty((width, len(ids)), bool)
+    step = max(1, PART // max(1, len(ids)))
+    work = np.empty((2, min(step, width), len(ids)), np.uint64)
+    for lo in range(0, width, step):
+        m = min(step, width - lo)
+        _kept(rows, units[lo:lo + m], _least(dropout), work[0, :m], work[1, :m], out[lo:lo + m])
+    return out
+
+
+def dropout_factor(dropout: float, seed: int, epoch: int, layer: int, ids: np.ndarray, width: int, first: int = 0) -> np.ndarray:
+    """``(hashed_uniform(...) >= dropout) / (1 - dropout)``."""
+    return np.multiply(dropout_kept(dropout, seed, epoch, layer, ids, width, first).T, 1.0 / (1.0 - dropout), order="C")
 
 
 def layer_sizes(d: int, hidden: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -85,50 +113,138 @@ def unflatten(vec: np.ndarray, d: int, hidden: tuple[int, ...]):
     return out
 
 
+class Net:
+    """Passes over blocks of rows with the same weights.  A layer's activations are
+    transposed (unit, row), so that each pass runs along the rows, and end in a row of ones,
+    which the biases go by; their arrays serve the next block again."""
+
+    def __init__(self, params, final: str = "relu", dropout: float = 0.0, seed: int = 0, epoch: int = 0):
+        self.final, self.dropout, self.seed, self.epoch = final, dropout, seed, epoch
+        self.scale = 1.0 / (1.0 - dropout)
+        self.weights = [np.column_stack([W, b]) for W, b in params]
+        # the dropout's 1 / (1 - dropout) is left out of a layer's output; the next layer's weights have it
+        self.trained = [np.column_stack([W * self.scale if li else W, b]) for li, (W, b) in enumerate(params)] if dropout > 0 else self.weights
+        self._held: dict = {}
+
+    def _array(self, name, rows: int, n: int, dtype=np.float64) -> np.ndarray:
+        held = self._held.get(name)
+        if held is None or held.size < rows * n:
+            held = self._held[name] = np.empty(rows * n, dtype)
+        return held[:rows * n].reshape(rows, n)
+
+    def _input(self, X: np.ndarray) -> np.ndarray:
+        a = self._array("input", X.shape[1] + 1, len(X))
+        a[:-1] = X.T
+        a[-1] = 1.0
+        return a
+
+    def _product(self, li: int, W: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """A layer before its activation, and the row of ones."""
+        out = self._array(("output", li), len(W) + 1, a.shape[1])
+        np.matmul(W, a, out=out[:-1])
+        out[-1] = 1.0
+        return out
+
+    def forward(self, X: np.ndarray, encode_only: bool = False) -> np.ndarray:
+        """Evaluation: the output (unit, row), valid until the next block."""
+        a = self._input(X)
+        for li, W in enumerate(self.weights[:len(self.weights) // 2 if encode_only else None]):
+            a = self._product(li, W, a)
+            if li < len(self.weights) - 1 or self.final != "linear":
+                np.maximum(a[:-1], 0.0, out=a[:-1])
+        return a[:-1]
+
+    def errors(self, X: np.ndarray) -> np.ndarray:
+        """Each row's mean squared reconstruction error."""
+        diff = self.forward(X)
+        diff -= X.T
+        return np.einsum("dn,dn->n", diff, diff) / X.shape[1]
+
+    def _parts(self, units: int, n: int) -> list[slice]:
+        """Some units at once, whose numbers stay in a core's cache."""
+        step = max(1, PART // max(1, n))
+        return [slice(lo, min(lo + step, units)) for lo in range(0, units, step)]
+
+    def _activate(self, li: int, act: np.ndarray, ids, relu: bool, first: int = 0) -> np.ndarray | None:
+        """Training: cuts ``act`` by the ReLU and the dropout (units ``first`` and on), whose
+        factor is left out; returns where neither cut, or None."""
+        if not relu and self.dropout == 0:
+            return None
+        units, n = act.shape
+        kept, parts = self._array(("kept", li), units, n, bool), self._parts(units, n)
+        h, t = (self._array(x, parts[0].stop, n, np.uint64) for x in ("hash", "shifted"))
+        positive = self._array("positive", parts[0].stop, n, bool)
+        if self.dropout > 0:
+            hashed, unit = _hash_parts(self.seed, self.epoch, li, ids, units, first)
+        for p in parts:
+            m = p.stop - p.start
+            if relu:
+                np.greater(act[p], 0.0, out=positive[:m] if self.dropout > 0 else kept[p])
+            if self.dropout > 0:
+                _kept(hashed, unit[p], _least(self.dropout), h[:m], t[:m], kept[p])
+                if relu:
+                    np.logical_and(kept[p], positive[:m], out=kept[p])
+            np.multiply(act[p], kept[p], out=act[p])
+        return kept
+
+    def _back(self, li: int, g: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """The gradient of the layer before's activations, cut like them."""
+        W = self.trained[li][:, :-1].T
+        back = self._array(("back", li), len(W), g.shape[1])
+        for p in self._parts(*back.shape):
+            np.matmul(W[p], g, out=back[p])
+            np.multiply(back[p], kept[p], out=back[p])
+        return back
+
+    def trained_layers(self, X: np.ndarray, ids) -> tuple[np.ndarray, list]:
+        """Training: the output without the last dropout's factor, and (input, kept) of each layer."""
+        a, cache = self._input(X), []
+        for li, W in enumerate(self.trained):
+            out = self._product(li, W, a)
+            cache.append((a, self._activate(li, out[:-1], ids, li < len(self.trained) - 1 or self.final != "linear")))
+            a = out
+        return a[:-1], cache
+
+    def zeros(self) -> list[np.ndarray]:
+        """A sum of gradients to add to."""
+        return [np.zeros(W.shape) for W in self.weights]
+
+    def add_gradient(self, X: np.ndarray, ids, total: list[np.ndarray]) -> float:
+        """Add the gradient of the rows' MSE to ``total``; returns the sum of the rows' MSE."""
+        g, cache = self.trained_layers(X, ids)
+        d = X.shape[1]
+        if self.dropout > 0:
+            g *= self.scale
+        g -= cache[0][0][:-1]
+        loss = float(np.vdot(g, g) / d)
+        g *= 2.0 * self.scale / d
+        if cache[-1][1] is not None:
+            g *= cache[-1][1]
+        for li in reversed(range(len(cache))):
+            total[li] += np.matmul(g, cache[li][0].T, out=self._array(("gradient", li), *total[li].shape))
+            if li:
+                g = self._back(li, g, cache[li - 1][1])
+        return loss
+
+    def flat(self, total: list[np.ndarray]) -> np.ndarray:
+        """The sum of gradients as a vector like the weights'."""
+        return flatten([(g[:, :-1] * self.scale if li else g[:, :-1], g[:, -1]) for li, g in enumerate(total)])
+
+
 def forward(X: np.ndarray, params, final: str = "relu", dropout: float = 0.0, ids: np.ndarray | None = None,
-            seed: int = 0, epoch: int = 0, keep_cache: bool = False, encode_only: bool = False):
+            seed: int = 0, epoch: int = 0, encode_only: bool = False):
     """ReLU after every layer (the last too unless ``final='linear'``);
     dropout after every layer when ``dropout > 0`` (training)."""
-    a = X
-    cache = []
-    n_layers = len(params)
-    stop = n_layers // 2 if encode_only else n_layers
-    for li, (W, b) in enumerate(params[:stop]):
-        act = a @ W.T
-        act += b
-        factor = None       # of this layer's gradient: 0 where the ReLU or the dropout cut
-        linear = li == n_layers - 1 and final == "linear"
-        if dropout > 0:
-            factor = dropout_factor(dropout, seed, epoch, li, ids, act.shape[1])
-        if not linear:
-            if keep_cache:
-                factor = (act > 0).astype(np.float64) if factor is None else np.multiply(factor, act > 0, out=factor)
-            np.maximum(act, 0.0, out=act)
-        if factor is not None and dropout > 0:
-            act *= factor
-        if keep_cache:
-            cache.append((a, factor))
-        a = act
-    return (a, cache) if keep_cache else a
+    net = Net(params, final, dropout, seed, epoch)
+    return net.trained_layers(X, ids)[0].T * net.scale if dropout > 0 else net.forward(X, encode_only).T
 
 
 def loss_and_grad(X: np.ndarray, params, final: str = "relu", dropout: float = 0.0, ids=None, seed: int = 0,
                   epoch: int = 0):
     """Sum over rows of the per-row MSE and of its gradient (flattened)."""
-    Y, cache = forward(X, params, final, dropout, ids, seed, epoch, keep_cache=True)
-    d = X.shape[1]
-    g = Y - X
-    loss_sum = float(np.vdot(g, g) / d)
-    g *= 2.0 / d
-    grads = [None] * len(params)
-    for li in reversed(range(len(params))):
-        a_prev, factor = cache[li]
-        if factor is not None:
-            g *= factor
-        grads[li] = (g.T @ a_prev, g.sum(axis=0))
-        if li:
-            g = g @ params[li][0]
-    return loss_sum, flatten(grads)
+    net = Net(params, final, dropout, seed, epoch)
+    loss = net.add_gradient(X, ids, total := net.zeros())
+    return loss, net.flat(total)
 
 
 class Adam:

@@ -42,9 +42,11 @@ def train_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: f
                    patience: int | None = None, batches: int = 1, mode: str = "batch"):
     """Fit the detector; features, vocabulary, scaler and network come from the
     whole log (``mode='window'``: for ``streaming.streams.score_with_window_counts``).  ``patience`` stops early, ``batches`` are the steps of an epoch."""
-    vec, spec, scaler = prepare(log, mode=mode)
-    # the features are derived once, not again for each pass that training makes
-    tagged = cut_lineage(split(vec, train_fraction, seed), "training-rows")
+    # the features are derived once, not again for the scaler and each pass that training makes
+    feats, spec = derive_features(log, mode=mode)
+    feats = cut_lineage(split(feats, train_fraction, seed, out="__split"), "training-rows")
+    scaler = fit_scaler(feats, [n for n in spec.names if spec.scale_onehot or n not in spec.onehot_names()]).collect()
+    tagged = to_vector(apply_scaler(feats, scaler), spec.names, keep=("log_id", "__split")).withColumnRenamed("__split", "split")
     model = AE.fit_autoencoder(tagged, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed, final=final,
                                feature_names=spec.names, state_path=state_path, patience=patience, batches=batches)
     model.scaler = dict(scaler.params)
@@ -72,29 +74,46 @@ def prepare_sparse(log: DataFrame, spec: FeatureSpec | None = None, scaler: Scal
     """``prepare`` with the endpoint one-hots as ``indices`` and ``values``: scaled
     dense ``features``, the feature contract, the scaler, the vocabularies (stored
     tables) and their size.  The one-hots stay 0/1, as ``scale_onehot=False``."""
-    if vocabularies is None:
-        roles = detect_roles(log.schema, "typed")
-        vocabularies = {c: cut_lineage(indexed_vocabulary(log, c), f"vocabulary-{c}") for c in roles["endpoint"] if dict(log.dtypes)[c] == "string"}
-    hot, positions = one_hot_indices(log, vocabularies, "__indices", "__values")
-    feats, new_spec = derive_features(hot, mode="batch", id_col=id_col, names=spec.names if spec else None, carry="__row",
-                                      stored_counts=stored_counts, dense_onehot=False)
+    vocabularies = _vocabularies(log) if vocabularies is None else vocabularies
+    feats, new_spec, positions = _sparse_features(log, vocabularies, spec, id_col, stored_counts)
     spec = spec or new_spec
     missing = [n for n in spec.names if n not in feats.columns]
     if missing:
         raise ValueError(f"the log gives no {missing}")
     scaler = scaler or fit_scaler(feats, spec.names).collect()
-    vec = to_vector(apply_scaler(feats, scaler), spec.names, "features", keep=(id_col, "__row"))
     row = [F.struct(*[F.col("__row")[c].alias(c) for c in log.columns]).alias(carry)] if carry else []
-    out = vec.select(id_col, "features", F.col("__row.__indices").alias("indices"), F.col("__row.__values").alias("values"), *row)
-    return out, spec, scaler, vocabularies, positions
+    return _sparse_vectors(feats, spec, scaler, id_col).select(id_col, "features", "indices", "values", *row), spec, scaler, vocabularies, positions
+
+
+def _vocabularies(log: DataFrame) -> dict[str, DataFrame]:
+    roles = detect_roles(log.schema, "typed")
+    return {c: cut_lineage(indexed_vocabulary(log, c), f"vocabulary-{c}") for c in roles["endpoint"] if dict(log.dtypes)[c] == "string"}
+
+
+def _sparse_features(log: DataFrame, vocabularies: dict[str, DataFrame], spec: FeatureSpec | None = None, id_col: str = "log_id", stored_counts=None):
+    """(unscaled features with the log's row and its one-hots in ``__row``, feature contract, positions)."""
+    hot, positions = one_hot_indices(log, vocabularies, "__indices", "__values")
+    feats, new_spec = derive_features(hot, mode="batch", id_col=id_col, names=spec.names if spec else None, carry="__row",
+                                      stored_counts=stored_counts, dense_onehot=False)
+    return feats, new_spec, positions
+
+
+def _sparse_vectors(feats: DataFrame, spec: FeatureSpec, scaler: Scaler, id_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    vec = to_vector(apply_scaler(feats, scaler), spec.names, "features", keep=(id_col, "__row", *keep))
+    return vec.withColumns({"indices": F.col("__row.__indices"), "values": F.col("__row.__values")})
 
 
 def train_sparse_detector(log: DataFrame, epochs: int = 50, hidden=(128, 64, 32), lr: float = 1e-3, dropout: float = 0.2, seed: int = 42,
                           train_fraction: float = 0.8, final: str = "relu", state_path: str | None = None, patience: int | None = None,
                           batches: int = 1):
     """``train_detector`` for endpoints of any number: (model, spec, vocabularies)."""
-    vec, spec, scaler, vocabularies, positions = prepare_sparse(log)
-    tagged = cut_lineage(split(vec, train_fraction, seed), "training-rows")
+    vocabularies = _vocabularies(log)
+    feats, spec, positions = _sparse_features(log, vocabularies)
+    row = F.struct("__row.__indices", "__row.__values").alias("__row")
+    # the features are derived once, as in ``train_detector``
+    feats = cut_lineage(split(feats.withColumn("__row", row), train_fraction, seed, out="__split"), "training-rows")
+    scaler = fit_scaler(feats, spec.names).collect()
+    tagged = _sparse_vectors(feats, spec, scaler, "log_id", ("__split",)).select("log_id", "features", "indices", "values", F.col("__split").alias("split"))
     model = fit_sparse_autoencoder(tagged, positions, hidden=hidden, lr=lr, epochs=epochs, dropout=dropout, seed=seed, final=final,
                                    feature_names=spec.names, state_path=state_path, patience=patience, batches=batches)
     model.scaler = dict(scaler.params)
