@@ -15,13 +15,12 @@ numbers), never rows of the log.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loghawk.operators import mlp
-from loghawk.operators.autoencoder import ROWS, AutoencoderModel, in_batch, packed, train_loop, training_partitions, unpacked
+from loghawk.operators.autoencoder import ROWS, AutoencoderModel, dense_rows, in_batch, packed, train_loop, training_partitions, unpacked
 from loghawk.operators.features import endpoint_vocabulary
 from loghawk.plans.joins import lookup_join
 from loghawk.plans.ordered import with_global_index
@@ -61,13 +60,11 @@ class SparseRows:
         self.ends = np.cumsum(counts)
 
     @staticmethod
-    def of(features, indices, values, width: int) -> "SparseRows":
-        """From pandas or Arrow columns of lists; ``width``: dense features."""
-        lists = [pa.array(x) if isinstance(x, pd.Series) else x for x in (features, indices, values)]
-        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
-        dense = flat[0].astype(np.float64).reshape(len(lists[0]), width)
-        counts = lists[1].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        return SparseRows(dense, counts, flat[1].astype(np.int64) + width, flat[2].astype(np.float64))
+    def of(dense: np.ndarray, indices: pa.Array, values: pa.Array) -> "SparseRows":
+        """From the dense features and Arrow columns of lists."""
+        positions, numbers = (x.flatten().to_numpy(zero_copy_only=False) for x in (indices, values))
+        counts = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return SparseRows(dense, counts, positions.astype(np.int64) + dense.shape[1], numbers.astype(np.float64))
 
     def take(self, mask: np.ndarray) -> "SparseRows":
         each = np.repeat(mask, self.counts)
@@ -90,100 +87,98 @@ class SparseRows:
         return out
 
     def block(self, first: int, end: int) -> np.ndarray:
-        """Positions first..end-1 as a dense matrix."""
-        out = np.zeros((len(self.counts), end - first))
+        """Positions first..end-1 as a dense matrix (position, row)."""
+        out = np.zeros((end - first, len(self.counts)))
         d = self.dense.shape[1]
         if first < d:
-            out[:, : min(d, end) - first] = self.dense[:, first:end]
+            out[: min(d, end) - first] = self.dense[:, first:end].T
         here = (self.positions >= first) & (self.positions < end)
-        np.add.at(out, (self.rows()[here], self.positions[here] - first), self.values[here])
+        np.add.at(out, (self.positions[here] - first, self.rows()[here]), self.values[here])
         return out
 
 
-class SparseNet:
+class SparseNet(mlp.Net):
     """Forward and backward pass over sparse rows, with the same result as
-    ``mlp.loss_and_grad`` over their dense form."""
-
-    def __init__(self, theta: np.ndarray, width: int, hidden: tuple[int, ...], final: str = "relu", block: int = BLOCK):
-        self.width, self.final, self.block = width, final, block
-        self.params = mlp.unflatten(theta, width, hidden)
-        self.columns = np.ascontiguousarray(self.params[0][0].T)
-
-    def _hidden(self, x: SparseRows, dropout: float = 0.0, ids=None, seed: int = 0, epoch: int = 0, keep: bool = False):
-        """All layers but the last: (activations, [(input, factor of the gradient, with ``keep``)])."""
-        cache, a = [], None
-        for li, (W, b) in enumerate(self.params[:-1]):
-            act = x.times(self.columns) if li == 0 else a @ W.T
-            act += b
-            factor = None
-            if dropout > 0:
-                factor = mlp.dropout_factor(dropout, seed, epoch, li, ids, act.shape[1])
-            if keep:
-                factor = (act > 0).astype(np.float64) if factor is None else np.multiply(factor, act > 0, out=factor)
-            np.maximum(act, 0.0, out=act)
-            if dropout > 0:
-                act *= factor
-            cache.append((a, factor))
-            a = act
-        return a, cache
+    ``mlp.Net`` over their dense form."""
+
+    def __init__(self, theta: np.ndarray, width: int, hidden: tuple[int, ...], final: str = "relu", block: int = BLOCK,
+                 dropout: float = 0.0, seed: int = 0, epoch: int = 0):
+        params = mlp.unflatten(theta, width, hidden)
+        super().__init__(params, final, dropout, seed, epoch)
+        self.width, self.block = width, block
+        self.columns = np.ascontiguousarray(params[0][0].T)
+
+    def _first(self, x: SparseRows) -> np.ndarray:
+        """The first layer before its activation, and the row of ones."""
+        out = self._array(("output", 0), self.columns.shape[1] + 1, len(x.counts))
+        out[:-1] = x.times(self.columns).T
+        out[:-1] += self.weights[0][:, -1:]
+        out[-1] = 1.0
+        return out
+
+    def _evaluated(self, x: SparseRows, layers: int) -> np.ndarray:
+        """The first ``layers`` without dropout, and the row of ones."""
+        a = self._first(x)
+        for li, W in enumerate(self.weights[:layers]):
+            a = self._product(li, W, a) if li else a
+            np.maximum(a[:-1], 0.0, out=a[:-1])
+        return a
+
+    def _ranges(self) -> list[tuple[int, int]]:
+        return [(first, min(first + self.block, self.width)) for first in range(0, self.width, self.block)]
 
     def errors(self, x: SparseRows) -> np.ndarray:
         """Each row's mean squared reconstruction error."""
-        a, _ = self._hidden(x)
-        W, b = self.params[-1]
+        a = self._evaluated(x, len(self.weights) - 1)
         out = np.zeros(len(x.counts))
-        for first in range(0, self.width, self.block):
-            end = min(first + self.block, self.width)
-            z = a @ W[first:end].T + b[first:end]
-            diff = (z if self.final == "linear" else np.maximum(z, 0.0)) - x.block(first, end)
-            out += (diff * diff).sum(axis=1)
+        for first, end in self._ranges():
+            z = self.weights[-1][first:end] @ a
+            diff = (z if self.final == "linear" else np.maximum(z, 0.0, out=z)) - x.block(first, end)
+            out += np.einsum("dn,dn->n", diff, diff)
         return out / self.width
 
     def encode(self, x: SparseRows) -> np.ndarray:
-        half = len(self.params) // 2
-        a = None
-        for li, (W, b) in enumerate(self.params[:half]):
-            a = np.maximum((x.times(self.columns) if li == 0 else a @ W.T) + b, 0.0)
-        return a
+        return self._evaluated(x, len(self.weights) // 2)[:-1].T
 
-    def add_gradient(self, x: SparseRows, total: "Gradient", dropout: float, ids, seed: int, epoch: int) -> float:
+    def add_gradient(self, x: SparseRows, ids, total: "Gradient") -> float:
         """Add the gradient of the rows' loss; returns the loss."""
-        a, cache = self._hidden(x, dropout, ids, seed, epoch, keep=True)
-        last = len(self.params) - 1
-        W, b = self.params[-1]
-        loss, back = 0.0, np.zeros_like(a)
-        for first in range(0, self.width, self.block):
-            end = min(first + self.block, self.width)
-            z = a @ W[first:end].T + b[first:end]
-            act, mask = (z if self.final == "linear" else np.maximum(z, 0.0)), None
-            if dropout > 0:
-                mask = mlp.dropout_factor(dropout, seed, epoch, last, ids, end - first, first)
-                act = act * mask
-            diff = act - x.block(first, end)
-            loss += float((diff * diff).sum())
-            g = 2.0 * diff / self.width
-            if mask is not None:
-                g *= mask
-            if self.final != "linear":
-                g *= z > 0
-            total.last[first:end, :-1] += g.T @ a
-            total.last[first:end, -1] += g.sum(axis=0)
-            back += g @ W[first:end]
+        last = len(self.trained) - 1
+        outs = [self._first(x)]
+        kept = [self._activate(0, outs[0][:-1], ids, True)]
+        for li in range(1, last):
+            outs.append(self._product(li, self.trained[li], outs[-1]))
+            kept.append(self._activate(li, outs[-1][:-1], ids, True))
+        a = outs[-1]
+        loss, back = 0.0, np.zeros((len(a) - 1, a.shape[1]))
+        for first, end in self._ranges():
+            W = self.trained[last][first:end]
+            g = W @ a
+            cut = self._activate(last, g, ids, self.final != "linear", first)
+            if self.dropout > 0:
+                g *= self.scale
+            g -= x.block(first, end)
+            loss += float(np.vdot(g, g))
+            g *= 2.0 * self.scale / self.width
+            if cut is not None:
+                g *= cut
+            total.last[first:end] += g @ a.T
+            back += W[:, :-1].T @ g
+        g = np.multiply(back, kept[-1], out=back)
         for li in reversed(range(last)):
-            before, factor = cache[li]
-            g = np.multiply(back, factor, out=back)
-            total.biases[li] += g.sum(axis=0)
             if li:
-                total.middle[li] += g.T @ before
-                back = g @ self.params[li][0]
-            else:
-                d = x.dense.shape[1]
-                total.first[:d] += x.dense.T @ g
-                if len(x.positions):        # the rows of a position side by side, each position once
-                    turn = np.argsort(x.positions, kind="stable")
-                    occur, starts = np.unique(x.positions[turn], return_index=True)
-                    total.first[occur] += np.add.reduceat(x.values[turn, None] * g[x.rows()[turn]], starts, axis=0)
-                    total.seen[occur] = True
+                added = g @ outs[li - 1].T
+                total.middle[li] += added[:, :-1]
+                total.biases[li] += added[:, -1]
+                g = self._back(li, g, kept[li - 1])
+        total.biases[0] += g.sum(axis=1)
+        d = x.dense.shape[1]
+        total.first[:d] += (g @ x.dense).T
+        if len(x.positions):        # the rows of a position side by side, each position once
+            turn = np.argsort(x.positions, kind="stable")
+            occur, starts = np.unique(x.positions[turn], return_index=True)
+            by_row = np.ascontiguousarray(g.T)
+            total.first[occur] += np.add.reduceat(x.values[turn, None] * by_row[x.rows()[turn]], starts, axis=0)
+            total.seen[occur] = True
         return loss / self.width
 
 
@@ -201,7 +196,11 @@ class Gradient:
         self.middle = {li: np.zeros((fo, fi)) for li, (fi, fo) in enumerate(self.sizes) if 0 < li < len(self.sizes) - 1}
         self.biases = [np.zeros(fo) for _, fo in self.sizes[:-1]]
 
-    def slots(self, tail: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    def slots(self, tail: list[float], scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """``scale``: what the nets' passes left out of the inputs of all layers but the first."""
+        self.last[:, :-1] *= scale
+        for m in self.middle.values():
+            m *= scale
         n = self.last.shape[1]
         occur = np.flatnonzero(self.seen)
         rest = np.concatenate([*(m.ravel() for m in self.middle.values()), *self.biases, tail])
@@ -233,19 +232,24 @@ def _sparse_epoch(data: DataFrame, theta: np.ndarray, dense: int, width: int, hi
     features, indices, values = cols
 
     def partial(chunks):
-        net, total = SparseNet(sent.value, width, hidden, final, block), Gradient(width, dense, hidden)
+        net, total = SparseNet(sent.value, width, hidden, final, block, dropout, seed, epoch), Gradient(width, dense, hidden)
         sums = np.zeros(4)
         for rows, ids, train in unpacked(chunks):
-            x = SparseRows.of(rows.column(features), rows.column(indices), rows.column(values), dense)
-            mine = train & in_batch(ids, batch, batches, seed, epoch)
-            if train_grad and mine.any():
-                sums[0] += net.add_gradient(x.take(mine), total, dropout, ids[mine], seed, epoch)
-                sums[1] += mine.sum()
-            if batch == 0 and not train.all():
-                sums[2] += net.errors(x.take(~train)).sum()
-                sums[3] += (~train).sum()
-        return total.slots(sums.tolist())
-
+            x = SparseRows.of(dense_rows(rows.column(features), dense), rows.column(indices), rows.column(values))
+            if train[0] and train_grad:
+                if batches > 1:
+                    mine = in_batch(ids, batch, batches, seed, epoch)
+                    x, ids = x.take(mine), ids[mine]
+                if len(ids):
+                    sums[0] += net.add_gradient(x, ids, total)
+                    sums[1] += len(ids)
+            elif batch == 0 and not train[0]:
+                sums[2] += net.errors(x).sum()
+                sums[3] += len(ids)
+        return total.slots(sums.tolist(), net.scale)
+
+    # the positions of the first and last layer, and the other weights in pieces
+    partial.most = 2 * width + theta.size // (hidden[0] + 1) + 1
     slots, rows = slot_sums(data, partial, hidden[0] + 1)
     sent.unpersist()
     return Gradient(width, dense, hidden).load(slots, rows, 4)
@@ -282,11 +286,9 @@ def with_sparse_error(df: DataFrame, model: AutoencoderModel, features: str = "f
     width, hidden, final = model.input_dim, model.hidden, model.final
     dense = len(model.feature_names)
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series, i: pd.Series, v: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="float64")
-        net, rows = SparseNet(sent.value, width, hidden, final), SparseRows.of(x, i, v, dense)
-        return pd.Series(np.concatenate([net.errors(rows.cut(lo, min(lo + ROWS, len(x)))) for lo in range(0, len(x), ROWS)]))
+    @F.arrow_udf("double")
+    def run(x: pa.Array, i: pa.Array, v: pa.Array) -> pa.Array:
+        net, rows = SparseNet(sent.value, width, hidden, final), SparseRows.of(dense_rows(x, dense), i, v)
+        return pa.array(np.concatenate([np.empty(0), *(net.errors(rows.cut(lo, min(lo + ROWS, len(x)))) for lo in range(0, len(x), ROWS))]))
 
     return df.withColumn(out, run(features, indices, values))
